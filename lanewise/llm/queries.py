@@ -1,13 +1,16 @@
 """The queries of this subpackage and their SQL, as __spark_entry__.py registers them."""
 
 from .decontaminate import OP9_SQL, op9_wu_manber
+from .quality import OP1_SQL, op1_host_rules
 from .sharding import op10_sampled_splitters
 
 QUERIES = {
+    "op1_host_rules": op1_host_rules,
     "op9_wu_manber": op9_wu_manber,
     "op10_sampled_splitters": op10_sampled_splitters,
 }
 
 ORACLES = {
+    "op1_host_rules": OP1_SQL,
     "op9_wu_manber": OP9_SQL,
 }
