@@ -1,11 +1,15 @@
 """The queries of this subpackage and their SQL, as __spark_entry__.py registers them."""
 
 from .decontaminate import OP9_SQL, op9_wu_manber
+from .packing import op5_nnls_packing
 from .quality import OP1_SQL, op1_host_rules
 from .sharding import op10_sampled_splitters
+from .tokens import op6_edit_aware
 
 QUERIES = {
     "op1_host_rules": op1_host_rules,
+    "op5_nnls_packing": op5_nnls_packing,
+    "op6_edit_aware": op6_edit_aware,
     "op9_wu_manber": op9_wu_manber,
     "op10_sampled_splitters": op10_sampled_splitters,
 }
