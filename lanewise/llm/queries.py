@@ -5,9 +5,11 @@ from .packing import op5_nnls_packing
 from .quality import OP1_SQL, op1_host_rules
 from .sharding import op10_sampled_splitters
 from .tokens import op6_edit_aware
+from .warc import op3_segments
 
 QUERIES = {
     "op1_host_rules": op1_host_rules,
+    "op3_segments": op3_segments,
     "op5_nnls_packing": op5_nnls_packing,
     "op6_edit_aware": op6_edit_aware,
     "op9_wu_manber": op9_wu_manber,
