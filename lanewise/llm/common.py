@@ -201,3 +201,35 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 def text_key(text: str = "text") -> Column:
     """Tells apart rows with equal ids."""
     return F.xxhash64(F.col(text))
+
+
+#: Stands for a null id: after all others.
+LAST_ID = (1 << 63) - 1
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """_doc (doc_id, nulls last), _text (text key; tells apart rows of equal id), and text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("_doc"), F.xxhash64("text").alias("_text"), "text")
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """_doc, _text and _first of each row whose text equals that of a row with a smaller id; _first is the smallest."""
+    known = stage(docs.select("_doc", "_text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha")), "copies-known")
+    groups = known.groupBy("_sha").agg(F.count("*").alias("_n"), F.min("_doc").alias("_first")).filter("_n > 1")
+    found = hot_join(known, stage(groups, "copies-groups"), "_sha", "_n", known.count())
+    return found.filter("_doc > _first").select("_doc", "_text", "_first").distinct()
+
+
+def batch(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+
+
+def heads(*columns: np.ndarray) -> np.ndarray:
+    """Flags of the rows that start a run of equal values."""
+    n = len(columns[0])
+    out = np.zeros(n, bool)
+    if n:
+        out[0] = True
+        for c in columns:
+            out[1:] |= c[1:] != c[:-1]
+    return out

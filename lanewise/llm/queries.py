@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL, as __spark_entry__.py registers them."""
 
+from .anchors import OP2_SQL, op2_difference_cover
 from .decontaminate import OP9_SQL, op9_wu_manber
 from .packing import op5_nnls_packing
 from .quality import OP1_SQL, op1_host_rules
@@ -9,6 +10,7 @@ from .warc import op3_segments
 
 QUERIES = {
     "op1_host_rules": op1_host_rules,
+    "op2_difference_cover": op2_difference_cover,
     "op3_segments": op3_segments,
     "op5_nnls_packing": op5_nnls_packing,
     "op6_edit_aware": op6_edit_aware,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_difference_cover": OP2_SQL,
     "op1_host_rules": OP1_SQL,
     "op9_wu_manber": OP9_SQL,
 }
