@@ -2,6 +2,7 @@
 
 from .anchors import OP2_SQL, op2_difference_cover
 from .decontaminate import OP9_SQL, op9_wu_manber
+from .jaccard import OP4_SQL, op4_part_enum
 from .packing import op5_nnls_packing
 from .quality import OP1_SQL, op1_host_rules
 from .sharding import op10_sampled_splitters
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_host_rules": op1_host_rules,
     "op2_difference_cover": op2_difference_cover,
     "op3_segments": op3_segments,
+    "op4_part_enum": op4_part_enum,
     "op5_nnls_packing": op5_nnls_packing,
     "op6_edit_aware": op6_edit_aware,
     "op9_wu_manber": op9_wu_manber,
@@ -21,5 +23,6 @@ QUERIES = {
 ORACLES = {
     "op2_difference_cover": OP2_SQL,
     "op1_host_rules": OP1_SQL,
+    "op4_part_enum": OP4_SQL,
     "op9_wu_manber": OP9_SQL,
 }
