@@ -6,6 +6,7 @@ from .jaccard import OP4_SQL, op4_part_enum
 from .packing import op5_nnls_packing
 from .quality import OP1_SQL, op1_host_rules
 from .sharding import op10_sampled_splitters
+from .suffixes import op7_bucket_refinement
 from .tokens import op6_edit_aware
 from .warc import op3_segments
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_part_enum": op4_part_enum,
     "op5_nnls_packing": op5_nnls_packing,
     "op6_edit_aware": op6_edit_aware,
+    "op7_bucket_refinement": op7_bucket_refinement,
     "op9_wu_manber": op9_wu_manber,
     "op10_sampled_splitters": op10_sampled_splitters,
 }
