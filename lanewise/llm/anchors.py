@@ -3,7 +3,6 @@ long match shares an aligned anchor, and only around shared anchors are the long
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, LAST_ID, Rolling, batch, chunks, copies, covered, heads, keyed, runs, sized_join, stage, text_bytes, word_table
+from .common import BASES, LAST_ID, Rolling, batch, chunks, copies, covered, heads, keyed, stage, text_bytes, word_table
 
 #: A perfect difference set: every residue modulo PERIOD is a difference of two of COVER. Two equal runs of
 #: ANCHOR + PERIOD - 1 words, wherever they start, have a place of COVER in common.
@@ -55,7 +54,8 @@ def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(BASES[0])
         for table in chunks(batches, "text"):
-            words, doc = Words(table["text"]), table["_doc"].to_numpy()
+            table = table.take(np.sort(np.unique(table["_text"].to_numpy(), return_index=True)[1]))
+            words, doc = Words(table["text"]), table["_text"].to_numpy()
             prefix = rolling.prefix(words.hash)
             at = np.flatnonzero(cover[words.place % PERIOD] & (words.room >= anchor) & (words.size[words.text] >= window))
             h = rolling.windows(prefix, at, at + anchor).view(np.int64)
@@ -65,7 +65,7 @@ def _anchor_rows(window: int):
             head = heads(h)
             group = np.cumsum(head) - 1
             first = np.flatnonzero(head)
-            # more than one document of this chunk: decided here, and one row tells the others
+            # more than one text of this chunk: decided here, and one row tells the others
             several = np.zeros(len(first), bool)
             np.logical_or.at(several, group, d != d[first][group]) if len(first) else None
             here = several[group]
@@ -196,25 +196,23 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(["doc", "key", "a", "b"], doc[got], key[got], a[got], b[got])
 
 
-def _gathered(spans: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, int]:
-    """One row for each document with its list of spans (no longer than its text), and their bytes."""
-    out = stage(spans.groupBy(*keys).agg(F.collect_list(F.struct("a", "b")).alias("spans")), name)
-    rows, n = out.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    return out, 64 * rows + 24 * n
+def _gathered(spans: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """One row for each text with its set of spans (no more than its words)."""
+    return stage(spans.groupBy(*keys).agg(F.collect_set(F.struct("a", "b")).alias("spans")), name)
 
 
-def repeated_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, int]:
-    """_doc, _text and spans: the starts [a, b) of the windows of each text that also start in a document of smaller id;
-    and the table's size in bytes."""
+def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
+    """_doc, _text and spans: the starts [a, b) of the windows of each text that also start in a document of smaller id.
+
+    Anchors are shared if two different texts hold them. A copy of an earlier text has all its windows in that text, so
+    only the first document of each text is searched further."""
     rows = keyed(docs)
-    # a copy of an earlier text has all its windows in that text; the earlier one answers for it
-    whole = stage(copies(rows), "anchors-copies")
-    single = sized_join(rows, whole.select("_doc", "_text").withColumn("_copy", F.lit(True)), ["_doc", "_text"], "left", 40 * whole.count()).filter("_copy is null").drop("_copy")
-    asked = single.select("_doc", "text").mapInArrow(_anchor_rows(window), FOUND)
+    asked = rows.select("_text", "text").mapInArrow(_anchor_rows(window), FOUND)
     near = asked.repartition("k").sortWithinPartitions("k").mapInArrow(_shared(window), "doc bigint, a int, b int")
-    regions, size = _gathered(near.withColumnRenamed("doc", "_doc"), ["_doc"], "anchors-regions")
-    candidates = sized_join(single, regions, ["_doc"], "inner", size)
-    sent = candidates.select("_doc", "_text", "text", "spans").mapInArrow(_window_rows(window), WINDOWS)
+    regions = _gathered(near.withColumnRenamed("doc", "_text"), ["_text"], "anchors-regions")
+    whole = stage(copies(rows), "anchors-copies").select("_doc", "_text")
+    first = rows.select("_doc", "_text").distinct().join(whole, ["_doc", "_text"], "left_anti")
+    sent = rows.join(stage(first.join(regions, "_text"), "anchors-first"), ["_doc", "_text"]).select("_doc", "_text", "text", "spans").mapInArrow(_window_rows(window), WINDOWS)
     found = sent.repartition("h1").sortWithinPartitions("h1", "h2", "doc").mapInArrow(_later, SPANS).withColumnsRenamed({"doc": "_doc", "key": "_text"})
     all_of = whole.select("_doc", "_text", F.lit(0).alias("a"), F.lit((1 << 31) - 1 - window).alias("b"))
     return _gathered(found.unionByName(all_of), ["_doc", "_text"], "anchors-repeated")
@@ -234,7 +232,7 @@ def dedup_words(docs: DataFrame, window: int = 50) -> DataFrame:
     Skew: a chunk of documents sends one row for each hash it holds, so a passage or a copy that a third of all documents
     share costs a row for each chunk, not for each document.
     """
-    spans, size = repeated_spans(docs, window)
+    spans = repeated_spans(docs, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in batches:
@@ -254,7 +252,7 @@ def dedup_words(docs: DataFrame, window: int = 50) -> DataFrame:
             yield batch(["doc_id", "n_words", "n_removed", "kept"], one.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()))
 
     rows = keyed(docs.select("doc_id", "text"))
-    joined = sized_join(rows.withColumn("text", F.col("text").cast("binary")), spans, ["_doc", "_text"], "left", size)
+    joined = rows.withColumn("text", F.col("text").cast("binary")).join(spans, ["_doc", "_text"], "left")
     return joined.select(F.when(F.col("_doc") != LAST_ID, F.col("_doc")).alias("doc_id"), "text", "spans").mapInArrow(run, DEDUPED)
 
 

@@ -11,10 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if it is known to hold at most so many bytes.
-BROADCAST_BYTES = 32 << 20
 #: Bytes of text that a Python worker holds at once (a single longer text is a chunk of its own).
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -47,11 +45,6 @@ def unstage(*tables: DataFrame) -> None:
             path.getFileSystem(hadoop).delete(path, True)
 
 
-def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str, right_bytes: int) -> DataFrame:
-    """Join; right is broadcast if right_bytes, counted beforehand, is under the bound, else both sides are shuffled."""
-    return left.join(F.broadcast(right) if right_bytes <= BROADCAST_BYTES else right, on, how)
-
-
 def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
     """Join with a right side that has one row a key and, in weight, the key's rows on the left. A key with over a
     1000th of all rows is hot: there are under 1000 of these, so they are broadcast; the rest is shuffled, and there no

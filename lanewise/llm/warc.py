@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_join, shared_root, sized_join, stage
+from .common import hot_join, shared_root, stage
 
 #: Fixed by the WARC 1.1 standard.
 VERSION, END = "WARC/1.1", "\r\n\r\n"
@@ -100,7 +100,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, owner: int | N
 
 def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 16 << 10, chunk_bytes: int = 4 << 10) -> None:
     """Write a record for each page: of pages with equal payloads those with the largest page_id are responses, the
-    others revisit it. Only digests are shuffled; pages meet the list of revisits, broadcast if its counted size allows."""
+    others revisit it. Digests are shuffled alone; the pages then meet the list of revisits by page_id and digest."""
     body = F.coalesce("html", F.lit("")).cast("binary")
     own = F.coalesce(F.col("page_id").cast("bigint"), F.lit(NO_ID))
     known = pages.select(own.alias("_id"), F.sha2(body, 256).alias("_h"), F.octet_length(body).cast("bigint").alias("_n"))
@@ -109,7 +109,7 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 16 << 10,
     owners = known.groupBy("_h").agg(F.count("*").alias("_copies"), F.max("_id").alias("_owner")).filter("_copies > 1")
     revisits = stage(hot_join(known.select("_id", "_h"), stage(owners, "warc-owners"), "_h", "_copies", total).filter("_id < _owner").distinct(), "warc-revisits")
     rows = pages.select(own.alias("_id"), F.col("page_id").cast("bigint").alias("page_id"), "url", body.alias("html"), F.sha2(body, 256).alias("_h"))
-    rows = sized_join(rows, revisits, ["_id", "_h"], "left", 120 * revisits.count()).select("page_id", "url", "html", "_owner")
+    rows = rows.join(revisits, ["_id", "_h"], "left").select("page_id", "url", "html", "_owner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
