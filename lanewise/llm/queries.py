@@ -4,6 +4,7 @@ from .anchors import OP2_SQL, op2_difference_cover
 from .decontaminate import OP9_SQL, op9_wu_manber
 from .jaccard import OP4_SQL, op4_part_enum
 from .packing import op5_nnls_packing
+from .pii import op8_bootstrapped
 from .quality import OP1_SQL, op1_host_rules
 from .sharding import op10_sampled_splitters
 from .suffixes import op7_bucket_refinement
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_nnls_packing": op5_nnls_packing,
     "op6_edit_aware": op6_edit_aware,
     "op7_bucket_refinement": op7_bucket_refinement,
+    "op8_bootstrapped": op8_bootstrapped,
     "op9_wu_manber": op9_wu_manber,
     "op10_sampled_splitters": op10_sampled_splitters,
 }
