@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import one_decimal, quality_letters, readiness, reverse_complement
 
-READ = Window.partitionBy("trace_id").orderBy("ordinal")
-SO_FAR = READ.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 #: Thresholds of the search window, in the order in which they are tried, and the length that settles it.
 LADDER, ENOUGH, READY = (30.0, 25.0, 20.0, 15.0, 10.0), 150, 100
 
 
+def _read() -> WindowSpec:
+    return Window.partitionBy("trace_id").orderBy("ordinal")
+
+
+def _so_far() -> WindowSpec:
+    return _read().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def best_segments(calls: DataFrame, thresholds: tuple[float, ...], window: int = 20, *extra: Column) -> DataFrame:
     """Per trace the segment of largest summed (phred - threshold), for each threshold: start_k and end_k (exclusive).
 
@@ -21,13 +27,13 @@ def best_segments(calls: DataFrame, thresholds: tuple[float, ...], window: int =
     trace serves all thresholds."""
     rows = calls.withColumn("_n", F.lit(1))
     for k, q in enumerate(thresholds):
-        rows = rows.withColumn(f"_s{k}", F.sum(F.col("phred") - F.lit(q)).over(SO_FAR))
+        rows = rows.withColumn(f"_s{k}", F.sum(F.col("phred") - F.lit(q)).over(_so_far()))
     for k in range(len(thresholds)):
-        rows = rows.withColumn(f"_b{k}", F.lag(f"_s{k}", 1, 0.0).over(READ))
+        rows = rows.withColumn(f"_b{k}", F.lag(f"_s{k}", 1, 0.0).over(_read()))
     for k in range(len(thresholds)):
-        rows = rows.withColumn(f"_m{k}", F.min(f"_b{k}").over(SO_FAR))
+        rows = rows.withColumn(f"_m{k}", F.min(f"_b{k}").over(_so_far()))
     for k in range(len(thresholds)):
-        rows = rows.withColumn(f"_a{k}", F.max(F.when(F.col(f"_b{k}") == F.col(f"_m{k}"), F.col("ordinal"))).over(SO_FAR))
+        rows = rows.withColumn(f"_a{k}", F.max(F.when(F.col(f"_b{k}") == F.col(f"_m{k}"), F.col("ordinal"))).over(_so_far()))
     best = [F.min(F.struct((F.col(f"_m{k}") - F.col(f"_s{k}")).alias("loss"), F.col("ordinal").alias("last"), F.col(f"_a{k}").alias("start"))).alias(f"_best{k}") for k in range(len(thresholds))]
     out = rows.groupBy("trace_id").agg(F.count("*").alias("n"), F.avg("phred").alias("_mean"), *best, *extra)
     for k, q in enumerate(thresholds):

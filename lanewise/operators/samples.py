@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import argmax, heterozygote, isolation_ratio
 
 WIDE = ("g", "a", "t", "c")
-LANE = Window.partitionBy("trace_id", "ch").orderBy("i")
-TRACE = Window.partitionBy("trace_id").orderBy("i")
+
+
+def _lane() -> WindowSpec:
+    return Window.partitionBy("trace_id", "ch").orderBy("i")
+
+
+def _trace() -> WindowSpec:
+    return Window.partitionBy("trace_id").orderBy("i")
 
 
 def long(samples: DataFrame) -> DataFrame:
@@ -25,7 +31,7 @@ def wide(lanes: DataFrame) -> DataFrame:
 def shift(samples: DataFrame, shifts: tuple[int, int, int, int]) -> DataFrame:
     """Delay each channel by its shift (advance where negative); zeros come in. One window over the trace serves all
     channels."""
-    moved = [(F.lag(c, s, 0.0).over(TRACE) if s >= 0 else F.lead(c, -s, 0.0).over(TRACE)).alias(c) if s else F.col(c) for c, s in zip(WIDE, shifts, strict=True)]
+    moved = [(F.lag(c, s, 0.0).over(_trace()) if s >= 0 else F.lead(c, -s, 0.0).over(_trace())).alias(c) if s else F.col(c) for c, s in zip(WIDE, shifts, strict=True)]
     return samples.select("trace_id", "i", *moved)
 
 
@@ -50,7 +56,7 @@ def snr_map(lanes: DataFrame, floor: str = "floor") -> DataFrame:
 
 def envelope(lanes: DataFrame, width: int = 300, fraction: float = 0.03) -> DataFrame:
     """Moving maximum (an even window starts width / 2 before), at least a share of the channel's maximum, and y over it."""
-    frame = LANE.rowsBetween(-(width // 2), width - width // 2 - 1)
+    frame = _lane().rowsBetween(-(width // 2), width - width // 2 - 1)
     most = F.max("y").over(Window.partitionBy("trace_id", "ch"))
     out = lanes.withColumn("envelope", F.greatest(F.max("y").over(frame), most * fraction))
     return out.withColumn("normal", F.when(F.col("envelope") > 0, F.col("y") / F.col("envelope")).otherwise(0.0))
@@ -59,8 +65,8 @@ def envelope(lanes: DataFrame, width: int = 300, fraction: float = 0.03) -> Data
 def opened(lanes: DataFrame, width: int = 101) -> DataFrame:
     """Morphological opening: moving minimum, then moving maximum. Frames cut at the ends equal mirrored ones."""
     half = width // 2
-    low = lanes.withColumn("_low", F.min("y").over(LANE.rowsBetween(-half, half)))
-    return low.withColumn("opened", F.max("_low").over(LANE.rowsBetween(-half, half))).drop("_low")
+    low = lanes.withColumn("_low", F.min("y").over(_lane().rowsBetween(-half, half)))
+    return low.withColumn("opened", F.max("_low").over(_lane().rowsBetween(-half, half))).drop("_low")
 
 
 def mirrored(lanes: DataFrame, pad: int, repeat_edge: bool) -> DataFrame:
@@ -77,7 +83,7 @@ def mirrored(lanes: DataFrame, pad: int, repeat_edge: bool) -> DataFrame:
 def moving_percentile(lanes: DataFrame, width: int, share: float, repeat_edge: bool) -> DataFrame:
     """Moving percentile as a window function over mirrored rows: the declarative twin of the array kernel."""
     half = width // 2
-    frame = LANE.rowsBetween(-half, half)
+    frame = _lane().rowsBetween(-half, half)
     value = F.expr(f"percentile(y, {share})").over(frame)
     return mirrored(lanes, half, repeat_edge).withColumn("p", value).filter("i >= 0 and i < _n").drop("_n")
 
@@ -86,7 +92,7 @@ def blob_end(samples: DataFrame, limit: int = 500, settle: int = 20, share: floa
     """Where the dye blob ends: after the largest summed sample among the first `limit`, the first place from which
     `settle` samples stay under a share of it; else 50 samples on."""
     rows = samples.select("trace_id", "i", sum((F.col(c) for c in WIDE[1:]), F.col("g")).alias("s"))
-    ahead = F.max("s").over(TRACE.rowsBetween(0, settle - 1))
+    ahead = F.max("s").over(_trace().rowsBetween(0, settle - 1))
     rows = rows.withColumn("ahead", ahead)
     peak = F.min(F.when(F.col("i") < limit, F.struct((-F.col("s")).alias("m"), F.col("i").alias("i"))))
     marked = rows.groupBy("trace_id").agg(peak.alias("p"), F.count("*").alias("n"))
@@ -115,7 +121,7 @@ def sample_features(samples: DataFrame, threshold: float = 0.45) -> DataFrame:
 
 def local_maxima(lanes: DataFrame) -> DataFrame:
     """Samples above both neighbours (plateaus are left to the array kernel)."""
-    rows = lanes.withColumns({"_b": F.lag("y").over(LANE), "_a": F.lead("y").over(LANE)})
+    rows = lanes.withColumns({"_b": F.lag("y").over(_lane()), "_a": F.lead("y").over(_lane())})
     return rows.filter("y > _b and y > _a").select("trace_id", "ch", F.col("i").alias("pos"), F.col("y").alias("amp"))
 
 

@@ -1 +1,246 @@
+"""Queries on whole traces, files and reports."""
 
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from .. import adapters as A
+from ..blast import parse as B
+from ..kernels import signal as ks
+from ..operators import matrices as M
+from ..operators import samples as P
+from ..operators import traces as T
+from ..params import PipelineParams
+from ..sinks.abif import abif_bytes
+from ..sinks.fasta import batch_headers, fasta_record, search_pair, single_header
+from ..sinks.tables import peak_table, summary_table
+from ..sources import readers as R
+from . import pipeline as PL
+from .queries import CROSSTALK, query, rounded
+
+
+
+def _morph_sql() -> str:
+    weights = (lambda w: w / w.sum())(np.exp(-0.5 * (np.arange(-48, 49) / 12.0) ** 2))
+    listed = ", ".join(f"({k - 48}, {float(w)!r})" for k, w in enumerate(weights))
+    return f"""WITH {A.SQL_LONG}, e AS (SELECT *, min(y) OVER (PARTITION BY trace_id, ch ORDER BY i ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) AS low, count(*) OVER (PARTITION BY trace_id, ch) AS n FROM long),
+o AS (SELECT trace_id, ch, i, y, n, max(low) OVER (PARTITION BY trace_id, ch ORDER BY i ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) AS o FROM e), k(d, w) AS (VALUES {listed}),
+near AS (SELECT trace_id, ch, i, y, w, CASE WHEN i + d < 0 THEN -i - d - 1 WHEN i + d >= n THEN 2 * n - 1 - i - d ELSE i + d END AS j FROM o, k),
+b AS (SELECT a.trace_id, a.ch, a.i, any_value(a.y) AS y, sum(w * o.o) AS b FROM near a JOIN o ON o.trace_id = a.trace_id AND o.ch = a.ch AND o.i = a.j GROUP BY ALL)
+SELECT trace_id, CAST(ch AS INT) AS ch, i, round(greatest(b, 0), 6) + 0 AS baseline, round(greatest(y - b, 0), 6) + 0 AS y FROM b"""
+
+
+@query("morph_baseline", _morph_sql())
+def morph_baseline(spark, sf_dir):
+    return rounded(T.baseline_lanes(A.samples(spark, sf_dir), "morph"))
+
+
+def _savgol_sql(width: int = 19, order: int = 3) -> str:
+    half = width // 2
+    inner = ", ".join(f"({k}, {float(w)!r})" for k, w in enumerate(ks.savgol_weights(width, order)))
+    ends = ", ".join(f"({p}, {k}, {float(w)!r})" for p in range(half) for k, w in enumerate(ks.savgol_weights(width, order, p)))
+    return f"""WITH {A.SQL_LONG}, num AS (SELECT *, count(*) OVER (PARTITION BY trace_id, ch) AS n FROM long), mid(k, w) AS (VALUES {inner}), fin(p, k, w) AS (VALUES {ends}),
+want AS (SELECT trace_id, ch, i, i - {half} + k AS j, w FROM num, mid WHERE i >= {half} AND i < n - {half}
+ UNION ALL SELECT trace_id, ch, i, k, w FROM num, fin WHERE i < {half} AND p = i UNION ALL SELECT trace_id, ch, i, n - 1 - k, w FROM num, fin WHERE i >= n - {half} AND p = n - 1 - i)
+SELECT w.trace_id, CAST(w.ch AS INT) AS ch, w.i, round(greatest(sum(w * y), 0), 6) + 0 AS y FROM want w JOIN num ON num.trace_id = w.trace_id AND num.ch = w.ch AND num.i = w.j GROUP BY ALL"""
+
+
+@query("savgol", _savgol_sql())
+def savgol(spark, sf_dir):
+    return rounded(T.lanes(T.smoothed(T.traces(A.samples(spark, sf_dir))), "y"))
+
+
+@query("als_baseline")
+def als_baseline(spark, sf_dir):
+    return rounded(T.baseline_lanes(A.samples(spark, sf_dir), "als"), 4)
+
+
+@query("sharpen_tail")
+def sharpen_tail(spark, sf_dir):
+    return rounded(T.lanes(T.sharpened(T.traces(A.samples(spark, sf_dir)), 0.8), "y"))
+
+
+@query("mobility")
+def mobility(spark, sf_dir):
+    return rounded(T.lanes(T.aligned(T.traces(A.samples(spark, sf_dir))), "y"), 4)
+
+
+@query("peaks_and_shapes")
+def peaks_and_shapes(spark, sf_dir):
+    return rounded(T.found_peaks(T.traces(A.samples(spark, sf_dir))), 4)
+
+
+@query("peak_matrix")
+def peak_matrix(spark, sf_dir):
+    return rounded(T.estimated(T.traces(A.samples(spark, sf_dir)), "peaks"))
+
+
+@query("nmf_matrix")
+def nmf_matrix(spark, sf_dir):
+    return rounded(T.estimated(T.traces(A.samples(spark, sf_dir)), "nmf"), 3)
+
+
+@query("matrix_of_robust_plausibility", "SELECT DISTINCT l_suppkey AS matrix_id, CAST(24 AS DOUBLE) AS plausibility FROM lineitem")
+def matrix_of_robust_plausibility(spark, sf_dir):
+    """Every constrained matrix scores 24, as does the identity."""
+    return rounded(M.plausibility(M.robust(A.samples(spark, sf_dir))))
+
+
+PARAMS = PipelineParams.interactive(matrix=CROSSTALK, auto_trim_blob=False, detect_het=True)
+
+
+def _results(spark, sf_dir):
+    traces = T.traces(A.samples(spark, sf_dir)).withColumn("sample_name", F.concat(F.lit("s"), "trace_id")).withColumn("path", F.concat(F.lit("/traces/t"), "trace_id", F.lit(".ab1")))
+    return PL.run(traces, PARAMS)
+
+
+@query("basecall")
+def basecall(spark, sf_dir):
+    return rounded(PL.base_calls(_results(spark, sf_dir)), 4)
+
+
+@query("peak_table")
+def peak_export(spark, sf_dir):
+    return rounded(peak_table(PL.base_calls(_results(spark, sf_dir))), 4)
+
+
+@query("batch_summary")
+def batch_summary(spark, sf_dir):
+    return rounded(summary_table(PL.summarise(_results(spark, sf_dir), PARAMS)), 4)
+
+
+@query("emb_samples", "SELECT label AS trace_id, count(*) * 64 AS n, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 4) AS total FROM embeddings GROUP BY label")
+def emb_samples(spark, sf_dir):
+    """A second shape of samples, with negative values: sums of the embeddings' dimensions dealt to channels."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.posexplode("embedding").alias("d", "y"))
+    lanes = e.select(F.col("label").alias("trace_id"), (F.col("d") % 4).alias("ch"), F.col("y").cast("double"))
+    return rounded(lanes.groupBy("trace_id").agg(F.count("*").alias("n"), F.sum("y").alias("total")), 4)
+
+
+# Files: contents are built from the samples, read by the parsers, and compared with the samples.
+
+_BACK = f"WITH {A.SQL_LONG} SELECT trace_id, CAST(ch AS INT) AS ch, i, y FROM long"
+
+
+def _numbered(parsed):
+    return T.lanes(parsed.withColumn("trace_id", F.col("trace_id").cast("bigint")), "signals").select("trace_id", "ch", "i", F.col("signals").alias("y"))
+
+
+def _rows_of(samples, line):
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("i", *P.WIDE))), line)
+    return samples.groupBy("trace_id").agg(F.array_join(lines, "\n").alias("body"))
+
+
+@query("read_csv", _BACK)
+def read_csv(spark, sf_dir):
+    rows = _rows_of(A.samples(spark, sf_dir), lambda x: F.concat_ws(";", *[x[c].cast("int").cast("string") for c in P.WIDE]))
+    files = rows.select(F.concat(F.lit("/in/"), "trace_id", F.lit(".csv")).alias("path"), F.col("body").cast("binary").alias("content"))
+    return _numbered(R.parse(files))
+
+
+@query("read_srd", _BACK)
+def read_srd(spark, sf_dir):
+    point = lambda x: F.concat(F.lit("<Point><Data>"), *[F.concat(F.lit("<int>"), x[c].cast("int").cast("string"), F.lit("</int>")) for c in P.WIDE], F.lit("</Data></Point>"))
+    rows = _rows_of(A.samples(spark, sf_dir), point)
+    body = F.concat(F.lit("<Root><TimeStep>10</TimeStep>"), "body", F.lit("</Root>"))
+    return _numbered(R.parse(rows.select(F.concat(F.lit("/in/"), "trace_id", F.lit(".srd")).alias("path"), body.cast("binary").alias("content"))))
+
+
+@query("read_abif", _BACK)
+def read_abif(spark, sf_dir):
+    def build(batches):
+        for one in batches:
+            out = [{"path": f"/in/{name}.ab1", "content": abif_bytes(T.signal_of(s)[[2, 0, 3, 1]], dyes="TGCA", name=f"s{name}")} for name, s in zip(one.column(0).to_pylist(), one.column(1), strict=True)]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    return _numbered(R.parse(T.traces(A.samples(spark, sf_dir)).select("trace_id", "signals").mapInArrow(build, "path string, content binary")))
+
+
+# Reports of searches, built from the lines of each order.
+
+_HITS = "hits AS (SELECT l_suppkey AS query_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rank, 'ACC' || l_partkey AS accession, 'order ' || l_orderkey || ' line ' || l_linenumber AS description, CAST(floor(l_extendedprice / 100) AS DOUBLE) AS score, CAST(l_quantity AS INT) AS q FROM lineitem), few AS (SELECT * FROM hits WHERE rank <= 20)"
+
+
+def _hits(spark, sf_dir):
+    lines = A._lines(spark, sf_dir).filter("i < 20")
+    one = F.struct(
+        F.col("i"), F.concat(F.lit("ACC"), "l_partkey").alias("acc"), F.concat(F.lit("order "), "l_orderkey", F.lit(" line "), "l_linenumber").alias("d"),
+        F.floor(F.col("l_extendedprice") / 100).cast("string").alias("s"), F.col("l_quantity").cast("int").alias("q"),
+    )
+    return lines.groupBy(F.col("trace_id").alias("query_id")).agg(F.sort_array(F.collect_list(one)).alias("h"))
+
+
+@query("blast_text", f"WITH {_HITS} SELECT query_id, CAST(rank AS INT) AS rank, accession, description, score, q || 'e-9' AS evalue, q AS identity_pct, CASE WHEN rank <= 10 THEN 100 - q END AS query_cover_pct FROM few")
+def blast_text(spark, sf_dir):
+    table = F.array_join(F.transform("h", lambda x: F.concat_ws("  ", x["acc"], x["d"], x["s"], F.concat(x["q"].cast("string"), F.lit("e-9")))), "\n")
+    same = F.array_join(F.transform("h", lambda x: F.concat(F.lit(" Identities = 9/10 ("), x["q"].cast("string"), F.lit("%)"))), "\n")
+    cover = F.array_join(F.transform(F.slice("h", 1, 10), lambda x: F.concat(F.lit(" query cover: "), (100 - x["q"]).cast("string"), F.lit("%"))), "\n")
+    report = F.concat(F.lit(f"BLASTN\n{B.MARK}:   (Bits)  Value\n\n"), table, F.lit("\n\nAlignments a b 1 2\n"), same, F.lit("\n"), cover)
+    return B.text_hits(_hits(spark, sf_dir).select("query_id", report.alias("report")))
+
+
+@query("blast_json", f"WITH {_HITS} SELECT query_id, CAST(rank AS INT) AS rank, accession, description, score, printf('%.2e', q / 1e10) AS evalue, CAST(floor(100 * q / 60) AS INT) AS identity_pct, CAST(NULL AS INT) AS query_cover_pct, 60 AS align_length, 0 AS gaps FROM few")
+def blast_json(spark, sf_dir):
+    hit = lambda x: F.struct(F.array(F.struct(x["acc"].alias("accession"), x["d"].alias("title"))).alias("description"), F.array(F.struct(x["s"].cast("double").alias("bit_score"), (x["q"] / 1e10).alias("evalue"), x["q"].alias("identity"), F.lit(60).alias("align_len"))).alias("hsps"))
+    inner = F.struct(F.struct(F.struct(F.struct(F.transform("h", hit).alias("hits")).alias("search")).alias("results")).alias("report"))
+    body = F.to_json(F.struct(F.array(inner).alias("BlastOutput2")))
+    return B.json_hits(_hits(spark, sf_dir).select("query_id", F.concat(F.lit("<p>"), body, F.lit("</p>")).alias("report")))
+
+
+@query("blast_xml", f"WITH {_HITS} SELECT query_id, CAST(rank AS INT) AS rank, accession, 'id ' || description AS description, score, printf('%.2e', q / 1e10) AS evalue, CAST(floor(100 * q / 60) AS INT) AS identity_pct, CAST(floor(100 * q / 80) AS INT) AS query_cover_pct, 60 AS align_length, 2 AS gaps FROM few")
+def blast_xml(spark, sf_dir):
+    tag = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+    hsp = lambda x: tag("Hsp", F.concat(tag("Hsp_score", x["s"]), tag("Hsp_evalue", F.format_string("%.1e", x["q"] / 1e10)), tag("Hsp_query-from", F.lit("1")), tag("Hsp_query-to", (x["q"] + 1).cast("string")), tag("Hsp_identity", x["q"].cast("string")), tag("Hsp_gaps", F.lit("2")), tag("Hsp_align-len", F.lit("60"))))
+    hit = lambda x: tag("Hit", F.concat(tag("Hit_id", F.lit("id")), tag("Hit_def", x["d"]), tag("Hit_accession", x["acc"]), tag("Hit_hsps", hsp(x))))
+    body = tag("BlastOutput", F.concat(tag("BlastOutput_query-len", F.lit("80")), tag("BlastOutput_iterations", tag("Iteration", tag("Iteration_hits", F.array_join(F.transform("h", hit), ""))))))
+    return B.xml_hits(_hits(spark, sf_dir).select("query_id", body.alias("report")))
+
+
+@query("hit_bands", f"WITH {_HITS} SELECT query_id, CAST(rank AS INT) AS rank, accession, description, score, q || 'e-9' AS evalue, q AS identity_pct, CASE WHEN rank <= 10 THEN 100 - q END AS query_cover_pct, CASE WHEN q >= 99 THEN 'best' WHEN q >= 95 THEN 'good' WHEN q < 80 THEN 'poor' ELSE 'plain' END AS band FROM few WHERE rank <= 10")
+def hit_bands(spark, sf_dir):
+    return B.top_hits(blast_text(spark, sf_dir), 10)
+
+
+@query("reply_states", """SELECT event_id AS query_id, CASE event_type WHEN (SELECT min(event_type) FROM events) THEN 'WAITING' WHEN (SELECT max(event_type) FROM events) THEN 'READY' ELSE 'UNKNOWN' END AS status, 'R' || event_id AS rid FROM events""")
+def reply_states(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    low, high = e.agg(F.min("event_type"), F.max("event_type")).first()
+    reply = F.when(F.col("event_type") == low, "Status=WAITING").when(F.col("event_type") == high, "ThereAreHits=yes").otherwise("?")
+    replies = e.select(F.col("event_id").alias("query_id"), F.concat(F.lit("QBlastInfo\n RID = R"), "event_id", F.lit("\n"), reply).alias("reply"))
+    return B.statuses(replies).join(B.request_ids(replies), "query_id")
+
+
+# Exports
+
+
+def _export_rows(spark, sf_dir):
+    s = A.sequences(spark, sf_dir).filter(F.length("seq") > 0)
+    n = F.length("seq")
+    return s.select(F.concat(F.lit("doc"), "doc_id").alias("name"), F.col("seq").alias("sequence"), F.lit(0).alias("blast_start"), n.alias("blast_end"), (n % 40 + 0.25).alias("mean_phred"), (n % 100 + 0.5).alias("pct_q20"), (n % 7 + 90.125).alias("blast_est_identity"), (n % 3).alias("primer_trim_pos"), (n % 2).alias("n_heterozygotes"), F.lit(0).alias("n_imputed"))
+
+
+_EXPORT = f"""WITH {A.SQL_SEQS}, x AS (SELECT 'doc' || doc_id AS name, seq, length(seq) AS n FROM seqs WHERE length(seq) > 0)"""
+_WRAP = "(SELECT string_agg(substr({0}, k * 80 + 1, 80) || chr(10), '' ORDER BY k) FROM range((length({0}) + 79) // 80) AS r(k))"
+_RC = "reverse(translate(seq, 'ACGTacgtNn', 'TGCAtgcaNn'))"
+_NUMBERS = "printf('%.1f', n % 40 + 0.25) || ' pct_Q20=' || printf('%.1f', n % 100 + 0.5)"
+
+
+@query("search_pair", _EXPORT + f""" SELECT name, '>' || name || '_forward length=' || n || ' blast_window=0-' || n || ' mean_Q=' || {_NUMBERS} || ' est_identity=' || printf('%.1f', n % 7 + 90.125) || '%' || chr(10) || {_WRAP.format("seq")} AS forward,
+ '>' || name || '_reverse_complement length=' || n || ' blast_window=0-' || n || ' mean_Q=' || {_NUMBERS} || ' est_identity=' || printf('%.1f', n % 7 + 90.125) || '%' || chr(10) || {_WRAP.format(_RC)} AS reverse FROM x""")
+def export_pair(spark, sf_dir):
+    return search_pair(_export_rows(spark, sf_dir))
+
+
+@query("multi_fasta", _EXPORT + f""" SELECT name, '>' || name || ' length=' || n || ' mean_Q=' || {_NUMBERS} || ' est_id=' || printf('%.1f', n % 7 + 90.125) || '%' || chr(10) || {_WRAP.format("seq")} AS record FROM x""")
+def multi_fasta(spark, sf_dir):
+    return _export_rows(spark, sf_dir).select("name", fasta_record(batch_headers(), F.col("sequence")).alias("record"))
+
+
+@query("single_headers", _EXPORT + f""" SELECT name, 'sanger_sequence length=' || n || ' mean_Q=' || {_NUMBERS} || ' shifts=G0_A1_T-1_C2' || CASE WHEN n % 3 > 0 THEN ' primer_trim=' || n % 3 ELSE '' END || CASE WHEN n % 2 > 0 THEN ' het=1' ELSE '' END AS plain,
+ 'sanger_sequence_window_trimmed length=' || n || ' mean_Q=' || {_NUMBERS} || ' window_size=20 window_min_q=20 shifts=G0_A1_T-1_C2' || CASE WHEN n % 3 > 0 THEN ' primer_trim=' || n % 3 ELSE '' END AS trimmed,
+ 'sanger_reverse_complement length=' || length(trim(seq, 'N')) || ' mean_Q=' || {_NUMBERS} || ' shifts=G0_A1_T-1_C2' AS rc FROM x""")
+def single_headers(spark, sf_dir):
+    s = (0, 1, -1, 2)
+    return _export_rows(spark, sf_dir).select("name", single_header("sequence", s).alias("plain"), single_header("sequence_window_trimmed", s, (20, 20.0)).alias("trimmed"), single_header("reverse_complement", s).alias("rc"))
