@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds at once (a single longer text is a chunk of its own).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+
+
+#: Bytes in an Arrow batch at most, so that an executor's buffers stay small beside its heap.
+ARROW_BYTES = 8 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Keep Arrow batches small in this session, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(name, ARROW_BYTES)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -30,11 +42,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends there, nothing is computed twice, and a
     lost executor costs only its running tasks."""
     spark = df.sparkSession
+    lean(spark)
     path = f"{shared_root(spark)}/lanewise/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: shuffle files of finished phases are deleted once nothing refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for table in tables:
@@ -202,6 +221,7 @@ LAST_ID = (1 << 63) - 1
 
 def keyed(docs: DataFrame) -> DataFrame:
     """_doc (doc_id, nulls last), _text (text key; tells apart rows of equal id), and text."""
+    lean(docs.sparkSession)
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("_doc"), F.xxhash64("text").alias("_text"), "text")
 
 

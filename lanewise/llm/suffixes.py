@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import ASK, DONE, FOUND, TELL, _spread
-from .common import _BYTES, BASES, LAST_ID, Rolling, batch, chunks, copies, covered, heads, hot_join, keyed, mix, runs, stage, text_bytes
+from .anchors import ASK, DONE, TELL, _spread
+from .common import _BYTES, BASES, LAST_ID, Rolling, batch, chunks, covered, heads, hot_join, keyed, mix, release, runs, stage, text_bytes, unstage
 
 #: Bytes of the initial buckets' q-grams. Of the LENGTH - Q + 1 q-grams in a string of LENGTH bytes the least is sampled.
 LENGTH, Q = 200, 40
 #: Bytes of text that a worker holds; suffixes in a task of the refinement, about.
-CHUNK, BUCKET = 2 << 20, 1_000_000
+CHUNK, BUCKET = 1 << 20, 1_000_000
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -34,89 +34,137 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Texts:
-    """Bytes of a chunk of texts, and the sampled q-grams: their places `at` and hashes `hash`."""
+    """Bytes of a chunk of texts, and their stretches: neighbouring strings of `length` bytes with one sample.
+
+    The sample of a string is the least of its q-grams' hashes, the leftmost of equals, so it depends on the string alone.
+    `low` to `high` are the starts of a stretch's strings (high exclusive), `at` is their sample and `hash` its hash."""
 
     def __init__(self, texts: pa.ChunkedArray, rolling: Rolling, length: int = LENGTH):
         self.raw, self.edge = text_bytes(texts)
         self.size = np.diff(self.edge)
         n = len(self.raw)
         self.text = np.repeat(np.arange(len(self.size)), self.size)
-        self.room = self.edge[1:][self.text] - np.arange(n) if n else np.zeros(0, np.int64)
-        self.at, self.hash, self.start, self.own = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at = self.low = self.high = np.zeros(0, np.int64)
+        self.hash = np.zeros(0, np.uint64)
         if n < length:
             return
-        prefix = rolling.prefix(_BYTES[self.raw])
+        self.prefix = rolling.prefix(_BYTES[self.raw])
         start = np.arange(n - Q + 1)
-        hashes = rolling.windows(prefix, start, start + Q)
+        hashes = rolling.windows(self.prefix, start, start + Q)
         bits = np.uint64(max(1, int(n).bit_length()))
-        # the place breaks ties, so the leftmost of equal q-grams is taken in every copy of a string
-        low = least((hashes >> bits << bits) | start.astype(np.uint64), length - Q + 1)
-        # strings of `length` bytes: where they start, and the sample of each
-        self.start = np.flatnonzero(self.room[: len(low)] >= length)
-        self.own = (low[self.start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        self.at = np.unique(self.own)
-        self.hash = hashes[self.at]
+        chosen = least((hashes >> bits << bits) | start.astype(np.uint64), length - Q + 1)
+        fits = np.flatnonzero((self.edge[1:][self.text] - np.arange(n))[: len(chosen)] >= length)
+        own = (chosen[fits] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        head = np.flatnonzero(heads(own, self.text[fits]))
+        if len(head):
+            self.at, self.low, self.high = own[head], fits[head], fits[np.append(head[1:], len(fits)) - 1] + 1
+            self.hash = hashes[self.at]
+
+    def names(self, rolling: Rolling, length: int) -> np.ndarray:
+        """Identifiers of whole stretches: their bytes, and where the sample lies."""
+        whole = rolling.windows(self.prefix, self.low, self.high + length - 1) if len(self.at) else self.hash
+        return mix(whole + (self.at - self.low).astype(np.uint64) * np.uint64(BASES[1]) + (self.high - self.low).astype(np.uint64) * np.uint64(BASES[2]))
 
     def place(self, at: np.ndarray) -> np.ndarray:
         return at - self.edge[self.text[at]]
 
 
+#: Rows of stretches: a class (k, u) asked about, one that this chunk holds more than once, and places known to have twins.
+STRETCHES = "k bigint, u bigint, _text bigint, a int, b int, kind tinyint"
+#: What comes back: places with twins, and places whose suffixes must be compared one by one.
+TWIN, DENSE = 0, 1
+
+
 def _samples(length: int):
-    names = [c.split()[0] for c in FOUND.split(", ")]
+    names = [c.split()[0] for c in STRETCHES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(BASES[0])
         for table in chunks(batches, "text", CHUNK):
             table = table.take(np.sort(np.unique(table["_text"].to_numpy(), return_index=True)[1]))
             texts, key = Texts(table["text"], rolling, length), table["_text"].to_numpy()
-            h = texts.hash.view(np.int64)
-            order = np.lexsort((texts.at, h))
-            at, h = texts.at[order], h[order]
-            first = np.flatnonzero(heads(h))
-            count = np.diff(np.append(first, len(h)))
-            here = np.repeat(count > 1, count)
-            tell = first[count > 1]
-            none = np.zeros(len(tell), np.int32)
-            place, text = texts.place(at).astype(np.int32), key[texts.text[at]]
+            if not len(texts.at):
+                continue
+            k, u = texts.hash.view(np.int64), texts.names(rolling, length).view(np.int64)
+            order = np.lexsort((texts.low, u, k))
+            first = np.flatnonzero(heads(k[order], u[order]))
+            count = np.diff(np.append(first, len(order)))
+            sent, many = order[first], np.sort(order[np.repeat(count > 1, count)])
+            text = key[texts.text[texts.low]]
+            a = texts.place(texts.low).astype(np.int32)
+            b = a + (texts.high - texts.low).astype(np.int32)
             yield batch(
                 names,
-                np.concatenate([h[~here], h[tell], _spread(text[here], place[here])]),
-                np.concatenate([text[~here], np.full(len(tell), LAST_ID), text[here]]),
-                np.concatenate([place[~here], none, place[here]]),
-                np.concatenate([place[~here], none, place[here]]) + np.int32(1),
-                np.repeat(np.array([ASK, TELL, DONE], np.int8), [int((~here).sum()), len(tell), int(here.sum())]),
+                np.concatenate([k[sent], _spread(text[many], a[many])]),
+                np.concatenate([u[sent], np.zeros(len(many), np.int64)]),
+                np.concatenate([text[sent], text[many]]),
+                np.concatenate([a[sent], a[many]]),
+                np.concatenate([b[sent], b[many]]),
+                np.concatenate([np.where(count > 1, TELL, ASK), np.full(len(many), DONE)]).astype(np.int8),
             )
 
     return run
 
 
-def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by hash, text and place, the places whose hash another place has too."""
-    held: pa.Table | None = None
-
-    def decide(table: pa.Table) -> pa.RecordBatch:
-        k, text, a, kind = (table[c].to_numpy() for c in ("k", "doc", "a", "kind"))
-        done, ask = np.flatnonzero(kind == DONE), np.flatnonzero(kind != DONE)
-        ask = ask[heads(k[ask], text[ask], a[ask], kind[ask])]  # a text's copies ask alike
-        first = np.flatnonzero(heads(k[ask]))
-        group = np.cumsum(heads(k[ask])) - 1
-        many = np.diff(np.append(first, len(ask))) > 1
-        if len(first):
-            np.logical_or.at(many, group, kind[ask] == TELL)
-        got = np.concatenate([done, ask[many[group] & (kind[ask] == ASK)] if len(first) else ask])
-        return batch(["_text", "a"], text[got], a[got])
-
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by k, u, text and place. A class with two places (or a chunk's word that it has) gives them all as
+    twins. Where a bucket k has several classes, the first place of each is to be compared suffix by suffix: a string's
+    twin has the same sample, so it lies in one of these classes. Between batches one row of each kind is remembered."""
+    last = pend = lead = None  # the last row; the last class's only place; the last bucket's only class
     for one in batches:
-        table = pa.Table.from_batches([one])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        k = table["k"].to_numpy()
-        cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
-        held = table.slice(cut)
-        if cut:
-            yield decide(table.slice(0, cut))
-    if held is not None and held.num_rows:
-        yield decide(held)
+        k, u, text, a, b, kind = (one.column(i).to_numpy() for i in range(6))
+        out: list[tuple[np.ndarray, int]] = []
+        extra: list[tuple[int, int, int, int]] = []
+        done = np.flatnonzero(kind == DONE)
+        out.append((done, TWIN))
+        row = np.flatnonzero(kind != DONE)
+        if len(row):
+            row = row[heads(k[row], u[row], text[row], a[row], kind[row])]  # a text's copies ask alike
+        if len(row) and last is not None and (k[row[0]], u[row[0]], text[row[0]], a[row[0]], kind[row[0]]) == last:
+            row = row[1:]
+        if len(row):
+            new_k, new_c = heads(k[row]), heads(k[row], u[row])
+            goes_k = last is not None and k[row[0]] == last[0]
+            goes_c = goes_k and u[row[0]] == last[1]
+            group = np.cumsum(new_c) - 1
+            first = np.flatnonzero(new_c)
+            size = np.diff(np.append(first, len(row)))
+            twin = (size > 1) | np.logical_or.reduceat(kind[row] == TELL, first)
+            twin[0] |= goes_c
+            if goes_c and pend is not None:
+                extra.append((*pend, TWIN))
+            out.append((row[twin[group] & (kind[row] == ASK)], TWIN))
+            alone = not twin[-1] and kind[row[-1]] == ASK
+            pend = (int(text[row[-1]]), int(a[row[-1]]), int(b[row[-1]])) if alone else None
+            # classes of each bucket in this batch; the first may belong to a bucket or a class that goes on
+            fresh = first[1:] if goes_c else first
+            bucket = np.cumsum(new_k) - 1
+            per = np.bincount(bucket[first], minlength=bucket[-1] + 1)
+            several = per > 1
+            if goes_k:
+                several[0] = per[0] + (0 if goes_c else 1) > 1 or lead is None
+                if several[0] and lead is not None:
+                    extra.append((*lead, DENSE))
+                    lead = None
+            out.append((row[fresh[several[bucket[fresh]]]], DENSE))
+            end = bucket[-1]
+            if not several[end]:
+                if not (goes_k and end == 0):
+                    h = row[first[-1]]
+                    lead = (int(text[h]), int(a[h]), int(b[h]))
+            else:
+                lead = None
+            z = row[-1]
+            last = (k[z], u[z], text[z], a[z], kind[z])
+        at = np.concatenate([x for x, _ in out])
+        what = np.concatenate([np.full(len(x), w, np.int8) for x, w in out])
+        yield batch(
+            ["_text", "a", "b", "kind"],
+            np.concatenate([text[at], np.array([e[0] for e in extra], np.int64)]),
+            np.concatenate([a[at], np.array([e[1] for e in extra], np.int32)]).astype(np.int32),
+            np.concatenate([b[at], np.array([e[2] for e in extra], np.int32)]).astype(np.int32),
+            np.concatenate([what, np.array([e[3] for e in extra], np.int8)]).astype(np.int8),
+        )
 
 
 def refined(names: np.ndarray, step: int, length: int) -> tuple[np.ndarray, int]:
@@ -134,25 +182,25 @@ SUFFIXES = "bucket int, texts binary, counts binary, places binary, names binary
 
 def _suffixes(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, initial = Rolling(BASES[0]), [Rolling(BASES[1]), Rolling(BASES[2])]
+        initial = [Rolling(BASES[1]), Rolling(BASES[2])]
         for table in chunks(batches, "text", CHUNK):
-            texts, key = Texts(table["text"], rolling, length), table["_text"].to_numpy()
-            n = len(texts.raw)
+            raw, edge = text_bytes(table["text"])
+            key, n = table["_text"].to_numpy(), len(raw)
             if n < length:
                 continue
-            spans = table["places"].combine_chunks()
-            count = np.diff(spans.offsets.to_numpy())
-            shared = np.zeros(n, bool)
-            shared[np.repeat(texts.edge[:-1], count) + spans.flatten().to_numpy()] = True
-            # the sample of a string with a twin has a twin
-            at = texts.start[shared[texts.own]]
+            size = np.diff(edge)
+            of = np.repeat(np.arange(len(size)), size)
+            spans = table["dense"].combine_chunks()
+            owner = np.repeat(np.arange(len(size)), np.diff(spans.offsets.to_numpy()))
+            a, b = (spans.flatten().field(c).to_numpy().astype(np.int64) for c in (0, 1))
+            at = np.flatnonzero(covered(edge[owner] + a, edge[owner] + b, n))
             step = length // 8
             start = np.arange(n - step + 1)
-            one, two = (refined(r.windows(r.prefix(_BYTES[texts.raw]), start, start + step), step, length)[0][at] for r in initial)
+            one, two = (refined(r.windows(r.prefix(_BYTES[raw]), start, start + step), step, length)[0][at] for r in initial)
             bucket = ((one >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            text, place, name = texts.text[at][order], texts.place(at)[order], two[order]
+            text, place, name = of[at][order], (at - edge[of[at]])[order], two[order]
             rows = []
             for b in np.flatnonzero(np.diff(edges)):
                 cut = slice(edges[b], edges[b + 1])
@@ -185,26 +233,29 @@ def _twins(table: pa.Table) -> pa.Table:
 
 
 def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """_doc, _text, places (lists of packed starts of repeated strings) and whole (the text stands in other rows too)."""
+    """_doc, _text, spans [a, b) and places (lists of packed numbers) of the starts of repeated strings, and whole (the text
+    stands in other rows too)."""
     rows = keyed(docs)
-    asked = rows.select("_text", "text").mapInArrow(_samples(length), FOUND)
-    met = asked.repartition("k").sortWithinPartitions("k", "doc", "a").mapInArrow(_several, "_text bigint, a int")
-    shared = stage(met.groupBy("_text").agg(F.collect_set("a").alias("places")), "suffix-samples")
+    asked = rows.select("_text", "text").mapInArrow(_samples(length), STRETCHES)
+    met = asked.repartition("k").sortWithinPartitions("k", "u", "_text", "a").mapInArrow(_classes, "_text bigint, a int, b int, kind tinyint")
+    spans = lambda what: F.collect_set(F.when(F.col("kind") == what, F.struct("a", "b")))
+    sorted_out = stage(met.groupBy("_text").agg(spans(TWIN).alias("spans"), spans(DENSE).alias("dense")), "suffix-classes")
     known = stage(rows.select("_doc", "_text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha")), "suffix-texts")
     groups = known.groupBy("_sha").agg(F.count("*").alias("_n"), F.min("_doc").alias("_first")).filter("_n > 1")
-    total = known.count()
-    named = stage(hot_join(known, stage(groups, "suffix-groups"), "_sha", "_n", total, "left").select("_doc", "_text", F.col("_first").isNotNull().alias("whole"), (F.coalesce("_first", "_doc") == F.col("_doc")).alias("first")).distinct(), "suffix-named")
+    named = stage(hot_join(known, stage(groups, "suffix-groups"), "_sha", "_n", known.count(), "left").select("_doc", "_text", F.col("_first").isNotNull().alias("whole"), (F.coalesce("_first", "_doc") == F.col("_doc")).alias("first")).distinct(), "suffix-named")
     # one row for each text
-    single = named.filter("first").select("_doc", "_text")
-    regions = stage(single.join(shared, "_text"), "suffix-regions")
-    near = rows.join(regions, ["_doc", "_text"]).select("_text", "text", "places")
-    size = regions.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
-    # each sample stands for (length - Q) / 2 suffixes, about
-    buckets = int(max(64, -(-size * (length - Q) // (2 * BUCKET))))
+    single = stage(named.filter("first").select("_doc", "_text").join(sorted_out, "_text"), "suffix-single")
+    release(rows.sparkSession)
+    total = single.agg(F.coalesce(F.sum(F.aggregate("dense", F.lit(0).cast("bigint"), lambda t, x: t + x["b"] - x["a"])), F.lit(0))).first()[0]
+    near = rows.join(single.filter("size(dense) > 0").select("_doc", "_text", "dense"), ["_doc", "_text"]).select("_text", "text", "dense")
+    buckets = int(max(64, -(-total // BUCKET)))
     twins = near.mapInArrow(_suffixes(length, buckets), SUFFIXES).groupBy("bucket").applyInArrow(_twins, "_text bigint, places binary")
-    found = twins.groupBy("_text").agg(F.collect_list("places").alias("places"))
-    placed = single.join(found, "_text").select("_doc", "_text", "places")
-    return stage(named.select("_doc", "_text", "whole").join(placed, ["_doc", "_text"], "left").filter("whole or places is not null"), "suffix-repeated")
+    found = stage(twins.groupBy("_text").agg(F.collect_list("places").alias("places")), "suffix-twins")
+    placed = single.join(found, "_text", "left").filter("size(spans) > 0 or places is not null").select("_doc", "_text", "spans", "places")
+    out = stage(named.select("_doc", "_text", "whole").join(placed, ["_doc", "_text"], "left").filter("whole or spans is not null"), "suffix-repeated")
+    unstage(sorted_out, known, single, found)
+    release(rows.sparkSession)
+    return out
 
 
 DEDUPED = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
@@ -225,14 +276,15 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in batches:
             sizes, removed, spans, kept = [], [], [], []
-            for text, places, whole in zip(one.column(1), one.column(2), one.column(3).to_pylist(), strict=True):
+            for text, ranges, places, whole in zip(*(one.column(k) for k in (1, 2, 3)), one.column(4).to_pylist(), strict=True):
                 raw = text.as_py() or b""
                 n, gone = len(raw), None
                 if n >= length and whole:
                     gone = np.ones(n, bool)
-                elif places.is_valid:
-                    at = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in places.values]).astype(np.int64)
-                    gone = covered(at, at + length, n)
+                elif ranges.is_valid or places.is_valid:
+                    at = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in (places.values if places.is_valid else ())]
+                    a, b = ([ranges.values.field(c).to_numpy().astype(np.int64)] if ranges.is_valid else [] for c in (0, 1))
+                    gone = covered(np.concatenate(a + at), np.concatenate([x + length - 1 for x in b] + [x + length for x in at]), n)
                 sizes.append(n)
                 removed.append(0 if gone is None else int(gone.sum()))
                 spans.append(0 if gone is None else len(runs(gone)[0]))
@@ -240,7 +292,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield batch(["doc_id", "n_bytes", "n_removed", "n_spans", "kept"], one.column(0), *(pa.array(c, pa.int64()) for c in (sizes, removed, spans)), pa.array(kept, pa.binary()))
 
     found = rows.join(repeated_places(docs, length), ["_doc", "_text"], "left")
-    return found.select(F.when(F.col("_doc") != LAST_ID, F.col("_doc")).alias("doc_id"), "text", "places", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(run, DEDUPED)
+    return found.select(F.when(F.col("_doc") != LAST_ID, F.col("_doc")).alias("doc_id"), "text", "spans", "places", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(run, DEDUPED)
 
 
 def op7_bucket_refinement(spark, sf_dir: str) -> DataFrame:
