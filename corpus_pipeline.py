@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import stage
-from lanewise.llm.decontaminate import contamination, verdicts
+from lanewise.llm.common import LAST_ID, stage
+from lanewise.llm.decontaminate import clean_documents
 from lanewise.llm.jaccard import JaccardJoin
 from lanewise.llm.packing import pack
 from lanewise.llm.pii import redact
@@ -29,15 +29,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each component of near duplicates: the one of smallest doc_id. Texts without words stay."""
     found = JaccardJoin(docs).result()
     kept = stage(found.filter("_doc = component").select("_doc", "_text").distinct(), "kept")
-    keys = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)), "_text": F.xxhash64("text")})
-    # rows of equal id and text, and texts of one id in one component, are one document
-    return keys.join(kept, ["_doc", "_text"], "left_semi").select(*docs.columns)
+    keys = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("_doc"), F.xxhash64("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
+    # rows of equal id and text are one document
+    return keys.join(kept, ["_doc", "_text"], "left_semi").dropDuplicates(["_doc", "_text"]).select("_row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover less than a twentieth."""
-    found = verdicts(contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))).filter("contaminated").select(F.col("doc_id"), "n_words")
-    return docs.join(stage(found.select("doc_id").distinct(), "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,6 +151,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
     return base.join(joined.withColumnsRenamed({"doc_id": "_d", "n_words": "_n"}), (key == F.coalesce("_d", F.lit(-(1 << 63)))) & (F.col("n_words") == F.col("_n")), "left").select("doc_id", "n_words", "spans", "items").mapInArrow(merge, SPANS)
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    """The rows of docs, with all their columns, of which benchmark windows cover less than a twentieth. Each row is judged
+    by its own text, whatever its id; one pass over the documents for each set of the benchmark, and no shuffle."""
+    span = "array<struct<start:int,end:int>>"
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast(span).alias("spans"))
+    for items in _sets(benchmark):
+        rows = rows.mapInArrow(_marker(docs.sparkSession.sparkContext.broadcast(items), window), rows.schema)
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + (s["end"] - s["start"]))
+    return rows.filter(~((hit > 0) & (20 * hit >= F.col("n_words")))).select("row.*")
+
+
+def _marker(sent, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = tables((words for _, words in sent.value), window)
+        for batch in batches:
+            counts, spans = [], []
+            for text, known in zip(batch.column(1), batch.column(3).to_pylist(), strict=True):
+                words, found = fold_words(text.as_py()), [(s["start"], s["end"]) for s in known]
+                for matcher in matchers:
+                    matcher.search(words, found, set())
+                counts.append(len(words))
+                spans.append([{"start": s, "end": e} for s, e in merged(found)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, batch.schema.field(3).type)], batch.schema.names)
+
+    return run
+
+
 def verdicts(found: DataFrame) -> DataFrame:
     """The digest of contamination(): n_hit words, n_items, their hash, and the rule 20 * n_hit >= n_words."""
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + (s["end"] - s["start"]))

@@ -161,22 +161,22 @@ def _digest(spans: str) -> Column:
 def redact(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     """docs with each span of text replaced by <KIND>, overlapping spans by the first one's, and n_chars counted anew."""
     found = stage(pii_spans(docs, p).filter("size(spans) > 0").select("_doc", "_text", "spans").dropDuplicates(["_doc", "_text"]), "pii-found")
-    keys = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)), "_text": F.xxhash64("text")})
+    # the row travels whole, so none of its columns can clash with those used here
+    keys = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("_doc"), F.xxhash64("text").alias("_text"), F.col("text").alias("_t"), F.struct(*docs.columns).alias("_row"))
     joined = keys.join(found, ["_doc", "_text"], "left")
     order = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
     def add(acc: Column, s: Column) -> Column:
-        kept = F.array(F.substr("text", acc["at"] + 1, s["start"] - acc["at"]), F.get(tags, s["kind"]))
+        kept = F.array(F.substr("_t", acc["at"] + 1, s["start"] - acc["at"]), F.get(tags, s["kind"]))
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], kept)).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate(order, zero, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("text", acc["at"] + 1)))
-    out = joined.withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    clean = F.aggregate(order, zero, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("_t", acc["at"] + 1)))
+    out = joined.withColumn("_clean", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("_t")))
+    new = {"text": F.col("_clean"), "n_chars": F.when(F.col("spans").isNotNull(), F.length("_clean").cast("bigint")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[new.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns])
 
 
 def op8_bootstrapped(spark, sf_dir: str) -> DataFrame:

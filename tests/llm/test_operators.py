@@ -1,0 +1,316 @@
+"""Each operator against its definition, with nulls, empty and long texts, repeated rows, empty tables, other columns."""
+
+import random
+import sys
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+
+import brute
+
+from lanewise.llm import anchors, common, decontaminate, jaccard, packing, pii, quality, sharding, suffixes, tokens, warc
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def corpus(seed, n=60):
+    """Texts with copies, near copies, shared passages, repeats and oddities."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefghiéß", k=rng.randint(1, 7))) for _ in range(400)]
+    words += ["The", "of.", "#x", "Ünï", "42", "a-b"]
+    make = lambda k: " ".join(rng.choices(words, k=k))
+    passage, texts = make(70), []
+    for i in range(n):
+        kind = i % 10
+        if kind == 1 and texts:
+            texts.append(rng.choice(texts))
+        elif kind in (2, 3) and texts:
+            w = rng.choice(texts).split(" ")
+            for _ in range(max(1, len(w) // rng.choice([20, 60]))):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            texts.append(" ".join(w))
+        elif kind == 4:
+            texts.append(make(rng.randint(0, 60)) + "\n" + passage + "\n" + make(rng.randint(0, 60)))
+        elif kind == 5:
+            line = make(rng.randint(2, 30))
+            texts.append("\n".join([line, make(10), line, line, "", " ", line.upper()]))
+        else:
+            texts.append(make(rng.randint(1, 160)))
+    texts += ["", " \t\n", "word", "the the the " * 60, passage, passage, make(3000), "x" * 5000, " a" * 900]
+    rows = list(enumerate(texts)) + [(len(texts), None), (None, passage), (3, texts[3]), (3, "other text here")]
+    rng.shuffle(rows)
+    return rows
+
+
+def frame(spark, rows):
+    """With the columns of documents, and others that the operators use inside."""
+    full = [(d, t, "en", f"s{(d or 0) % 3}" if (d or 1) % 7 else None, len(t or "")) for d, t in rows]
+    df = spark.createDataFrame(full, SCHEMA).repartition(3)
+    return df.withColumns({"_doc": F.lit("x"), "n": F.lit(1), "spans": F.lit("y"), "kept": F.lit(None).cast("string"), "_text": F.lit(0), "host": F.lit("z")})
+
+
+def same(got, want):
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
+
+
+@pytest.fixture(scope="module", params=[1, 2])
+def rows(request):
+    return corpus(request.param)
+
+
+def test_quality(spark, rows):
+    out = quality.quality(frame(spark, rows)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
+    same(out, [(d, *brute.measures(t)) for d, t in rows])
+
+
+def test_quality_hosts(spark):
+    """A host of failing documents takes its others with it; small hosts are drawn to the common rate."""
+    good, bad = " ".join(f"w{i}" for i in range(80)), "short"
+    rows = [(i, bad if i % 8 else good, "en", "junk", 1) for i in range(80)] + [(100 + i, bad if i % 10 == 0 else good, "en", f"h{i % 8}", 1) for i in range(160)] + [(500, good, "en", None, 1), (501, good, "en", "tiny", 1)]
+    out = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[0] == (False, False) and out[101] == (False, True) and out[500] == (False, True) and out[501] == (False, True)
+    assert all(not kept for failed, kept in out.values() if failed)
+    assert quality.beta_prior(0, None, None) == (1.0, 1.0)
+    a, b = quality.beta_prior(10, 5_000_000, 3_000_000)
+    assert a / (a + b) == pytest.approx(0.5) and a * (a + 1) / ((a + b) * (a + b + 1)) == pytest.approx(0.3)
+    kept = quality.kept_documents(frame(spark, [(1, good), (2, bad)]))
+    assert [r["doc_id"] for r in kept.collect()] == [1] and kept.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_word_dedup(spark, rows):
+    out = anchors.dedup_words(frame(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    same(out, brute.dedup_words(rows))
+
+
+def test_difference_cover():
+    differ = {(a - b) % anchors.PERIOD for a in anchors.COVER for b in anchors.COVER}
+    assert differ == set(range(anchors.PERIOD))
+
+
+def test_byte_dedup(spark, rows):
+    out = suffixes.dedup_bytes(frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    same(out, brute.dedup_bytes(rows))
+
+
+def test_classes_in_any_batches():
+    """The state between batches: every split of the sorted rows gives the same places."""
+    rng = np.random.default_rng(1)
+    n = 400
+    k, u, text = rng.integers(0, 40, n), rng.integers(0, 3, n), rng.integers(0, 9, n)
+    a = rng.integers(0, 4, n) * 10
+    kind = np.where(rng.random(n) < 0.1, anchors.TELL, anchors.ASK).astype(np.int8)
+    order = np.lexsort((a, text, u, k))
+    cols = [k[order], u[order], text[order], a[order].astype(np.int32), (a[order] + 5).astype(np.int32), kind[order]]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k", "u", "_text", "a", "b", "kind"])
+
+    def places(batches):
+        return {tuple(r.values()) for out in suffixes._classes(iter(batches)) for r in out.to_pylist()}
+
+    want = places([whole])
+    for size in (1, 2, 3, 7, 50):
+        assert places([whole.slice(i, size) for i in range(0, n, size)]) == want
+    # by definition
+    asked = {}
+    for kk, uu, tt, aa, _, kd in zip(*cols, strict=True):
+        asked.setdefault(kk, {}).setdefault(uu, []).append((int(tt), int(aa), kd))
+    twins, dense = set(), set()
+    for classes in asked.values():
+        for members in classes.values():
+            if len({m[:2] for m in members}) > 1 or any(m[2] == anchors.TELL for m in members):
+                twins |= {m[:2] for m in members if m[2] == anchors.ASK}
+    got = {r[:2] for r in want if r[3] == suffixes.TWIN}
+    assert got == twins
+    several = sum(len(c) for c in asked.values() if len(c) > 1)
+    dense = [r for r in want if r[3] == suffixes.DENSE]
+    assert 0 < len(dense) <= several
+
+
+def test_jaccard(spark, rows):
+    same(jaccard.jaccard_components(frame(spark, rows)).collect(), brute.components(rows))
+
+
+def test_signatures_lose_no_partner():
+    """Random pairs of similarity >= 3/4 share a signature, at every size; sketches never rule one out."""
+    rng = np.random.default_rng(3)
+    for size in [1, 2, 3, 4, 6, 9, 15, 25, 40, 80, 150, 400, 1200]:
+        for _ in range(12):
+            base = rng.integers(1, 1 << 63, size, dtype=np.uint64)
+            spare = rng.integers(1, 1 << 63, size + 3, dtype=np.uint64)
+            drop, add = int(rng.integers(0, size // 7 + 2)), int(rng.integers(0, size // 7 + 2))
+            other = np.concatenate([base[drop:], spare[:add]])
+            both = [np.unique(base), np.unique(other)]
+            common_size = len(np.intersect1d(*both))
+            if not len(both[1]) or 100 * common_size < 75 * (len(both[0]) + len(both[1]) - common_size) or np.array_equal(*both):
+                continue
+            found = jaccard.Shingles.__new__(jaccard.Shingles)
+            found.hash, found.text = np.concatenate(both), np.repeat([0, 1], [len(both[0]), len(both[1])])
+            found.size = np.array([len(b) for b in both])
+            found.first = np.concatenate([[0], np.cumsum(found.size)])
+            key, text = jaccard.signatures(found, 5000)
+            assert np.intersect1d(key[text == 0], key[text == 1]).size, (size, drop, add)
+            sk = jaccard.Sketches(found)
+            levels = jaccard.folded(np.array([5, 9]), found.size, sk.bits)
+            held, bits = levels[int(jaccard.levels(found.size).min())]
+            assert held.tolist() == [5, 9] and np.bitwise_count(bits[0] ^ bits[1]).sum() <= sum(found.size) // 7
+
+
+def test_decontamination(spark, rows):
+    rng = random.Random(9)
+    long = [t for _, t in rows if t and len(t.split()) > 60][:6]
+    items = [(i, " ".join(t.split()[5 : 5 + rng.choice([3, 13, 14, 30])]).upper() + "!") for i, t in enumerate(long)] + [(90, None), (91, " ?"), (None, "word"), (10, "The of")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(1))
+    out = decontaminate.verdicts(decontaminate.contamination(frame(spark, rows), bench)).collect()
+    same(out, brute.contamination(rows, items))
+    assert any(r["contaminated"] for r in out)
+
+
+def test_decontamination_in_sets(spark, monkeypatch):
+    rows = [(1, "a b c d e f"), (2, "c d x y"), (3, None), (4, "q")]
+    items = [(1, "a b"), (2, "b c"), (3, "y"), (4, "d e")]
+    monkeypatch.setattr(decontaminate, "WORDS_PER_SET", 2)
+    out = decontaminate.verdicts(decontaminate.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"))).collect()
+    same(out, brute.contamination(rows, items))
+    none = decontaminate.contamination(frame(spark, rows), spark.createDataFrame([], "item_id bigint, text string"))
+    assert [r["n_hit"] for r in decontaminate.verdicts(none).collect()] == [0] * 4
+
+
+def test_pii_base(spark, rows):
+    odd = rows + [
+        (900, "a@b@c.de x@y.z_c@d.org 1.2.3.4.5.6.7.8 0255.1.1.1 256.1.1.1 é 4111 1111-1111 1111 +1((((2)34567890) +12"),
+        (901, "a" * 20000 + "@ 1 " * 300 + "é@x.y " + "1." * 900 + " 4111111111111111x4111111111111111+4 9 30 12 34 567"),
+        (902, "+49 30 1234567 00001.2.3.4 12.34.56.78.90 me@x-.y-.z"),
+    ]
+    out = {(r["_doc"], r["_text"]): r for r in pii.pii_spans(frame(spark, odd)).select("_doc", "_text", "base").collect()}
+    keys = {(r["_doc"], r["_text"]): r["text"] for r in common.keyed(frame(spark, odd)).collect()}
+    assert set(out) == set(keys)
+    for key, text in keys.items():
+        assert [(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in out[key]["base"]] == brute.pii(text)
+
+
+def test_pii_learns_contexts(spark):
+    hexes = ["%040x" % (i * 7919 + 12345) for i in range(12)]
+    rows = [(i, f'some words here token = "{h}" and more') for i, h in enumerate(hexes)] + [(50, 'again token = "Zx81QqP00471kkaa9" end'), (51, "plain 12345678 words"), (52, "mail me@x.org or +49 30 1234567 now")]
+    df = frame(spark, rows)
+    found = {r["_doc"]: [(pii.KINDS[s["kind"]], rows[[d for d, _ in rows].index(r["_doc"])][1][s["start"] : s["end"]]) for s in r["spans"]] for r in pii.pii_spans(df).collect()}
+    assert found[50] == [("secret", "Zx81QqP00471kkaa9")] and found[51] == [] and found[0] == [("secret", hexes[0])]
+    clean = {r["doc_id"]: r for r in pii.redact(df).collect()}
+    assert clean[52]["text"] == "mail <EMAIL> or <PHONE> now" and clean[52]["n_chars"] == len(clean[52]["text"]) and clean[51]["text"] == rows[13][1]
+    assert pii.redact(df).columns == df.columns
+
+
+def test_packing(spark, rows):
+    df = frame(spark, rows)
+    got = [r.asDict() for r in packing.pack(df, window=64).collect()]
+    vocabulary = tokens.Vocabulary.at(tokens.vocabulary_path())
+    want = []
+    for d, t in rows:
+        ids = np.array((vocabulary.exact.encode(t, add_special_tokens=False).ids if t else []) + [0], "<u4")
+        want += [(d, s, len(ids[s : s + 64]), zlib.crc32(ids[s : s + 64].tobytes()), len(ids)) for s in range(0, len(ids), 64)]
+    same([(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got], want)
+    used = {}
+    for r in got:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in used.values():
+        assert sum(n for _, n in parts) <= 64 and [o for o, _ in sorted(parts)] == np.cumsum([0] + [n for _, n in sorted(parts)])[:-1].tolist()
+    assert sum(r["length"] for r in got) >= 0.9 * 64 * len(used)
+
+
+def test_plan_uses_every_piece():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        histogram = {int(k): int(n) for k, n in zip(rng.integers(1, 65, 30), rng.integers(1, 500, 30))}
+        plan = packing.plan(histogram, 64)
+        used = Counter()
+        for pattern, times in plan:
+            assert times > 0 and sum(k * n for k, n in pattern) <= 64
+            used.update({k: n * times for k, n in pattern})
+        assert used == Counter(histogram)
+
+
+def test_fast_ids_equal_the_library():
+    v = tokens.Vocabulary.at(tokens.vocabulary_path())
+    for start in range(0, 0x3000, 7):
+        s = "".join(f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}2 '{chr(c)} \n{chr(c)} .{chr(c)}  {chr(c)}" for c in range(start, min(start + 7, 0x3000)))
+        assert v.ids(s) == v.exact.encode(s, add_special_tokens=False).ids
+    assert v.ids("x<|endoftext|>y") == v.exact.encode("x<|endoftext|>y", add_special_tokens=False).ids
+
+
+def test_edit_aware_counts(spark, rows):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokens.vocabulary_path())
+    own.encode_special_tokens = True
+    count = lambda t: len(own.encode(t, add_special_tokens=False).ids)
+    pre = tokens.Pretokens(tokens.vocabulary_path())
+    rng = random.Random(2)
+    for _, text in rows:
+        text = (text or "")[:6000]
+        tree = pre.tree(text)
+        assert tree.count == count(text)
+        for _ in range(5):
+            a = rng.randint(0, len(text))
+            b = min(len(text), a + rng.choice([0, 0, 1, 2, 9, 400]))
+            text, _ = pre.edit(text, tree, a, b, rng.choice(["", "\n", "\n\n", " ", "  x", "the\n\n  ", "'s", " 12", "%%% ", "a" * 30, " w" * 200, "<|endoftext|>", "\x1c "]))
+            assert tree.count == count(text) and sum(tree.chars) == len(text)
+    out = tokens.count_edited(tokens.with_line_edits(frame(spark, rows))).collect()
+    kept = lambda t: "".join(x for i, x in enumerate((t or "").split("\n")) for x in [("\n" if i else "") + x] if not (x.strip("\n").strip() and x.lstrip("\n") in (t or "").split("\n")[:i]))
+    same([(r["doc_id"], r["n_tokens"], r["n_tokens_after"]) for r in out], [(d, count(t or ""), count(kept(t))) for d, t in rows])
+
+
+def test_warc(spark, tmp_path):
+    rows = [(1, "u", "äö" * 20000), (2, "u", "äö" * 20000), (3, None, None), (4, "x\r\ny", ""), (4, "z", ""), (None, "q", "w"), (7, "q", "w"), (8, "q é", "w"), (9, "r", "a\r\n\r\nWARC/1.1\r\n"), (10, "s", "x" * 16000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"_h": F.lit(1), "origin": F.lit("o")})
+    warc.write_archives(pages, f"file://{tmp_path}/w", segment_bytes=1000, chunk_bytes=300)
+    got = warc.payloads(spark, f"file://{tmp_path}/w").collect()
+    key = lambda p: -1 if p is None else p
+    last = {}
+    for p, _, h in rows:
+        last[h or ""] = max(last.get(h or "", -1), key(p))
+    want = [(p, len((h or "").encode()), warc.sha1((h or "").encode()), *(("response", None) if key(p) == last[h or ""] else ("revisit", last[h or ""]))) for p, _, h in rows]
+    same(got, want)
+    with pytest.raises(ValueError):
+        warc.assemble([{"segment": 1, "total": None, "block": b"ab"}, {"segment": 3, "total": 4, "block": b"cd"}])
+    with pytest.raises(ValueError):
+        warc.assemble([{"segment": 1, "total": None, "block": b"ab"}, {"segment": 2, "total": 5, "block": b"cd"}])
+    assert warc.unchunked(warc.chunked(b"q" * 700, 256)) == b"q" * 700
+    warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")
+    assert warc.payloads(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_sharding(spark, rows):
+    out = [r.asDict() for r in sharding.shard_by_splitters(frame(spark, rows), shards=5).collect()]
+    same([(r["doc_id"], r["size"], r["text_crc32"]) for r in out], [(d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows])
+    held = {}
+    for r in out:
+        held.setdefault(r["shard"], []).append(r)
+    top = max(r["size"] for r in out)
+    total = sum(r["size"] for r in out)
+    for parts in held.values():
+        assert sorted(r["slot"] for r in parts) == list(range(len(parts)))
+        assert abs(sum(r["size"] for r in parts) - total / 5) <= 2 * top
+    bounds = [(min((r["doc_id"] if r["doc_id"] is not None else -1) for r in held[s]), max((r["doc_id"] if r["doc_id"] is not None else -1) for r in held[s])) for s in sorted(held)]
+    assert all(a[1] <= b[0] for a, b in zip(bounds, bounds[1:]))
+
+
+def test_sharding_splits_a_hot_key(spark):
+    """Over a third of the rows under one key, with the same text: many ranges, equal shards."""
+    df = spark.range(6000).select(F.when(F.col("id") % 5 < 2, 7).otherwise(F.col("id")).cast("bigint").alias("doc_id"), F.lit("abcd").alias("text"))
+    sizes = sharding.shard_by_splitters(df, rows_per_range=100).groupBy("shard").count().collect()
+    assert {r["count"] for r in sizes} == {250} and len(sizes) == 24
+
+
+def test_empty_tables(spark):
+    none = frame(spark, [(1, "x")]).limit(0)
+    bench = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
+    for out in (
+        quality.quality(none), anchors.dedup_words(none), jaccard.jaccard_components(none), packing.pack(none), suffixes.dedup_bytes(none), pii.pii_spans(none), pii.redact(none),
+        decontaminate.verdicts(decontaminate.contamination(none, bench)), sharding.shard_by_splitters(none), tokens.count_edited(tokens.with_line_edits(none)),
+    ):
+        assert out.count() == 0
