@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 
 import brute
-from test_operators import SCHEMA, corpus
+from test_corpus_operators import SCHEMA, corpus
 
 import corpus_pipeline
 from lanewise.llm import quality, tokens
