@@ -111,6 +111,13 @@ def batch_summary(spark, sf_dir):
     return rounded(summary_table(PL.summarise(_results(spark, sf_dir), PARAMS)), 4)
 
 
+@query("batch_success", "SELECT count(DISTINCT l_suppkey) AS n_ok, count(DISTINCT l_suppkey) AS n_files FROM lineitem")
+def batch_success(spark, sf_dir):
+    from ..operators.calls import batch_summary as counted
+
+    return counted(_results(spark, sf_dir))
+
+
 @query("emb_samples", "SELECT label AS trace_id, count(*) * 64 AS n, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 4) AS total FROM embeddings GROUP BY label")
 def emb_samples(spark, sf_dir):
     """A second shape of samples, with negative values: sums of the embeddings' dimensions dealt to channels."""

@@ -140,6 +140,16 @@ def test_text_reports(spark):
     assert got == [(1, 1, "ACC1", "first hit thing", 120.0, "1e-30", 90, 95), (1, 2, "ACC3", "third", 99.5, "2e-8", 99, None)]
 
 
+def test_table_function(spark):
+    from lanewise.blast.table_function import register
+
+    register(spark)
+    df = spark.createDataFrame([(1, REPORT), (2, "nothing"), (3, None)], "query_id int, report string")
+    df.createOrReplaceTempView("reports")
+    got = spark.sql("SELECT query_id, h.* FROM reports, LATERAL parse_blast_text(report) h ORDER BY rank").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in B.text_hits(df).orderBy("rank").collect()]
+
+
 def test_json_reports(spark):
     good = '<p>{"BlastOutput2":[{"report":{"results":{"search":{"hits":[{"description":[{"title":"t"}],"hsps":[{"bit_score":5.5,"evalue":0.00012,"identity":9,"align_len":10}]},{"description":[{}],"hsps":[]}]}}}}]}</p>'
     df = spark.createDataFrame([(1, good), (2, "{broken"), (3, "")], "query_id int, report string")
