@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, LAST_ID, Rolling, batch, chunks, heads, hot_join, keyed, mix, sized_join, stage, text_bytes, word_table
+from .common import BASES, LAST_ID, Rolling, batch, chunks, heads, hot_join, keyed, mix, stage, text_bytes, word_table
 from .components import components as components_of
 
 #: Words in a shingle; similarity, in hundredths.
@@ -54,6 +54,14 @@ class Shingles:
         return self.hash[at], self.text[at]
 
 
+def _names(found: Shingles, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums that name the set of each of n texts."""
+    one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    np.add.at(one, found.text, mix(found.hash + np.uint64(BASES[1])))
+    np.add.at(two, found.text, mix(found.hash ^ np.uint64(BASES[2])))
+    return one.view(np.int64), two.view(np.int64)
+
+
 def _sets(size: int):
     """n, and two sums that name the set, for each row."""
 
@@ -61,46 +69,92 @@ def _sets(size: int):
         rolling = Rolling(BASES[0])
         for table in chunks(batches, "text"):
             found = Shingles(table["text"], rolling, size)
-            one, two = np.zeros(table.num_rows, np.uint64), np.zeros(table.num_rows, np.uint64)
-            np.add.at(one, found.text, mix(found.hash + np.uint64(BASES[1])))
-            np.add.at(two, found.text, mix(found.hash ^ np.uint64(BASES[2])))
+            one, two = _names(found, table.num_rows)
             half = np.bincount(found.text[found.hash < HALF], minlength=table.num_rows)
-            yield batch(["_doc", "_text", "n", "half", "s1", "s2"], table["_doc"].combine_chunks(), table["_text"].combine_chunks(), found.size.astype(np.int64), half.astype(np.int64), one.view(np.int64), two.view(np.int64))
+            yield batch(["_doc", "_text", "n", "half", "s1", "s2"], table["_doc"].combine_chunks(), table["_text"].combine_chunks(), found.size.astype(np.int64), half.astype(np.int64), one, two)
 
     return run
 
 
-PARCELS = "bucket int, nodes binary, labels binary, values binary"
+PARCELS = "bucket int, nodes binary, notes binary, values binary, own binary, sizes binary, sketches binary"
+
+
+def levels(size: np.ndarray) -> np.ndarray:
+    """log2 of the words of 64 bits in a set's sketch: the least power of two with four bits for each feature."""
+    return np.ceil(np.log2(np.maximum(size, 16) / 16)).astype(np.int64)
+
+
+class Sketches:
+    """Parity sketches: bit h modulo the sketch's length tells whether an odd number of features falls on it. A feature
+    in which two sets differ flips one bit, so the bits that differ are no more than the features that do."""
 
+    def __init__(self, found: "Shingles"):
+        self.words = 1 << levels(found.size)
+        self.first = np.concatenate([[0], np.cumsum(self.words)])
+        self.bits = np.zeros(self.first[-1], np.uint64)
+        bit = mix(found.hash ^ np.uint64(BASES[0])) & (self.words[found.text].astype(np.uint64) * np.uint64(64) - np.uint64(1))
+        np.bitwise_xor.at(self.bits, self.first[found.text] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
 
-def _parcels(key: np.ndarray, node: np.ndarray, label: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows for the exchange: in each bucket the nodes (as differences, which compress), labels and 32 bits of the key.
-    Keys that agree by chance only make more candidates."""
+    def of(self, text: np.ndarray) -> bytes:
+        return b"".join(self.bits[self.first[t] : self.first[t + 1]].tobytes() for t in text)
+
+
+def folded(own: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each level the nodes of that level or more, sorted, and their sketches folded to its length."""
+    level = levels(sizes)
+    first = np.concatenate([[0], np.cumsum(1 << level)])
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    held, rows = np.zeros(0, np.int64), np.zeros((0, 0), np.uint64)
+    for k in range(int(level.max(initial=-1)), -1, -1):
+        at = np.flatnonzero(level == k)
+        here = bits[first[at][:, None] + np.arange(1 << k)]
+        if len(held):
+            half = rows.shape[1] // 2
+            held, rows = np.concatenate([held, own[at]]), np.concatenate([rows[:, :half] ^ rows[:, half:], here])
+        else:
+            held, rows = own[at], here
+        order = np.argsort(held)
+        held, rows = held[order], rows[order]
+        out.append((held, rows))
+    return out[::-1]
+
+
+def _parcels(key: np.ndarray, node: np.ndarray, note: np.ndarray, buckets: int, sets: tuple | None = None) -> pa.RecordBatch:
+    """Rows for the exchange: in each bucket the nodes (as differences, which compress), a number beside each and 32 bits
+    of the key; with sets = (texts, sizes, sketches) also each node's size and sketch, once. Keys that agree by chance
+    only make more candidates."""
     bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     value = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
-    node, label = node[order], label[order] - node[order]
+    node, note = node[order], note[order]
     rows = [b for b in range(buckets) if edges[b] < edges[b + 1]]
     cut = lambda x, b: x[edges[b] : edges[b + 1]]
+    own, sizes, sketches = [b""] * len(rows), [b""] * len(rows), [b""] * len(rows)
+    if sets:
+        text = sets[0][order]
+        for i, b in enumerate(rows):
+            few, at = np.unique(cut(text, b), return_index=True)
+            own[i], sizes[i], sketches[i] = cut(node, b)[at].tobytes(), sets[1][few].astype(np.int64).tobytes(), sets[2].of(few)
     return batch(
-        ["bucket", "nodes", "labels", "values"],
+        ["bucket", "nodes", "notes", "values", "own", "sizes", "sketches"],
         pa.array(rows, pa.int32()),
         pa.array([np.diff(cut(node, b), prepend=0).tobytes() for b in rows], pa.binary()),
-        pa.array([cut(label, b).tobytes() if cut(label, b).any() else b"" for b in rows], pa.binary()),
+        pa.array([cut(note, b).tobytes() if cut(note, b).any() else b"" for b in rows], pa.binary()),
         pa.array([cut(value, b).tobytes() for b in rows], pa.binary()),
+        *(pa.array(x, pa.binary()) for x in (own, sizes, sketches)),
     )
 
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values, nodes and labels of a bucket."""
-    nodes, labels, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-    for n, more, v in zip(table["nodes"], table["labels"], table["values"], strict=True):
+    """Values, nodes and notes of a bucket."""
+    nodes, notes, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for n, more, v in zip(table["nodes"], table["notes"], table["values"], strict=True):
         nodes.append(np.cumsum(np.frombuffer(n.as_buffer(), np.int64)))
         raw = more.as_buffer()
-        labels.append(nodes[-1] + (np.frombuffer(raw, np.int64) if raw.size else 0))
+        notes.append(np.frombuffer(raw, np.int64) if raw.size else np.zeros(len(nodes[-1]), np.int64))
         values.append(np.frombuffer(v.as_buffer(), np.uint32))
-    return np.concatenate(values), np.concatenate(nodes), np.concatenate(labels)
+    return np.concatenate(values), np.concatenate(nodes), np.concatenate(notes)
 
 
 #: Features with a hash under this are half of the domain.
@@ -114,23 +168,26 @@ def _halves(size: int, buckets: int):
         rolling = Rolling(BASES[0])
         for table in chunks(batches, "text"):
             found = Shingles(table["text"], rolling, size)
-            node = table["node"].to_numpy()
-            half = found.hash < HALF
-            here = node[found.text[half]]
-            yield _parcels(mix(found.hash[half]), here, here, buckets)
+            name, _ = _names(found, table.num_rows)
+            first = np.zeros(table.num_rows, bool)
+            first[np.unique(name, return_index=True)[1]] = True  # a set goes out once from each chunk
+            half = (found.hash < HALF) & first[found.text]
+            here = name[found.text[half]]
+            yield _parcels(mix(found.hash[half]), here, np.zeros(len(here), np.int64), buckets)
 
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of each node in the bucket, how many features some other node has too."""
-    value, node, _ = _unpack(table)
-    order = np.argsort(value, kind="stable")
-    head = heads(value[order])
-    count = np.diff(np.append(np.flatnonzero(head), len(value)))
-    many = np.repeat(count > 1, count)
-    own, times = np.unique(node[order[many]], return_counts=True)
-    return pa.table({"node": own, "shared": times.astype(np.int64)})
+    """Of each set in the bucket, how many features some other set has too."""
+    value, name, _ = _unpack(table)
+    order = np.lexsort((name, value))
+    value, name = value[order], name[order]
+    one = heads(value, name)
+    value, name = value[one], name[one]
+    count = np.diff(np.append(np.flatnonzero(heads(value)), len(value)))
+    own, times = np.unique(name[np.repeat(count > 1, count)], return_counts=True)
+    return pa.table({"s1": own, "shared": times.astype(np.int64)})
 
 
 def bands(most: int) -> np.ndarray:
@@ -202,51 +259,88 @@ def signatures(found: Shingles, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(texts)
 
 
-def _signed(size: int, buckets: int, most: int):
+def _signed(size: int, buckets: int, most: int, sketched: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(BASES[0])
         for table in chunks(batches, "text", 2 << 20):
-            key, text = signatures(Shingles(table["text"], rolling, size), most)
-            yield _parcels(key, table["node"].to_numpy()[text], table["label"].to_numpy()[text], buckets)
+            found = Shingles(table["text"], rolling, size)
+            key, text = signatures(found, most)
+            sets = (text, found.size, Sketches(found)) if sketched else None
+            yield _parcels(key, table["node"].to_numpy()[text], table["note"].to_numpy()[text], buckets, sets)
 
     return run
 
 
-def _pairs(table: pa.Table, star: bool) -> pa.Table:
-    """Candidate pairs of a bucket. In the first round a group of one signature gives its star, and all pairs if it has
-    three nodes; the second round gives each label's nodes with those of other labels."""
-    value, node, label = _unpack(table)
-    order = np.lexsort((node, label, value))
-    value, node, label = value[order], node[order], label[order]
+def _groups(table: pa.Table, *order: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes and notes by group, and starts and sizes of the groups: of two nodes or more, each set of nodes once."""
+    value, node, note = _unpack(table)
+    at = np.lexsort((node, note, value) if "note" in order else (node, value))
+    value, node, note = value[at], node[at], note[at]
     first = np.flatnonzero(heads(value))
-    count = np.diff(np.append(first, len(value)))
-    found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-    mixed = np.add.reduceat(heads(value, label).astype(np.int64), first) > 1 if len(first) else first
-    if star:
-        at = np.repeat(first, count)
-        rest = np.flatnonzero(at != np.arange(len(value)))
-        found.append(np.stack([node[at[rest]], node[rest]], 1))
-        for f in first[count == 3]:
-            found.append(node[f + 1 : f + 3].reshape(1, 2))
-    else:
-        for f, n in zip(first[mixed], count[mixed], strict=True):
-            own, tag = node[f : f + n], label[f : f + n]
-            for end in np.append(np.flatnonzero(np.diff(tag)) + 1, n)[:-1]:
-                begin = int(np.searchsorted(tag, tag[end - 1]))
-                found.append(np.stack([np.repeat(own[begin:end], n - end), np.tile(own[end:], end - begin)], 1))
-            if len(found) > 1000:
-                found = [np.unique(np.concatenate(found), axis=0)]
-    pairs = np.unique(np.concatenate(found), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return pa.table({"a": pairs.min(1) if len(pairs) else pairs[:, 0], "b": pairs.max(1) if len(pairs) else pairs[:, 0]})
-
-
-def _first_pairs(table: pa.Table) -> pa.Table:
-    return _pairs(table, True)
-
-
-def _other_pairs(table: pa.Table) -> pa.Table:
-    return _pairs(table, False)
+    size = np.diff(np.append(first, len(value)))
+    if len(first):
+        named = np.add.reduceat(mix(node.view(np.uint64) + np.uint64(BASES[0])), first)
+        one = np.zeros(len(first), bool)
+        one[np.unique(np.stack([named, size.astype(np.uint64)], 1), axis=0, return_index=True)[1]] = True
+        keep = one & (size > 1)
+        node, note, size = node[np.repeat(keep, size)], note[np.repeat(keep, size)], size[keep]
+        first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else np.zeros(0, np.int64)
+    return node, note, first, size
+
+
+def _weights(table: pa.Table) -> pa.Table:
+    """How many others each node meets in the bucket's groups. What copies were made from meets most."""
+    node, _, _, size = _groups(table)
+    own, at = np.unique(node, return_inverse=True)
+    return pa.table({"node": own, "weight": np.bincount(at, np.repeat(size - 1, size), len(own)).astype(np.int64)})
+
+
+def _as_pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    both = both[both[:, 0] != both[:, 1]]
+    return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+
+def _stars(table: pa.Table) -> pa.Table:
+    """Each group's nodes with the one of largest weight."""
+    node, weight, first, size = _groups(table, "note")
+    if not len(first):
+        return _as_pairs(node, node)
+    return _as_pairs(node, np.repeat(node[first + size - 1], size))
+
+
+def _others(table: pa.Table) -> pa.Table:
+    """All pairs of a group's nodes that have other labels, but for those whose sketches differ in more bits than a
+    seventh of both sizes, which is the most that linked sets differ in; the note is the label less the node."""
+    node, note, first, size = _groups(table, "note")
+    label = node + note
+    own, sizes, bits = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[c]]) for c, kind in (("own", np.int64), ("sizes", np.int64), ("sketches", np.uint64)))
+    by_level = folded(own, sizes, bits)
+    known, at = np.unique(own, return_index=True)
+    sized = sizes[at]
+    level = levels(sized)
+    mixed = np.maximum.reduceat(label, first) != np.minimum.reduceat(label, first) if len(first) else np.zeros(0, bool)
+    first, size = first[mixed], size[mixed]
+    found = [np.zeros((0, 2), np.int64)]
+    step = np.searchsorted(np.cumsum(size * size) // (1 << 20), np.arange(int((size * size).sum()) // (1 << 20) + 2))
+    for lo, hi in zip(step[:-1], step[1:], strict=True):
+        f, n = first[lo:hi], size[lo:hi]
+        # each row with all that follow it in its group
+        row = np.repeat(f, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+        more = np.repeat(f + n, n) - row - 1
+        left = np.repeat(row, more)
+        right = left + 1 + (np.arange(len(left)) - np.repeat(np.cumsum(more) - more, more))
+        apart = label[left] != label[right]
+        pairs = np.unique(np.sort(np.stack([node[left[apart]], node[right[apart]]], 1), 1), axis=0)
+        x, y = np.searchsorted(known, pairs[:, 0]), np.searchsorted(known, pairs[:, 1])
+        both, most = np.minimum(level[x], level[y]), (sized[x] + sized[y]) // 7
+        for k in np.unique(both):
+            here = both == k
+            held, rows = by_level[k]
+            differ = np.bitwise_count(rows[np.searchsorted(held, pairs[here, 0])] ^ rows[np.searchsorted(held, pairs[here, 1])]).sum(1)
+            found.append(pairs[here][differ <= most[here]])
+    found = np.concatenate(found)
+    return _as_pairs(found[:, 0], found[:, 1])
 
 
 def _features(size: int):
@@ -273,37 +367,38 @@ class JaccardJoin:
         found = self._candidates(self._survivors())
         self.links = stage(found, "jaccard-links")
 
-    def _texts(self, nodes: DataFrame, number: int) -> DataFrame:
-        """The texts of some nodes."""
-        return sized_join(self.rows, nodes, ["_doc", "_text"], "inner", 64 * number).dropDuplicates(["node"]) if self.repeated else sized_join(self.rows, nodes, ["_doc", "_text"], "inner", 64 * number)
-
     def _survivors(self) -> DataFrame:
-        """Nodes that may have a partner. A partner has three quarters of the set, so of the features in half of the
-        domain at most n / 4 are the set's alone; features are counted by 32 bits and a bucket, which only lets more
-        nodes pass."""
+        """Nodes that may have a partner, with their texts. A partner has three quarters of the set, so of the features
+        in half of the domain at most n / 4 are the set's alone; features are counted by 32 bits and a bucket, which
+        only lets more nodes pass."""
         buckets = int(max(64, -(-self.features // (2 * BUCKET))))
-        self.repeated = self.known.groupBy("_doc", "_text").count().filter("count > 1").limit(1).count() > 0
-        sent = self._texts(self.classes.select("node", "_doc", "_text"), self.count).select("node", "text").mapInArrow(_halves(self.size, buckets), PARCELS)
-        shared = sent.groupBy("bucket").applyInArrow(_shared, "node bigint, shared bigint").groupBy("node").agg(F.sum("shared").alias("shared"))
-        return stage(self.classes.join(shared, "node", "left").filter("coalesce(shared, 0) >= half - n div 4").select("node", "_doc", "_text", "n"), "jaccard-survivors")
+        sent = self.rows.select("text").mapInArrow(_halves(self.size, buckets), PARCELS)
+        shared = sent.groupBy("bucket").applyInArrow(_shared, "s1 bigint, shared bigint").groupBy("s1").agg(F.sum("shared").alias("shared"))
+        near = self.classes.join(shared, "s1", "left").filter("coalesce(shared, 0) >= half - n div 4").select("node", "_doc", "_text", "n")
+        # rows equal in id and text give the same set
+        return stage(self.rows.join(near, ["_doc", "_text"]).select("node", "n", "text").dropDuplicates(["node"]), "jaccard-survivors")
 
     def _candidates(self, nodes: DataFrame) -> DataFrame:
-        """Verified links: a star in each group of a signature, then all pairs of a group that aren't connected yet."""
-        number, features = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-        buckets = int(max(64, -(-4 * features // BUCKET)))
-        links = self._round(nodes.withColumn("label", F.col("node")), number, buckets, True)
-        labels = stage(nodes.join(components_of(links).withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "jaccard-labels")
-        return links.unionByName(self._round(labels, number, buckets, False)).distinct()
-
-    def _round(self, nodes: DataFrame, number: int, buckets: int, star: bool) -> DataFrame:
-        texts = self._texts(nodes.select("node", "label", "_doc", "_text"), number).select("node", "label", "text")
-        pairs = stage(texts.mapInArrow(_signed(self.size, buckets, self.most), PARCELS).groupBy("bucket").applyInArrow(_first_pairs if star else _other_pairs, "a bigint, b bigint").distinct(), "jaccard-pairs")
-        n = pairs.count()
+        """Verified links: stars of each signature's group around the node that meets most others, then all pairs of a
+        group that aren't connected yet."""
+        features = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        self.buckets = int(max(64, -(-4 * features // BUCKET)))
+        weights = self._grouped(nodes.withColumn("note", F.lit(0).cast("bigint")), _weights, "node bigint, weight bigint").groupBy("node").agg(F.sum("weight").alias("weight"))
+        weighed = nodes.join(weights, "node", "left").withColumn("note", F.coalesce("weight", F.lit(0).cast("bigint")))
+        tried = stage(self._grouped(weighed, _stars, "a bigint, b bigint").distinct(), "jaccard-stars")
+        links = self._verified(tried, nodes)
+        labels = nodes.join(components_of(links), "node", "left").withColumn("note", F.coalesce(F.col("root") - F.col("node"), F.lit(0).cast("bigint")))
+        rest = self._grouped(labels, _others, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
+        return links.unionByName(self._verified(stage(rest, "jaccard-rest"), nodes)).distinct()
+
+    def _grouped(self, nodes: DataFrame, of, schema: str) -> DataFrame:
+        return nodes.select("node", "note", "text").mapInArrow(_signed(self.size, self.buckets, self.most, of is _others), PARCELS).groupBy("bucket").applyInArrow(of, schema)
+
+    def _verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         ends = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-ends")
-        named = nodes.select("node", "_doc", "_text").join(ends, "node")
-        sets = stage(self._texts(named, number).select("node", "text").mapInArrow(_features(self.size), "node bigint, features array<bigint>"), "jaccard-sets")
+        sets = stage(nodes.select("node", "text").join(ends, "node").mapInArrow(_features(self.size), "node bigint, features array<bigint>"), "jaccard-sets")
         side = lambda c: sets.select(F.col("node").alias(c), F.col("features").alias(f"_{c}"))
-        both = sized_join(side("a"), pairs, ["a"], "inner", 16 * n).join(side("b"), "b")
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
         common = F.size(F.array_intersect("_a", "_b"))
         return stage(both.filter(100 * common >= PERCENT * (F.size("_a") + F.size("_b") - common)).select("a", "b"), "jaccard-verified")
 
