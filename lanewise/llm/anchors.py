@@ -18,7 +18,7 @@ from .common import BASES, LAST_ID, Rolling, batch, chunks, copies, covered, hea
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 
 FOUND = "k bigint, doc bigint, a int, b int, kind tinyint"
-WINDOWS = "h1 bigint, h2 bigint, doc bigint, key bigint, a int, b int, kind tinyint"
+WINDOWS = "h1 bigint, h2 bigint, doc bigint, key bigint, a int, b int, kind tinyint, places binary"
 SPANS = "doc bigint, key bigint, a int, b int"
 #: Kinds of rows: an anchor whose place may be shared, one known to be shared, and places already decided.
 ASK, TELL, DONE = 0, 1, 2
@@ -159,7 +159,15 @@ def _window_rows(window: int):
             gone[order] = d[order] > least
             # decided here: a smaller document of this chunk has the window, and asks for it elsewhere too
             text, a, b = spans_of(words.text[at[gone]], words.place[at[gone]])
-            ask = np.flatnonzero(~gone)
+            # a text asks once for a window that it repeats, and names the further places
+            left = order[~gone[order]]
+            left = left[np.lexsort((at[left], words.text[at[left]], h2[left], h1[left]))]
+            first = np.flatnonzero(heads(h1[left], h2[left], words.text[at[left]]))
+            count = np.diff(np.append(first, len(left)))
+            ask = left[first]
+            places: list[bytes | None] = [None] * len(ask)
+            for k in np.flatnonzero(count > 1):
+                places[k] = words.place[at[left[first[k] : first[k] + count[k]]]].astype(np.int32).tobytes()
             zero = np.zeros(len(text), np.int64)
             yield batch(
                 names,
@@ -170,6 +178,7 @@ def _window_rows(window: int):
                 np.concatenate([words.place[at[ask]], a]).astype(np.int32),
                 np.concatenate([words.place[at[ask]] + 1, b]).astype(np.int32),
                 np.repeat(np.array([ASK, DONE], np.int8), [len(ask), len(text)]),
+                pa.array(places + [None] * len(text), pa.binary()),
             )
 
     return run
@@ -192,8 +201,13 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group = np.cumsum(head) - 1
             gone = ask[d > least[group]]
             last = (g1[-1], g2[-1], least[-1])
-        got = np.concatenate([done, gone])
-        yield batch(["doc", "key", "a", "b"], doc[got], key[got], a[got], b[got])
+        listed = one.column(7).is_valid().to_numpy(zero_copy_only=False)
+        many = gone[listed[gone]]
+        more = [np.frombuffer(one.column(7)[int(k)].as_buffer(), np.int32) for k in many]
+        of = np.repeat(many, [len(x) for x in more])
+        more = np.concatenate([np.zeros(0, np.int32), *more])
+        got = np.concatenate([done, gone[~listed[gone]]])
+        yield batch(["doc", "key", "a", "b"], np.concatenate([doc[got], doc[of]]), np.concatenate([key[got], key[of]]), np.concatenate([a[got], more]), np.concatenate([b[got], more + np.int32(1)]))
 
 
 def _gathered(spans: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -31,13 +31,14 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it; a temporary one where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lanewise-")
-        spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        shared_root.own = getattr(shared_root, "own", None) or root
-        root = shared_root.own
+        root = _OWN.setdefault("root", "") or "file://" + tempfile.mkdtemp(prefix="lanewise-")
+        _OWN["root"] = root
     return root.rstrip("/")
 
 
+_OWN: dict[str, str] = {}
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends there, nothing is computed twice, and a
     lost executor costs only its running tasks."""
@@ -49,9 +50,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Have the driver collect its garbage: shuffle files of finished phases are deleted once nothing refers to them."""
+    """Between phases: the driver collects its garbage, so shuffle files that nothing refers to are deleted, and so do the
+    executors, so heap that JVM-heavy work has grown goes back before Python workers need memory."""
     gc.collect()
     spark._jvm.System.gc()
+    slots = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).selectExpr("java_method('java.lang.System', 'gc') AS x").write.format("noop").mode("overwrite").save()
 
 
 def unstage(*tables: DataFrame) -> None:

@@ -3,13 +3,14 @@ buckets select the windows to test, and direct comparison confirms occurrences."
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, release
+
 #: Words are the runs outside these ASCII ranges: x00-x2F, x3A-x60 (after lowering A-Z), x7B-x7F.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 #: Words in a block; words of benchmark text in one set of tables.
@@ -95,6 +96,7 @@ def _sets(benchmark: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
 
 
 def _search(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
+    lean(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +156,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """The rows of docs, with all their columns, of which benchmark windows cover less than a twentieth. Each row is judged
     by its own text, whatever its id; one pass over the documents for each set of the benchmark, and no shuffle."""
+    release(docs.sparkSession)
     span = "array<struct<start:int,end:int>>"
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast(span).alias("spans"))
     for items in _sets(benchmark):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, LAST_ID, Rolling, batch, chunks, heads, hot_join, keyed, mix, stage, text_bytes, word_table
+from .common import BASES, LAST_ID, Rolling, batch, chunks, heads, hot_join, keyed, mix, release, stage, text_bytes, unstage, word_table
 from .components import components as components_of
 
 #: Words in a shingle; similarity, in hundredths.
@@ -62,20 +62,6 @@ def _names(found: Shingles, n: int) -> tuple[np.ndarray, np.ndarray]:
     return one.view(np.int64), two.view(np.int64)
 
 
-def _sets(size: int):
-    """n, and two sums that name the set, for each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(BASES[0])
-        for table in chunks(batches, "text"):
-            found = Shingles(table["text"], rolling, size)
-            one, two = _names(found, table.num_rows)
-            half = np.bincount(found.text[found.hash < HALF], minlength=table.num_rows)
-            yield batch(["_doc", "_text", "n", "half", "s1", "s2"], table["_doc"].combine_chunks(), table["_text"].combine_chunks(), found.size.astype(np.int64), half.astype(np.int64), one, two)
-
-    return run
-
-
 PARCELS = "bucket int, nodes binary, notes binary, values binary, own binary, sizes binary, sketches binary"
 
 
@@ -161,19 +147,34 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 HALF = np.uint64(1 << 63)
 
 
-def _halves(size: int, buckets: int):
-    """The features in one half of the domain."""
+#: Rows of the first pass: a set's names and sizes for each document, and parcels of the features in half of the domain.
+KNOWN = "_doc bigint, _text bigint, n bigint, half bigint, s1 bigint, s2 bigint"
+
+
+def _sets(size: int, buckets: int):
+    """n, the features in half of the domain, and two sums that name the set, for each row; and parcels of those
+    features, once for each set in a chunk."""
+    names = [c.split()[0] for c in f"{KNOWN}, {PARCELS}".split(", ")]
+    kinds = [pa.int64()] * 6 + [pa.int32()] + [pa.binary()] * 6
+
+    def full(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return batch(names, *(pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(BASES[0])
         for table in chunks(batches, "text"):
             found = Shingles(table["text"], rolling, size)
-            name, _ = _names(found, table.num_rows)
+            one, two = _names(found, table.num_rows)
+            inside = found.hash < HALF
+            counts = np.bincount(found.text[inside], minlength=table.num_rows)
+            yield full(_doc=table["_doc"].to_numpy(), _text=table["_text"].to_numpy(), n=found.size, half=counts, s1=one, s2=two)
             first = np.zeros(table.num_rows, bool)
-            first[np.unique(name, return_index=True)[1]] = True  # a set goes out once from each chunk
-            half = (found.hash < HALF) & first[found.text]
-            here = name[found.text[half]]
-            yield _parcels(mix(found.hash[half]), here, np.zeros(len(here), np.int64), buckets)
+            first[np.unique(one, return_index=True)[1]] = True
+            inside &= first[found.text]
+            here = one[found.text[inside]]
+            parcels = _parcels(mix(found.hash[inside]), here, np.zeros(len(here), np.int64), buckets)
+            yield full(**{c: parcels.column(c) for c in parcels.schema.names})
 
     return run
 
@@ -358,22 +359,28 @@ class JaccardJoin:
     """The join's tables: `known` (a row for each document), `classes` (documents of equal sets) and `links`."""
 
     def __init__(self, docs: DataFrame, size: int = SHINGLE):
+        release(docs.sparkSession)
         self.size, self.rows = size, keyed(docs)
-        self.known = stage(self.rows.mapInArrow(_sets(size), "_doc bigint, _text bigint, n bigint, half bigint, s1 bigint, s2 bigint"), "jaccard-known")
+        # a feature for each six bytes or so, half of them in the parcels
+        chars = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        both = stage(self.rows.mapInArrow(_sets(size, int(max(64, -(-chars // (12 * BUCKET))))), f"{KNOWN}, {PARCELS}"), "jaccard-known")
+        self.known = stage(both.filter("bucket is null").select(*[c.split()[0] for c in KNOWN.split(", ")]), "jaccard-rows")
         least = F.min(F.struct("_doc", "_text"))
         grouped = self.known.filter("n > 0").groupBy("n", "half", "s1", "s2").agg(F.count("*").alias("copies"), least.alias("one"))
         self.classes = stage(grouped.select(F.monotonically_increasing_id().alias("node"), "n", "half", "s1", "s2", "copies", "one._doc", "one._text"), "jaccard-classes")
-        self.count, self.features, self.most = self.classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
-        found = self._candidates(self._survivors())
-        self.links = stage(found, "jaccard-links")
-
-    def _survivors(self) -> DataFrame:
+        self.count, self.most = self.classes.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(1))).first()
+        near = self._survivors(both.filter("bucket is not null"))
+        unstage(both)
+        release(docs.sparkSession)
+        self.links = stage(self._candidates(near), "jaccard-links")
+        unstage(near)
+        release(docs.sparkSession)
+
+    def _survivors(self, halves: DataFrame) -> DataFrame:
         """Nodes that may have a partner, with their texts. A partner has three quarters of the set, so of the features
         in half of the domain at most n / 4 are the set's alone; features are counted by 32 bits and a bucket, which
         only lets more nodes pass."""
-        buckets = int(max(64, -(-self.features // (2 * BUCKET))))
-        sent = self.rows.select("text").mapInArrow(_halves(self.size, buckets), PARCELS)
-        shared = sent.groupBy("bucket").applyInArrow(_shared, "s1 bigint, shared bigint").groupBy("s1").agg(F.sum("shared").alias("shared"))
+        shared = halves.groupBy("bucket").applyInArrow(_shared, "s1 bigint, shared bigint").groupBy("s1").agg(F.sum("shared").alias("shared"))
         near = self.classes.join(shared, "s1", "left").filter("coalesce(shared, 0) >= half - n div 4").select("node", "_doc", "_text", "n")
         # rows equal in id and text give the same set
         return stage(self.rows.join(near, ["_doc", "_text"]).select("node", "n", "text").dropDuplicates(["node"]), "jaccard-survivors")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import release, stage
 from .tokens import Vocabulary, vocabulary_path
 
 #: Combinations of three lengths that enter the fit, by their gradient.
@@ -114,6 +114,7 @@ def pack(docs: DataFrame, window: int = 1024, path: str | None = None, rows_per_
     rows are documents of their own; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
+    release(spark)
     cut = stage(pieces(docs, window, path), "pieces")
     histogram = dict(cut.groupBy("length").count().collect())
     slots, rank, sequence = [], Counter(), 0
