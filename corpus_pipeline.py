@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import LAST_ID, stage
+from lanewise.llm.common import LAST_ID, release, stage
 from lanewise.llm.decontaminate import clean_documents
 from lanewise.llm.jaccard import JaccardJoin
 from lanewise.llm.packing import pack
@@ -29,6 +29,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each component of near duplicates: the one of smallest doc_id. Texts without words stay."""
     found = JaccardJoin(docs).result()
     kept = stage(found.filter("_doc = component").select("_doc", "_text").distinct(), "kept")
+    release(spark)
     keys = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("_doc"), F.xxhash64("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
     # rows of equal id and text are one document
     return keys.join(kept, ["_doc", "_text"], "left_semi").dropDuplicates(["_doc", "_text"]).select("_row.*")
