@@ -91,9 +91,9 @@ def trim_primer(seq: Column, primer: str, mismatches: int = 2, limit: int = 80)
     kept = F.struct(seq.alias("sequence"), F.lit(0).alias("cut"))
     if not primer:
         return kept
-    cut = best["i"] + size
-    found = F.when((starts > 0) & (best["n"] <= mismatches), F.struct(F.substr(seq, cut + 1).alias("sequence"), cut.alias("cut")))
-    return F.when(starts > 0, F.coalesce(found, kept)).otherwise(kept)
+    taken = lambda b: F.when(b["n"] <= mismatches, F.struct(F.substr(seq, b["i"] + size + 1).alias("sequence"), (b["i"] + size).alias("cut"))).otherwise(kept)
+    # bound once, so the search isn't repeated for each of its uses
+    return F.when(starts > 0, F.get(F.transform(F.array(best), taken), F.lit(0))).otherwise(kept)
 
 
 def wrapped(seq: Column, width: int = 80) -> Column:
