@@ -170,8 +170,16 @@ def read_abif(spark, sf_dir):
 _HITS = "hits AS (SELECT l_suppkey AS query_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rank, 'ACC' || l_partkey AS accession, 'order ' || l_orderkey || ' line ' || l_linenumber AS description, CAST(floor(l_extendedprice / 100) AS DOUBLE) AS score, CAST(l_quantity AS INT) AS q FROM lineitem), few AS (SELECT * FROM hits WHERE rank <= 20)"
 
 
+#: The SQL of blast_text, blast_json and blast_xml asks for each report's first hits; their twins with _all give all hits.
+ASKED = 20
+
+
+def _every(sql):
+    return sql.replace("FROM few", "FROM hits")
+
+
 def _hits(spark, sf_dir):
-    lines = A._lines(spark, sf_dir).filter("i < 20")
+    lines = A._lines(spark, sf_dir)
     one = F.struct(
         F.col("i"), F.concat(F.lit("ACC"), "l_partkey").alias("acc"), F.concat(F.lit("order "), "l_orderkey", F.lit(" line "), "l_linenumber").alias("d"),
         F.floor(F.col("l_extendedprice") / 100).cast("string").alias("s"), F.col("l_quantity").cast("int").alias("q"),
@@ -179,8 +187,11 @@ def _hits(spark, sf_dir):
     return lines.groupBy(F.col("trace_id").alias("query_id")).agg(F.sort_array(F.collect_list(one)).alias("h"))
 
 
-@query("blast_text", f"WITH {_HITS} SELECT query_id, CAST(rank AS INT) AS rank, accession, description, score, q || 'e-9' AS evalue, q AS identity_pct, CASE WHEN rank <= 10 THEN 100 - q END AS query_cover_pct FROM few")
-def blast_text(spark, sf_dir):
+_TEXT_SQL = f"WITH {_HITS} SELECT query_id, CAST(rank AS INT) AS rank, accession, description, score, q || 'e-9' AS evalue, q AS identity_pct, CASE WHEN rank <= 10 THEN 100 - q END AS query_cover_pct FROM few"
+
+
+@query("blast_text_all", _every(_TEXT_SQL))
+def blast_text_all(spark, sf_dir):
     table = F.array_join(F.transform("h", lambda x: F.concat_ws("  ", x["acc"], x["d"], x["s"], F.concat(x["q"].cast("string"), F.lit("e-9")))), "\n")
     same = F.array_join(F.transform("h", lambda x: F.concat(F.lit(" Identities = 9/10 ("), x["q"].cast("string"), F.lit("%)"))), "\n")
     cover = F.array_join(F.transform(F.slice("h", 1, 10), lambda x: F.concat(F.lit(" query cover: "), (100 - x["q"]).cast("string"), F.lit("%"))), "\n")
@@ -188,16 +199,32 @@ def blast_text(spark, sf_dir):
     return B.text_hits(_hits(spark, sf_dir).select("query_id", report.alias("report")))
 
 
-@query("blast_json", f"WITH {_HITS} SELECT query_id, CAST(rank AS INT) AS rank, accession, description, score, printf('%.2e', q / 1e10) AS evalue, CAST(floor(100 * q / 60) AS INT) AS identity_pct, CAST(NULL AS INT) AS query_cover_pct, 60 AS align_length, 0 AS gaps FROM few")
-def blast_json(spark, sf_dir):
+@query("blast_text", _TEXT_SQL)
+def blast_text(spark, sf_dir):
+    return blast_text_all(spark, sf_dir).filter(F.col("rank") <= ASKED)
+
+
+_JSON_SQL = f"WITH {_HITS} SELECT query_id, CAST(rank AS INT) AS rank, accession, description, score, printf('%.2e', q / 1e10) AS evalue, CAST(floor(100 * q / 60) AS INT) AS identity_pct, CAST(NULL AS INT) AS query_cover_pct, 60 AS align_length, 0 AS gaps FROM few"
+
+
+@query("blast_json_all", _every(_JSON_SQL))
+def blast_json_all(spark, sf_dir):
     hit = lambda x: F.struct(F.array(F.struct(x["acc"].alias("accession"), x["d"].alias("title"))).alias("description"), F.array(F.struct(x["s"].cast("double").alias("bit_score"), (x["q"] / 1e10).alias("evalue"), x["q"].alias("identity"), F.lit(60).alias("align_len"))).alias("hsps"))
     inner = F.struct(F.struct(F.struct(F.struct(F.transform("h", hit).alias("hits")).alias("search")).alias("results")).alias("report"))
     body = F.to_json(F.struct(F.array(inner).alias("BlastOutput2")))
     return B.json_hits(_hits(spark, sf_dir).select("query_id", F.concat(F.lit("<p>"), body, F.lit("</p>")).alias("report")))
 
 
-@query("blast_xml", f"WITH {_HITS} SELECT query_id, CAST(rank AS INT) AS rank, accession, 'id ' || description AS description, score, printf('%.2e', q / 1e10) AS evalue, CAST(floor(100 * q / 60) AS INT) AS identity_pct, CAST(floor(100 * q / 80) AS INT) AS query_cover_pct, 60 AS align_length, 2 AS gaps FROM few")
-def blast_xml(spark, sf_dir):
+@query("blast_json", _JSON_SQL)
+def blast_json(spark, sf_dir):
+    return blast_json_all(spark, sf_dir).filter(F.col("rank") <= ASKED)
+
+
+_XML_SQL = f"WITH {_HITS} SELECT query_id, CAST(rank AS INT) AS rank, accession, 'id ' || description AS description, score, printf('%.2e', q / 1e10) AS evalue, CAST(floor(100 * q / 60) AS INT) AS identity_pct, CAST(floor(100 * q / 80) AS INT) AS query_cover_pct, 60 AS align_length, 2 AS gaps FROM few"
+
+
+@query("blast_xml_all", _every(_XML_SQL))
+def blast_xml_all(spark, sf_dir):
     tag = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
     hsp = lambda x: tag("Hsp", F.concat(tag("Hsp_score", x["s"]), tag("Hsp_evalue", F.format_string("%.1e", x["q"] / 1e10)), tag("Hsp_query-from", F.lit("1")), tag("Hsp_query-to", (x["q"] + 1).cast("string")), tag("Hsp_identity", x["q"].cast("string")), tag("Hsp_gaps", F.lit("2")), tag("Hsp_align-len", F.lit("60"))))
     hit = lambda x: tag("Hit", F.concat(tag("Hit_id", F.lit("id")), tag("Hit_def", x["d"]), tag("Hit_accession", x["acc"]), tag("Hit_hsps", hsp(x))))
@@ -205,9 +232,14 @@ def blast_xml(spark, sf_dir):
     return B.xml_hits(_hits(spark, sf_dir).select("query_id", body.alias("report")))
 
 
+@query("blast_xml", _XML_SQL)
+def blast_xml(spark, sf_dir):
+    return blast_xml_all(spark, sf_dir).filter(F.col("rank") <= ASKED)
+
+
 @query("hit_bands", f"WITH {_HITS} SELECT query_id, CAST(rank AS INT) AS rank, accession, description, score, q || 'e-9' AS evalue, q AS identity_pct, CASE WHEN rank <= 10 THEN 100 - q END AS query_cover_pct, CASE WHEN q >= 99 THEN 'best' WHEN q >= 95 THEN 'good' WHEN q < 80 THEN 'poor' ELSE 'plain' END AS band FROM few WHERE rank <= 10")
 def hit_bands(spark, sf_dir):
-    return B.top_hits(blast_text(spark, sf_dir), 10)
+    return B.top_hits(blast_text_all(spark, sf_dir), 10)
 
 
 @query("reply_states", """SELECT event_id AS query_id, CASE event_type WHEN (SELECT min(event_type) FROM events) THEN 'WAITING' WHEN (SELECT max(event_type) FROM events) THEN 'READY' ELSE 'UNKNOWN' END AS status, 'R' || event_id AS rid FROM events""")

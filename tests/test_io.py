@@ -188,3 +188,13 @@ def test_stream(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out")
     assert sorted(r["trace_id"] for r in got.collect()) == ["one", "two"]
     assert os.path.isdir(tmp_path / "check")
+
+
+def test_reports_hold_all_rows(spark):
+    from lanewise.plans import trace_queries as Q
+    from lanewise.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    assert Q._hits(spark, sf).selectExpr("sum(size(h))").first()[0] == lines.count() > 20 * lines.select("l_suppkey").distinct().count()
+    assert [QUERIES[f"blast_{k}_all"](spark, sf).count() for k in ("text", "json", "xml")] == [lines.count()] * 3
