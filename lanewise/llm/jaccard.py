@@ -23,6 +23,8 @@ SECOND, K2, SLACK = 5, 3, 1.15
 SMALL, SEEDS = 32, 2
 #: Features or signatures that one task of the exchange gets, about.
 BUCKET = 1_000_000
+#: Pairs that are enumerated at once.
+BLOCK = 1 << 18
 
 
 class Shingles:
@@ -310,38 +312,54 @@ def _stars(table: pa.Table) -> pa.Table:
     return _as_pairs(node, np.repeat(node[first + size - 1], size))
 
 
-def _others(table: pa.Table) -> pa.Table:
+def _apart(group: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of one group and other labels, at most BLOCK at a time; rows come sorted by group and label.
+    A group may fall into many blocks, and pairs of equal labels are never formed."""
+    if not len(group):
+        return
+
+    def ends(*columns: np.ndarray) -> np.ndarray:
+        edges = np.append(np.flatnonzero(heads(*columns)), len(group))
+        return np.repeat(edges[1:], np.diff(edges))
+
+    # a row's partners are those from its label's end to its group's end
+    end = ends(group)
+    total = np.cumsum(end - ends(group, label))
+    for lo in range(0, int(total[-1]), BLOCK):
+        at = np.arange(lo, min(lo + BLOCK, int(total[-1])))
+        row = np.searchsorted(total, at, "right")
+        yield row, end[row] - (total[row] - at)
+
+
+def _others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs of a group's nodes that have other labels, but for those whose sketches differ in more bits than a
-    seventh of both sizes, which is the most that linked sets differ in; the note is the label less the node."""
+    seventh of both sizes, which is the most that linked sets differ in; the note is the label less the node. Pairs leave
+    block by block; a pair may come from several."""
+    table = pa.Table.from_batches(batches)
     node, note, first, size = _groups(table, "note")
-    label = node + note
+    label, group = node + note, np.repeat(np.arange(len(first)), size)
+    at = np.lexsort((node, label, group))
+    node, label = node[at], label[at]
     own, sizes, bits = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[c]]) for c, kind in (("own", np.int64), ("sizes", np.int64), ("sketches", np.uint64)))
     by_level = folded(own, sizes, bits)
     known, at = np.unique(own, return_index=True)
     sized = sizes[at]
     level = levels(sized)
-    mixed = np.maximum.reduceat(label, first) != np.minimum.reduceat(label, first) if len(first) else np.zeros(0, bool)
-    first, size = first[mixed], size[mixed]
-    found = [np.zeros((0, 2), np.int64)]
-    step = np.searchsorted(np.cumsum(size * size) // (1 << 20), np.arange(int((size * size).sum()) // (1 << 20) + 2))
-    for lo, hi in zip(step[:-1], step[1:], strict=True):
-        f, n = first[lo:hi], size[lo:hi]
-        # each row with all that follow it in its group
-        row = np.repeat(f, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-        more = np.repeat(f + n, n) - row - 1
-        left = np.repeat(row, more)
-        right = left + 1 + (np.arange(len(left)) - np.repeat(np.cumsum(more) - more, more))
-        apart = label[left] != label[right]
-        pairs = np.unique(np.sort(np.stack([node[left[apart]], node[right[apart]]], 1), 1), axis=0)
+    for left, right in _apart(group, label):
+        pairs = np.unique(np.sort(np.stack([node[left], node[right]], 1), 1), axis=0)
         x, y = np.searchsorted(known, pairs[:, 0]), np.searchsorted(known, pairs[:, 1])
         both, most = np.minimum(level[x], level[y]), (sized[x] + sized[y]) // 7
+        found = [np.zeros((0, 2), np.int64)]
         for k in np.unique(both):
-            here = both == k
             held, rows = by_level[k]
-            differ = np.bitwise_count(rows[np.searchsorted(held, pairs[here, 0])] ^ rows[np.searchsorted(held, pairs[here, 1])]).sum(1)
-            found.append(pairs[here][differ <= most[here]])
-    found = np.concatenate(found)
-    return _as_pairs(found[:, 0], found[:, 1])
+            here = np.flatnonzero(both == k)
+            # a few words of sketches at a time, however long they are
+            few = max(1, BLOCK // rows.shape[1])
+            for cut in (here[i : i + few] for i in range(0, len(here), few)):
+                differ = np.bitwise_count(rows[np.searchsorted(held, pairs[cut, 0])] ^ rows[np.searchsorted(held, pairs[cut, 1])]).sum(1)
+                found.append(pairs[cut][differ <= most[cut]])
+        found = np.concatenate(found)
+        yield from _as_pairs(found[:, 0], found[:, 1]).to_batches()
 
 
 def _features(size: int):

@@ -161,6 +161,32 @@ def test_signatures_lose_no_partner():
             assert held.tolist() == [5, 9] and np.bitwise_count(bits[0] ^ bits[1]).sum() <= sum(found.size) // 7
 
 
+def test_other_labels_in_bounded_blocks():
+    import tracemalloc
+
+    n, many = 6000, 30
+    rng = np.random.default_rng(3)
+    # a stray node in a large group of one label; a group of three labels; sketches that are all equal
+    note = np.concatenate([-np.arange(n), [0]])
+    key = np.full(n + 1, 5, np.uint64)
+    small = np.arange(n + 1, n + 1 + many)
+    label = n + 1 + rng.integers(0, 3, many)
+    node, note, key = np.concatenate([np.arange(n + 1), small]), np.concatenate([note, label - small]), np.concatenate([key, np.full(many, 9, np.uint64)])
+
+    class Equal:
+        def of(self, text):
+            return np.zeros(len(text), np.uint64).tobytes()
+
+    order = rng.permutation(len(node))
+    parcels = jaccard._parcels(key[order], node[order], note[order], 1, (np.arange(len(node)), np.full(len(node), 12), Equal()))
+    tracemalloc.start()
+    got = {(a, b) for batch in jaccard._others(iter([parcels])) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {(a, n) for a in range(n)} | {(int(a), int(b)) for i, a in enumerate(small) for j, b in enumerate(small) if i < j and label[i] != label[j]}
+    assert got == want and peak < 100 << 20
+
+
 def test_decontamination(spark, rows):
     rng = random.Random(9)
     long = [t for _, t in rows if t and len(t.split()) > 60][:6]
