@@ -26,13 +26,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one of smallest doc_id. Texts without words stay."""
-    found = JaccardJoin(docs).result()
-    kept = stage(found.filter("_doc = component").select("_doc", "_text").distinct(), "kept")
+    """One document of each component of near duplicates: the one of smallest doc_id (a null one is larger than all), of
+    these the one of smallest text key. Every text without words stays, also those of null or equal ids."""
+    kept = stage(JaccardJoin(docs).firsts(), "kept")
     release(spark)
     keys = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("_doc"), F.xxhash64("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     # rows of equal id and text are one document
-    return keys.join(kept, ["_doc", "_text"], "left_semi").dropDuplicates(["_doc", "_text"]).select("_row.*")
+    ones = keys.join(kept, ["_doc", "_text"], "left_semi").dropDuplicates(["_doc", "_text"])
+    return ones.select("_row.*").unionByName(docs.filter(~words))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -427,10 +427,16 @@ class JaccardJoin:
         common = F.size(F.array_intersect("_a", "_b"))
         return stage(both.filter(100 * common >= PERCENT * (F.size("_a") + F.size("_b") - common)).select("a", "b"), "jaccard-verified")
 
+    def _rooted(self) -> DataFrame:
+        return self.classes.join(components_of(self.links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def firsts(self) -> DataFrame:
+        """_doc and _text of one document of each component, the least by these."""
+        return self._rooted().groupBy("root").agg(F.min(F.struct("_doc", "_text")).alias("one")).select("one.*")
+
     def result(self) -> DataFrame:
         """_doc, _text, n_shingles, component (the least _doc of the component) of every row."""
-        roots = components_of(self.links)
-        rooted = self.classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = self._rooted()
         least = rooted.groupBy("root").agg(F.min("_doc").alias("component"), F.count("*").alias("_n"))
         named = stage(hot_join(rooted, stage(least, "jaccard-least"), "root", "_n", self.count).select(F.struct("n", "s1", "s2").alias("set"), "copies", "component"), "jaccard-components")
         rows = self.known.withColumn("set", F.struct("n", "s1", "s2"))

@@ -78,3 +78,15 @@ def test_other_columns_stay(spark, folder):
     for _, step in corpus_pipeline.STAGES[:-1]:
         out = step(spark, docs, folder)
         assert out.columns == docs.columns and out.filter("note = doc_id * 2 and _doc = 'a' and spans = 2").count() == out.count() > 0
+
+
+def test_one_of_each_component_whatever_the_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*base[:-1], f"x{k}"])
+    other = lambda k: " ".join([*(f"v{i}" for i in range(59)), f"y{k}"])
+    rows = [(None, near(1)), (None, near(2)), (None, near(2)), (None, None), (None, None), (None, " "), (5, other(1)), (5, other(2)), (9, other(3)), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()]
+    worded = [(d, t.split()[0]) for d, t in got if t and t.strip()]
+    assert sorted(map(repr, worded)) == sorted(map(repr, [(None, "w0"), (5, "v0")]))
+    assert sorted(repr(x) for x in got if not (x[1] or "").strip()) == sorted(repr(x) for x in rows if not (x[1] or "").strip())
