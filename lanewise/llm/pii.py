@@ -91,7 +91,10 @@ def _mentions(text: Column, base: Column) -> Column:
     def mention(x: Column) -> Column:
         lead = F.regexp_extract(x["m"], "^[^A-Za-z0-9+]*+", 0)
         core = F.regexp_replace(F.substr(x["m"], F.length(lead) + 1), "[^A-Za-z0-9]++$", "")
-        words = F.slice(F.reverse(F.filter(F.split(F.lower(x["before"]), r"\s+", -1), lambda w: w != "")), 1, 2)
+        # the two words before, of the text itself: other mentions are words as any
+        at = F.greatest(x["start"] - 80, F.lit(0))
+        before = F.substr(text, at + 1, x["start"] - at)
+        words = F.slice(F.reverse(F.filter(F.split(F.lower(before), r"\s+", -1), lambda w: w != "")), 1, 2)
         start = x["start"] + F.length(lead)
         end = start + F.length(core)
         over = F.filter(base, lambda b: (b["start"] < end) & (start < b["end"]))
@@ -100,7 +103,7 @@ def _mentions(text: Column, base: Column) -> Column:
         return F.struct(start.alias("start"), end.alias("end"), core.alias("core"), F.array_join(F.reverse(words), " ").alias("context"), kind.alias("kind"), (F.size(over) > 0).alias("inside"))
 
     found = F.transform(_matches(text, MENTION), mention)
-    return F.filter(found, lambda x: (x["context"] != "") & (x["core"] != "") & (~x["inside"] | x["kind"].isNotNull()))
+    return F.filter(found, lambda x: ((x["context"] != "") | x["kind"].isNotNull()) & (x["core"] != "") & (~x["inside"] | x["kind"].isNotNull()))
 
 
 def _learn(edges: DataFrame, p: PiiParams) -> DataFrame:

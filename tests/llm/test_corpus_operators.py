@@ -231,6 +231,15 @@ def test_pii_learns_contexts(spark):
     assert pii.redact(df).columns == df.columns
 
 
+def test_pii_secrets_without_words_between(spark):
+    one, two = "0123456789abcdef" * 2, "fedcba9876543210" * 2
+    rows = [(1, f"{one} is first"), (2, f"id 12 {two}"), (3, f"{one}\n{two}")]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
+    found = {r["_doc"]: [(pii.KINDS[s["kind"]], dict(rows)[r["_doc"]][s["start"] : s["end"]]) for s in r["spans"]] for r in pii.pii_spans(df).collect()}
+    assert found == {1: [("secret", one)], 2: [("secret", two)], 3: [("secret", one), ("secret", two)]}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()} == {1: "<SECRET> is first", 2: "id 12 <SECRET>", 3: "<SECRET>\n<SECRET>"}
+
+
 def test_packing(spark, rows):
     df = frame(spark, rows)
     got = [r.asDict() for r in packing.pack(df, window=64).collect()]
