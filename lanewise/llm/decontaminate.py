@@ -16,7 +16,6 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b <= 0x2F or 0x3A <= b <= 0x60
 #: Words in a block; words of benchmark text in one set of tables.
 BLOCK, WORDS_PER_SET = 3, 200_000
 
-SPANS = "doc_id bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
 
 
 def fold_words(text: str | None) -> list[bytes]:
@@ -95,28 +94,33 @@ def _sets(benchmark: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
         yield held
 
 
-def _search(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
-    lean(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+def _search(rows: DataFrame, items: list[tuple[str, list[bytes]]], window: int) -> DataFrame:
+    """The rows of _opened() with the hits of one set added."""
+    sent = rows.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [name for name, _ in sent.value]
         matchers = tables((words for _, words in sent.value), window)
         for batch in batches:
-            columns: list[list] = [[], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            columns: list[list] = [[], [], []]
+            for text, known, had in zip(batch.column(1), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 words = fold_words(text.as_py())
-                spans, found = [], set()
+                spans, found = [(s["start"], s["end"]) for s in known], set()
                 for matcher in matchers:
                     matcher.search(words, spans, found)
-                row = (doc, len(words), [{"start": s, "end": e} for s, e in merged(spans)], sorted(names[i] for i in found))
+                row = (len(words), [{"start": s, "end": e} for s, e in merged(spans)], sorted({*had, *(names[i] for i in found)}))
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
-            span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-            kinds = [pa.int64(), pa.int64(), pa.list_(span), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "spans", "items"])
+            kinds = [batch.schema.field(i).type for i in (2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SPANS)
+def _opened(docs: DataFrame) -> DataFrame:
+    lean(docs.sparkSession)
+    span = "array<struct<start:int,end:int>>"
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
@@ -128,29 +132,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
     is reported as an empty string; items without words match nothing; an empty benchmark hits nothing. Rows with equal
     doc_id and text are reported alike, each once. Other columns are not read.
     """
-    parts = [_search(docs, items, window) for items in _sets(benchmark)]
-    if not parts:
-        return _search(docs, [], window)
-    if len(parts) == 1:
-        return parts[0]
-    at = docs.select(F.col("doc_id").cast("bigint"), "text")
-    base = _search(at, [], window).select("doc_id", "n_words")
-    hit = parts[0].filter("size(items) > 0")
-    for part in parts[1:]:
-        hit = hit.unionByName(part.filter("size(items) > 0"))
-    # equal ids with other texts differ in n_words or count as one: their hits are joined
-    joined = hit.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                row["spans"] = [{"start": s, "end": e} for s, e in merged([(x["start"], x["end"]) for x in row["spans"] or ()])]
-                row["items"] = sorted(row["items"] or ())
-            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
-
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    return base.join(joined.withColumnsRenamed({"doc_id": "_d", "n_words": "_n"}), (key == F.coalesce("_d", F.lit(-(1 << 63)))) & (F.col("n_words") == F.col("_n")), "left").select("doc_id", "n_words", "spans", "items").mapInArrow(merge, SPANS)
+    rows = _opened(docs)
+    for items in list(_sets(benchmark)) or [[]]:
+        rows = _search(rows, items, window)
+    return rows.select("doc_id", "n_words", "spans", "items")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:

@@ -207,6 +207,14 @@ def test_decontamination_in_sets(spark, monkeypatch):
     assert [r["n_hit"] for r in decontaminate.verdicts(none).collect()] == [0] * 4
 
 
+def test_decontamination_in_sets_tells_rows_of_one_id_apart(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "WORDS_PER_SET", 3)
+    items, rows = [(1, "one two three"), (2, "four five six")], [(None, "one two three"), (None, "no hit here"), (4, "four five six"), (4, "not this one")]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
+    got = decontaminate.contamination(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted(repr((r["doc_id"], r["items"])) for r in got) == sorted(map(repr, [(None, ["1"]), (None, []), (4, ["2"]), (4, [])]))
+
+
 def test_pii_base(spark, rows):
     odd = rows + [
         (900, "a@b@c.de x@y.z_c@d.org 1.2.3.4.5.6.7.8 0255.1.1.1 256.1.1.1 é 4111 1111-1111 1111 +1((((2)34567890) +12"),
