@@ -28,17 +28,18 @@ def lean(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a temporary one where it is unset (tests)."""
+    """The folder that all executors share, as the cluster names it in spark.checkpoint.dir. Only a local master may go
+    without: it has one machine, and its tables go to a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = _OWN.setdefault("root", "") or "file://" + tempfile.mkdtemp(prefix="lanewise-")
         _OWN["root"] = root
     return root.rstrip("/")
 
 
-_OWN: dict[str, str] = {}
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends there, nothing is computed twice, and a
     lost executor costs only its running tasks."""
@@ -68,19 +69,21 @@ def unstage(*tables: DataFrame) -> None:
             path.getFileSystem(hadoop).delete(path, True)
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
-    """Join with a right side that has one row a key and, in weight, the key's rows on the left. A key with over a
-    1000th of all rows is hot: there are under 1000 of these, so they are broadcast; the rest is shuffled, and there no
-    key is large. Rows on the left that met a hot key are spread by a salt."""
+def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner", by: list[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Join with a right side that has one row a key. `weight` is a column of it, or of a table `counts`, with the number of
+    the key's rows on the left; these are `total` in all.
+
+    Keys with over a 1000th of all rows are dealt out: their rows on the left take a salt by the hash of the columns `by`
+    (all, unless named), and their row on the right is sent once for each salt. Both sides are shuffled and no task gets
+    all rows of a key; rows equal in all of `by` stay together. What is broadcast is the list of those keys, which are
+    under 1000, with their numbers of salts; what they carry is not."""
     columns = [c for c in right.columns if c not in (key, weight)]
     floor = max(1, total // 1000)
-    hot = right.filter(F.col(weight) > floor).select(F.col(key), F.struct(*columns).alias("_hot"))
-    rest = right.filter(F.col(weight) <= floor).select(F.col(key).alias("_k"), F.struct(*columns).alias("_rest"))
-    met = left.join(F.broadcast(hot), key, "left")
-    met = met.withColumn("_k", F.when(F.col("_hot").isNull(), F.col(key)))
-    out = met.join(rest, "_k", "left").withColumn("_got", F.coalesce("_hot", "_rest"))
-    if how == "inner":
-        out = out.filter(F.col("_got").isNotNull())
+    hot = (right if counts is None else counts).filter(F.col(weight) > floor).select(F.col(key).alias("_k"), F.ceil(F.col(weight) / floor).cast("int").alias("_salts"))
+    salted = lambda side: side.join(F.broadcast(hot), F.col(key) == F.col("_k"), "left").drop("_k").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    dealt = salted(left).withColumn("_salt", F.pmod(F.xxhash64(*(by or left.columns)), F.col("_salts")).cast("int")).drop("_salts")
+    sent = salted(right).select(F.col(key).alias("_k"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_s"), F.struct(*columns).alias("_got"))
+    out = dealt.join(sent, (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_s")), how)
     return out.select(*left.columns, *[F.col(f"_got.{c}").alias(c) for c in columns])
 
 

@@ -23,8 +23,8 @@ SECOND, K2, SLACK = 5, 3, 1.15
 SMALL, SEEDS = 32, 2
 #: Features or signatures that one task of the exchange gets, about.
 BUCKET = 1_000_000
-#: Pairs that are enumerated at once.
-BLOCK = 1 << 18
+#: Nodes on either side of a cell of pairs at most, and bytes of their sketches; words of sketches compared at once.
+CELL, CELL_BYTES, BLOCK = 2048, 8 << 20, 1 << 20
 
 
 class Shingles:
@@ -64,7 +64,9 @@ def _names(found: Shingles, n: int) -> tuple[np.ndarray, np.ndarray]:
     return one.view(np.int64), two.view(np.int64)
 
 
-PARCELS = "bucket int, nodes binary, notes binary, values binary, own binary, sizes binary, sketches binary"
+#: Rows of an exchange, in packed numbers: in a bucket the values that one node of a chunk has (asks, with the node),
+#: those that several have (tells), and, dealt by node, what is decided already (done: a value's whole name and a node).
+PARCELS = "bucket int, values binary, nodes binary, tells binary, done binary, owners binary"
 
 
 def levels(size: np.ndarray) -> np.ndarray:
@@ -83,81 +85,85 @@ class Sketches:
         bit = mix(found.hash ^ np.uint64(BASES[0])) & (self.words[found.text].astype(np.uint64) * np.uint64(64) - np.uint64(1))
         np.bitwise_xor.at(self.bits, self.first[found.text] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
 
-    def of(self, text: np.ndarray) -> bytes:
-        return b"".join(self.bits[self.first[t] : self.first[t + 1]].tobytes() for t in text)
-
-
-def folded(own: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each level the nodes of that level or more, sorted, and their sketches folded to its length."""
-    level = levels(sizes)
-    first = np.concatenate([[0], np.cumsum(1 << level)])
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    held, rows = np.zeros(0, np.int64), np.zeros((0, 0), np.uint64)
-    for k in range(int(level.max(initial=-1)), -1, -1):
-        at = np.flatnonzero(level == k)
-        here = bits[first[at][:, None] + np.arange(1 << k)]
-        if len(held):
-            half = rows.shape[1] // 2
-            held, rows = np.concatenate([held, own[at]]), np.concatenate([rows[:, :half] ^ rows[:, half:], here])
-        else:
-            held, rows = own[at], here
-        order = np.argsort(held)
-        held, rows = held[order], rows[order]
-        out.append((held, rows))
-    return out[::-1]
-
-
-def _parcels(key: np.ndarray, node: np.ndarray, note: np.ndarray, buckets: int, sets: tuple | None = None) -> pa.RecordBatch:
-    """Rows for the exchange: in each bucket the nodes (as differences, which compress), a number beside each and 32 bits
-    of the key; with sets = (texts, sizes, sketches) also each node's size and sketch, once. Keys that agree by chance
-    only make more candidates."""
-    bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    def of(self, text: int) -> bytes:
+        return self.bits[self.first[text] : self.first[text + 1]].tobytes()
+
+
+def folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sketches as rows of the shortest one's length: halves of a longer one are joined by exclusive or."""
+    width = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in sketches])
+
+
+def _spans(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by bucket, and the buckets' edges in it."""
     order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    value = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
-    node, note = node[order], note[order]
-    rows = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-    cut = lambda x, b: x[edges[b] : edges[b + 1]]
-    own, sizes, sketches = [b""] * len(rows), [b""] * len(rows), [b""] * len(rows)
-    if sets:
-        text = sets[0][order]
-        for i, b in enumerate(rows):
-            few, at = np.unique(cut(text, b), return_index=True)
-            own[i], sizes[i], sketches[i] = cut(node, b)[at].tobytes(), sets[1][few].astype(np.int64).tobytes(), sets[2].of(few)
-    return batch(
-        ["bucket", "nodes", "notes", "values", "own", "sizes", "sketches"],
-        pa.array(rows, pa.int32()),
-        pa.array([np.diff(cut(node, b), prepend=0).tobytes() for b in rows], pa.binary()),
-        pa.array([cut(note, b).tobytes() if cut(note, b).any() else b"" for b in rows], pa.binary()),
-        pa.array([cut(value, b).tobytes() for b in rows], pa.binary()),
-        *(pa.array(x, pa.binary()) for x in (own, sizes, sketches)),
-    )
-
-
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values, nodes and notes of a bucket."""
-    nodes, notes, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-    for n, more, v in zip(table["nodes"], table["notes"], table["values"], strict=True):
-        nodes.append(np.cumsum(np.frombuffer(n.as_buffer(), np.int64)))
-        raw = more.as_buffer()
-        notes.append(np.frombuffer(raw, np.int64) if raw.size else np.zeros(len(nodes[-1]), np.int64))
-        values.append(np.frombuffer(v.as_buffer(), np.uint32))
-    return np.concatenate(values), np.concatenate(nodes), np.concatenate(notes)
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Nodes as differences, which compress."""
+    return np.diff(numbers, prepend=0).tobytes()
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type = np.int64) -> np.ndarray:
+    cut = [np.frombuffer(x.as_buffer(), kind) for x in column]
+    return np.concatenate([np.zeros(0, kind), *([np.cumsum(x) for x in cut] if kind is np.int64 else cut)])
+
+
+def _parcels(key: np.ndarray, node: np.ndarray, buckets: int, local: bool = True) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Rows for the exchange, and which of the (key, node) several nodes of the chunk share. Those are decided here: the
+    key's bucket is told once. With `local` they travel on as decided, dealt by node, so a key of any share of all nodes
+    costs its bucket one number for each chunk. Keys go by 32 bits and their bucket; those that agree by chance only make
+    more candidates."""
+    bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    value = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    name = (bucket << 32) | value.astype(np.int64)
+    at = np.lexsort((node, name))
+    one = at[heads(name[at], node[at])]
+    head = heads(name[one])
+    count = np.diff(np.append(np.flatnonzero(head), len(one)))
+    several = np.zeros(len(key), bool)
+    several[one] = np.repeat(count > 1, count)
+    asks, tells = one[~several[one]], one[head & several[one]]
+    asks.sort()
+    done = np.sort(one[several[one]]) if local else one[:0]
+    to = (mix(node[done].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    columns: list[list] = [[], [], [], [], [], []]
+    (a, ae), (t, te), (d, de) = _spans(bucket[asks], buckets), _spans(bucket[tells], buckets), _spans(to, buckets)
+    for b in range(buckets):
+        x, y, z = asks[a[ae[b] : ae[b + 1]]], tells[t[te[b] : te[b + 1]]], done[d[de[b] : de[b + 1]]]
+        if len(x) or len(y) or len(z):
+            for column, cell in zip(columns, (b, value[x].tobytes(), _packed(node[x]), value[y].tobytes(), name[z].tobytes(), _packed(node[z])), strict=True):
+                column.append(cell)
+    return batch([c.split()[0] for c in PARCELS.split(", ")], pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])), several
+
+
+def _met(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Values and nodes of a bucket whose value another node has too."""
+    value, node, tell = _unpacked(table["values"], np.uint32), _unpacked(table["nodes"]), np.unique(_unpacked(table["tells"], np.uint32))
+    order = np.lexsort((node, value))
+    value, node = value[order], node[order]
+    one = heads(value, node)
+    value, node = value[one], node[one]
+    count = np.diff(np.append(np.flatnonzero(heads(value)), len(value)))
+    many = np.repeat(count > 1, count) | np.isin(value, tell)
+    return value[many], node[many]
 
 
 #: Features with a hash under this are half of the domain.
 HALF = np.uint64(1 << 63)
 
-
-#: Rows of the first pass: a set's names and sizes for each document, and parcels of the features in half of the domain.
-KNOWN = "_doc bigint, _text bigint, n bigint, half bigint, s1 bigint, s2 bigint"
+#: Rows of the first pass: a set's names and sizes for each document, with the features that were met in its own chunk,
+#: and parcels of the features in half of the domain.
+KNOWN = "_doc bigint, _text bigint, n bigint, half bigint, s1 bigint, s2 bigint, met bigint"
 
 
 def _sets(size: int, buckets: int):
     """n, the features in half of the domain, and two sums that name the set, for each row; and parcels of those
     features, once for each set in a chunk."""
     names = [c.split()[0] for c in f"{KNOWN}, {PARCELS}".split(", ")]
-    kinds = [pa.int64()] * 6 + [pa.int32()] + [pa.binary()] * 6
+    kinds = [pa.int64()] * 7 + [pa.int32()] + [pa.binary()] * 5
 
     def full(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
@@ -170,12 +176,13 @@ def _sets(size: int, buckets: int):
             one, two = _names(found, table.num_rows)
             inside = found.hash < HALF
             counts = np.bincount(found.text[inside], minlength=table.num_rows)
-            yield full(_doc=table["_doc"].to_numpy(), _text=table["_text"].to_numpy(), n=found.size, half=counts, s1=one, s2=two)
             first = np.zeros(table.num_rows, bool)
             first[np.unique(one, return_index=True)[1]] = True
             inside &= first[found.text]
-            here = one[found.text[inside]]
-            parcels = _parcels(mix(found.hash[inside]), here, np.zeros(len(here), np.int64), buckets)
+            text = found.text[inside]
+            parcels, several = _parcels(mix(found.hash[inside]), one[text], buckets, False)
+            met = np.bincount(text[several], minlength=table.num_rows)
+            yield full(_doc=table["_doc"].to_numpy(), _text=table["_text"].to_numpy(), n=found.size, half=counts, s1=one, s2=two, met=met)
             yield full(**{c: parcels.column(c) for c in parcels.schema.names})
 
     return run
@@ -183,13 +190,7 @@ def _sets(size: int, buckets: int):
 
 def _shared(table: pa.Table) -> pa.Table:
     """Of each set in the bucket, how many features some other set has too."""
-    value, name, _ = _unpack(table)
-    order = np.lexsort((name, value))
-    value, name = value[order], name[order]
-    one = heads(value, name)
-    value, name = value[one], name[one]
-    count = np.diff(np.append(np.flatnonzero(heads(value)), len(value)))
-    own, times = np.unique(name[np.repeat(count > 1, count)], return_counts=True)
+    own, times = np.unique(_met(table)[1], return_counts=True)
     return pa.table({"s1": own, "shared": times.astype(np.int64)})
 
 
@@ -262,113 +263,109 @@ def signatures(found: Shingles, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(texts)
 
 
-def _signed(size: int, buckets: int, most: int, sketched: bool):
+def _signed(size: int, buckets: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(BASES[0])
-        for table in chunks(batches, "text", 2 << 20):
+        for table in chunks(batches, "text"):
             found = Shingles(table["text"], rolling, size)
             key, text = signatures(found, most)
-            sets = (text, found.size, Sketches(found)) if sketched else None
-            yield _parcels(key, table["node"].to_numpy()[text], table["note"].to_numpy()[text], buckets, sets)
+            yield _parcels(key, table["node"].to_numpy()[text], buckets)[0]
 
     return run
 
 
-def _groups(table: pa.Table, *order: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes and notes by group, and starts and sizes of the groups: of two nodes or more, each set of nodes once."""
-    value, node, note = _unpack(table)
-    at = np.lexsort((node, note, value) if "note" in order else (node, value))
-    value, node, note = value[at], node[at], note[at]
+def _groups(table: pa.Table) -> pa.Table:
+    """Signatures that several nodes have (`met`, as numbers) and these nodes. Of a bucket's own groups, each set of nodes
+    stays once; those that other chunks decided are passed on."""
+    value, node = _met(table)
+    bucket = int(table["bucket"][0].as_py())
     first = np.flatnonzero(heads(value))
-    size = np.diff(np.append(first, len(value)))
     if len(first):
+        size = np.diff(np.append(first, len(value)))
         named = np.add.reduceat(mix(node.view(np.uint64) + np.uint64(BASES[0])), first)
-        one = np.zeros(len(first), bool)
-        one[np.unique(np.stack([named, size.astype(np.uint64)], 1), axis=0, return_index=True)[1]] = True
-        keep = one & (size > 1)
-        node, note, size = node[np.repeat(keep, size)], note[np.repeat(keep, size)], size[keep]
-        first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else np.zeros(0, np.int64)
-    return node, note, first, size
-
-
-def _weights(table: pa.Table) -> pa.Table:
-    """How many others each node meets in the bucket's groups. What copies were made from meets most."""
-    node, _, _, size = _groups(table)
-    own, at = np.unique(node, return_inverse=True)
-    return pa.table({"node": own, "weight": np.bincount(at, np.repeat(size - 1, size), len(own)).astype(np.int64)})
-
-
-def _as_pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    both = both[both[:, 0] != both[:, 1]]
-    return pa.table({"a": both[:, 0], "b": both[:, 1]})
-
-
-def _stars(table: pa.Table) -> pa.Table:
-    """Each group's nodes with the one of largest weight."""
-    node, weight, first, size = _groups(table, "note")
-    if not len(first):
-        return _as_pairs(node, node)
-    return _as_pairs(node, np.repeat(node[first + size - 1], size))
-
-
-def _apart(group: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs of one group and other labels, at most BLOCK at a time; rows come sorted by group and label.
-    A group may fall into many blocks, and pairs of equal labels are never formed."""
-    if not len(group):
-        return
-
-    def ends(*columns: np.ndarray) -> np.ndarray:
-        edges = np.append(np.flatnonzero(heads(*columns)), len(group))
-        return np.repeat(edges[1:], np.diff(edges))
-
-    # a row's partners are those from its label's end to its group's end
-    end = ends(group)
-    total = np.cumsum(end - ends(group, label))
-    for lo in range(0, int(total[-1]), BLOCK):
-        at = np.arange(lo, min(lo + BLOCK, int(total[-1])))
-        row = np.searchsorted(total, at, "right")
-        yield row, end[row] - (total[row] - at)
-
-
-def _others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a group's nodes that have other labels, but for those whose sketches differ in more bits than a
-    seventh of both sizes, which is the most that linked sets differ in; the note is the label less the node. Pairs leave
-    block by block; a pair may come from several."""
-    table = pa.Table.from_batches(batches)
-    node, note, first, size = _groups(table, "note")
-    label, group = node + note, np.repeat(np.arange(len(first)), size)
-    at = np.lexsort((node, label, group))
-    node, label = node[at], label[at]
-    own, sizes, bits = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[c]]) for c, kind in (("own", np.int64), ("sizes", np.int64), ("sketches", np.uint64)))
-    by_level = folded(own, sizes, bits)
-    known, at = np.unique(own, return_index=True)
-    sized = sizes[at]
-    level = levels(sized)
-    for left, right in _apart(group, label):
-        pairs = np.unique(np.sort(np.stack([node[left], node[right]], 1), 1), axis=0)
-        x, y = np.searchsorted(known, pairs[:, 0]), np.searchsorted(known, pairs[:, 1])
-        both, most = np.minimum(level[x], level[y]), (sized[x] + sized[y]) // 7
-        found = [np.zeros((0, 2), np.int64)]
-        for k in np.unique(both):
-            held, rows = by_level[k]
-            here = np.flatnonzero(both == k)
-            # a few words of sketches at a time, however long they are
-            few = max(1, BLOCK // rows.shape[1])
-            for cut in (here[i : i + few] for i in range(0, len(here), few)):
-                differ = np.bitwise_count(rows[np.searchsorted(held, pairs[cut, 0])] ^ rows[np.searchsorted(held, pairs[cut, 1])]).sum(1)
-                found.append(pairs[cut][differ <= most[cut]])
-        found = np.concatenate(found)
-        yield from _as_pairs(found[:, 0], found[:, 1]).to_batches()
-
-
-def _features(size: int):
+        told = np.isin(value[first], np.unique(_unpacked(table["tells"], np.uint32)))
+        own = np.zeros(len(first), bool)
+        own[np.unique(np.stack([named, size.astype(np.uint64)], 1), axis=0, return_index=True)[1]] = True
+        keep = np.repeat(own | told, size)
+        value, node = value[keep], node[keep]
+    done = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_buffer(), np.int64) for x in table["done"])])
+    return pa.table({"met": np.concatenate([(bucket << 32) | value.astype(np.int64), done]), "node": np.concatenate([node, _unpacked(table["owners"])])})
+
+
+def _sketched(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(BASES[0])
         for table in chunks(batches, "text"):
             found = Shingles(table["text"], rolling, size)
-            lists = pa.ListArray.from_arrays(pa.array(found.first.astype(np.int32)), pa.array(found.hash.view(np.int64)))
-            yield batch(["node", "features"], table["node"].combine_chunks(), lists)
+            sketches = Sketches(found)
+            yield batch(["node", "size", "sketch"], table["node"].combine_chunks(), found.size.astype(np.int64), pa.array([sketches.of(i) for i in range(table.num_rows)], pa.binary()))
+
+    return run
+
+
+def _cell(table: pa.Table) -> pa.Table:
+    """Pairs of other roots in one cell, but for those whose sketches differ in more bits than a seventh of both sizes,
+    which is the most that linked sets differ in. A cell has a left and a right side of bounded size; with one side alone
+    it stands for that side's own pairs."""
+    node, root, size, side = (table[c].to_numpy() for c in ("node", "root", "size", "side"))
+    bits = folded([np.frombuffer(x.as_buffer(), np.uint64) for x in table["sketch"]])
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(right)
+    right = left if alone else right
+    found = [np.zeros((0, 2), np.int64)]
+    step = max(1, BLOCK // (len(right) * bits.shape[1]) if len(right) else 1)
+    for lo in range(0, len(left), step):
+        rows = left[lo : lo + step]
+        open_ = root[rows][:, None] != root[right][None, :]
+        if alone:
+            open_ &= np.arange(lo, lo + len(rows))[:, None] < np.arange(len(right))[None, :]
+        if not open_.any():
+            continue
+        differ = np.bitwise_count(bits[rows][:, None, :] ^ bits[right][None, :, :]).sum(2, dtype=np.int64)
+        x, y = np.nonzero(open_ & (differ <= (size[rows][:, None] + size[right][None, :]) // 7))
+        found.append(np.sort(np.stack([node[rows[x]], node[right[y]]], 1), 1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def cells(members: DataFrame) -> DataFrame:
+    """Cells of pairs, from members (met, node, root, size, sketch) of groups with several roots.
+
+    A group's largest root is its main one; nodes of it never meet each other. The others are dealt to blocks by their
+    hash, and so are the main root's nodes; each pair of blocks with others on one side is a cell. So a group of any size
+    falls into cells of bounded size, and one with few others costs about a row for each node."""
+    of_root = members.groupBy("met", "root").agg(F.count("*").alias("n"), F.max(F.octet_length("sketch")).alias("wide"))
+    # the most nodes, of equals the least root
+    per = of_root.groupBy("met").agg(F.sum("n").alias("n"), F.max("wide").alias("wide"), F.max(F.struct("n", (-F.col("root")).alias("root"))).alias("main"))
+    room = F.greatest(F.lit(1), F.least(F.lit(CELL), F.floor(F.lit(CELL_BYTES) / F.greatest(F.col("wide"), F.lit(1)))))
+    plan = stage(per.select("met", "n", (-F.col("main.root")).alias("main"), F.ceil((F.col("n") - F.col("main.n")) / room).cast("int").alias("few"), F.ceil(F.col("main.n") / room).cast("int").alias("many")), "jaccard-plan")
+    total = plan.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = hot_join(members, plan, "met", "n", total, by=["node"])
+    other, seat = F.col("root") != F.col("main"), F.xxhash64("node")
+    few, many = F.pmod(seat, F.col("few")).cast("int"), F.pmod(seat, F.col("many")).cast("int")
+    to = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), F.lit(side).alias("side"))
+    blocks = F.sequence(F.lit(0), F.col("few") - 1)
+    # among the others: block i on the left of later blocks; against the main root: column -1 - j
+    own = F.transform(blocks, lambda j: F.struct(F.least(few, j).alias("x"), F.greatest(few, j).alias("y"), (few > j).cast("int").alias("side")))
+    against = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda j: to(few, -1 - j, 0))
+    main = F.transform(blocks, lambda i: to(i, -1 - many, 1))
+    dealt = rows.select("met", "node", "root", "size", "sketch", F.explode(F.when(other, F.concat(own, against)).otherwise(main)).alias("to"))
+    return dealt.select("met", "to.*", "node", "root", "size", "sketch").groupBy("met", "x", "y").applyInArrow(_cell, "a bigint, b bigint").distinct()
+
+
+def _linked(size: int):
+    """Pairs of which the texts' sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling(BASES[0])
+        for table in chunks(batches, "_ta"):
+            one, two = Shingles(table["_ta"], rolling, size), Shingles(table["_tb"], rolling, size)
+            row, hashed = np.concatenate([one.text, two.text]), np.concatenate([one.hash, two.hash])
+            order = np.lexsort((hashed, row))
+            twice = ~heads(row[order], hashed[order])
+            common = np.bincount(row[order][twice], minlength=table.num_rows)
+            good = np.flatnonzero(100 * common >= PERCENT * (one.size + two.size - common))
+            yield batch(["a", "b"], table["a"].combine_chunks().take(good), table["b"].combine_chunks().take(good))
 
     return run
 
@@ -384,8 +381,8 @@ class JaccardJoin:
         both = stage(self.rows.mapInArrow(_sets(size, int(max(64, -(-chars // (12 * BUCKET))))), f"{KNOWN}, {PARCELS}"), "jaccard-known")
         self.known = stage(both.filter("bucket is null").select(*[c.split()[0] for c in KNOWN.split(", ")]), "jaccard-rows")
         least = F.min(F.struct("_doc", "_text"))
-        grouped = self.known.filter("n > 0").groupBy("n", "half", "s1", "s2").agg(F.count("*").alias("copies"), least.alias("one"))
-        self.classes = stage(grouped.select(F.monotonically_increasing_id().alias("node"), "n", "half", "s1", "s2", "copies", "one._doc", "one._text"), "jaccard-classes")
+        grouped = self.known.filter("n > 0").groupBy("n", "half", "s1", "s2").agg(F.count("*").alias("copies"), least.alias("one"), F.max("met").alias("met"))
+        self.classes = stage(grouped.select(F.monotonically_increasing_id().alias("node"), "n", "half", "s1", "s2", "copies", "met", "one._doc", "one._text"), "jaccard-classes")
         self.count, self.most = self.classes.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(1))).first()
         near = self._survivors(both.filter("bucket is not null"))
         unstage(both)
@@ -397,35 +394,46 @@ class JaccardJoin:
     def _survivors(self, halves: DataFrame) -> DataFrame:
         """Nodes that may have a partner, with their texts. A partner has three quarters of the set, so of the features
         in half of the domain at most n / 4 are the set's alone; features are counted by 32 bits and a bucket, which
-        only lets more nodes pass."""
+        only lets more nodes pass, and so does counting what was met in a chunk besides."""
         shared = halves.groupBy("bucket").applyInArrow(_shared, "s1 bigint, shared bigint").groupBy("s1").agg(F.sum("shared").alias("shared"))
-        near = self.classes.join(shared, "s1", "left").filter("coalesce(shared, 0) >= half - n div 4").select("node", "_doc", "_text", "n")
-        # rows equal in id and text give the same set
-        return stage(self.rows.join(near, ["_doc", "_text"]).select("node", "n", "text").dropDuplicates(["node"]), "jaccard-survivors")
+        near = self.classes.join(shared, "s1", "left").filter("coalesce(shared, 0) + met >= half - n div 4").select("node", "_doc", "_text", "n")
+        # rows equal in id and text give the same set; the join has dealt them by both already
+        return stage(self.rows.join(near.hint("merge"), ["_doc", "_text"]).dropDuplicates(["_doc", "_text"]).select("node", "n", "text"), "jaccard-survivors")
 
     def _candidates(self, nodes: DataFrame) -> DataFrame:
-        """Verified links: stars of each signature's group around the node that meets most others, then all pairs of a
-        group that aren't connected yet."""
+        """Verified links: stars of each signature's group around the node that is in most groups (what copies were made
+        from is), then all pairs of a group whose nodes aren't connected yet."""
+        spark = nodes.sparkSession
         features = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        self.buckets = int(max(64, -(-4 * features // BUCKET)))
-        weights = self._grouped(nodes.withColumn("note", F.lit(0).cast("bigint")), _weights, "node bigint, weight bigint").groupBy("node").agg(F.sum("weight").alias("weight"))
-        weighed = nodes.join(weights, "node", "left").withColumn("note", F.coalesce("weight", F.lit(0).cast("bigint")))
-        tried = stage(self._grouped(weighed, _stars, "a bigint, b bigint").distinct(), "jaccard-stars")
+        buckets = int(max(64, -(-4 * features // BUCKET)))
+        parcels = nodes.select("node", "text").mapInArrow(_signed(self.size, buckets, self.most), PARCELS)
+        met = stage(parcels.groupBy("bucket").applyInArrow(_groups, "met bigint, node bigint"), "jaccard-groups")
+        release(spark)
+        weighed = met.join(met.groupBy("node").agg(F.count("*").alias("weight")), "node")
+        centres = weighed.groupBy("met").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("n"))
+        centres = stage(centres.select("met", "n", F.col("top.node").alias("centre")), "jaccard-centres")
+        stars = hot_join(met, centres, "met", "n", met.count()).filter("node != centre")
+        tried = stage(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "jaccard-stars")
         links = self._verified(tried, nodes)
-        labels = nodes.join(components_of(links), "node", "left").withColumn("note", F.coalesce(F.col("root") - F.col("node"), F.lit(0).cast("bigint")))
-        rest = self._grouped(labels, _others, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
-        return links.unionByName(self._verified(stage(rest, "jaccard-rest"), nodes)).distinct()
-
-    def _grouped(self, nodes: DataFrame, of, schema: str) -> DataFrame:
-        return nodes.select("node", "note", "text").mapInArrow(_signed(self.size, self.buckets, self.most, of is _others), PARCELS).groupBy("bucket").applyInArrow(of, schema)
+        release(spark)
+        rooted = met.join(components_of(links), "node", "left").select("met", "node", F.coalesce("root", "node").alias("root"))
+        mixed = stage(rooted.groupBy("met").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("name")).filter("lo < hi"), "jaccard-mixed")
+        # of groups of equal nodes one stays
+        own = mixed.groupBy("name", "n").agg(F.min("met").alias("met")).select("met", "n")
+        members = stage(hot_join(rooted, stage(own, "jaccard-own"), "met", "n", met.count()), "jaccard-members")
+        marked = nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "text").mapInArrow(_sketched(self.size), "node bigint, size bigint, sketch binary")
+        drawn = stage(members.join(stage(marked, "jaccard-sketches").hint("merge"), "node"), "jaccard-drawn")
+        rest = stage(cells(drawn).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
+        release(spark)
+        return links.unionByName(self._verified(rest, nodes)).distinct()
 
     def _verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        ends = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-ends")
-        sets = stage(nodes.select("node", "text").join(ends, "node").mapInArrow(_features(self.size), "node bigint, features array<bigint>"), "jaccard-sets")
-        side = lambda c: sets.select(F.col("node").alias(c), F.col("features").alias(f"_{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        common = F.size(F.array_intersect("_a", "_b"))
-        return stage(both.filter(100 * common >= PERCENT * (F.size("_a") + F.size("_b") - common)).select("a", "b"), "jaccard-verified")
+        """The pairs of which 100 * intersection >= 75 * union, from their texts. A node may be in any share of them."""
+        total, out = pairs.count(), pairs
+        for c in ("a", "b"):
+            side = nodes.select(F.col("node").alias(c), F.col("text").alias(f"_t{c}"))
+            out = hot_join(out, side, c, "_n", total, by=["a", "b"], counts=pairs.groupBy(c).agg(F.count("*").alias("_n")))
+        return stage(out.mapInArrow(_linked(self.size), "a bigint, b bigint"), "jaccard-verified")
 
     def _rooted(self) -> DataFrame:
         return self.classes.join(components_of(self.links), "node", "left").withColumn("root", F.coalesce("root", "node"))
