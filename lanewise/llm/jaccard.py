@@ -328,6 +328,33 @@ def _cell(table: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches differ in no more bits than a seventh of both sizes."""
+    for one in batches:
+        differ = np.zeros(one.num_rows, np.int64)
+        for i, (x, y) in enumerate(zip(one.column(4), one.column(5), strict=True)):
+            two = folded([np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y)])
+            differ[i] = np.bitwise_count(two[0] ^ two[1]).sum(dtype=np.int64)
+        keep = np.flatnonzero(differ <= (one.column(2).to_numpy() + one.column(3).to_numpy()) // 7)
+        yield batch(["a", "b"], one.column(0).take(pa.array(keep)), one.column(1).take(pa.array(keep)))
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """Members (met, node, root) to pair, from rows (met, n, lead, node, root) of groups with several roots.
+
+    Near copies make many groups of nearly the same nodes. Groups with one least node (`lead`) are joined to one of all
+    their nodes where that has no more pairs than they have together; where it has more, they stay apart. Either way each
+    pair of a group is in some group of the result."""
+    distinct = rows.groupBy("lead", "node", "root").agg(F.sum("n").alias("pairs"), F.count("*").alias("rows"))
+    # each node of a group of n carries n, so these sum to the squares of the sizes
+    leads = distinct.groupBy("lead").agg(F.count("*").alias("nodes"), F.sum("pairs").alias("pairs"), F.sum("rows").alias("rows"))
+    leads = stage(leads.select("lead", "nodes", "rows", (F.col("nodes").cast("double") * F.col("nodes") > F.col("pairs")).alias("apart")), "jaccard-leads")
+    nodes, total = leads.agg(F.coalesce(F.sum("nodes"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    joined = hot_join(distinct.select("lead", "node", "root"), leads.filter("not apart").select("lead", "nodes", "apart"), "lead", "nodes", nodes).select(F.xxhash64("lead").alias("met"), "node", "root")
+    single = hot_join(rows.select("lead", "met", "node", "root"), leads.filter("apart").select("lead", "rows", "apart"), "lead", "rows", total).select(F.xxhash64("lead", "met").alias("met"), "node", "root")
+    return joined.unionByName(single)
+
+
 def cells(members: DataFrame) -> DataFrame:
     """Cells of pairs, from members (met, node, root, size, sketch) of groups with several roots.
 
@@ -409,24 +436,32 @@ class JaccardJoin:
         parcels = nodes.select("node", "text").mapInArrow(_signed(self.size, buckets, self.most), PARCELS)
         met = stage(parcels.groupBy("bucket").applyInArrow(_groups, "met bigint, node bigint"), "jaccard-groups")
         release(spark)
+        total = met.count()
         weighed = met.join(met.groupBy("node").agg(F.count("*").alias("weight")), "node")
         centres = weighed.groupBy("met").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("n"))
         centres = stage(centres.select("met", "n", F.col("top.node").alias("centre")), "jaccard-centres")
-        stars = hot_join(met, centres, "met", "n", met.count()).filter("node != centre")
+        stars = hot_join(met, centres, "met", "n", total).filter("node != centre")
         tried = stage(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "jaccard-stars")
-        links = self._verified(tried, nodes)
+        sketches = stage(nodes.select("node", "text").mapInArrow(_sketched(self.size), "node bigint, size bigint, sketch binary"), "jaccard-sketches")
+        links = self._verified(self._alike(tried, sketches), nodes)
         release(spark)
         rooted = met.join(components_of(links), "node", "left").select("met", "node", F.coalesce("root", "node").alias("root"))
-        mixed = stage(rooted.groupBy("met").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("name")).filter("lo < hi"), "jaccard-mixed")
-        # of groups of equal nodes one stays
-        own = mixed.groupBy("name", "n").agg(F.min("met").alias("met")).select("met", "n")
-        members = stage(hot_join(rooted, stage(own, "jaccard-own"), "met", "n", met.count()), "jaccard-members")
-        marked = nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "text").mapInArrow(_sketched(self.size), "node bigint, size bigint, sketch binary")
-        drawn = stage(members.join(stage(marked, "jaccard-sketches").hint("merge"), "node"), "jaccard-drawn")
+        mixed = rooted.groupBy("met").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("lead"))
+        mixed = stage(mixed.filter("lo < hi").select("met", "n", "lead"), "jaccard-mixed")
+        members = stage(gathered(hot_join(rooted, mixed.withColumn("_size", F.col("n")), "met", "_size", total)), "jaccard-members")
+        unstage(met, centres)
+        drawn = stage(members.join(sketches.hint("merge"), "node"), "jaccard-drawn")
         rest = stage(cells(drawn).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
         release(spark)
         return links.unionByName(self._verified(rest, nodes)).distinct()
 
+    def _alike(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """The pairs that their sketches don't rule out."""
+        total, out = pairs.count(), pairs
+        for c in ("a", "b"):
+            out = hot_join(out, sketches.select(F.col("node").alias(c), F.col("size").alias(f"_n{c}"), F.col("sketch").alias(f"_s{c}")), c, "_n", total, by=["a", "b"], counts=pairs.groupBy(c).agg(F.count("*").alias("_n")))
+        return stage(out.select("a", "b", "_na", "_nb", "_sa", "_sb").mapInArrow(_near, "a bigint, b bigint"), "jaccard-alike")
+
     def _verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs of which 100 * intersection >= 75 * union, from their texts. A node may be in any share of them."""
         total, out = pairs.count(), pairs

@@ -191,6 +191,18 @@ def test_cells_equal_brute_force(spark, monkeypatch):
     assert want <= got and all(a < b for a, b in got)
 
 
+def test_gathered_keeps_every_pair(spark):
+    """Nested groups of one least node become one; a hub's groups that have nothing else in common stay apart."""
+    nested = [(m, sorted({0, *range(1 + m % 3, 30)})) for m in range(20)]
+    hub = [(100 + m, [1000, *range(2000 + 50 * m, 2050 + 50 * m)]) for m in range(20)]
+    rows = [(m, len(g), g[0], x, x % 7) for m, g in nested + hub for x in g]
+    out = jaccard.gathered(spark.createDataFrame(rows, "met bigint, n bigint, lead bigint, node bigint, root bigint")).collect()
+    groups = {}
+    for r in out:
+        groups.setdefault(r["met"], set()).add(r["node"])
+    assert sorted(map(len, groups.values())) == [30] + [51] * 20 and len(out) == 30 + 51 * 20
+
+
 def test_exchange_tells_what_chunks_decided():
     """A key that several nodes of a chunk have is told once; those nodes travel on, dealt over the buckets."""
     n = 5000
