@@ -339,19 +339,22 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(["a", "b"], one.column(0).take(pa.array(keep)), one.column(1).take(pa.array(keep)))
 
 
-def gathered(rows: DataFrame) -> DataFrame:
-    """Members (met, node, root) to pair, from rows (met, n, lead, node, root) of groups with several roots.
-
-    Near copies make many groups of nearly the same nodes. Groups with one least node (`lead`) are joined to one of all
-    their nodes where that has no more pairs than they have together; where it has more, they stay apart. Either way each
-    pair of a group is in some group of the result."""
-    distinct = rows.groupBy("lead", "node", "root").agg(F.sum("n").alias("pairs"), F.count("*").alias("rows"))
-    # each node of a group of n carries n, so these sum to the squares of the sizes
-    leads = distinct.groupBy("lead").agg(F.count("*").alias("nodes"), F.sum("pairs").alias("pairs"), F.sum("rows").alias("rows"))
-    leads = stage(leads.select("lead", "nodes", "rows", (F.col("nodes").cast("double") * F.col("nodes") > F.col("pairs")).alias("apart")), "jaccard-leads")
-    nodes, total = leads.agg(F.coalesce(F.sum("nodes"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-    joined = hot_join(distinct.select("lead", "node", "root"), leads.filter("not apart").select("lead", "nodes", "apart"), "lead", "nodes", nodes).select(F.xxhash64("lead").alias("met"), "node", "root")
-    single = hot_join(rows.select("lead", "met", "node", "root"), leads.filter("apart").select("lead", "rows", "apart"), "lead", "rows", total).select(F.xxhash64("lead", "met").alias("met"), "node", "root")
+def gathered(rooted: DataFrame, mixed: DataFrame, total: int) -> DataFrame:
+    """Members (met, node, root) to pair: rooted has these of all groups, `total` in all, and mixed the groups (met, n, lead)
+    that have several roots, with their size and centre.
+
+    Near copies make many groups of nearly the same nodes. Groups with one centre are joined to one of all their nodes
+    where that has no more pairs than they have together; where it has more, they stay apart. Either way each pair of a
+    group is in some group of the result."""
+    rows = hot_join(rooted, mixed.withColumn("_n", F.col("n")), "met", "_n", total)
+    distinct = rows.select("lead", "node", "root").distinct()
+    groups = mixed.groupBy("lead").agg(F.count("*").alias("groups"), F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+    leads = distinct.groupBy("lead").agg(F.count("*").alias("nodes")).join(groups, "lead")
+    leads = stage(leads.select("lead", "nodes", "groups", (F.col("nodes").cast("double") * F.col("nodes") > F.col("pairs")).alias("apart")), "jaccard-leads")
+    nodes, n_groups = leads.agg(F.coalesce(F.sum("nodes"), F.lit(0)), F.coalesce(F.sum("groups"), F.lit(0))).first()
+    joined = hot_join(distinct, leads.filter("not apart").select("lead", "nodes", "apart"), "lead", "nodes", nodes).select(F.xxhash64("lead").alias("met"), "node", "root")
+    apart = stage(hot_join(mixed, leads.filter("apart").select("lead", "groups", "apart"), "lead", "groups", n_groups).select("met", "n", "lead"), "jaccard-apart")
+    single = hot_join(rooted, apart, "met", "n", total).select(F.xxhash64("lead", "met").alias("met"), "node", "root")
     return joined.unionByName(single)
 
 
@@ -446,9 +449,9 @@ class JaccardJoin:
         links = self._verified(self._alike(tried, sketches), nodes)
         release(spark)
         rooted = met.join(components_of(links), "node", "left").select("met", "node", F.coalesce("root", "node").alias("root"))
-        mixed = rooted.groupBy("met").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("lead"))
-        mixed = stage(mixed.filter("lo < hi").select("met", "n", "lead"), "jaccard-mixed")
-        members = stage(gathered(hot_join(rooted, mixed.withColumn("_size", F.col("n")), "met", "_size", total)), "jaccard-members")
+        mixed = rooted.groupBy("met").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+        mixed = stage(mixed.select("met", "n").join(centres.select("met", F.col("centre").alias("lead")).hint("merge"), "met"), "jaccard-mixed")
+        members = stage(gathered(rooted, mixed, total), "jaccard-members")
         unstage(met, centres)
         drawn = stage(members.join(sketches.hint("merge"), "node"), "jaccard-drawn")
         rest = stage(cells(drawn).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
