@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, stage
+from .common import LAST_ID, hot_join, stage
 
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
@@ -145,9 +145,15 @@ def quality(docs: DataFrame, p: QualityParams = QualityParams(), keep: tuple[str
 
 
 def kept_documents(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
-    """The rows of docs that the rules keep, with their own columns."""
-    judged = quality(docs, p, tuple(docs.columns)).filter("kept")
-    return judged.select(*[F.col(f"_keep_{c}").alias(c) for c in docs.columns])
+    """The rows of docs that the rules keep, with their own columns. Rows equal in doc_id, text and source share their fate;
+    null ids, texts and sources count as values of their own. What is staged are measures; the rows themselves meet the
+    kept keys in one shuffle."""
+    own = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)), F.xxhash64("text"), F.coalesce(F.concat(F.lit("h"), "source"), F.lit(""))]
+    key, host = own[1].alias("_text"), F.coalesce(F.concat(F.lit("h"), "host"), F.lit("")).alias("_host")
+    judged = quality(docs.select("doc_id", "text", "source", key), p, ("_text",)).filter("kept")
+    kept = judged.select(own[0].alias("_doc"), F.col("_keep__text").alias("_text"), host).distinct()
+    rows = docs.select(*[c.alias(n) for c, n in zip(own, ("_doc", "_text", "_host"), strict=True)], F.struct(*docs.columns).alias("_row"))
+    return rows.join(kept.hint("merge"), ["_doc", "_text", "_host"], "left_semi").select("_row.*")
 
 
 def op1_host_rules(spark, sf_dir: str) -> DataFrame:
