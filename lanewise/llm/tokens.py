@@ -22,13 +22,18 @@ VOCABULARY = "byte_bpe_50k.json"
 LEAF = 64
 #: Outside this range, and where a special token's name stands in a text, the ids come from the slower library.
 _PLAIN = re.compile("[　-\U0010ffff]|<\\|endoftext\\|>")
+#: White space as the vocabulary's pattern means it.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space of this length is too deep for the fast encoder's matcher.
+LONG_WHITE = 10_000
+_LONG = re.compile(f"(?<![{WHITE}])[{WHITE}]{{{LONG_WHITE}}}")
 
 
 class Vocabulary:
     """Ids as Tokenizer.from_file(path).encode(text, add_special_tokens=False) gives them.
 
     tiktoken reads the same merges as ranks and is four times as fast; the tests hold the two equal for every code point
-    below U+3000. Other texts go to tokenizers itself."""
+    below U+3000. Other texts, and those with very long white space, go to tokenizers itself."""
 
     def __init__(self, path: str):
         import os
@@ -38,7 +43,8 @@ class Vocabulary:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
+        self.exact, self.ordinary = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.ordinary.encode_special_tokens = True
         ranks = dict(line.split() for line in open(path.removesuffix(".json") + ".tiktoken", "rb"))
         ranks = {base64.b64decode(token): int(rank) for token, rank in ranks.items()}
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -52,10 +58,18 @@ class Vocabulary:
         return kept[path]
 
     def ids(self, text: str) -> list[int]:
-        if _PLAIN.search(text):
+        if _PLAIN.search(text) or self.deep(text):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
+    def count(self, text: str) -> int:
+        """Tokens of the text, in which special tokens' names are ordinary text."""
+        return len(self.ordinary.encode(text, add_special_tokens=False).ids if self.deep(text) else self.fast.encode_ordinary(text))
+
+    @staticmethod
+    def deep(text: str) -> bool:
+        return len(text) >= LONG_WHITE and _LONG.search(text) is not None
+
 
 def vocabulary_path() -> str:
     import public_tokenizers
@@ -94,10 +108,6 @@ class TokenTree:
             node //= 2
 
 
-#: White space as the vocabulary's pattern means it.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
 class Pretokens:
     """Cuts texts at pre-tokens, keeps trees of their counts and edits both."""
 
@@ -110,7 +120,7 @@ class Pretokens:
         self.vocabulary = Vocabulary.at(path)
 
     def count(self, text: str) -> int:
-        return len(self.vocabulary.fast.encode_ordinary(text)) if text else 0
+        return self.vocabulary.count(text) if text else 0
 
     def tree(self, text: str) -> TokenTree:
         out = TokenTree(self.leaves(text, 0, len(text)))
@@ -119,17 +129,22 @@ class Pretokens:
 
     def leaves(self, text: str, left: int, right: int) -> list[int]:
         """Lengths of the leaves between two boundaries of pre-tokens."""
-        out, last, n = [], left, 0
-        if left == right:
-            return out
+        return self.cut(text, left, iter([right]))[0] if left < right else []
+
+    def cut(self, text: str, left: int, bounds: Iterator[int]) -> tuple[list[int], int]:
+        """Lengths of the leaves from the boundary `left` on, up to the first of the ascending `bounds` at which a
+        pre-token ends, and this bound. One pass over the text between."""
+        out, last, n, bound = [], left, 0, next(bounds)
         for m in self.pattern.finditer(text, left):
             end, n = m.end(), n + 1
-            if n == LEAF or end >= right:
+            while bound < end:
+                bound = next(bounds)
+            if n == LEAF or end == bound:
                 out.append(end - last)
                 last, n = end, 0
-                if end >= right:
+                if end == bound:
                     break
-        return out
+        return out, bound
 
     def by_leaf(self, text: str, at: int, chars: list[int]) -> list[int]:
         """Tokens of each leaf from `at` on. A run of white space looks at the character after it, so white space at a
@@ -151,35 +166,73 @@ class Pretokens:
         return counts
 
     def edit(self, text: str, tree: TokenTree, start: int, end: int, new: str) -> tuple[str, int]:
-        """Replace text[start:end] by new; the tree follows. Returns the new text and how many characters were encoded."""
-        changed, shift = text[:start] + new + text[end:], len(new) - (end - start)
+        return self.edit_all(text, tree, [(start, end, new)])
+
+    def edit_all(self, text: str, tree: TokenTree, edits: list[tuple[int, int, str]]) -> tuple[str, int]:
+        """Replace text[start:end] by new for each of the disjoint edits; the tree follows. Returns the new text and how many
+        characters were encoded. One sweep: leaves away from the edits keep their counts, and each stretch around edits is
+        cut and encoded once, up to the first old boundary behind them at which a pre-token still ends."""
+        if not edits:
+            return text, 0
+        edits = sorted(edits)
+        start, end = (np.array([e[i] for e in edits], np.int64) for i in (0, 1))
+        pieces, at = [], 0
+        for a, b, new in edits:
+            pieces += [text[at:a], new]
+            at = b
+        changed = "".join([*pieces, text[at:]])
+        shift = np.concatenate([[0], np.cumsum([len(e[2]) - (e[1] - e[0]) for e in edits])])
         edges = np.concatenate([[0], np.cumsum(tree.chars, dtype=np.int64)])
-        n = len(tree.chars)
-        first = max(0, int(np.searchsorted(edges, start, "right")) - 2)
-        while first and not text[edges[first] : min(edges[first + 1], start)].strip(WHITE):
-            first -= 1
-        last = min(n, int(np.searchsorted(edges, end, "left")) + 1)
-        left = int(edges[first])
-        while last < n and not self.bounded(changed, left, int(edges[last]) + shift):
-            last += 1
-        right = int(edges[last]) + shift
-        chars = self.leaves(changed, left, right)
-        counts = self.by_leaf(changed, left, chars)
-        old = tree.counts()
-        tree.chars[first:last] = chars
-        if len(chars) == last - first:
-            for i, count in enumerate(counts):
-                tree.update(first + i, count)
+        moved = edges + shift[np.searchsorted(end, edges, "right")]
+        n, old = len(tree.chars), tree.counts()
+        # the leaves around each edit, with context: before it up to one that isn't white, behind it one
+        low = np.maximum(0, np.searchsorted(edges, start, "right") - 2).tolist()
+        high = np.minimum(n, np.searchsorted(edges, end, "left") + 1).tolist()
+        chars: list[int] = []
+        counts: list[int] = []
+        touched: list[tuple[int, int, int]] = []
+        leaf = encoded = k = 0
+        while k < len(edits):
+            first = low[k]
+            while first > leaf and not text[edges[first] : min(edges[first + 1], edits[k][0])].strip(WHITE):
+                first -= 1
+            first = max(first, leaf)
+            reached = [high[k], k + 1]  # the least leaf to end at, and the next edit
+
+            def bounds(reached: list[int] = reached) -> Iterator[int]:
+                at = reached[0]
+                while at < n:
+                    while reached[1] < len(edits) and low[reached[1]] < at:
+                        at = max(at, high[reached[1]])
+                        reached[1] += 1
+                    if at < n:
+                        reached[0] = at
+                        yield int(moved[at])
+                        at += 1
+                reached[:] = [n, len(edits)]
+                yield len(changed)
+
+            left = int(moved[first]) if first else 0
+            found, right = self.cut(changed, left, bounds()) if left < len(changed) else ([], len(changed))
+            if not found:
+                reached[:] = [n, len(edits)]
+            chars += tree.chars[leaf:first]
+            counts += old[leaf:first]
+            touched.append((len(chars), len(found), reached[0] - first))
+            chars += found
+            counts += self.by_leaf(changed, left, found)
+            encoded += right - left
+            leaf, k = reached
+        chars += tree.chars[leaf:]
+        counts += old[leaf:]
+        tree.chars = chars
+        if all(new == before for _, new, before in touched):
+            for at, new, _ in touched:
+                for i in range(at, at + new):
+                    tree.update(i, counts[i])
         else:
-            tree.rebuild(old[:first] + counts + old[last:])
-        return changed, right - left
-
-    def bounded(self, text: str, left: int, right: int) -> bool:
-        """Does a pre-token end at `right`, counted from the boundary `left`?"""
-        for m in self.pattern.finditer(text, left):
-            if m.end() >= right:
-                return m.end() == right
-        return left == right
+            tree.rebuild(counts)
+        return changed, encoded
 
 
 EDITED = "doc_id bigint, n_tokens bigint, n_edits bigint, n_tokens_after bigint, n_chars_encoded bigint, leaf_chars array<int>, sums array<int>"
@@ -190,7 +243,7 @@ def count_edited(docs: DataFrame, edits: str = "edits", path: str | None = None)
     """Token counts of each text before and after its edits.
 
     `edits` names a column array<struct<start:int,end:int,text:string>> of replacements in code points of the original
-    text, which must not overlap; they are applied from the last to the first. Special tokens' names in a text count as
+    text, which must not overlap; all are applied in one sweep. Special tokens' names in a text count as
     ordinary text. Returns both counts, the number of edits, the code points encoded again and the tree after the edits.
     Null texts are empty and have no tokens; null edits are none; an empty edit changes nothing; other columns are not
     read; repeated rows are rows of their own.
@@ -204,10 +257,8 @@ def count_edited(docs: DataFrame, edits: str = "edits", path: str | None = None)
             for doc, text, changes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 text, changes = text.as_py() or "", changes.as_py() or []
                 tree = pretokens.tree(text)
-                before, encoded = tree.count, 0
-                for change in sorted(changes, key=lambda c: -c["start"]):
-                    text, n = pretokens.edit(text, tree, change["start"], change["end"], change["text"] or "")
-                    encoded += n
+                before = tree.count
+                _, encoded = pretokens.edit_all(text, tree, [(c["start"], c["end"], c["text"] or "") for c in changes])
                 rows.append((doc, before, len(changes), tree.count, encoded, tree.chars, tree.sums))
             kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2
             columns = list(zip(*rows, strict=True)) or [[]] * 7
