@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_join, shared_root, stage
+from .common import hot_join, shared_root, stage, unstage
 
 #: Fixed by the WARC 1.1 standard.
 VERSION, END = "WARC/1.1", "\r\n\r\n"
@@ -33,8 +33,9 @@ def sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}:{digest}>"
+def record_id(page_id: int | None, digest: str, row: int) -> str:
+    """A row's own name: rows equal in page_id and payload are records of their own."""
+    return f"<urn:x-page:{'' if page_id is None else page_id}:{digest}:{row}>"
 
 
 def page_of(record: str) -> int | None:
@@ -77,12 +78,13 @@ def record(kind: str, own: str, block: bytes, **fields: object) -> bytes:
     return "\r\n".join(head).encode() + END.encode() + block
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, owner: int | None, revisit: bool, segment: int, chunk: int) -> Iterator[bytes]:
+def records(page_id: int | None, row: int, url: str | None, payload: bytes, owner: tuple[int, int] | None, segment: int, chunk: int) -> Iterator[bytes]:
+    """The records of one page: a revisit if another page's row (page_id, row) owns the payload, else a response."""
     digest = sha1(payload)
-    own = record_id(page_id, digest)
+    own = record_id(page_id, digest, row)
     uri = None if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~")
-    if revisit:
-        yield record("revisit", own, HTTP, Target_URI=uri, Payload_Digest=f"sha1:{digest}", Profile=PROFILE, Refers_To=record_id(owner, digest))
+    if owner is not None:
+        yield record("revisit", own, HTTP, Target_URI=uri, Payload_Digest=f"sha1:{digest}", Profile=PROFILE, Refers_To=record_id(owner[0], digest, owner[1]))
         return
     block = HTTP + chunked(payload, chunk)
     if len(block) <= segment:
@@ -100,23 +102,24 @@ def records(page_id: int | None, url: str | None, payload: bytes, owner: int | N
 
 def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 16 << 10, chunk_bytes: int = 4 << 10) -> None:
     """Write a record for each page: of pages with equal payloads those with the largest page_id are responses, the
-    others revisit it. Digests are shuffled alone; the pages then meet the list of revisits by page_id and digest."""
+    others revisit it. Pages are written once with an arrival number; digests are shuffled alone, and the pages then meet
+    the list of revisits by that number, which no two rows share."""
     body = F.coalesce("html", F.lit("")).cast("binary")
     own = F.coalesce(F.col("page_id").cast("bigint"), F.lit(NO_ID))
-    known = pages.select(own.alias("_id"), F.sha2(body, 256).alias("_h"), F.octet_length(body).cast("bigint").alias("_n"))
-    known = stage(known, "warc-digests")
-    total, size = known.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
-    owners = known.groupBy("_h").agg(F.count("*").alias("_copies"), F.max("_id").alias("_owner")).filter("_copies > 1")
-    revisits = stage(hot_join(known.select("_id", "_h"), stage(owners, "warc-owners"), "_h", "_copies", total).filter("_id < _owner").distinct(), "warc-revisits")
-    rows = pages.select(own.alias("_id"), F.col("page_id").cast("bigint").alias("page_id"), "url", body.alias("html"), F.sha2(body, 256).alias("_h"))
-    rows = rows.join(revisits, ["_id", "_h"], "left").select("page_id", "url", "html", "_owner")
+    held = pages.select(own.alias("_id"), F.monotonically_increasing_id().alias("_at"), F.sha2(body, 256).alias("_h"), F.octet_length(body).cast("bigint").alias("_n"), F.col("page_id").cast("bigint").alias("page_id"), "url", body.alias("html"))
+    held = stage(held, "warc-pages")
+    known = held.select("_id", "_at", "_h")
+    total, size = held.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    owners = known.groupBy("_h").agg(F.count("*").alias("_copies"), F.max(F.struct("_id", "_at")).alias("_owner")).filter("_copies > 1")
+    revisits = stage(hot_join(known, stage(owners, "warc-owners"), "_h", "_copies", total).filter("_id < _owner._id").select("_at", "_owner"), "warc-revisits")
+    rows = held.join(revisits.hint("merge"), "_at", "left").select("page_id", "_at", "url", "html", F.col("_owner._id").alias("_owner"), F.col("_owner._at").alias("_owner_at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size = [], 0
-            for page, url, html, owner in zip(*(batch.column(i) for i in range(4)), strict=True):
-                owner = owner.as_py()
-                for one in records(page.as_py(), url.as_py(), html.as_py(), None if owner == NO_ID else owner, owner is not None, segment_bytes, chunk_bytes):
+            for page, at, url, html, owner, owner_at in zip(*(batch.column(i) for i in range(6)), strict=True):
+                owned = (owner.as_py(), owner_at.as_py()) if owner.is_valid else None
+                for one in records(page.as_py(), at.as_py(), url.as_py(), html.as_py(), owned, segment_bytes, chunk_bytes):
                     held.append(one)
                     size += len(one)
                 if size > 8 << 20:
@@ -126,6 +129,7 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 16 << 10,
 
     each = max(1, FILE_BYTES * total // max(size, 1))
     rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", each).text(folder)
+    unstage(held, revisits)
 
 
 def parse(file: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -194,8 +198,8 @@ def assemble(parts: list[dict]) -> tuple[int, bytes]:
 
 
 def reassembled(parsed: DataFrame) -> DataFrame:
-    """Payload length and digest of each segmented record. A group is the segments of one record, so it's no larger than
-    one page."""
+    """Payload length and digest of each segmented record. A group is the segments of one record, and each row that
+    write_archives() was given has a record of its own, so it's no larger than one page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +219,7 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
 
     Null html is an empty payload; a null page_id stays null and counts as the smallest; pages equal in page_id and
     payload each keep a row; of such rows with the largest id all are responses. Broken archives (missing segments, a
-    wrong total, a cut record) raise an error. An empty folder's table gives no rows; only page_id, url and html of the
+    wrong total, a cut record, a revisit whose response isn't there) raise an error. An empty folder's table gives no rows; only page_id, url and html of the
     pages are read, so further columns don't matter.
     """
     parsed = stage(read_archives(spark, folder), "warc-parsed")
@@ -225,12 +229,25 @@ def payloads(spark: SparkSession, folder: str) -> DataFrame:
     sought = revisits.groupBy("refers_to").count()
     # the response that is referred to has the payload's length
     lengths = responses.select(F.col("record_id").alias("refers_to"), "payload_bytes", F.col("page_id").alias("_response")).dropDuplicates(["refers_to"])
-    found = stage(sought.join(lengths, "refers_to"), "warc-referred")
+    missing = F.raise_error(F.concat(F.lit("no response in the archives for the revisit of "), "refers_to"))
+    found = stage(sought.join(lengths, "refers_to", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", missing.cast("bigint"))), "warc-referred")
     met = hot_join(revisits, found, "refers_to", "count", parsed.count())
     out = responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"))
     return out.unionByName(met.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("_response").alias("refers_to")))
 
 
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS owner FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = owner THEN NULL ELSE CAST(owner AS BIGINT) END AS refers_to
+FROM o
+"""
+
+
 def op3_segments(spark, sf_dir: str) -> DataFrame:
     folder = f"{shared_root(spark)}/lanewise/warc-{uuid.uuid4().hex}"
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
