@@ -28,7 +28,9 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 MENTION, SECRET = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", "^[0-9a-f]{32,}$"
 #: What a trusted pattern may find: an address, four digits or more, or a long run of letters and digits.
 SHAPE = r"@[A-Za-z0-9-]+\.|[0-9].*[0-9].*[0-9].*[0-9]|^[A-Za-z0-9_-]{16,}$"
-SPAN = "array<struct<start:int,end:int,m:string,before:string>>"
+SPAN = "array<struct<kind:int,start:int,end:int>>"
+#: Code points in a block of a text that spans are cut from; a binary search's steps, for arrays of up to 2^31 entries.
+CUT, STEPS = 2048, [1 << b for b in range(30, -1, -1)]
 
 
 @dataclass(frozen=True)
@@ -39,19 +41,60 @@ class PiiParams:
     trust: float = 0.75
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Leftmost matches with their places in code points, and the 80 code points before each."""
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, plus) -> Column:
+    """For each entry of an array<int>, the sum (or another associative `plus` with 0 as its start) of those before it. A
+    fold that appends copies its array each time, so it runs in blocks of about the root of the size, and once over the
+    blocks' totals."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+
+    def fold(block: Column) -> Column:
+        return F.aggregate(block, none, lambda acc, x: F.struct(plus(acc["at"], x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))
+
+    def joined(blocks: Column) -> Column:
+        return _let(fold(F.transform(blocks, lambda x: x["at"]))["all"], lambda off: F.flatten(F.transform(blocks, lambda x, k: F.transform(x["all"], lambda y: plus(y, F.get(off, k))))))
+
+    def cut(v: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / step).cast("int")), lambda k: fold(F.slice(v, k * step + 1, step)))
+        return F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(_let(blocks, joined))
+
+    return _let(values, cut)
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _matches(text: Column, pattern: str, context: bool = False) -> Column:
+    """Leftmost matches m with their places in code points; with `context` also the end of what stands before each."""
     between = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
     both = F.filter(between, lambda x: x["m"].isNotNull())
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("all"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.substring(x["p"], -80, 80).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(one)).alias("all"))
+    def placed(b: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            start = F.get(ahead, i) + F.length(x["p"])
+            parts = [start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("m")]
+            if context:
+                # two earlier matches, which are words, and what lies between hold the two words before
+                near = [F.get(b, i - 2)["m"], F.get(b, i - 1)["p"], F.get(b, i - 1)["m"], x["p"]]
+                parts.append(F.substring(F.concat(*[F.coalesce(F.substring(y, -80, 80), F.lit("")) for y in near]), -80, 80).alias("before"))
+            return F.struct(*parts)
 
-    return F.aggregate(both, zero, add, lambda acc: acc["all"])
+        ahead: Column
+
+        def with_ahead(found: Column) -> Column:
+            nonlocal ahead
+            ahead = found
+            return F.transform(b, one)
+
+        return _let(_before(F.transform(b, lambda x: F.length(x["p"]) + F.length(x["m"])), _add), with_ahead)
+
+    return _let(both, placed)
 
 
 def _luhn(digits: Column) -> Column:
@@ -75,34 +118,45 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def _base(text: Column) -> Column:
-    """array<struct<kind,start,end>> of the base rules, by kind and start. The kind is its number."""
+    """For each kind an array<struct<kind,start,end>> of its rule's matches, by start. The kind is its number."""
     parts = []
     for number, kind in enumerate(PATTERNS):
         found = F.filter(_matches(text, PATTERNS[kind]), lambda x: _valid(kind, x["m"]))
         rows = F.transform(found, lambda x: F.struct(F.lit(number).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-        parts.append(F.when(text.rlike(HINTS[kind]), rows).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int>>")))
-    return F.concat(*parts)
+        parts.append(F.when(text.rlike(HINTS[kind]), rows).otherwise(F.array().cast(SPAN)))
+    return F.array(*parts)
+
+
+def _last_before(spans: Column, end: Column) -> Column:
+    """The last of an array of spans, sorted by start, that starts before `end`; null if none does."""
+    steps = F.lit(STEPS)
+    found = F.aggregate(steps, F.lit(0), lambda low, step: F.when(step > F.size(spans) - low, low).when(F.get(spans, low + step - 1)["start"] < end, low + step).otherwise(low))
+    return F.when(F.size(spans) > 0, F.get(spans, found - 1))
 
 
 def _mentions(text: Column, base: Column) -> Column:
     """array<struct<start,end,core,context,kind>> of the words with a digit or an at sign; those that start inside a base
-    match or overlap one otherwise than by starting with it are left out."""
+    match or overlap one otherwise than by starting with it are left out. Matches of one kind don't overlap, so the last
+    one that starts before a mention's end tells whether any does."""
 
     def mention(x: Column) -> Column:
         lead = F.regexp_extract(x["m"], "^[^A-Za-z0-9+]*+", 0)
         core = F.regexp_replace(F.substr(x["m"], F.length(lead) + 1), "[^A-Za-z0-9]++$", "")
         # the two words before, of the text itself: other mentions are words as any
-        at = F.greatest(x["start"] - 80, F.lit(0))
-        before = F.substr(text, at + 1, x["start"] - at)
-        words = F.slice(F.reverse(F.filter(F.split(F.lower(before), r"\s+", -1), lambda w: w != "")), 1, 2)
+        words = F.slice(F.reverse(F.filter(F.split(F.lower(x["before"]), r"\s+", -1), lambda w: w != "")), 1, 2)
         start = x["start"] + F.length(lead)
-        end = start + F.length(core)
-        over = F.filter(base, lambda b: (b["start"] < end) & (start < b["end"]))
-        seed = F.get(F.filter(over, lambda b: b["start"] == start), F.lit(0))["kind"]
-        kind = F.coalesce(seed, F.when((F.size(over) == 0) & core.rlike(SECRET), F.lit(len(KINDS) - 1)))
-        return F.struct(start.alias("start"), end.alias("end"), core.alias("core"), F.array_join(F.reverse(words), " ").alias("context"), kind.alias("kind"), (F.size(over) > 0).alias("inside"))
-
-    found = F.transform(_matches(text, MENTION), mention)
+        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("core"), F.array_join(F.reverse(words), " ").alias("context"))
+
+    def judged(x: Column) -> Column:
+        kinds = [F.get(base, F.lit(k)) for k in range(len(PATTERNS))]
+        inside = F.lit(False)
+        for spans in kinds:
+            inside = inside | F.coalesce(_last_before(spans, x["end"])["end"] > x["start"], F.lit(False))
+        seed = F.coalesce(*[_let(_last_before(spans, x["start"] + 1), lambda b: F.when(b["start"] == x["start"], b["kind"])) for spans in kinds])
+        secret = F.when(x["core"].rlike(SECRET), F.lit(len(KINDS) - 1))
+        return _let(inside, lambda over: F.struct(*[x[c].alias(c) for c in ("start", "end", "core", "context")], F.when(over, seed).otherwise(secret).alias("kind"), over.alias("inside")))
+
+    found = F.transform(F.transform(_matches(text, MENTION, True), mention), judged)
     return F.filter(found, lambda x: ((x["context"] != "") | x["kind"].isNotNull()) & (x["core"] != "") & (~x["inside"] | x["kind"].isNotNull()))
 
 
@@ -140,9 +194,10 @@ def pii_spans(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     """
     body = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("_doc"), F.xxhash64("text").alias("_text"), body.alias("_t"))
-    based = rows.withColumn("base", F.when(F.col("_t").rlike("[0-9@]"), _base(F.col("_t"))).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int>>")))
+    based = rows.withColumn("parts", F.when(F.col("_t").rlike("[0-9@]"), _base(F.col("_t"))).otherwise(F.array(*[F.array().cast(SPAN)] * len(PATTERNS))))
     none = F.array().cast("array<struct<start:int,end:int,core:string,context:string,kind:int,inside:boolean>>")
-    known = stage(based.select("_doc", "_text", "base", F.when(F.col("_t").rlike("[0-9@]"), _mentions(F.col("_t"), F.col("base"))).otherwise(none).alias("mentions")), "pii-known")
+    found = F.when(F.col("_t").rlike("[0-9@]"), _mentions(F.col("_t"), F.col("parts"))).otherwise(none)
+    known = stage(based.select("_doc", "_text", F.flatten("parts").alias("base"), found.alias("mentions")), "pii-known")
     mentions = known.filter("size(mentions) > 0").select("_doc", "_text", F.explode("mentions").alias("x")).select("_doc", "_text", "x.*")
     mentions = stage(mentions, "pii-mentions")
     edges = stage(mentions.groupBy("context", "core").agg(F.max("kind").alias("kind"), F.count("*").alias("rows")), "pii-edges")
@@ -153,7 +208,7 @@ def pii_spans(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     more = found.select("_doc", "_text", "start", "end", "kind").unionByName(secrets)
     more = more.groupBy("_doc", "_text").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
     joined = known.select("_doc", "_text", "base").join(more, ["_doc", "_text"], "left")
-    return joined.select("_doc", "_text", "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,end:int>>")))).alias("spans"))
+    return joined.select("_doc", "_text", "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("spans"))
 
 
 def _digest(spans: str) -> Column:
@@ -162,21 +217,34 @@ def _digest(spans: str) -> Column:
 
 
 def redact(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
-    """docs with each span of text replaced by <KIND>, overlapping spans by the first one's, and n_chars counted anew."""
+    """docs with each span of text replaced by <KIND>, overlapping spans by the first one's, and n_chars counted anew.
+
+    Null texts stay null, null ids are ids of their own, repeated rows are redacted alike and all stay; other columns are
+    carried as they are, whatever their names. Cost is about linear in a text and in its spans."""
     found = stage(pii_spans(docs, p).filter("size(spans) > 0").select("_doc", "_text", "spans").dropDuplicates(["_doc", "_text"]), "pii-found")
     # the row travels whole, so none of its columns can clash with those used here
     keys = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("_doc"), F.xxhash64("text").alias("_text"), F.col("text").alias("_t"), F.struct(*docs.columns).alias("_row"))
     joined = keys.join(found, ["_doc", "_text"], "left")
-    order = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    spans = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def cleaned(blocks: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            """Code points a to b of the text, from the blocks that hold them."""
+            first, last = F.floor(a / CUT).cast("int"), F.floor(b / CUT).cast("int")
+            return F.substr(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), a - first * CUT + 1, b - a)
+
+        def of(order: Column) -> Column:
+            def pieces(ahead: Column) -> Column:
+                kept = F.transform(order, lambda s, i: F.when(s["start"] >= F.get(ahead, i), F.concat(cut(F.get(ahead, i), s["start"]), F.get(tags, s["kind"]))))
+                return F.array_join(kept, "")
+
+            ends = F.transform(order, lambda s: s["end"])
+            return F.concat(_let(_before(ends, F.greatest), pieces), cut(F.array_max(ends), F.length("_t")))
 
-    def add(acc: Column, s: Column) -> Column:
-        kept = F.array(F.substr("_t", acc["at"] + 1, s["start"] - acc["at"]), F.get(tags, s["kind"]))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], kept)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        return _let(spans, of)
 
-    clean = F.aggregate(order, zero, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("_t", acc["at"] + 1)))
+    clean = _let(F.regexp_extract_all("_t", F.lit("(?s).{1,%d}" % CUT), F.lit(0)), cleaned)
     out = joined.withColumn("_clean", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("_t")))
     new = {"text": F.col("_clean"), "n_chars": F.when(F.col("spans").isNotNull(), F.length("_clean").cast("bigint")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
     return out.select(*[new.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns])
