@@ -6,10 +6,10 @@ from .jaccard import OP4_SQL, op4_part_enum
 from .packing import op5_nnls_packing
 from .pii import op8_bootstrapped
 from .quality import OP1_SQL, op1_host_rules
-from .sharding import op10_sampled_splitters
-from .suffixes import op7_bucket_refinement
+from .sharding import OP10_SQL, op10_sampled_splitters
+from .suffixes import OP7_SQL, op7_bucket_refinement
 from .tokens import op6_edit_aware
-from .warc import op3_segments
+from .warc import OP3_SQL, op3_segments
 
 QUERIES = {
     "op1_host_rules": op1_host_rules,
@@ -29,4 +29,7 @@ ORACLES = {
     "op1_host_rules": OP1_SQL,
     "op4_part_enum": OP4_SQL,
     "op9_wu_manber": OP9_SQL,
+    "op3_segments": OP3_SQL,
+    "op7_bucket_refinement": OP7_SQL,
+    "op10_sampled_splitters": OP10_SQL,
 }

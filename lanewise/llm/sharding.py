@@ -53,7 +53,8 @@ def shard_by_splitters(docs: DataFrame, key: str = "doc_id", text: str = "text",
     A row's size is its text's UTF-8 bytes plus 8. Rows are ordered by (key, CRC-32 of the text, arrival); a row goes to
     the shard in whose equal part of all bytes its middle byte lies, so no shard is off by more than the two rows at its
     edges. The sampled ranges set only who sorts what: the outcome doesn't depend on the sample. The arrival number, kept
-    in a written table, splits a key that holds any share of the rows.
+    in a written table, splits a key that holds any share of the rows. Ranges are MOST_RANGES at most, so beyond a billion
+    rows (MOST_RANGES * rows_per_range) a range grows with the table; the sort of a range spills.
 
     Nulls: a null text counts as empty; null keys come first. Repeated rows are rows of their own. An empty table gives
     no rows. Other columns are not read.
@@ -110,3 +111,18 @@ def shard_by_splitters(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def op10_sampled_splitters(spark, sf_dir: str) -> DataFrame:
     out = shard_by_splitters(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The CRC-32's table follows from its polynomial; a text's bytes come from its hexadecimal form.
+OP10_SQL = """
+WITH crc AS (SELECT list(list_reduce(list_prepend(CAST(k AS BIGINT), list_transform(range(8), lambda i: CAST(i AS BIGINT))),
+                 lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS t FROM range(256) AS r(k)),
+d AS (SELECT doc_id, coalesce(text, '') AS x, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size FROM documents),
+b AS (SELECT x, list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: CAST('0x' || h AS BIGINT))) AS bytes FROM (SELECT DISTINCT x FROM d)),
+c AS (SELECT x, xor(list_reduce(bytes, lambda c, h: xor(c >> 8, t[xor(c & 255, h) + 1])), 4294967295) AS crc FROM b, crc),
+o AS (SELECT doc_id, size, crc AS text_crc32, sum(size) OVER () AS total, row_number() OVER w AS n, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS e
+      FROM d JOIN c ON d.x = c.x WINDOW w AS (ORDER BY doc_id, crc)),
+s AS (SELECT *, CAST(((2 * e - size) * 24) // (2 * total) AS INTEGER) AS shard FROM o)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       CAST(n - min(n) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""

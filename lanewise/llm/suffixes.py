@@ -298,3 +298,19 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def op7_bucket_refinement(spark, sf_dir: str) -> DataFrame:
     out = dedup_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT r, p, md5(substr(h, CAST(2 * p + 1 AS INTEGER), 400)) AS g FROM d, unnest(range(greatest(strlen(x) - 199, 0))) AS t(p)),
+twice AS (SELECT r, p FROM g QUALIFY count(*) OVER (PARTITION BY g) > 1),
+runs AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS k
+         FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM twice)) GROUP BY r, k),
+pieces AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM runs
+           UNION ALL SELECT r, max(b), NULL FROM runs GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, CAST(2 * a + 1 AS INTEGER), CAST(2 * (coalesce(b, strlen(x)) - a) AS INTEGER)), '' ORDER BY a) AS h FROM pieces JOIN d USING (r) GROUP BY r),
+lost AS (SELECT r, sum(b - a) AS n, count(*) AS k FROM runs GROUP BY r)
+SELECT doc_id, CAST(strlen(x) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN lost USING (r) LEFT JOIN kept USING (r)
+"""

@@ -192,11 +192,12 @@ def test_cells_equal_brute_force(spark, monkeypatch):
 
 
 def test_gathered_keeps_every_pair(spark):
-    """Nested groups of one least node become one; a hub's groups that have nothing else in common stay apart."""
+    """Nested groups of one centre become one; a hub's groups that have nothing else in common stay apart."""
     nested = [(m, sorted({0, *range(1 + m % 3, 30)})) for m in range(20)]
     hub = [(100 + m, [1000, *range(2000 + 50 * m, 2050 + 50 * m)]) for m in range(20)]
-    rows = [(m, len(g), g[0], x, x % 7) for m, g in nested + hub for x in g]
-    out = jaccard.gathered(spark.createDataFrame(rows, "met bigint, n bigint, lead bigint, node bigint, root bigint")).collect()
+    rows = [(m, x, x % 7) for m, g in [*nested, *hub, (900, [1, 2, 3])] for x in g]
+    mixed = spark.createDataFrame([(m, len(g), g[0]) for m, g in nested + hub], "met bigint, n bigint, lead bigint")
+    out = jaccard.gathered(spark.createDataFrame(rows, "met bigint, node bigint, root bigint"), mixed, len(rows)).collect()
     groups = {}
     for r in out:
         groups.setdefault(r["met"], set()).add(r["node"])
@@ -299,6 +300,21 @@ def test_pii_secrets_without_words_between(spark):
     assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()} == {1: "<SECRET> is first", 2: "id 12 <SECRET>", 3: "<SECRET>\n<SECRET>"}
 
 
+def test_pii_many_matches_in_one_text(spark):
+    """Places, contexts and redaction of 100,000 matches in one text take seconds, not the square of their number."""
+    import time
+
+    parts = [f"mail u{i}@host{i % 7}.org or é call +49 30 {1000000 + i} now" for i in range(50_000)]
+    text = "\n".join(parts)
+    df = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "no such thing", "en", "s", 13)], SCHEMA)
+    start = time.time()
+    found = {r["_doc"]: r["spans"] for r in pii.pii_spans(df).collect()}
+    assert len(found[1]) == 100_000 and not found[2]
+    assert {text[s["start"] : s["end"]] for s in found[1]} == {x for i in range(50_000) for x in (f"u{i}@host{i % 7}.org", f"+49 30 {1000000 + i}")}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert clean[1] == "\n".join(["mail <EMAIL> or é call <PHONE> now"] * 50_000) and time.time() - start < 120
+
+
 def test_packing(spark, rows):
     df = frame(spark, rows)
     got = [r.asDict() for r in packing.pack(df, window=64).collect()]
@@ -336,6 +352,44 @@ def test_fast_ids_equal_the_library():
     assert v.ids("x<|endoftext|>y") == v.exact.encode("x<|endoftext|>y", add_special_tokens=False).ids
 
 
+def test_very_long_white_space(spark):
+    v = tokens.Vocabulary.at(tokens.vocabulary_path())
+    rows = [(1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_000_000), (3, "x \n" * 5), (4, " " * tokens.LONG_WHITE), (5, "<|endoftext|>" + "\t" * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {d: len(v.exact.encode(t, add_special_tokens=False).ids) for d, t in rows}
+    assert {r["doc_id"]: r["doc_tokens"] - 1 for r in packing.pack(df).collect()} == want
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_edited(tokens.with_line_edits(df)).collect()}
+    assert got == want | {5: len(v.ordinary.encode(rows[4][1], add_special_tokens=False).ids)}
+
+
+def test_packing_deals_out_repeated_rows(spark):
+    """One row, many times: every bucket has its share, and each copy its own place."""
+    df = spark.range(3000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("the same words").alias("text"))
+    got = packing.pack(df, window=64, rows_per_bucket=100).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 3000 and len({r["length"] for r in got}) == 1
+
+
+def test_many_edits_in_one_sweep():
+    pre, rng = tokens.Pretokens(tokens.vocabulary_path()), random.Random(8)
+    text = "".join(rng.choice(["word ", "  ", "\n\n", "a1 ", "'s", " über ", "%%", "x" * 9, "\n  "]) for _ in range(9000))
+    for _ in range(12):
+        cuts = sorted(rng.sample(range(len(text)), 2 * rng.choice([1, 3, 40, 700])))
+        edits = [(a, b if rng.random() < 0.7 else a, rng.choice(["", "\n", " new words ", "  ", "q"])) for a, b in zip(cuts[::2], cuts[1::2])]
+        want, at = [], 0
+        for a, b, new in edits:
+            want += [text[at:a], new]
+            at = b
+        tree, whole = pre.tree(text), "".join([*want, text[at:]])
+        text, encoded = pre.edit_all(text, tree, edits)
+        assert text == whole and tree.count == pre.count(text) and sum(tree.chars) == len(text) and encoded <= len(text)
+        assert tree.sums[1] == sum(tree.counts())
+    tree = pre.tree(text)
+    gone, _ = pre.edit_all(text, tree, [(0, len(text), "")])
+    assert gone == "" and tree.count == 0 and tree.chars == []
+    far = pre.tree(long := "some words here " * 5000)
+    assert pre.edit_all(long, far, [(10, 12, "y"), (70_000, 70_001, "")])[1] < 4000
+
+
 def test_edit_aware_counts(spark, rows):
     from tokenizers import Tokenizer
 
@@ -378,6 +432,23 @@ def test_warc(spark, tmp_path):
     assert warc.payloads(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_repeated_rows_and_missing_responses(spark, tmp_path):
+    long = "lorem ipsum " * 3000
+    rows = [(5, "u", long)] * 40 + [(4, "u", long), (None, None, long)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    warc.write_archives(pages, folder, segment_bytes=1000)
+    got = warc.payloads(spark, folder).collect()
+    assert sum(r["record_type"] == "response" for r in got) == 40 and [r["refers_to"] for r in got if r["record_type"] == "revisit"] == [5, 5]
+    parts = warc.read_archives(spark, folder).filter("segment is not null").groupBy("origin").count().collect()
+    assert len(parts) == 40 and len({r["count"] for r in parts}) == 1
+    lone = next(warc.records(1, 0, "u", b"x", (2, 1), 1000, 100)) + b"\r\n\r\n"
+    (tmp_path / "lone").mkdir()
+    (tmp_path / "lone" / "a.warc").write_bytes(lone)
+    with pytest.raises(Exception, match="no response in the archives"):
+        warc.payloads(spark, f"file://{tmp_path}/lone").collect()
+
+
 def test_sharding(spark, rows):
     out = [r.asDict() for r in sharding.shard_by_splitters(frame(spark, rows), shards=5).collect()]
     same([(r["doc_id"], r["size"], r["text_crc32"]) for r in out], [(d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows])
