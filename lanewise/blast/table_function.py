@@ -9,29 +9,26 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from .parse import MARK
+from .parse import COVER, IDENTITY, MARK
 
 COLUMNS = "rank int, accession string, description string, score double, evalue string, identity_pct int, query_cover_pct int"
+#: A row of the table: a name, any words, a number and an expectation.
+ROW = re.compile(r"^[ \t]*(\S+)(.*?)[ \t](?=\S+[ \t]+\S+[ \t]*$)([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)[ \t]+(\S+)[ \t]*$", re.MULTILINE)
 
 
 class TextHits:
     def eval(self, report: str) -> Iterator[tuple]:
-        table = (report or "").rpartition(MARK)[2].splitlines()[1:] if MARK in (report or "") else []
-        same = re.findall(r"Identities\s*=\s*\d+/\d+\s*\((\d+)%\)", report or "")
-        cover = re.findall(r"(?i)Query\s+Cover\s*[=:]\s*(\d+)%", report or "")
-        rank = 0
-        for line in table:
-            tokens = line.split()
-            if not tokens and rank:
-                return
-            try:
-                score = float(tokens[-2]) if len(tokens) >= 3 else None
-            except ValueError:
-                score = None
-            if score is not None:
-                at = lambda found: int(found[rank]) if rank < len(found) else None  # noqa: B023,E731
-                yield rank + 1, tokens[0], " ".join(tokens[1:-2]), score, tokens[-1], at(same), at(cover)
-                rank += 1
+        text = report or ""
+        same, cover = (iter(re.findall(p, text)) for p in (IDENTITY, COVER))
+        start = text.find(MARK)
+        first = text.find("\n", start) + 1 if start >= 0 else 0
+        top = ROW.search(text, first) if first else None
+        if top:
+            blank = re.compile(r"^[ \t\r]*$", re.MULTILINE).search(text, top.end())
+            end = blank.start() if blank else len(text)
+            for rank, (name, about, score, chance) in enumerate(ROW.findall(text[:end], first), 1):
+                numbers = [None if (x := next(found, None)) is None else int(x) for found in (same, cover)]
+                yield rank, name, " ".join(about.split()), float(score), chance, *numbers
 
 
 def register(spark: SparkSession) -> None:

@@ -80,20 +80,25 @@ def trim_n(seq: Column) -> Column:
 def trim_primer(seq: Column, primer: str, mismatches: int = 2, limit: int = 80) -> Column:
     """struct(sequence, cut): what follows the best place of the primer among the first `limit`; N matches anything."""
     size, primer = len(primer), primer.upper()
-    upper = F.upper(seq)
-    starts = F.least(F.length(seq) - size + 1, F.lit(limit))
-
-    def missed(i: Column) -> Column:
-        parts = [F.when((letter := F.substr(upper, i + k + 1, F.lit(1))).isin(p, "N"), 0).otherwise(1) for k, p in enumerate(primer) if p != "N"]
-        return sum(parts[1:], parts[0]) if parts else F.lit(0)
-
-    best = F.array_min(F.transform(F.sequence(F.lit(0), starts - 1), lambda i: F.struct(missed(i).alias("n"), i.alias("i"))))
     kept = F.struct(seq.alias("sequence"), F.lit(0).alias("cut"))
     if not primer:
         return kept
+    starts = F.least(F.length(seq) - size + 1, F.lit(limit))
+
+    def best(letters: Column) -> Column:
+        """Fewest mismatches and where, over the letters that any start can reach."""
+
+        def missed(i: Column) -> Column:
+            parts = [F.when(F.get(letters, i + k).isin(p, "N"), 0).otherwise(1) for k, p in enumerate(primer) if p != "N"]
+            return sum(parts[1:], parts[0]) if parts else F.lit(0)
+
+        return F.array_min(F.transform(F.sequence(F.lit(0), starts - 1), lambda i: F.struct(missed(i).alias("n"), i.alias("i"))))
+
     taken = lambda b: F.when(b["n"] <= mismatches, F.struct(F.substr(seq, b["i"] + size + 1).alias("sequence"), (b["i"] + size).alias("cut"))).otherwise(kept)
-    # bound once, so the search isn't repeated for each of its uses
-    return F.when(starts > 0, F.get(F.transform(F.array(best), taken), F.lit(0))).otherwise(kept)
+    once = lambda value, of: F.get(F.transform(F.array(value), of), F.lit(0))
+    letters = F.split(F.upper(F.substring(seq, 1, limit + size - 1)), "", -1)
+    # each value is bound once, so neither the letters nor the search is worked out for each of its uses
+    return F.when(starts > 0, once(once(letters, best), taken)).otherwise(kept)
 
 
 def wrapped(seq: Column, width: int = 80) -> Column:
@@ -131,6 +136,14 @@ SQL_FUNCTIONS = {
     "trim_n(s STRING) RETURNS STRING": "trim(BOTH 'N' FROM s)",
     "error_probability(q DOUBLE) RETURNS DOUBLE": "pow(10, -q / 10)",
     "readiness(identity DOUBLE, length BIGINT) RETURNS STRING": "CASE WHEN identity >= 95 AND length >= 200 THEN 'green' WHEN identity >= 85 OR length >= 100 THEN 'amber' ELSE 'red' END",
+    "hit_band(identity DOUBLE) RETURNS STRING": "CASE WHEN identity >= 99 THEN 'best' WHEN identity >= 95 THEN 'good' WHEN identity < 80 THEN 'poor' ELSE 'plain' END",
+    "one_decimal(x DOUBLE) RETURNS STRING": "replace(format_number(x, 1), ',', '')",
+    "file_stem(path STRING) RETURNS STRING": r"regexp_extract(path, '([^/]+?)(\\.[^./]*)?$', 1)",
+    "isolation_ratio(g DOUBLE, a DOUBLE, t DOUBLE, c DOUBLE) RETURNS DOUBLE": "sort_array(array(g, a, t, c), false)[0] / (sort_array(array(g, a, t, c), false)[1] + 1e-9)",
+    "raw_score(snr DOUBLE, isolation DOUBLE, shape DOUBLE, spacing DOUBLE) RETURNS DOUBLE": "least(least(40 * log10(greatest(snr, 0.01D) + 1) / log10(11), 40D) + least(25 * log10(greatest(isolation, 1D)) / log10(5), 25D) + 20 * least(greatest(shape, 0D), 1D) + 14 * least(greatest(spacing, 0D), 1D), 99D)",
+    "phred_score(snr DOUBLE, isolation DOUBLE, shape DOUBLE, spacing DOUBLE, place DOUBLE) RETURNS INT": "cast(least(greatest(bround(least(greatest(20 * log10(greatest(snr, 1D)) + 18, 0D), 40D)"
+    " - CASE WHEN isolation < 1.05 THEN 3D WHEN isolation < 1.25 THEN 1.5D * (1.25D - isolation) / 0.2D ELSE 0D END - 1.5D * (1 - least(greatest(shape, 0D), 1D)) - (1 - least(greatest(spacing, 0D), 1D))"
+    " - CASE WHEN place > 0.88 THEN 6 * (place - 0.88D) / 0.12D WHEN place > 0.75 THEN 2.5D * (place - 0.75D) / 0.13D ELSE 0D END, 0), 5D), 40D) AS INT)",
 }
 
 

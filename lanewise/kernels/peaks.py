@@ -31,16 +31,22 @@ def spaced(y: np.ndarray, peaks: np.ndarray, distance: int) -> np.ndarray:
     return peaks[alive]
 
 
+def _lows(y: list[float]) -> list[float]:
+    """For each sample the lowest one from just after the last higher sample up to it."""
+    out, open_ = [], []
+    for v in y:
+        low = v
+        while open_ and open_[-1][0] <= v:
+            low = min(low, open_.pop()[1])
+        open_.append((v, low))
+        out.append(low)
+    return out
+
+
 def prominences(y: np.ndarray, peaks: np.ndarray) -> np.ndarray:
     """Height over the higher of the two lowest points between the peak and the next higher sample on each side."""
-    out = np.empty(len(peaks))
-    for k, p in enumerate(peaks):
-        higher = np.flatnonzero(y > y[p])
-        cut = np.searchsorted(higher, p)
-        left = higher[cut - 1] + 1 if cut else 0
-        right = higher[cut] if cut < len(higher) else len(y)
-        out[k] = y[p] - max(y[left : p + 1].min(), y[p:right].min())
-    return out
+    left, right = _lows(y.tolist()), _lows(y[::-1].tolist())[::-1]
+    return y[peaks] - np.maximum(np.array(left)[peaks], np.array(right)[peaks]) if len(peaks) else np.empty(0)
 
 
 def find(y: np.ndarray, prominence: float | None = None, distance: int = 1) -> np.ndarray:
@@ -103,6 +109,7 @@ def shapes(y: np.ndarray, peaks: np.ndarray, half: int = 8) -> np.ndarray:
 
 
 def _gaussians(x: np.ndarray, y: np.ndarray, inside: np.ndarray, rounds: int = 80) -> np.ndarray:
+    """Fitted values; a peak whose fit no longer gains or moves leaves the rounds."""
     low, high = np.array([0.0, x[0], 0.3]), np.array([1.5, x[-1], x[-1]])
     p = np.tile([1.0, 0.0, 2.0], (len(y), 1))
     damp = np.full(len(y), 1e-2)
@@ -112,22 +119,27 @@ def _gaussians(x: np.ndarray, y: np.ndarray, inside: np.ndarray, rounds: int = 8
 
     now = model(p)
     loss = (((y - now) ** 2) * inside).sum(1)
+    live = np.arange(len(y))
     for _ in range(rounds):
-        u = (x - p[:, 1:2]) / p[:, 2:3]
+        q, held, had = p[live], inside[live], now[live]
+        u = (x - q[:, 1:2]) / q[:, 2:3]
         bell = np.exp(-0.5 * u**2)
-        slope = np.stack([bell, p[:, :1] * bell * u / p[:, 2:3], p[:, :1] * bell * u**2 / p[:, 2:3]], 2) * inside[:, :, None]
-        normal = np.einsum("kij,kil->kjl", slope, slope)
-        side = np.einsum("kij,ki->kj", slope, (y - now) * inside)
-        scale = np.einsum("kjj->kj", normal) * damp[:, None] + 1e-12
-        step = np.linalg.solve(normal + scale[:, :, None] * np.eye(3), side[:, :, None])[:, :, 0]
-        trial = np.clip(p + step, low, high)
+        slope = np.stack([bell, q[:, :1] * bell * u / q[:, 2:3], q[:, :1] * bell * u**2 / q[:, 2:3]], 2) * held[:, :, None]
+        turned = slope.transpose(0, 2, 1)
+        normal = turned @ slope
+        side = turned @ ((y[live] - had) * held)[:, :, None]
+        scale = np.einsum("kjj->kj", normal) * damp[live][:, None] + 1e-12
+        trial = np.clip(q + np.linalg.solve(normal + scale[:, :, None] * np.eye(3), side)[:, :, 0], low, high)
         there = model(trial)
-        new = (((y - there) ** 2) * inside).sum(1)
-        better = new < loss
-        gain = np.where(better, loss - new, 0.0)
-        p[better], now[better], loss[better] = trial[better], there[better], new[better]
-        damp = np.where(better, np.maximum(damp / 5, 1e-9), np.minimum(damp * 4, 1e9))
-        if gain.max(initial=0.0) < 1e-12 and (damp > 1e6).all():
+        new = (((y[live] - there) ** 2) * held).sum(1)
+        better = new < loss[live]
+        gain = np.where(better, loss[live] - new, np.inf)
+        moved = np.abs(trial - q).max(1)
+        at = live[better]
+        p[at], now[at], loss[at] = trial[better], there[better], new[better]
+        damp[live] = np.where(better, np.maximum(damp[live] / 5, 1e-9), np.minimum(damp[live] * 4, 1e9))
+        live = live[np.where(better, gain > 1e-12, moved > 1e-6) & (damp[live] < 1e6)]
+        if not len(live):
             break
     return now
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
 
@@ -30,13 +32,28 @@ def moving_median(y: np.ndarray, width: int) -> np.ndarray:
 
 
 def moving_max(y: np.ndarray, width: int) -> np.ndarray:
-    return moving(y, width, lambda w: w.max(-1))
+    return running_max(y, width)
 
 
 def moving_min(y: np.ndarray, width: int) -> np.ndarray:
     return moving(y, width, lambda w: w.min(-1))
 
 
+def running_max(y: np.ndarray, width: int) -> np.ndarray:
+    """moving_max() by doubling: two overlapping runs of a power of two cover each window."""
+    padded, step = mirror(y, width // 2, width - 1 - width // 2), 1
+    while 2 * step <= width:
+        padded = np.maximum(padded[..., :-step], padded[..., step:])
+        step *= 2
+    return np.maximum(padded[..., : y.shape[-1]], padded[..., width - step : width - step + y.shape[-1]])
+
+
+def envelope(y: np.ndarray, width: int = 300, fraction: float = 0.03) -> tuple[np.ndarray, np.ndarray]:
+    """Moving maximum, at least a share of the channel's maximum, and the signal over it."""
+    over = np.maximum(running_max(y, width), y.max(-1, initial=0.0)[..., None] * fraction)
+    return over, np.where(over > 0, y / np.where(over > 0, over, 1.0), 0.0)
+
+
 def running_noise(y: np.ndarray, window: int = 51, percent: float = 10.0) -> np.ndarray:
     """Moving low percentile, not under 0.05 % of the channel's largest value."""
     half = max(window // 2, 1)
@@ -118,6 +135,7 @@ def baseline(y: np.ndarray, method: str, window: int) -> tuple[np.ndarray, np.nd
     return morphological_baseline(y, window) if method == "morph" else rolling_baseline(y, window)
 
 
+@lru_cache(maxsize=256)
 def savgol_weights(width: int, order: int, at: float | None = None) -> np.ndarray:
     """Weights that give the least-squares polynomial's value at place `at` of a window (its middle by default)."""
     middle = (width - 1) / 2

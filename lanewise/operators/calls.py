@@ -19,13 +19,19 @@ def _so_far() -> WindowSpec:
     return _read().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def best_segments(calls: DataFrame, thresholds: tuple[float, ...], window: int = 20, *extra: Column) -> DataFrame:
+def best_segments(calls: DataFrame, thresholds: tuple[float, ...], window: int = 20, *extra: Column, cost: Column | None = None) -> DataFrame:
     """Per trace the segment of largest summed (phred - threshold), for each threshold: start_k and end_k (exclusive).
 
     Prefix sums less their running minimum give each end its best start; the first end of the largest sum and, for it,
     the latest start win. Reads shorter than `window` are kept whole if their mean reaches the threshold. One shuffle by
-    trace serves all thresholds."""
+    trace serves all thresholds. With `cost` also cost_k, its sum over the segment, and cost_all: prefix sums travel with
+    the starts and ends."""
     rows = calls.withColumn("_n", F.lit(1))
+    if cost is not None:
+        rows = rows.withColumn("_c", cost).withColumn("_e", F.sum("_c").over(_so_far()))
+    place = F.col("ordinal") if cost is None else F.struct("ordinal", (F.col("_e") - F.col("_c")).alias("before"))
+    started = (lambda k: F.col(f"_a{k}")) if cost is None else (lambda k: F.col(f"_a{k}.ordinal"))
+    spent = (lambda k: []) if cost is None else (lambda k: [(F.col("_e") - F.col(f"_a{k}.before")).alias("cost")])
     for k, q in enumerate(thresholds):
         rows = rows.withColumn(f"_s{k}", F.sum(F.col("phred") - F.lit(q)).over(_so_far()))
     for k in range(len(thresholds)):
@@ -33,13 +39,16 @@ def best_segments(calls: DataFrame, thresholds: tuple[float, ...], window: int =
     for k in range(len(thresholds)):
         rows = rows.withColumn(f"_m{k}", F.min(f"_b{k}").over(_so_far()))
     for k in range(len(thresholds)):
-        rows = rows.withColumn(f"_a{k}", F.max(F.when(F.col(f"_b{k}") == F.col(f"_m{k}"), F.col("ordinal"))).over(_so_far()))
-    best = [F.min(F.struct((F.col(f"_m{k}") - F.col(f"_s{k}")).alias("loss"), F.col("ordinal").alias("last"), F.col(f"_a{k}").alias("start"))).alias(f"_best{k}") for k in range(len(thresholds))]
+        rows = rows.withColumn(f"_a{k}", F.max(F.when(F.col(f"_b{k}") == F.col(f"_m{k}"), place)).over(_so_far()))
+    best = [F.min(F.struct((F.col(f"_m{k}") - F.col(f"_s{k}")).alias("loss"), F.col("ordinal").alias("last"), started(k).alias("start"), *spent(k))).alias(f"_best{k}") for k in range(len(thresholds))]
+    extra = extra if cost is None else (*extra, F.sum("_c").alias("cost_all"))
     out = rows.groupBy("trace_id").agg(F.count("*").alias("n"), F.avg("phred").alias("_mean"), *best, *extra)
     for k, q in enumerate(thresholds):
         short, some = F.col("n") < window, F.col(f"_best{k}.loss") < 0
         whole = F.when(F.col("_mean") >= q, F.col("n")).otherwise(F.lit(0))
         out = out.withColumn(f"start_{k}", F.when(short | ~some, F.lit(0)).otherwise(F.col(f"_best{k}.start")).cast("bigint"))
+        if cost is not None:
+            out = out.withColumn(f"cost_{k}", F.when(short, F.when(F.col("_mean") >= q, F.col("cost_all")).otherwise(0.0)).when(some, F.col(f"_best{k}.cost")).otherwise(0.0))
         out = out.withColumn(f"end_{k}", F.when(short, whole).when(some, F.col(f"_best{k}.last") + 1).otherwise(F.lit(0)).cast("bigint"))
     return out.drop("_mean", *[f"_best{k}" for k in range(len(thresholds))])
 
@@ -51,12 +60,14 @@ def window_trim(calls: DataFrame, min_q: float = 20.0, window: int = 20) -> Data
 
 def _search_window(segments: DataFrame, first: int = 0) -> DataFrame:
     """start, end of the first threshold whose segment is long enough; else the whole read."""
-    start, end = F.lit(0).cast("bigint"), F.col("n").cast("bigint")
+    costs = "cost_all" in segments.columns
+    start, end, cost = F.lit(0).cast("bigint"), F.col("n").cast("bigint"), F.col("cost_all") if costs else None
     for k in reversed(range(len(LADDER))):
         enough = F.col(f"end_{first + k}") - F.col(f"start_{first + k}") >= ENOUGH
         start = F.when(enough, F.col(f"start_{first + k}")).otherwise(start)
         end = F.when(enough, F.col(f"end_{first + k}")).otherwise(end)
-    return segments.withColumns({"blast_start": start, "blast_end": end})
+        cost = F.when(enough, F.col(f"cost_{first + k}")).otherwise(cost) if costs else None
+    return segments.withColumns({"blast_start": start, "blast_end": end} | ({"blast_cost": cost} if costs else {}))
 
 
 def search_window(calls: DataFrame) -> DataFrame:
@@ -72,8 +83,8 @@ def end_trim(calls: DataFrame, min_phred: int = 15) -> DataFrame:
 
 
 def quality_stats(calls: DataFrame, min_q: float = 20.0, window: int = 20) -> DataFrame:
-    """The statistics of each read: counts over all calls, means over confirmed ones, trimmed and search windows. A
-    trace's rows are shuffled once; the windows are joined on the same key."""
+    """The statistics of each read: counts over all calls, means over confirmed ones, trimmed and search windows. The calls
+    are read and shuffled once; the search window's expected errors are a difference of prefix sums."""
     sure = ~F.col("tail_rescued") & ~F.col("imputed")
     of = lambda c: F.when(sure, F.col(c))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -92,12 +103,11 @@ def quality_stats(calls: DataFrame, min_q: float = 20.0, window: int = 20) -> Da
         zero(F.avg(of("isolation"))).alias("mean_isolation"),
         zero(F.avg(of("shape_score"))).alias("mean_shape_score"),
     ]
-    counted = _search_window(best_segments(calls, (min_q, *LADDER), window, *counts), 1)
-    inside = calls.select("trace_id", "ordinal", "phred").join(counted.select("trace_id", "blast_start", "blast_end"), "trace_id")
-    sure_of = inside.filter("ordinal >= blast_start and ordinal < blast_end").groupBy("trace_id").agg((100.0 * F.avg(1.0 - F.pow(F.lit(10.0), -F.col("phred") / 10.0))).alias("blast_est_identity"))
+    wrong = F.pow(F.lit(10.0), -F.col("phred") / 10.0)
+    counted = _search_window(best_segments(calls, (min_q, *LADDER), window, *counts, cost=wrong), 1)
     length = F.col("blast_end") - F.col("blast_start")
     shares = [F.when(F.col("confirmed_bases") > 0, 100.0 * F.col(f"q{q}_count") / F.col("confirmed_bases")).otherwise(0.0).alias(f"pct_q{q}") for q in (20, 30, 35)]
-    return counted.join(sure_of, "trace_id").select(
+    return counted.withColumn("blast_est_identity", 100.0 * (1.0 - F.col("blast_cost") / length)).select(
         "trace_id", "total_bases", "confirmed_bases", "tail_rescued", "imputed_bases", "heterozygote_bases",
         (F.col("end_0") - F.col("start_0")).alias("window_trimmed_len"), length.alias("blast_window_len"), "blast_start", "blast_end",
         "blast_est_identity", (length >= READY).alias("blast_ready"), "mean_phred", "median_phred", "min_phred", "max_phred",

@@ -74,6 +74,12 @@ def baseline_lanes(samples: DataFrame, method: str, window: int = 101) -> DataFr
     return lanes(baseline(traces(samples), method, window), "baseline", "y")
 
 
+def envelope_lanes(samples: DataFrame, width: int = 300, fraction: float = 0.03) -> DataFrame:
+    """The envelope of each channel and the signal over it, as operators.samples.envelope() gives them by windows."""
+    rows = per_trace(traces(samples), "trace_id", _two(lambda y: ks.envelope(y, width, fraction), "envelope", "normal"), "envelope array<array<double>>, normal array<array<double>>")
+    return lanes(rows, "envelope", "normal")
+
+
 def noise_lanes(samples: DataFrame, window: int, percent: float) -> DataFrame:
     rows = per_trace(traces(samples), "trace_id", lambda y: [{"noise": ks.running_noise(y, window, percent).tolist()}], "noise array<array<double>>")
     return lanes(rows, "noise")

@@ -88,8 +88,10 @@ def base_calls(results: DataFrame) -> DataFrame:
 
 def summarise(results: DataFrame, params: PipelineParams = PipelineParams()) -> DataFrame:
     """Per trace: sequence, its reverse complement, trimmed sequences, statistics and the counts of the batch summary.
-    Average quality is that before primer trimming. The results are read several times, so they are kept."""
-    results = results.persist()
+    Average quality is that before primer trimming. The results are read several times, so they are written once where the
+    cluster names a folder (spark.checkpoint.dir), else kept in memory."""
+    spark = results.sparkSession
+    results = results.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else results.persist()
     average = C.average_quality(base_calls(results))
     trimmed = trim_calls(results, params.primer_sequence)
     calls = base_calls(trimmed)
@@ -99,9 +101,10 @@ def summarise(results: DataFrame, params: PipelineParams = PipelineParams()) ->
     rows = trimmed.select("trace_id", "path", "sample_name", "mobility_applied", "blob_end", "primer_trim_pos", "error", text.alias("sequence"), count("heterozygote").alias("n_heterozygotes"), count("imputed").alias("n_imputed"))
     windows = C.window_trim(calls, params.window_trim_min_q, params.window_trim_size)
     met = rows.join(stats.select("trace_id", F.struct(*[c for c in stats.columns if c != "trace_id"]).alias("quality_stats")), "trace_id", "left").join(windows, "trace_id", "left").join(average, "trace_id", "left")
-    inside = F.substr("sequence", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+    cut = lambda a, b: F.coalesce(F.substr("sequence", F.col(a).cast("int") + 1, (F.col(b) - F.col(a)).cast("int")), F.lit(""))
     return met.select(
-        "trace_id", "path", "sample_name", "sequence", reverse_complement(F.col("sequence")).alias("sequence_rc"), F.coalesce(inside, F.lit("")).alias("window_trimmed_seq"),
+        "trace_id", "path", "sample_name", "sequence", reverse_complement(F.col("sequence")).alias("sequence_rc"), cut("start", "end").alias("window_trimmed_seq"),
+        cut("quality_stats.blast_start", "quality_stats.blast_end").alias("blast_window"),
         F.coalesce("avg_quality", F.lit(0.0)).alias("avg_quality"), "mobility_applied", "quality_stats", "blob_end", "primer_trim_pos", "n_heterozygotes", "n_imputed",
         F.lit(params.baseline_method).alias("baseline_method"), "error",
     )

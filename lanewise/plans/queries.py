@@ -12,6 +12,7 @@ from ..functions import scalars as S
 from ..operators import calls as C
 from ..operators import matrices as M
 from ..operators import samples as P
+from ..operators import traces as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -307,7 +308,7 @@ def morph_open(spark, sf_dir):
 @query("envelope", f"""WITH {A.SQL_LONG}, e AS (SELECT *, greatest(max(y) OVER (PARTITION BY trace_id, ch ORDER BY i ROWS BETWEEN 150 PRECEDING AND 149 FOLLOWING), 0.03 * max(y) OVER (PARTITION BY trace_id, ch)) AS envelope FROM long)
 SELECT trace_id, CAST(ch AS INT) AS ch, i, round(envelope, 6) AS envelope, round(CASE WHEN envelope > 0 THEN y / envelope ELSE 0 END, 6) AS normal FROM e""")
 def envelope(spark, sf_dir):
-    return rounded(P.envelope(P.long(A.samples(spark, sf_dir))).select("trace_id", "ch", "i", "envelope", "normal"))
+    return rounded(T.envelope_lanes(A.samples(spark, sf_dir)))
 
 
 @query("blob_end", f"""WITH {A.SQL_SAMPLES}, s AS (SELECT trace_id, i, g + a + t + c AS s, max(g + a + t + c) OVER (PARTITION BY trace_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS ahead, count(*) OVER (PARTITION BY trace_id) AS n FROM samples),

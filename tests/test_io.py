@@ -140,6 +140,36 @@ def test_text_reports(spark):
     assert got == [(1, 1, "ACC1", "first hit thing", 120.0, "1e-30", 90, 95), (1, 2, "ACC3", "third", 99.5, "2e-8", 99, None)]
 
 
+def test_the_first_of_two_tables_counts(spark):
+    from lanewise.blast.table_function import TextHits
+
+    two = REPORT + "\nSequences producing significant alignments:\n\nACC77 other 5.0 1e-3\n\n"
+    got = [r["accession"] for r in B.text_hits(spark.createDataFrame([(1, two)], "query_id int, report string")).orderBy("rank").collect()]
+    assert got == ["ACC1", "ACC3"] == [r[1] for r in TextHits().eval(two)]
+
+
+def test_exports_of_the_pipelines_result(spark):
+    """Search pair, batch file and single files from a summary; two reads of one name stay two."""
+    from lanewise.sinks.fasta import batch_headers, exportable, fasta_record, search_pair, single_records
+
+    stats = "struct<blast_start:bigint,blast_end:bigint,mean_phred:double,pct_q20:double,blast_est_identity:double>"
+    rows = [
+        ("t1", "/x/a.ab1", "same", "NNACGTACGTNN", "CGTAC", "ACGTA", (2, 7, 31.25, 80.0, 99.5), 0, 0, 0),
+        ("t2", "/x/b.ab1", "same", "TTTT", "", "", (0, 0, 20.0, 50.0, 90.0), 3, 1, 2),
+        ("t3", "/x/c.ab1", None, "NACN", "", "AC", (1, 3, 20.0, 50.0, 90.0), 0, 0, 0),
+        ("t4", "/x/d.ab1", "", "NN", "", "", None, 0, 0, 0),
+    ]
+    df = exportable(spark.createDataFrame(rows, f"trace_id string, path string, sample_name string, sequence string, window_trimmed_seq string, blast_window string, quality_stats {stats}, primer_trim_pos int, n_heterozygotes int, n_imputed int"))
+    pairs = {(r["name"], r["forward"].split("\n")[1], r["reverse"].split("\n")[1]) for r in search_pair(df).collect()}
+    assert pairs == {("same", "ACGTA", "TACGT"), ("same", "TTTT", "AAAA"), ("c", "AC", "GT")} and search_pair(df).count() == 3
+    multi = {r[0] for r in df.select(fasta_record(batch_headers(), F.col("sequence"))).collect()}
+    assert ">c length=2 mean_Q=20.0 pct_Q20=50.0 est_id=90.0%\nAC\n" in multi and len(multi) == 3
+    single = {r["plain"]: r for r in single_records(df, (0, 1, -1, 2), (20, 20.0)).collect()}
+    first = next(r for k, r in single.items() if k.endswith("ACGTA\n"))
+    assert first["trimmed"].startswith(">sanger_sequence_window_trimmed length=5 ") and first["trimmed"].endswith("\nCGTAC\n") and first["rc"].endswith("\nTACGT\n")
+    assert all(r["trimmed"] == "" for k, r in single.items() if r is not first)
+
+
 def test_table_function(spark):
     from lanewise.blast.table_function import register
 
@@ -161,11 +191,13 @@ def test_client():
     replies = iter(["RID = ABC1", "Status=WAITING", "?", "ThereAreHits=yes", "report"])
     asked = []
     client = Client("a@b.c", lambda method, fields: asked.append(fields) or next(replies), key="k", sleep=lambda s: None)
-    assert client.search("ACGT") == "report" and asked[0]["WORD_SIZE"] == "28" and asked[-1]["FORMAT_TYPE"] == "Text"
+    assert client.search("ACGT") == "report" and asked[0]["WORD_SIZE"] == "28" and asked[0]["QUERY"] == ">query\nACGT" and asked[-1]["FORMAT_TYPE"] == "Text"
     with pytest.raises(TimeoutError):
         Client("a@b.c", lambda m, f: "RID = X" if m == "POST" else "?", sleep=lambda s: None).search("A")
     with pytest.raises(RuntimeError):
         Client("a@b.c", lambda m, f: "RID = X" if m == "POST" else "Status=FAILED", sleep=lambda s: None).search("A")
+    with pytest.raises(RuntimeError):
+        Client("a@b.c", lambda m, f: "Status=WAITING").retrieve("X")
     with pytest.raises(ValueError):
         Client("nobody", lambda m, f: "")
 

@@ -134,3 +134,30 @@ def test_partition_count_does_not_matter(spark):
     df = reads(spark, *[[10, 30, 25, 18] * 9 for _ in range(5)])
     one = sorted(map(tuple, C.window_trim(df.repartition(1)).collect()))
     assert one == sorted(map(tuple, C.window_trim(df.repartition(7)).collect()))
+
+
+def test_envelope_by_kernel_equals_windows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(t, i, *(float(x) for x in rng.integers(0, 500, 4))) for t, n in ((1, 700), (2, 90), (3, 1)) for i in range(n)]
+    s = spark.createDataFrame(rows, "trace_id int, i bigint, g double, a double, t double, c double")
+    one = {(r["trace_id"], r["ch"], r["i"]): (r["envelope"], r["normal"]) for r in P.envelope(P.long(s)).collect()}
+    two = {(r["trace_id"], r["ch"], r["i"]): (r["envelope"], r["normal"]) for r in T.envelope_lanes(s).collect()}
+    assert one == two
+
+
+def test_sql_functions_equal_columns(spark):
+    S.register(spark)
+    df = spark.range(400).selectExpr("id", "id * 0.37D AS snr", "0.9D + id % 50 * 0.01D AS iso", "id % 7 / 5.0D AS shape", "id % 5 / 3.0D AS gap", "id % 101 / 100.0D AS place", "concat('/a/b.c/f', id, '.ab1') AS path")
+    df.createOrReplaceTempView("made")
+    want = df.select("id", S.phred_score(*[F.col(c) for c in ("snr", "iso", "shape", "gap", "place")]), F.round(S.raw_score(*[F.col(c) for c in ("snr", "iso", "shape", "gap")]), 9), S.hit_band(F.col("snr")), S.one_decimal(F.col("snr")), S.file_stem(F.col("path")), S.isolation_ratio(*[F.col(c) for c in ("snr", "iso", "shape", "gap")]))
+    got = spark.sql("SELECT id, phred_score(snr, iso, shape, gap, place), round(raw_score(snr, iso, shape, gap), 9), hit_band(snr), one_decimal(snr), file_stem(path), isolation_ratio(snr, iso, shape, gap) FROM made")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_matrix_problems_and_score(spark):
+    good = [[1.2, 0.1, 0, 0], [0.1, 1.3, 0, 0], [0, 0, 1.1, 0.2], [0, 0, 0.1, 1.5]]
+    assert M.problems(good) == [] and M.problems(np.eye(3)) == ["shape (3, 3)"]
+    bad = [[-1.0, 0.1, 0, 0], [2.0, 1.01, 0, 0], [0, 0, 1.1, 0], [0, 0, 0, 1e-9]]
+    assert any("not positive in row 0" in x for x in M.problems(bad)) and any("condition" in x for x in M.problems(bad)) and any("not leading in row 1" in x for x in M.problems(bad))
+    rows = [("m", r, c, float(good[r][c])) for r in range(4) for c in range(4)]
+    assert M.describe(good)["plausibility"] == pytest.approx(M.plausibility(spark.createDataFrame(rows, "matrix_id string, row int, col int, v double")).first()["plausibility"])
