@@ -1,6 +1,7 @@
-"""Suffix-array dedup of bytes by bucket refinement: suffixes start in buckets of their first q-grams, buckets of one
-suffix are dropped, and the rest is refined by the bucket identifiers of later offsets, twice as far each time, until a
-bucket stands for 200 equal bytes."""
+"""Suffix-array dedup of bytes by bucket refinement: suffixes start in buckets of sampled q-grams, and buckets of one
+suffix are dropped. The rest is refined in rounds: a suffix's bucket identifier and the one at a later offset name a wider
+bucket, buckets are sorted by these, suffixes alone in theirs are dropped, and the new identifiers serve the next, wider
+round, until a bucket stands for 200 equal bytes."""
 
 from __future__ import annotations
 
@@ -167,71 +168,130 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def refined(names: np.ndarray, step: int, length: int) -> tuple[np.ndarray, int]:
-    """Bucket identifiers of `length` bytes from those of `step`: the identifier at a place and the one at a later
-    offset name the refined bucket, whose identifier serves the next, wider refinement."""
-    while step < length:
-        ahead = min(step, length - step)
-        names = mix(names[: len(names) - ahead] * np.uint64(BASES[1]) + (names[ahead:] ^ np.uint64(step)))
-        step += ahead
-    return names, step
+def widths(length: int) -> list[int]:
+    """Bytes that a bucket stands for, round by round: twice as many each time, from the q-grams' to `length`."""
+    out = [Q]
+    while out[-1] < length:
+        out.append(min(2 * out[-1], length))
+    return out
+
+
+def refined(names: np.ndarray, step: int, wider: int) -> np.ndarray:
+    """Bucket identifiers of `wider` bytes from those of `step`: the one at a place and the one at a later offset."""
+    ahead = wider - step
+    return mix(names[: len(names) - ahead] * np.uint64(BASES[1]) + (names[ahead:] ^ np.uint64(step)))
+
+
+#: Suffixes by bucket, in packed numbers: of those that are alone in their chunk texts, how many of each, places (as gaps)
+#: and identifiers; identifiers that several of the chunk have, told once; and these suffixes themselves, already decided.
+SUFFIXES = "bucket int, texts binary, counts binary, places binary, names binary, tells binary, done boolean"
+
+
+def _listed(text: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Texts, how many places of each, and the places as gaps; rows come sorted by text and place."""
+    head = np.flatnonzero(heads(text))
+    gaps = np.diff(place, prepend=0)
+    gaps[head] = place[head]
+    return text[head].tobytes(), np.diff(np.append(head, len(text))).astype(np.uint32).tobytes(), gaps.astype(np.uint32).tobytes()
+
 
+def _unlisted(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts, gaps = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in rows[c])]) for c, kind in (("texts", np.int64), ("counts", np.uint32), ("places", np.uint32)))
+    total = np.cumsum(gaps.astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(counts.astype(np.int64))[:-1]]).astype(np.int64) if len(counts) else np.zeros(0, np.int64)
+    return np.repeat(keys, counts), total - np.repeat(total[first] - gaps[first], counts)
 
-SUFFIXES = "bucket int, texts binary, counts binary, places binary, names binary"
 
+def _suffixes(width: int, buckets: int):
+    """Rows of one round, from texts and the places (spans or lists of packed numbers) that are still to be told apart."""
+    steps = widths(width)
 
-def _suffixes(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         initial = [Rolling(BASES[1]), Rolling(BASES[2])]
         for table in chunks(batches, "text", CHUNK):
             raw, edge = text_bytes(table["text"])
             key, n = table["_text"].to_numpy(), len(raw)
-            if n < length:
+            if n < width:
                 continue
             size = np.diff(edge)
             of = np.repeat(np.arange(len(size)), size)
-            spans = table["dense"].combine_chunks()
+            spans, lists = table["dense"].combine_chunks(), table["places"].combine_chunks()
             owner = np.repeat(np.arange(len(size)), np.diff(spans.offsets.to_numpy()))
             a, b = (spans.flatten().field(c).to_numpy().astype(np.int64) for c in (0, 1))
-            at = np.flatnonzero(covered(edge[owner] + a, edge[owner] + b, n))
-            step = length // 8
-            start = np.arange(n - step + 1)
-            one, two = (refined(r.windows(r.prefix(_BYTES[raw]), start, start + step), step, length)[0][at] for r in initial)
-            bucket = ((one >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            text, place, name = of[at][order], (at - edge[of[at]])[order], two[order]
+            live = covered(edge[owner] + a, edge[owner] + b, n)
+            packed, ends = text_bytes(lists.flatten())
+            owner = np.repeat(np.repeat(np.arange(len(size)), np.diff(lists.offsets.to_numpy())), np.diff(ends) // 4)
+            live[edge[owner] + np.frombuffer(packed.tobytes(), np.uint32)] = True
+            at = np.flatnonzero(live)
+            at = at[at + width <= edge[of[at] + 1]]
+            start = np.arange(n - Q + 1)
+            names = []
+            for r in initial:
+                one = r.windows(r.prefix(_BYTES[raw]), start, start + Q)
+                for step, wider in zip(steps, steps[1:]):
+                    one = refined(one, step, wider)
+                names.append(one[at])
+            bucket = ((names[0] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((at, names[1], bucket))
+            head = heads(bucket[order], names[1][order])
+            count = np.diff(np.append(np.flatnonzero(head), len(order)))
+            many = np.repeat(count > 1, count)
+            asks, tells, done = np.sort(order[~many]), order[head & many], np.sort(order[many])
+            text, place = key[of[at]], at - edge[of[at]]
             rows = []
-            for b in np.flatnonzero(np.diff(edges)):
-                cut = slice(edges[b], edges[b + 1])
-                head = np.flatnonzero(heads(text[cut]))
-                gaps = np.diff(place[cut], prepend=0)
-                gaps[head] = place[cut][head]
-                rows.append((int(b), key[text[cut][head]].tobytes(), np.diff(np.append(head, cut.stop - cut.start)).astype(np.uint32).tobytes(), gaps.astype(np.uint32).tobytes(), name[cut].tobytes()))
+            by = asks[np.argsort(bucket[asks], kind="stable")]
+            edges, told = np.searchsorted(bucket[by], np.arange(buckets + 1)), np.searchsorted(bucket[tells], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(edges) + np.diff(told)):
+                cut = by[edges[b] : edges[b + 1]]
+                rows.append((int(b), *_listed(text[cut], place[cut]), names[1][cut].tobytes(), names[1][tells[told[b] : told[b + 1]]].tobytes(), False))
+            if len(done):
+                rows.append((int(mix(key[:1].view(np.uint64))[0] % np.uint64(buckets)), *_listed(text[done], place[done]), b"", b"", True))
             if rows:
-                yield batch([c.split()[0] for c in SUFFIXES.split(", ")], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)))
+                kinds = [pa.int32()] + [pa.binary()] * 5 + [pa.bool_()]
+                yield batch([c.split()[0] for c in SUFFIXES.split(", ")], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)))
 
     return run
 
 
 def _twins(table: pa.Table) -> pa.Table:
-    """Sort a bucket's suffixes by identifier; those that share theirs are given back by text."""
-    keys, counts, gaps, names = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[c]]) for c, kind in (("texts", np.int64), ("counts", np.uint32), ("places", np.uint32), ("names", np.uint64)))
-    text = np.repeat(keys, counts)
-    total = np.cumsum(gaps.astype(np.int64))
-    first = np.concatenate([[0], np.cumsum(counts.astype(np.int64))[:-1]])
-    place = total - np.repeat(total[first] - gaps[first], counts)
+    """Sort a bucket's suffixes by identifier; those that share theirs are given back by text, and so are those that their
+    chunk has decided."""
+    decided = table["done"].to_numpy()
+    asked = table.filter(pa.array(~decided))
+    text, place = _unlisted(asked)
+    names, tells = (np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in asked[c])]) for c in ("names", "tells"))
     order = np.argsort(names, kind="stable")
     head = np.flatnonzero(heads(names[order]))
     count = np.diff(np.append(head, len(order)))
-    many = order[np.repeat(count > 1, count)]
-    many = many[np.lexsort((place[many], text[many]))]
-    text, place = text[many], place[many].astype(np.uint32)
+    many = order[np.repeat(count > 1, count) | np.isin(names[order], np.unique(tells))]
+    both = [np.concatenate([x[many], y]) for x, y in zip((text, place), _unlisted(table.filter(pa.array(decided))), strict=True)]
+    at = np.lexsort((both[1], both[0]))
+    text, place = both[0][at], both[1][at].astype(np.uint32)
     head = np.flatnonzero(heads(text))
     ends = np.append(head, len(text))
     return pa.table({"_text": text[head], "places": pa.array([place[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())})
 
 
+def refine(near: DataFrame, length: int, total: int) -> DataFrame:
+    """_text and places (lists of packed numbers) of the suffixes of near (_text, text, dense) that share `length` bytes.
+    `total` suffixes start in the dense spans; each round takes those that the one before left."""
+    none, found = F.lit(None).cast("array<binary>"), None
+    for width in widths(length)[1:]:
+        if found is None:
+            rows = near.withColumn("places", none)
+        else:
+            rows = near.drop("dense").join(found.hint("merge"), "_text").withColumn("dense", F.lit(None).cast("array<struct<a:int,b:int>>"))
+            total = found.agg(F.coalesce(F.sum(F.aggregate("places", F.lit(0).cast("bigint"), lambda t, x: t + F.octet_length(x))), F.lit(0))).first()[0] // 4
+        buckets = int(max(64, -(-total // BUCKET)))
+        sorted_out = rows.select("_text", "text", "dense", "places").mapInArrow(_suffixes(width, buckets), SUFFIXES).groupBy("bucket").applyInArrow(_twins, "_text bigint, places binary")
+        left = stage(sorted_out.groupBy("_text").agg(F.collect_list("places").alias("places")), f"suffix-{width}")
+        if found is not None:
+            unstage(found)
+        found = left
+        release(near.sparkSession)
+    return found
+
+
 def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """_doc, _text, spans [a, b) and places (lists of packed numbers) of the starts of repeated strings, and whole (the text
     stands in other rows too)."""
@@ -247,13 +307,13 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     single = stage(named.filter("first").select("_doc", "_text").join(sorted_out, "_text"), "suffix-single")
     release(rows.sparkSession)
     total = single.agg(F.coalesce(F.sum(F.aggregate("dense", F.lit(0).cast("bigint"), lambda t, x: t + x["b"] - x["a"])), F.lit(0))).first()[0]
-    near = rows.join(single.filter("size(dense) > 0").select("_doc", "_text", "dense"), ["_doc", "_text"]).select("_text", "text", "dense")
-    buckets = int(max(64, -(-total // BUCKET)))
-    twins = near.mapInArrow(_suffixes(length, buckets), SUFFIXES).groupBy("bucket").applyInArrow(_twins, "_text bigint, places binary")
-    found = stage(twins.groupBy("_text").agg(F.collect_list("places").alias("places")), "suffix-twins")
+    near = rows.join(single.filter("size(dense) > 0").select("_doc", "_text", "dense").hint("merge"), ["_doc", "_text"]).select("_text", "text", "dense")
+    near = stage(near.dropDuplicates(["_text"]), "suffix-near")
+    release(rows.sparkSession)
+    found = refine(near, length, total)
     placed = single.join(found, "_text", "left").filter("size(spans) > 0 or places is not null").select("_doc", "_text", "spans", "places")
     out = stage(named.select("_doc", "_text", "whole").join(placed, ["_doc", "_text"], "left").filter("whole or spans is not null"), "suffix-repeated")
-    unstage(sorted_out, known, single, found)
+    unstage(sorted_out, known, single, found, near)
     release(rows.sparkSession)
     return out
 
