@@ -288,6 +288,8 @@ def refine(near: DataFrame, length: int, total: int) -> DataFrame:
         if found is not None:
             unstage(found)
         found = left
+        # shuffle files stay as long as a plan that reads them is held
+        del rows, sorted_out
         release(near.sparkSession)
     return found
 
@@ -300,6 +302,8 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     met = asked.repartition("k").sortWithinPartitions("k", "u", "_text", "a").mapInArrow(_classes, "_text bigint, a int, b int, kind tinyint")
     spans = lambda what: F.collect_set(F.when(F.col("kind") == what, F.struct("a", "b")))
     sorted_out = stage(met.groupBy("_text").agg(spans(TWIN).alias("spans"), spans(DENSE).alias("dense")), "suffix-classes")
+    # shuffle files stay as long as a plan that reads them is held
+    del asked, met
     known = stage(rows.select("_doc", "_text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha")), "suffix-texts")
     groups = known.groupBy("_sha").agg(F.count("*").alias("_n"), F.min("_doc").alias("_first")).filter("_n > 1")
     named = stage(hot_join(known, stage(groups, "suffix-groups"), "_sha", "_n", known.count(), "left").select("_doc", "_text", F.col("_first").isNotNull().alias("whole"), (F.coalesce("_first", "_doc") == F.col("_doc")).alias("first")).distinct(), "suffix-named")
