@@ -438,6 +438,8 @@ class JaccardJoin:
         buckets = int(max(64, -(-4 * features // BUCKET)))
         parcels = nodes.select("node", "text").mapInArrow(_signed(self.size, buckets, self.most), PARCELS)
         met = stage(parcels.groupBy("bucket").applyInArrow(_groups, "met bigint, node bigint"), "jaccard-groups")
+        # shuffle files stay as long as a plan that reads them is held
+        del parcels
         release(spark)
         total = met.count()
         weighed = met.join(met.groupBy("node").agg(F.count("*").alias("weight")), "node")
@@ -447,6 +449,7 @@ class JaccardJoin:
         tried = stage(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "jaccard-stars")
         sketches = stage(nodes.select("node", "text").mapInArrow(_sketched(self.size), "node bigint, size bigint, sketch binary"), "jaccard-sketches")
         links = self._verified(self._alike(tried, sketches), nodes)
+        del weighed, stars
         release(spark)
         rooted = met.join(components_of(links), "node", "left").select("met", "node", F.coalesce("root", "node").alias("root"))
         mixed = rooted.groupBy("met").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
