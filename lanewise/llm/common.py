@@ -51,12 +51,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Between phases: the driver collects its garbage, so shuffle files that nothing refers to are deleted, and so do the
-    executors, so heap that JVM-heavy work has grown goes back before Python workers need memory."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Between phases: the executors collect their garbage, so heap that JVM-heavy work has grown goes back before Python
+    workers need memory, and so does the driver, so shuffle files that nothing refers to are deleted. The driver comes
+    last: its scheduler refers to the last job's shuffles until another job has run."""
     slots = 2 * spark.sparkContext.defaultParallelism
     spark.range(0, slots, 1, slots).selectExpr("java_method('java.lang.System', 'gc') AS x").write.format("noop").mode("overwrite").save()
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def unstage(*tables: DataFrame) -> None:
