@@ -17,8 +17,9 @@ from .components import components as components_of
 #: Words in a shingle; similarity, in hundredths.
 SHINGLE, PERCENT = 5, 75
 #: PartEnum: each first-level partition is cut into SECOND parts, of which K2 may differ: every choice of SECOND - K2
-#: parts is a signature. There are SLACK times as many first-level partitions as full ones would need.
-SECOND, K2, SLACK = 5, 3, 1.15
+#: parts is a signature. There are SLACK times as many first-level partitions as full ones would need. Two of three parts
+#: give 1.5 signatures for each difference that is allowed (two of five 2.5), and more sets are safe with the first seed.
+SECOND, K2, SLACK = 3, 1, 1.15
 #: Bands of sets up to this size use the prefix filter, and so do sets that are too sparse for every seed.
 SMALL, SEEDS = 32, 2
 #: Features or signatures that one task of the exchange gets, about.
