@@ -9,6 +9,8 @@ from .quality import OP1_SQL, op1_host_rules
 from .sharding import OP10_SQL, op10_sampled_splitters
 from .suffixes import OP7_SQL, op7_bucket_refinement
 from .tokens import op6_edit_aware
+from .toxicity import op12_nb_scaled
+from .variants import OP13_SQL, op13_reduced_alphabet
 from .warc import OP3_SQL, op3_segments
 
 QUERIES = {
@@ -22,6 +24,8 @@ QUERIES = {
     "op8_bootstrapped": op8_bootstrapped,
     "op9_wu_manber": op9_wu_manber,
     "op10_sampled_splitters": op10_sampled_splitters,
+    "op12_nb_scaled": op12_nb_scaled,
+    "op13_reduced_alphabet": op13_reduced_alphabet,
 }
 
 ORACLES = {
@@ -32,4 +36,5 @@ ORACLES = {
     "op3_segments": OP3_SQL,
     "op7_bucket_refinement": OP7_SQL,
     "op10_sampled_splitters": OP10_SQL,
+    "op13_reduced_alphabet": OP13_SQL,
 }
