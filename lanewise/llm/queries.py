@@ -1,6 +1,7 @@
 """The queries of this subpackage and their SQL, as __spark_entry__.py registers them."""
 
 from .anchors import OP2_SQL, op2_difference_cover
+from .conversations import OP11_SQL, op11_rank_convergence
 from .decontaminate import OP9_SQL, op9_wu_manber
 from .jaccard import OP4_SQL, op4_part_enum
 from .packing import op5_nnls_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_bootstrapped": op8_bootstrapped,
     "op9_wu_manber": op9_wu_manber,
     "op10_sampled_splitters": op10_sampled_splitters,
+    "op11_rank_convergence": op11_rank_convergence,
     "op12_nb_scaled": op12_nb_scaled,
     "op13_reduced_alphabet": op13_reduced_alphabet,
 }
@@ -36,5 +38,6 @@ ORACLES = {
     "op3_segments": OP3_SQL,
     "op7_bucket_refinement": OP7_SQL,
     "op10_sampled_splitters": OP10_SQL,
+    "op11_rank_convergence": OP11_SQL,
     "op13_reduced_alphabet": OP13_SQL,
 }
