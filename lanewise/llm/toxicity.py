@@ -60,11 +60,11 @@ class Model:
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """toxic and text of each row of docs that has a label to learn from. Of a doc_id's labels the largest counts; null
-    ids and null labels teach nothing; a null text is an empty one. The texts that may be learnt from are shuffled once;
-    they are the side of the join that Spark can split, so a doc_id of many rows does no harm."""
+    ids and null labels teach nothing; a null text is an empty one. The texts that may be learnt from are shuffled once, at
+    every size; they are the side of the join that Spark can split, so a doc_id of many rows does no harm."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out()).groupBy(F.col("doc_id").cast("bigint").alias("_doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = docs.filter("doc_id IS NOT NULL").filter(~held_out()).select(F.col("doc_id").cast("bigint").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(known, "_doc").select("toxic", "text")
+    return rows.join(known.hint("merge"), "_doc").select("toxic", "text")
 
 
 def class_counts(rows: DataFrame, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
