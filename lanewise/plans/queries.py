@@ -393,4 +393,4 @@ def matrix_validate(spark, sf_dir):
     return M.validate(M.dominant(A.samples(spark, sf_dir)))
 
 
-from . import trace_queries  # noqa: E402,F401  (adds its queries)
+from . import peak_queries, trace_queries  # noqa: E402,F401  (add their queries)
