@@ -81,16 +81,19 @@ def local_noise(y: np.ndarray, at: int, floor: float, half: int = 20) -> float:
     return max(float(high - low) / 1.35, floor)
 
 
-def shapes(y: np.ndarray, peaks: np.ndarray, half: int = 8) -> np.ndarray:
-    """Shape score of each peak: 0.4 of its symmetry and 0.6 of the R squared of a bounded Gaussian fit. All peaks are
-    fitted together, by damped least squares with the parameters kept in bounds."""
-    n, out = len(y), np.full(len(peaks), 0.5)
+def shapes(y: np.ndarray, peaks: np.ndarray, channels: np.ndarray | None = None, half: int = 8) -> np.ndarray:
+    """Shape score of each peak (of a channel, or of a 4 x N array's named channels): 0.4 of its symmetry and 0.6 of the R
+    squared of a bounded Gaussian fit. All peaks are fitted together, by damped least squares with the parameters kept in
+    bounds."""
+    y = y[None] if y.ndim == 1 else y
+    n, out = y.shape[1], np.full(len(peaks), 0.5)
     if not len(peaks):
         return out
+    channels = np.zeros(len(peaks), int) if channels is None else channels
     x = np.arange(-half, half + 1)
     at = peaks[:, None] + x
     inside = (at >= 0) & (at < n)
-    values = np.where(inside, y[np.clip(at, 0, n - 1)], 0.0)
+    values = np.where(inside, y[channels[:, None], np.clip(at, 0, n - 1)], 0.0)
     top = np.where(inside, values, -np.inf).max(1)
     use = (inside.sum(1) >= 5) & (top > 0)
     if not use.any():

@@ -188,19 +188,17 @@ def mobility_lags(samples: DataFrame) -> DataFrame:
     """trace_id, ch, n and lag: where the channel's cross-correlation with the sum of all is largest (of equals at the least
     lag), kept within a tenth of the trace (its floor on the negative side).
 
-    Every lag's sum runs over arrays of one trace, n * n products a channel: for rows of a few thousand samples and to hold
-    the pipeline's kernel against, which takes the spectrum instead."""
-    both = samples.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("i", *WIDE))).alias("s"))
-    total = F.transform("s", lambda x: x["g"] + x["a"] + x["t"] + x["c"])
-    each = both.select("trace_id", F.size("s").alias("n"), total.alias("total"), F.posexplode(F.array(*[F.col(f"s.{c}") for c in WIDE])).alias("ch", "y"))
-
-    def at(lag: Column) -> Column:
-        over = F.col("n") - F.abs(lag)
-        pairs = F.zip_with(F.slice("y", F.greatest(lag, F.lit(0)) + 1, over), F.slice("total", F.greatest(-lag, F.lit(0)) + 1, over), lambda a, b: a * b)
-        return F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v)
-
-    best = F.aggregate(F.sequence(1 - F.col("n"), F.col("n") - 1), F.struct(F.lit(float("-inf")).alias("m"), F.lit(0).alias("lag")), lambda acc, lag: let(at(lag), lambda v: F.when(v > acc["m"], F.struct(v.alias("m"), lag.alias("lag"))).otherwise(acc)), lambda acc: acc["lag"])
-    bound = F.greatest(F.floor(-F.col("n") / 10), F.least(F.floor(F.col("n") / 10), best.cast("bigint")))
+    Each sample meets the sums of its trace, an array, and sums by lag are made where they meet (map-side), so what is
+    shuffled is a row for each lag. The products are n * n a trace: for a few thousand samples, and to hold the pipeline's
+    kernel against, which takes the spectrum instead."""
+    total = sum((F.col(c) for c in WIDE[1:]), F.col(WIDE[0]))
+    listed = samples.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("i", total.alias("y")))).alias("s"))
+    met = samples.join(listed.select("trace_id", F.transform("s", lambda x: x["y"]).alias("total")), "trace_id")
+    pairs = met.select("trace_id", "i", *WIDE, F.size("total").alias("n"), F.posexplode("total").alias("j", "y"))
+    sums = pairs.groupBy("trace_id", (F.col("i") - F.col("j")).cast("int").alias("lag")).agg(F.first("n").alias("n"), *[F.sum(F.col(c) * F.col("y")).alias(c) for c in WIDE])
+    best = sums.groupBy("trace_id").agg(F.first("n").alias("n"), *[F.max(F.struct(F.col(c).alias("v"), (-F.col("lag")).alias("m"))).alias(c) for c in WIDE])
+    each = best.select("trace_id", "n", F.posexplode(F.array(*[-F.col(f"{c}.m") for c in WIDE])).alias("ch", "lag"))
+    bound = F.greatest(F.floor(-F.col("n") / 10), F.least(F.floor(F.col("n") / 10), F.col("lag").cast("bigint")))
     return each.select("trace_id", "ch", "n", bound.cast("int").alias("lag"))
 
 

@@ -61,13 +61,31 @@ def lanes(df: DataFrame, *arrays: str) -> DataFrame:
     return inner.select("trace_id", "ch", F.col("i").cast("bigint").alias("i"), *[F.col(f"v.{a}").alias(a) for a in arrays])
 
 
-def _two(of: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], a: str, b: str) -> Callable[[np.ndarray], list[dict]]:
-    return lambda y: [dict(zip((a, b), (x.tolist() for x in of(y)), strict=True))]
+def nested(arrays: list[np.ndarray]) -> pa.Array:
+    """array<array<double>> of 2-d arrays, from their buffers."""
+    rows = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
+    sizes = np.repeat([a.shape[1] for a in arrays], np.diff(rows)) if arrays else np.zeros(0, int)
+    flat = np.concatenate([np.ascontiguousarray(a, float).ravel() for a in arrays]) if arrays else np.zeros(0)
+    inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), inner)
+
+
+def per_signal(df: DataFrame, of: Callable[[np.ndarray], tuple[np.ndarray, ...]], *names: str, signals: str = "signals") -> DataFrame:
+    """trace_id and the 2-d arrays that of(signals) gives for each trace, as columns of these names."""
+    kind = dict(df.dtypes)["trace_id"]
+    schema = f"trace_id {kind}, " + ", ".join(f"{n} array<array<double>>" for n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in batches:
+            done = [of(signal_of(value)) for value in one.column(1)]
+            yield pa.RecordBatch.from_arrays([one.column(0), *[nested([d[k] for d in done]) for k in range(len(names))]], ["trace_id", *names])
+
+    return df.select("trace_id", signals).mapInArrow(run, schema)
 
 
 def baseline(df: DataFrame, method: str = "rolling", window: int = 101) -> DataFrame:
     """trace_id, baseline and y: the floor and the corrected channels."""
-    return per_trace(df, "trace_id", _two(lambda y: ks.baseline(y, method, window)[::-1], "baseline", "y"), "baseline array<array<double>>, y array<array<double>>")
+    return per_signal(df, lambda y: ks.baseline(y, method, window)[::-1], "baseline", "y")
 
 
 def baseline_lanes(samples: DataFrame, method: str, window: int = 101) -> DataFrame:
@@ -76,29 +94,24 @@ def baseline_lanes(samples: DataFrame, method: str, window: int = 101) -> DataFr
 
 def envelope_lanes(samples: DataFrame, width: int = 300, fraction: float = 0.03) -> DataFrame:
     """The envelope of each channel and the signal over it, as operators.samples.envelope() gives them by windows."""
-    rows = per_trace(traces(samples), "trace_id", _two(lambda y: ks.envelope(y, width, fraction), "envelope", "normal"), "envelope array<array<double>>, normal array<array<double>>")
-    return lanes(rows, "envelope", "normal")
+    return lanes(per_signal(traces(samples), lambda y: ks.envelope(y, width, fraction), "envelope", "normal"), "envelope", "normal")
 
 
 def noise_lanes(samples: DataFrame, window: int, percent: float) -> DataFrame:
-    rows = per_trace(traces(samples), "trace_id", lambda y: [{"noise": ks.running_noise(y, window, percent).tolist()}], "noise array<array<double>>")
-    return lanes(rows, "noise")
+    return lanes(per_signal(traces(samples), lambda y: (ks.running_noise(y, window, percent),), "noise"), "noise")
 
 
 def smoothed(df: DataFrame, width: int = 19, order: int = 3, passes: int = 1, mode: str = "interp") -> DataFrame:
-    return per_trace(df, "trace_id", lambda y: [{"y": ks.smooth(y, width, order, passes, mode).tolist()}], "y array<array<double>>")
+    return per_signal(df, lambda y: (ks.smooth(y, width, order, passes, mode),), "y")
 
 
 def sharpened(df: DataFrame, amount: float, sigma: float = 0.4) -> DataFrame:
-    return per_trace(df, "trace_id", lambda y: [{"y": ks.sharpen_tail(y, sigma=sigma, amount=amount).tolist()}], "y array<array<double>>")
+    return per_signal(df, lambda y: (ks.sharpen_tail(y, sigma=sigma, amount=amount),), "y")
 
 
 def aligned(df: DataFrame, prominence: float = 0.01) -> DataFrame:
-    def of(y: np.ndarray) -> list[dict]:
-        out, done = kp.mobility(y, prominence)
-        return [{"y": out.tolist(), "applied": done}]
-
-    return per_trace(df, "trace_id", of, "y array<array<double>>, applied boolean")
+    """The channels after the correction of mobility; a trace of too few peaks stays as it is."""
+    return per_signal(df, lambda y: (kp.mobility(y, prominence)[0],), "y")
 
 
 def found_peaks(df: DataFrame, prominence: float = 0.002, distance: int = 2, adaptive: bool = True) -> DataFrame:

@@ -16,7 +16,7 @@ def peaks_sql(name: str, lane: str, distance: int, least: str, keys: str = "trac
     of heights, and for each peak all samples of its lane."""
     on = " AND ".join(f"p.{k.strip()} = l.{k.strip()}" for k in keys.split(","))
     of = lambda x: ", ".join(f"{x}.{k.strip()}" for k in keys.split(","))
-    greedy = "" if distance <= 2 else f"""{name}_o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY amp DESC, pos DESC) AS r FROM {name}_c),
+    greedy = "" if distance <= 2 else f"""{name}_o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY amp DESC, pos DESC) AS r FROM {name}_c),
 {name}_k AS (SELECT {keys}, r, [pos] AS kept FROM {name}_o WHERE r = 1 UNION ALL
  SELECT {of("l")}, l.r, CASE WHEN len(list_filter(p.kept, lambda x: abs(x - l.pos) < {distance})) = 0 THEN list_append(p.kept, l.pos) ELSE p.kept END FROM {name}_k p JOIN {name}_o l ON {on} AND l.r = p.r + 1),
 {name}_f AS (SELECT p.* FROM {name}_c p JOIN (SELECT {keys}, max_by(kept, r) AS kept FROM {name}_k GROUP BY {keys}) l ON {on} AND list_contains(l.kept, p.pos)),"""
@@ -116,8 +116,8 @@ def mobility_lags(spark, sf_dir):
 
 @query("mobility_pairs", f"""WITH RECURSIVE {A.SQL_LONG}, {_LAGS}, shifted AS (SELECT l.trace_id, l.ch, l.i, coalesce(m.y, 0) AS y FROM long l JOIN lags USING (trace_id, ch) LEFT JOIN long m ON m.trace_id = l.trace_id AND m.ch = l.ch AND m.i = l.i + lags.lag),
 {peaks_sql('mk', 'total', 1, '0.3 * p90', 'trace_id')}, {peaks_sql('pk', 'shifted', 1, '0.3 * p90')},
-ranked AS (SELECT trace_id, pos, row_number() OVER (PARTITION BY trace_id ORDER BY pos) AS r, count(*) OVER (PARTITION BY trace_id) AS n FROM mk),
-lists AS (SELECT trace_id, ch, list(pos ORDER BY pos) AS free FROM pk GROUP BY trace_id, ch HAVING count(*) >= 4),
+ranked AS MATERIALIZED (SELECT trace_id, pos, row_number() OVER (PARTITION BY trace_id ORDER BY pos) AS r, count(*) OVER (PARTITION BY trace_id) AS n FROM mk),
+lists AS MATERIALIZED (SELECT trace_id, ch, list(pos ORDER BY pos) AS free FROM pk GROUP BY trace_id, ch HAVING count(*) >= 4),
 walk AS (SELECT trace_id, ch, CAST(0 AS BIGINT) AS r, free, CAST(NULL AS BIGINT) AS mark, CAST(NULL AS BIGINT) AS taken FROM lists
  UNION ALL SELECT trace_id, ch, r, list_filter(free, lambda x: x > mark - 20 AND x <> coalesce(near.p, -1)), mark, near.p FROM (
   SELECT w.trace_id, w.ch, m.r, w.free, m.pos AS mark, list_min(list_transform(list_filter(w.free, lambda x: abs(x - m.pos) < 20), lambda x: {{'d': abs(x - m.pos), 'p': x}})) AS near

@@ -36,11 +36,25 @@ def process(y: np.ndarray, time: np.ndarray, p: PipelineParams, inverse: np.ndar
     kept["sharpened"] = kept["final"] = last = ks.sharpen_tail(kept["mobility"], sigma=p.sigma, amount=p.amount)
     blob = ks.blob_end(last) if p.auto_trim_blob else 0
     noise = ks.running_noise(last, p.noise_floor_window, p.noise_floor_percentile)
-    calls = kb.rows(kb.call(last, p, blob, noise), last, time, p)
+    calls = kb.columns(kb.call(last, p, blob, noise), last, time, p)
     if keep:
         kept["running_noise"] = ks.running_noise(kept["smooth"], p.noise_floor_window, p.noise_floor_percentile)
         kept["snr_map"] = np.clip(kept["smooth"] / (kept["noise_floor"] + 1e-9), 0.0, 50.0)
-    return {"mobility_applied": applied, "blob_end": blob, "calls": calls, "stages": {k: kept[k].tolist() for k in STAGES} if keep else None, "error": None}
+    return {"mobility_applied": applied, "blob_end": blob, "calls": calls, "stages": {k: kept[k] for k in STAGES} if keep else None, "error": None}
+
+
+def _listed(calls: list[dict[str, np.ndarray] | None], kind: pa.DataType) -> pa.Array:
+    """array<struct> of calls from their columns; none where a trace failed."""
+    ends = np.cumsum([0] + [len(c["pos"]) if c else 0 for c in calls])
+    some = [c for c in calls if c]
+    fields = [pa.array(np.concatenate([c[f.name] for c in some]) if some else [], f.type) for f in kind.value_type]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(kind.value_type)), type=kind)
+
+
+def _mapped(stages: list[dict[str, np.ndarray] | None], kind: pa.DataType) -> pa.Array:
+    if not any(stages):
+        return pa.nulls(len(stages), kind)
+    return pa.array([s and [(k, v.tolist()) for k, v in s.items()] for s in stages], kind)
 
 
 def run(traces: DataFrame, params: PipelineParams = PipelineParams(), stages: bool = False) -> DataFrame:
@@ -53,8 +67,7 @@ def run(traces: DataFrame, params: PipelineParams = PipelineParams(), stages: bo
         for one in batches:
             out = []
             for row in range(one.num_rows):
-                name, path, sample, fault = (one.column(k)[row].as_py() for k in (0, 1, 2, 5))
-                base = {"trace_id": name, "path": path, "sample_name": sample}
+                fault = one.column(5)[row].as_py()
                 try:
                     if fault:
                         raise ValueError(fault)
@@ -62,11 +75,12 @@ def run(traces: DataFrame, params: PipelineParams = PipelineParams(), stages: bo
                     if y.shape[0] != 4:
                         raise ValueError(f"{y.shape[0]} channels; four are needed")
                     time = one.column(3)[row]
-                    time = np.array(time.as_py(), float) if time.is_valid else np.arange(y.shape[1], dtype=float)
-                    out.append(base | process(y, time, params, inverse, stages))
+                    time = time.values.to_numpy(zero_copy_only=False).astype(float) if time.is_valid else np.arange(y.shape[1], dtype=float)
+                    out.append(process(y, time, params, inverse, stages))
                 except Exception as why:  # a broken trace is reported in its row
-                    out.append(base | {"mobility_applied": None, "blob_end": None, "calls": [], "stages": None, "error": f"{type(why).__name__}: {why}"})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out.append({"mobility_applied": None, "blob_end": None, "calls": None, "stages": None, "error": f"{type(why).__name__}: {why}"})
+            plain = [pa.array([r[k] for r in out], schema.field(k).type) for k in ("mobility_applied", "blob_end")]
+            yield pa.RecordBatch.from_arrays([*(one.column(k) for k in range(3)), *plain, _listed([r["calls"] for r in out], schema.field("calls").type), _mapped([r["stages"] for r in out], schema.field("stages").type), pa.array([r["error"] for r in out], pa.string())], schema=schema)
 
     have = set(traces.columns)
     wanted = {"trace_id": "string", "path": "string", "sample_name": "string", "time": "array<double>", "signals": "array<array<double>>", "error": "string"}

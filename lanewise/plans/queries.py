@@ -311,10 +311,13 @@ def envelope(spark, sf_dir):
     return rounded(T.envelope_lanes(A.samples(spark, sf_dir)))
 
 
-@query("blob_end", f"""WITH {A.SQL_SAMPLES}, s AS (SELECT trace_id, i, g + a + t + c AS s, max(g + a + t + c) OVER (PARTITION BY trace_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS ahead, count(*) OVER (PARTITION BY trace_id) AS n FROM samples),
-p AS (SELECT trace_id, min({{'m': -s, 'i': i}}) AS p FROM s WHERE i < 500 GROUP BY trace_id),
-e AS (SELECT trace_id, any_value(n) AS n, any_value(p.p.i) AS pk, min(s.i) FILTER (WHERE s.i >= p.p.i AND s.i < n - 20 AND ahead < -p.p.m * 0.4) AS i, any_value(-p.p.m) AS top FROM s JOIN p USING (trace_id) GROUP BY trace_id)
-SELECT trace_id, CAST(CASE WHEN top <= 0 THEN 0 ELSE coalesce(i, least(pk + 50, 500, n)) END AS BIGINT) AS blob_end FROM e""")
+_BLOB = """summed AS (SELECT trace_id, i, g + a + t + c AS s, max(g + a + t + c) OVER (PARTITION BY trace_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS ahead, count(*) OVER (PARTITION BY trace_id) AS n FROM samples),
+first AS (SELECT trace_id, min({'m': -s, 'i': i}) AS p FROM summed WHERE i < 500 GROUP BY trace_id),
+calm AS (SELECT trace_id, any_value(n) AS n, any_value(first.p.i) AS pk, min(s.i) FILTER (WHERE s.i >= first.p.i AND s.i < n - 20 AND ahead < -first.p.m * 0.4) AS i, any_value(-first.p.m) AS top FROM summed s JOIN first USING (trace_id) GROUP BY trace_id),
+blob AS (SELECT trace_id, CAST(CASE WHEN top <= 0 THEN 0 ELSE coalesce(i, least(pk + 50, 500, n)) END AS BIGINT) AS blob_end FROM calm)"""
+
+
+@query("blob_end", f"WITH {A.SQL_SAMPLES}, {_BLOB} SELECT * FROM blob")
 def blob_end(spark, sf_dir):
     return P.blob_end(A.samples(spark, sf_dir))
 
@@ -355,42 +358,52 @@ def peak_filters(spark, sf_dir):
 
 # Matrices
 
-_DOMINANT = f"""{A.SQL_LONG}, lim AS (SELECT trace_id, ch, quantile_cont(y, 0.99) * 0.04 AS thr FROM long GROUP BY trace_id, ch),
-lead AS (SELECT trace_id, i, [g, a, t, c] AS v, list_position([g, a, t, c], greatest(g, a, t, c)) - 1 AS ch, greatest(g, a, t, c) AS top, list_reverse_sort([g, a, t, c])[2] AS second FROM samples),
+#: Corrected by the moving median of 101 samples, from the end of each trace's blob on.
+_DOMINANT = f"""{_MEDIAN.removeprefix("WITH ")}, cor AS (SELECT trace_id, ch, i, greatest(y - p, 0) AS y FROM b WHERE i >= 0 AND i < n), {_BLOB},
+rest AS (SELECT cor.* FROM cor JOIN blob USING (trace_id) WHERE i >= blob_end), all4 AS (SELECT DISTINCT trace_id, ch FROM cor),
+lim AS (SELECT trace_id, ch, quantile_cont(y, 0.99) * 0.04 AS thr FROM rest GROUP BY trace_id, ch),
+vec AS (SELECT trace_id, i, list(y ORDER BY ch) AS v FROM rest GROUP BY trace_id, i),
+lead AS (SELECT trace_id, i, v, list_position(v, list_max(v)) - 1 AS ch, list_max(v) AS top, list_reverse_sort(v)[2] AS second FROM vec),
 fit AS (SELECT lead.*, row_number() OVER (PARTITION BY trace_id, ch ORDER BY top DESC, i) AS r FROM lead JOIN lim USING (trace_id, ch) WHERE top >= CASE WHEN thr > 0 THEN thr ELSE 1e-6 END AND top / (second + 1e-9) >= 1.5),
 mean AS (SELECT trace_id, ch, k AS row, avg(v[k + 1] / (top + 1e-9)) AS v, count(*) AS n FROM fit, range(4) AS t(k) WHERE r <= 500 GROUP BY ALL),
-grid AS (SELECT DISTINCT trace_id, ch, k AS row FROM lim, range(4) AS t(k)),
+grid AS (SELECT trace_id, ch, k AS row FROM all4, range(4) AS t(k)),
 dom AS (SELECT trace_id AS matrix_id, row, ch AS col, CASE WHEN coalesce(n, 0) < 5 THEN CAST(row = ch AS DOUBLE) WHEN row = ch THEN greatest(v, 1.0) ELSE v END AS v, coalesce(n, 0) AS n FROM grid LEFT JOIN mean USING (trace_id, ch, row))"""
 _CONSTRAINED = "con AS (SELECT matrix_id, row, col, CASE WHEN row = col THEN 1.0 ELSE least(greatest(v, 0), 0.95) END AS v FROM dom)"
 
 
+def _dominant(spark, sf_dir):
+    samples = A.samples(spark, sf_dir)
+    return M.dominant(samples, blobs=P.blob_end(samples))
+
+
 @query("dominant_matrix", f"WITH {_DOMINANT} SELECT matrix_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col, round(v, 6) AS v, n FROM dom")
 def dominant_matrix(spark, sf_dir):
-    return rounded(M.dominant(A.samples(spark, sf_dir)))
+    return rounded(_dominant(spark, sf_dir))
 
 
 @query("robust_matrix", f"WITH {_DOMINANT}, {_CONSTRAINED} SELECT matrix_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col, round(v, 6) AS v FROM con")
 def robust_matrix(spark, sf_dir):
-    return rounded(M.robust(A.samples(spark, sf_dir)).drop("n"))
+    samples = A.samples(spark, sf_dir)
+    return rounded(M.robust(samples, blobs=P.blob_end(samples)).drop("n"))
 
 
 @query("matrix_plausibility", f"""WITH {_DOMINANT}, s AS (SELECT matrix_id, col, sum(CASE WHEN row = col THEN -10 * abs(v - 1) WHEN v BETWEEN 0 AND 1 THEN 1 WHEN v < 0 THEN -4 ELSE -2 * v END) AS e, max(v) FILTER (WHERE row = col) AS d, max(v) FILTER (WHERE row <> col) AS o FROM dom GROUP BY ALL)
 SELECT matrix_id, round(sum(e + CASE WHEN d >= o THEN 3 ELSE -5 * (o - d) END), 6) AS plausibility FROM s GROUP BY matrix_id""")
 def matrix_plausibility(spark, sf_dir):
-    return rounded(M.plausibility(M.dominant(A.samples(spark, sf_dir))))
+    return rounded(M.plausibility(_dominant(spark, sf_dir)))
 
 
 @query("matrix_compare", f"""WITH {_DOMINANT}, {_CONSTRAINED}, d AS (SELECT dom.matrix_id, dom.v - con.v * 0.9 AS d FROM dom JOIN con USING (matrix_id, row, col))
 SELECT matrix_id, round(sqrt(sum(d * d)), 6) AS frobenius, round(max(abs(d)), 6) AS largest, round(avg(abs(d)), 6) AS mean FROM d GROUP BY matrix_id""")
 def matrix_compare(spark, sf_dir):
-    one = M.dominant(A.samples(spark, sf_dir))
+    one = _dominant(spark, sf_dir)
     return rounded(M.compare(one, M.constrain(one).withColumn("v", F.col("v") * 0.9)))
 
 
 @query("matrix_validate", f"""WITH {_DOMINANT}, s AS (SELECT matrix_id, row, max(v) FILTER (WHERE row = col) AS d, max(abs(v)) FILTER (WHERE row <> col) AS o FROM dom GROUP BY ALL)
 SELECT matrix_id, count_if(d <= 0) AS not_positive, count_if(d > 0 AND d < 1.05) AS near_one, count_if(d < o) AS not_leading FROM s GROUP BY matrix_id""")
 def matrix_validate(spark, sf_dir):
-    return M.validate(M.dominant(A.samples(spark, sf_dir)))
+    return M.validate(_dominant(spark, sf_dir))
 
 
 from . import peak_queries, trace_queries  # noqa: E402,F401  (add their queries)

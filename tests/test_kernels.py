@@ -157,7 +157,7 @@ def test_synthetic_trace(noise, least):
     p = PipelineParams.interactive(matrix=tuple(map(tuple, m)), mobility_enabled=False)
     out = process(y, np.arange(y.shape[1], dtype=float), p, np.linalg.inv(m), keep=True)
     assert 100 < out["blob_end"] < 260
-    assert identity(want, "".join(c["letter"] for c in out["calls"])) >= least
+    assert identity(want, "".join(out["calls"]["letter"])) >= least
     assert set(out["stages"]) >= {"raw", "smooth", "final"}
 
 
