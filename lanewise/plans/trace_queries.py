@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..blast import parse as B
+from ..functions import tables
 from ..kernels import signal as ks
 from ..operators import matrices as M
 from ..operators import samples as P
@@ -15,11 +17,13 @@ from ..operators import traces as T
 from ..params import PipelineParams
 from ..sinks.abif import abif_bytes
 from ..sinks.fasta import batch_headers, fasta_record, search_pair, single_header
+from ..sinks.files import shared_folder, write_files
+from ..sinks.record_sink import write_ordered
 from ..sinks.tables import peak_table, summary_table
 from ..sources import readers as R
+from ..sources import trace_source
 from . import pipeline as PL
-from .queries import CROSSTALK, query, rounded
-
+from .queries import CROSSTALK, ORACLES, _candidates, _segments, query, rounded
 
 
 def _morph_sql() -> str:
@@ -140,29 +144,97 @@ def _rows_of(samples, line):
     return samples.groupBy("trace_id").agg(F.array_join(lines, "\n").alias("body"))
 
 
-@query("read_csv", _BACK)
-def read_csv(spark, sf_dir):
+def _csv_files(spark, sf_dir):
     rows = _rows_of(A.samples(spark, sf_dir), lambda x: F.concat_ws(";", *[x[c].cast("int").cast("string") for c in P.WIDE]))
-    files = rows.select(F.concat(F.lit("/in/"), "trace_id", F.lit(".csv")).alias("path"), F.col("body").cast("binary").alias("content"))
-    return _numbered(R.parse(files))
+    return rows.select(F.concat(F.lit("/in/"), "trace_id", F.lit(".csv")).alias("path"), F.col("body").cast("binary").alias("content"))
 
 
-@query("read_srd", _BACK)
-def read_srd(spark, sf_dir):
+def _srd_files(spark, sf_dir):
     point = lambda x: F.concat(F.lit("<Point><Data>"), *[F.concat(F.lit("<int>"), x[c].cast("int").cast("string"), F.lit("</int>")) for c in P.WIDE], F.lit("</Data></Point>"))
     rows = _rows_of(A.samples(spark, sf_dir), point)
     body = F.concat(F.lit("<Root><TimeStep>10</TimeStep>"), "body", F.lit("</Root>"))
-    return _numbered(R.parse(rows.select(F.concat(F.lit("/in/"), "trace_id", F.lit(".srd")).alias("path"), body.cast("binary").alias("content"))))
+    return rows.select(F.concat(F.lit("/in/"), "trace_id", F.lit(".srd")).alias("path"), body.cast("binary").alias("content"))
 
 
-@query("read_abif", _BACK)
-def read_abif(spark, sf_dir):
+def _abif_files(spark, sf_dir):
     def build(batches):
         for one in batches:
             out = [{"path": f"/in/{name}.ab1", "content": abif_bytes(T.signal_of(s)[[2, 0, 3, 1]], dyes="TGCA", name=f"s{name}")} for name, s in zip(one.column(0).to_pylist(), one.column(1), strict=True)]
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
 
-    return _numbered(R.parse(T.traces(A.samples(spark, sf_dir)).select("trace_id", "signals").mapInArrow(build, "path string, content binary")))
+    return T.traces(A.samples(spark, sf_dir)).select("trace_id", "signals").mapInArrow(build, "path string, content binary")
+
+
+@query("read_csv", _BACK)
+def read_csv(spark, sf_dir):
+    return _numbered(R.parse(_csv_files(spark, sf_dir)))
+
+
+@query("read_srd", _BACK)
+def read_srd(spark, sf_dir):
+    return _numbered(R.parse(_srd_files(spark, sf_dir)))
+
+
+@query("read_abif", _BACK)
+def read_abif(spark, sf_dir):
+    return _numbered(R.parse(_abif_files(spark, sf_dir)))
+
+
+def _through_files(spark, files, name):
+    """The traces after a round through files and the data source."""
+    folder = shared_folder(spark, name)
+    write_files(files, folder)
+    trace_source.register(spark)
+    return spark.read.format("traces").schema("trace_id string, signals array<array<double>>").load(folder)
+
+
+@query("source_csv", _BACK)
+def source_csv(spark, sf_dir):
+    return _numbered(_through_files(spark, _csv_files(spark, sf_dir), "csv"))
+
+
+@query("source_srd", _BACK)
+def source_srd(spark, sf_dir):
+    return _numbered(_through_files(spark, _srd_files(spark, sf_dir), "srd"))
+
+
+@query("source_abif", _BACK)
+def source_abif(spark, sf_dir):
+    return _numbered(_through_files(spark, _abif_files(spark, sf_dir), "abif"))
+
+
+# SQL text alone: functions on tables.
+
+
+@query("sql_trim_reads", f'WITH {A.SQL_CALLS}, {_segments(20.0)} SELECT trace_id, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS "end" FROM seg')
+def sql_trim_reads(spark, sf_dir):
+    tables.register(spark)
+    A.calls(spark, sf_dir).createOrReplaceTempView("lanewise_calls")
+    return spark.sql("SELECT * FROM trim_reads(TABLE(SELECT trace_id, ordinal, phred FROM lanewise_calls) PARTITION BY trace_id ORDER BY (ordinal), 20.0D, 20)")
+
+
+@query("sql_merge_clusters", ORACLES["cluster_merge"])
+def sql_merge_clusters(spark, sf_dir):
+    tables.register(spark)
+    _candidates(spark, sf_dir).createOrReplaceTempView("lanewise_candidates")
+    return rounded(spark.sql("SELECT * FROM merge_clusters(TABLE(lanewise_candidates) PARTITION BY trace_id ORDER BY (pos, ch), 3)"))
+
+
+# Whole exports of a batch: written in order by several tasks, and read back.
+
+
+@query("ordered_fasta", f"WITH {A.SQL_SEQS}, x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, '>doc' || doc_id AS line FROM seqs WHERE length(seq) > 0) SELECT place, line FROM x")
+def ordered_fasta(spark, sf_dir):
+    """Header lines of a batch's file in the order of names of files and lines in them."""
+    s = A.sequences(spark, sf_dir).filter(F.length("seq") > 0)
+    folder = shared_folder(spark, "fasta")
+    write_ordered(s.select("doc_id", fasta_record(F.concat(F.lit("doc"), "doc_id"), F.col("seq")).alias("record")), folder, "doc_id")
+    # the sum of the headers in the files before gives each file's first place
+    lines = spark.read.text(f"{folder}/part-*.fasta").select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).filter("value LIKE '>%'")
+    counts = lines.groupBy("file").agg(F.count("*").alias("n"))
+    before = counts.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1
+    return lines.join(F.broadcast(before), "file").select((F.col("before") + own).alias("place"), F.col("value").alias("line"))
 
 
 # Reports of searches, built from the lines of each order.

@@ -80,8 +80,9 @@ def reverse_path(path: str) -> str:
 
 
 def write_records(records: DataFrame, folder: str, column: str = "record", order: str | None = None) -> None:
-    """Write records as text files, in one file by `order` where that is given (a batch's report, not a corpus)."""
-    body = records.filter(F.length(column) > 0)
+    """Write records as text files; with `order` as numbered files whose names' order is the records' (a batch's report)."""
     if order:
-        body = body.coalesce(1).sortWithinPartitions(order)
-    body.select(F.regexp_replace(column, "\n$", "")).write.text(folder)
+        from .record_sink import write_ordered
+
+        return write_ordered(records, folder, order, column)
+    records.filter(F.length(column) > 0).select(F.regexp_replace(column, "\n$", "")).write.text(folder)

@@ -121,20 +121,26 @@ PARSERS: dict[str, Callable[..., Parsed]] = {"abif": parse_abif, "srd": parse_sr
 ENDINGS = {".ab1": "abif", ".abi": "abif", ".srd": "srd", ".xml": "srd", ".csv": "csv", ".txt": "csv"}
 
 
+def parsed_row(path: str, content: Callable[[], bytes] | None, format: str | None, options: dict[str, dict[str, object]]) -> Parsed:
+    """The row of one file; a file that can't be read or parsed is reported in it. Without content only what its path tells.
+    options are given by format."""
+    kind = format or ENDINGS.get(os.path.splitext(path)[1].lower(), "")
+    row: Parsed = {"trace_id": os.path.splitext(os.path.basename(path))[0], "path": path, "format": kind}
+    if content is None:
+        return row
+    try:
+        return row | PARSERS[kind](content(), **options.get(kind, {})) | {"error": None}
+    except Exception as why:
+        return row | {"error": f"{type(why).__name__}: {why}"}
+
+
 def parse(files: DataFrame, format: str | None = None, **options: object) -> DataFrame:
     """Traces from rows (path, content). The format is given, or goes by each file's ending."""
     schema = to_arrow_schema(_parse_datatype_string(TRACES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in batches:
-            rows = []
-            for path, content in zip(one.column(0).to_pylist(), one.column(1), strict=True):
-                kind = format or ENDINGS.get(os.path.splitext(path)[1].lower(), "")
-                row: Parsed = {"trace_id": os.path.splitext(os.path.basename(path))[0], "path": path, "format": kind}
-                try:
-                    rows.append(row | PARSERS[kind](content.as_py() or b"", **options) | {"error": None})
-                except Exception as why:  # a broken file is reported in its row
-                    rows.append(row | {"error": f"{type(why).__name__}: {why}"})
+            rows = [parsed_row(path, lambda content=content: content.as_py() or b"", format, dict.fromkeys(PARSERS, options)) for path, content in zip(one.column(0).to_pylist(), one.column(1), strict=True)]
             yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in schema} for r in rows], schema=schema)
 
     return files.select("path", "content").mapInArrow(run, TRACES)
