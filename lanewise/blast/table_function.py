@@ -13,7 +13,7 @@ from .parse import COVER, IDENTITY, MARK
 
 COLUMNS = "rank int, accession string, description string, score double, evalue string, identity_pct int, query_cover_pct int"
 #: A row of the table: a name, any words, a number and an expectation.
-ROW = re.compile(r"^[ \t]*(\S+)(.*?)[ \t](?=\S+[ \t]+\S+[ \t]*$)([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)[ \t]+(\S+)[ \t]*$", re.MULTILINE)
+ROW = re.compile(r"^[ \t]*(\S+)(.*?)[ \t](?=\S+[ \t]+\S+[ \t\r]*$)([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)[ \t]+(\S+)[ \t\r]*$", re.MULTILINE)
 
 
 class TextHits:

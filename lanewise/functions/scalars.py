@@ -144,6 +144,14 @@ SQL_FUNCTIONS = {
     "phred_score(snr DOUBLE, isolation DOUBLE, shape DOUBLE, spacing DOUBLE, place DOUBLE) RETURNS INT": "cast(least(greatest(bround(least(greatest(20 * log10(greatest(snr, 1D)) + 18, 0D), 40D)"
     " - CASE WHEN isolation < 1.05 THEN 3D WHEN isolation < 1.25 THEN 1.5D * (1.25D - isolation) / 0.2D ELSE 0D END - 1.5D * (1 - least(greatest(shape, 0D), 1D)) - (1 - least(greatest(spacing, 0D), 1D))"
     " - CASE WHEN place > 0.88 THEN 6 * (place - 0.88D) / 0.12D WHEN place > 0.75 THEN 2.5D * (place - 0.75D) / 0.13D ELSE 0D END, 0), 5D), 40D) AS INT)",
+    "late_min_snr(place DOUBLE, min_snr DOUBLE) RETURNS DOUBLE": "CASE WHEN place > 0.6 THEN greatest(min_snr * (1 - 0.4D * ((place - 0.6D) / 0.4D)), 0.8D) ELSE min_snr END",
+    "late_min_isolation(place DOUBLE, min_isolation DOUBLE) RETURNS DOUBLE": "CASE WHEN place > 0.6 THEN greatest(min_isolation - 0.25D * ((place - 0.6D) / 0.4D), 1.05D) ELSE min_isolation END",
+    "called_letter(channel INT, rescued BOOLEAN, allow_uncertain BOOLEAN) RETURNS STRING": "CASE WHEN rescued AND NOT allow_uncertain THEN 'N' ELSE substring('GATC', channel + 1, 1) END",
+    "heterozygote(g DOUBLE, a DOUBLE, t DOUBLE, c DOUBLE, threshold DOUBLE) RETURNS STRUCT<heterozygote: BOOLEAN, het_channel: INT, het_ratio: DOUBLE>": "get(transform(array(sort_array(array(struct(g AS y, 0 AS n), struct(a AS y, 1 AS n), struct(t AS y, 2 AS n), struct(c AS y, 3 AS n)), false)),"
+    " r -> CASE WHEN r[0].y > 0 AND r[1].y / (r[0].y + 1e-9D) >= threshold THEN named_struct('heterozygote', true, 'het_channel', r[1].n, 'het_ratio', r[1].y / (r[0].y + 1e-9D)) ELSE named_struct('heterozygote', false, 'het_channel', -1, 'het_ratio', 0D) END), 0)",
+    "trim_primer(seq STRING, primer STRING) RETURNS STRUCT<sequence: STRING, cut: INT>": "get(transform(array(array_min(transform(CASE WHEN primer <> '' AND length(seq) >= length(primer) THEN sequence(0, least(length(seq) - length(primer), 79)) ELSE array() END,"
+    " i -> struct(size(filter(zip_with(split(upper(primer), '', -1), split(upper(substring(seq, i + 1, length(primer))), '', -1), (p, s) -> p <> 'N' AND p <> s AND s <> 'N'), x -> x)) AS n, i AS i)))),"
+    " b -> CASE WHEN b.n <= 2 THEN named_struct('sequence', substring(seq, b.i + length(primer) + 1), 'cut', b.i + length(primer)) ELSE named_struct('sequence', seq, 'cut', 0) END), 0)",
 }
 
 

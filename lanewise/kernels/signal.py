@@ -105,12 +105,10 @@ def _pentadiagonal(d0: np.ndarray, d1: np.ndarray, d2: np.ndarray, rhs: np.ndarr
     return x
 
 
-def als_baseline(y: np.ndarray, stiffness: float = 1e5, p: float = 0.002, rounds: int = 10, most: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """Asymmetric least squares: a stiff curve that samples above it hardly pull. Long traces are thinned for the fit and
-    the curve is interpolated; all channels are solved at once."""
-    n = y.shape[-1]
-    step = max(1, n // most)
-    thin = y[:, ::step].T.astype(float)
+def als_fit(thin: np.ndarray, stiffness: float = 1e5, p: float = 0.002, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Curves of asymmetric least squares through channels x samples, and the weights of their last round: each solves
+    (W + stiffness D'D) z = W y for second differences D. All channels are solved at once."""
+    thin = thin.T.astype(float)
     m = len(thin)
     # the penalty on second differences, by bands
     second = np.zeros((3, m))
@@ -119,12 +117,21 @@ def als_baseline(y: np.ndarray, stiffness: float = 1e5, p: float = 0.002, rounds
     second[1, : m - 2] += -2.0
     second[1, 1 : m - 1] += -2.0
     second[2, : m - 2] = 1.0
-    bands = [stiffness * np.repeat(b[:, None], y.shape[0], 1) for b in second]
-    w, base = np.ones_like(thin), thin
+    bands = [stiffness * np.repeat(b[:, None], thin.shape[1], 1) for b in second]
+    w, base, used = np.ones_like(thin), thin, None
     for _ in range(rounds):
-        base = _pentadiagonal(bands[0] + w, bands[1], bands[2], w * thin)
+        base, used = _pentadiagonal(bands[0] + w, bands[1], bands[2], w * thin), w
         w = np.where(thin > base, p, 1.0 - p)
-    full = base.T if step == 1 else np.stack([np.interp(np.arange(n), np.arange(0, n, step), b) for b in base.T])
+    return base.T, (w if used is None else used).T
+
+
+def als_baseline(y: np.ndarray, stiffness: float = 1e5, p: float = 0.002, rounds: int = 10, most: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Asymmetric least squares: a stiff curve that samples above it hardly pull. Long traces are thinned for the fit and
+    the curve is interpolated."""
+    n = y.shape[-1]
+    step = max(1, n // most)
+    base, _ = als_fit(y[:, ::step], stiffness, p, rounds)
+    full = base if step == 1 else np.stack([np.interp(np.arange(n), np.arange(0, n, step), b) for b in base])
     return np.maximum(y - full, 0.0), np.maximum(full, 0.0)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.arrays import scan
 from ..functions.scalars import one_decimal, quality_letters, readiness, reverse_complement
 
 #: Thresholds of the search window, in the order in which they are tried, and the length that settles it.
@@ -174,15 +175,14 @@ def clusters(candidates: DataFrame, tolerance: int) -> DataFrame:
     """Number the clusters of candidates (trace_id, pos, ch, amp): a cluster takes all places within `tolerance` of its
     first one. The fold is sequential, so it runs over one array a trace."""
     listed = candidates.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ch", "amp"))).alias("all"))
-    state = "struct<id:int,start:bigint,out:array<int>>"
-    zero = F.struct(F.lit(-1).alias("id"), F.lit(None).cast("bigint").alias("start"), F.array().cast("array<int>").alias("out")).cast(state)
+    zero = F.struct(F.lit(-1).alias("id"), F.lit(None).cast("bigint").alias("start"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
         new = acc["start"].isNull() | (x["pos"] - acc["start"] > tolerance)
         one = F.when(new, acc["id"] + 1).otherwise(acc["id"])
-        return F.struct(one.alias("id"), F.when(new, x["pos"]).otherwise(acc["start"]).cast("bigint").alias("start"), F.concat(acc["out"], F.array(one)).alias("out")).cast(state)
+        return F.struct(one.alias("id"), F.when(new, x["pos"]).otherwise(acc["start"]).cast("bigint").alias("start")), one
 
-    ids = F.aggregate("all", zero, step, lambda acc: acc["out"])
+    ids = scan(F.col("all"), "struct<id:int,start:bigint>", zero, step, "int")
     return listed.select("trace_id", F.explode(F.arrays_zip("all", ids.alias("cluster"))).alias("x")).select("trace_id", "x.all.*", "x.cluster")
 
 
@@ -196,16 +196,15 @@ def spacing_fold(calls: DataFrame, model: Column, ok: Column, tolerance: float =
     """Spacing score of each call against the last confirmed one before it. `model` maps a place to the spacing expected
     there (an array); a call joins the confirmed ones if `ok` holds and its score is at least 0.25."""
     listed = calls.withColumn("_ok", ok).groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "pos", "_ok"))).alias("all")).withColumn("_model", model)
-    state = "struct<n:int,last:bigint,out:array<double>>"
-    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("last"), F.array().cast("array<double>").alias("out")).cast(state)
+    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("last"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
         due = F.get(F.col("_model"), acc["last"].cast("int"))
         score = F.when((acc["n"] < 2) | due.isNull() | (due <= 0), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1.0 - F.abs((x["pos"] - acc["last"]) - due) / due / tolerance))
         joins = x["_ok"] & (score >= 0.25)
-        return F.struct((acc["n"] + joins.cast("int")).alias("n"), F.when(joins, x["pos"]).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(score)).alias("out")).cast(state)
+        return F.struct((acc["n"] + joins.cast("int")).alias("n"), F.when(joins, x["pos"]).otherwise(acc["last"]).alias("last")), score
 
-    scores = F.aggregate("all", zero, step, lambda acc: acc["out"])
+    scores = scan(F.col("all"), "struct<n:int,last:bigint>", zero, step, "double")
     return listed.select("trace_id", F.explode(F.arrays_zip("all", scores.alias("spacing"))).alias("x")).select("trace_id", "x.all.ordinal", "x.all.pos", F.col("x.spacing").alias("spacing_score"))
 
 

@@ -137,3 +137,32 @@ def call_filters(peaks: DataFrame, floors: DataFrame, min_snr: float = 1.0) -> D
     """Signal-to-noise of each peak, without those under the hard floors."""
     met = peaks.join(floors, ["trace_id", "ch"])
     return met.withColumn("snr", F.col("amp") / F.greatest("floor", F.lit(1e-9))).filter((F.col("amp") >= 1e-6) & (F.col("snr") >= min_snr * 0.15))
+
+
+def normal_places(peaks: DataFrame, samples: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Peaks (trace_id, pos, ...) from their blob's end on, with place, 0 there and 1 after the last sample."""
+    sizes = samples.groupBy("trace_id").agg(F.count("*").alias("_n"))
+    met = peaks.join(sizes.join(blobs, "trace_id"), "trace_id").filter("pos >= blob_end")
+    return met.withColumn("place", (F.col("pos") - F.col("blob_end")) / F.greatest(F.col("_n") - F.col("blob_end"), F.lit(1))).drop("_n", "blob_end")
+
+
+def smoother_residual(lanes: DataFrame, stiffness: float = 1e5) -> DataFrame:
+    """How far curves z with weights w over samples y (lanes: trace_id, ch, i, y, z, w) are from solving (W + stiffness D'D) z =
+    W y: n and worst, the largest difference of the two sides."""
+    bend = F.col("z") - 2.0 * F.lead("z", 1).over(_lane()) + F.lead("z", 2).over(_lane())
+    some = lambda k: F.coalesce(F.lag("_d", k).over(_lane()) if k else F.col("_d"), F.lit(0.0))
+    rows = lanes.withColumn("_d", bend)
+    rows = rows.withColumn("_r", F.abs(F.col("w") * (F.col("z") - F.col("y")) + stiffness * (some(0) - 2.0 * some(1) + some(2))))
+    return rows.groupBy("trace_id", "ch").agg(F.count("*").alias("n"), F.max("_r").alias("worst"))
+
+
+def factor_residual(factors: DataFrame) -> DataFrame:
+    """Of a factorisation (trace_id, s: channels x samples, w: components x samples, h: components x channels): n samples,
+    error, the squared distance of s from its product over that of s from zero, and least, the smallest entry of the
+    factors."""
+    each = factors.select("trace_id", "h", F.posexplode(F.arrays_zip(*[F.get(x, F.lit(k)).alias(f"{x}{k}") for x in ("s", "w") for k in range(4)])).alias("i", "v"))
+    row = lambda ch: sum((F.col(f"v.w{k}") * F.get(F.get("h", F.lit(k)), F.lit(ch)) for k in range(1, 4)), F.col("v.w0") * F.get(F.get("h", F.lit(0)), F.lit(ch)))
+    parts = [F.pow(F.col(f"v.s{ch}") - row(ch), F.lit(2.0)) for ch in range(4)]
+    whole = [F.pow(F.col(f"v.s{ch}"), F.lit(2.0)) for ch in range(4)]
+    low = F.least(*[F.col(f"v.w{k}") for k in range(4)], F.array_min(F.flatten("h")))
+    return each.groupBy("trace_id").agg(F.count("*").alias("n"), (F.sum(sum(parts[1:], parts[0])) / F.sum(sum(whole[1:], whole[0]))).alias("error"), F.min(low).alias("least"))

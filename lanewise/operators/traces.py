@@ -135,3 +135,19 @@ def estimated(df: DataFrame, method: str = "peaks") -> DataFrame:
         return [{"row": r, "col": c, "v": float(m[r, c])} for r in range(4) for c in range(4)]
 
     return per_trace(df, "trace_id", of, "row int, col int, v double").withColumnRenamed("trace_id", "matrix_id")
+
+
+def fitted(df: DataFrame, rounds: int = 10) -> DataFrame:
+    """trace_id, y, z and w: channels, their curves of asymmetric least squares and the weights these were solved with."""
+    return per_signal(df, lambda y: (y, *ks.als_fit(y, rounds=rounds)), "y", "z", "w")
+
+
+def factors(df: DataFrame) -> DataFrame:
+    """trace_id, s (corrected channels), w and h: the factorisation s' = w' h behind the estimate 'nmf'."""
+
+    def of(y: np.ndarray) -> tuple[np.ndarray, ...]:
+        s = km.corrected(y)
+        w, h = km.factorised(s.T)
+        return s, w.T, h
+
+    return per_signal(df, of, "s", "w", "h")

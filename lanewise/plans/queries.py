@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -254,9 +255,21 @@ def channel_shift(spark, sf_dir):
     return P.shift(A.samples(spark, sf_dir), SHIFTS)
 
 
+def _inverse(matrix) -> list[list[float]]:
+    """Inverse by elimination in exact fractions."""
+    n = len(matrix)
+    rows = [[Fraction(v) for v in row] + [Fraction(int(r == k)) for k in range(n)] for r, row in enumerate(matrix)]
+    for k in range(n):
+        pivot = next(r for r in range(k, n) if rows[r][k])
+        rows[k], rows[pivot] = rows[pivot], rows[k]
+        rows[k] = [v / rows[k][k] for v in rows[k]]
+        for r in set(range(n)) - {k}:
+            rows[r] = [a - rows[r][k] * b for a, b in zip(rows[r], rows[k], strict=True)]
+    return [[float(v) for v in row[n:]] for row in rows]
+
+
 def _unmixed_sql() -> str:
-    inv = P.unmixing(CROSSTALK)
-    rows = [f"round(greatest({' + '.join(f'({float(inv[r, k])!r}) * {c}' for k, c in enumerate(P.WIDE))}, 0), 6) + 0 AS {P.WIDE[r]}" for r in range(4)]
+    rows = [f"round(greatest({' + '.join(f'({v!r}) * {c}' for v, c in zip(row, P.WIDE, strict=True))}, 0), 6) + 0 AS {name}" for name, row in zip(P.WIDE, _inverse(CROSSTALK), strict=True)]
     return f"WITH {A.SQL_SAMPLES} SELECT trace_id, i, {', '.join(rows)} FROM samples"
 
 

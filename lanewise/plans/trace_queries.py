@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..blast import parse as B
+from ..functions import scalars as S
 from ..functions import tables
-from ..kernels import signal as ks
 from ..operators import matrices as M
 from ..operators import samples as P
 from ..operators import traces as T
@@ -23,7 +23,8 @@ from ..sinks.tables import peak_table, summary_table
 from ..sources import readers as R
 from ..sources import trace_source
 from . import pipeline as PL
-from .queries import CROSSTALK, ORACLES, _candidates, _segments, query, rounded
+from .peak_queries import peaks_sql, polynomial_weight
+from .queries import _BLOB, _MEDIAN, _PEAKS, CROSSTALK, ORACLES, _candidates, _segments, query, rounded
 
 
 def _morph_sql() -> str:
@@ -41,14 +42,13 @@ def morph_baseline(spark, sf_dir):
     return rounded(T.baseline_lanes(A.samples(spark, sf_dir), "morph"))
 
 
-def _savgol_sql(width: int = 19, order: int = 3) -> str:
+def _savgol_sql(width: int = 19) -> str:
+    """Each sample's window is the one around it, or the first or last; the weights are those of orthogonal polynomials."""
     half = width // 2
-    inner = ", ".join(f"({k}, {float(w)!r})" for k, w in enumerate(ks.savgol_weights(width, order)))
-    ends = ", ".join(f"({p}, {k}, {float(w)!r})" for p in range(half) for k, w in enumerate(ks.savgol_weights(width, order, p)))
-    return f"""WITH {A.SQL_LONG}, num AS (SELECT *, count(*) OVER (PARTITION BY trace_id, ch) AS n FROM long), mid(k, w) AS (VALUES {inner}), fin(p, k, w) AS (VALUES {ends}),
-want AS (SELECT trace_id, ch, i, i - {half} + k AS j, w FROM num, mid WHERE i >= {half} AND i < n - {half}
- UNION ALL SELECT trace_id, ch, i, k, w FROM num, fin WHERE i < {half} AND p = i UNION ALL SELECT trace_id, ch, i, n - 1 - k, w FROM num, fin WHERE i >= n - {half} AND p = n - 1 - i)
-SELECT w.trace_id, CAST(w.ch AS INT) AS ch, w.i, round(greatest(sum(w * y), 0), 6) + 0 AS y FROM want w JOIN num ON num.trace_id = w.trace_id AND num.ch = w.ch AND num.i = w.j GROUP BY ALL"""
+    weight = polynomial_weight(str(width), "(l.i - s)", "(p.i - s)")
+    return f"""WITH {A.SQL_LONG}, num AS (SELECT *, count(*) OVER (PARTITION BY trace_id, ch) AS n FROM long),
+p AS (SELECT *, greatest(0, least(i - {half}, n - {width})) AS s FROM num)
+SELECT p.trace_id, CAST(p.ch AS INT) AS ch, p.i, round(greatest(sum(l.y * ({weight})), 0), 6) + 0 AS y FROM p JOIN long l ON l.trace_id = p.trace_id AND l.ch = p.ch AND l.i BETWEEN s AND s + {width - 1} GROUP BY p.trace_id, p.ch, p.i"""
 
 
 @query("savgol", _savgol_sql())
@@ -61,7 +61,29 @@ def als_baseline(spark, sf_dir):
     return rounded(T.baseline_lanes(A.samples(spark, sf_dir), "als"), 4)
 
 
-@query("sharpen_tail")
+#: The equations are solved to rounding: the largest difference of their two sides is 0 for every channel.
+@query("als_residual", f"WITH {A.SQL_LONG} SELECT trace_id, CAST(ch AS INT) AS ch, count(*) AS n, CAST(0 AS DOUBLE) AS worst FROM long GROUP BY trace_id, ch")
+def als_residual(spark, sf_dir):
+    return rounded(P.smoother_residual(T.lanes(T.fitted(T.traces(A.samples(spark, sf_dir))), "y", "z", "w")), 4)
+
+
+#: Four components of four channels: the corrected samples are their product, and no entry is negative.
+@query("nmf_residual", "SELECT l_suppkey AS trace_id, count(*) AS n, CAST(0 AS DOUBLE) AS error, true AS positive FROM lineitem GROUP BY l_suppkey")
+def nmf_residual(spark, sf_dir):
+    found = P.factor_residual(T.factors(T.traces(A.samples(spark, sf_dir))))
+    return rounded(found.select("trace_id", "n", "error", (F.col("least") >= 0).alias("positive")), 9)
+
+
+#: Amount 0.8 over the last quarter; the smoothing's weights reach 2 samples (four sigma of 0.4), its ends are mirrored.
+_SHARPEN = f"""WITH {A.SQL_LONG}, num AS (SELECT *, count(*) OVER (PARTITION BY trace_id, ch) AS n, max(y) OVER (PARTITION BY trace_id, ch) AS top FROM long),
+k(d, w) AS (SELECT d, exp(-0.5 * pow(d / 0.4, 2)) / sum(exp(-0.5 * pow(d / 0.4, 2))) OVER () FROM range(-2, 3) AS r(d)),
+near AS (SELECT trace_id, ch, i, w, CASE WHEN i + d < 0 THEN -i - d - 1 WHEN i + d >= n THEN 2 * n - 1 - i - d ELSE i + d END AS j FROM num, k),
+soft AS (SELECT a.trace_id, a.ch, a.i, sum(w * l.y) AS b FROM near a JOIN long l ON l.trace_id = a.trace_id AND l.ch = a.ch AND l.i = a.j GROUP BY ALL),
+sharp AS (SELECT num.*, greatest(y + CASE WHEN i < floor(0.75 * n) THEN 0 ELSE 0.8 * (i - floor(0.75 * n)) / (n - floor(0.75 * n) - 1) END * (y - b), 0) AS s FROM num JOIN soft USING (trace_id, ch, i))
+SELECT trace_id, CAST(ch AS INT) AS ch, i, round(CASE WHEN top > 0 THEN s * CASE WHEN m > 0 THEN top / m ELSE 1 END ELSE y END, 6) AS y FROM (SELECT *, max(s) OVER (PARTITION BY trace_id, ch) AS m FROM sharp)"""
+
+
+@query("sharpen_tail", _SHARPEN)
 def sharpen_tail(spark, sf_dir):
     return rounded(T.lanes(T.sharpened(T.traces(A.samples(spark, sf_dir)), 0.8), "y"))
 
@@ -76,7 +98,18 @@ def peaks_and_shapes(spark, sf_dir):
     return rounded(T.found_peaks(T.traces(A.samples(spark, sf_dir))), 4)
 
 
-@query("peak_matrix")
+#: Peaks of corrected channels where some channel leads by 2, else by 1.5, else by 1.2: the first with five of them.
+_PEAK_MATRIX = f"""WITH RECURSIVE {_MEDIAN.removeprefix("WITH ")}, cor AS (SELECT trace_id, ch, i, greatest(y - p, 0) AS y FROM b WHERE i >= 0 AND i < n), {peaks_sql("pk", "cor", 5, "0.005")},
+vec AS (SELECT trace_id, i, list(y ORDER BY ch) AS v, list_reverse_sort(list(y)) AS r FROM cor GROUP BY trace_id, i),
+lead AS (SELECT pk.trace_id, pk.ch, v, r[1] >= k * (r[2] + 1e-9) AS ok, k FROM pk JOIN vec ON vec.trace_id = pk.trace_id AND vec.i = pk.pos, (VALUES (2.0), (1.5), (1.2)) AS t(k) WHERE pk.amp <> 0),
+pick AS (SELECT trace_id, ch, max(k) AS k FROM (SELECT trace_id, ch, k FROM lead WHERE ok GROUP BY ALL HAVING count(*) >= 5) GROUP BY trace_id, ch),
+mean AS (SELECT trace_id, ch, row, avg(v[row + 1] / v[ch + 1]) AS v FROM lead JOIN pick USING (trace_id, ch, k), range(4) AS t(row) WHERE ok GROUP BY ALL),
+grid AS (SELECT trace_id, ch, row FROM (SELECT DISTINCT trace_id, ch FROM cor), range(4) AS t(row)),
+whole AS (SELECT trace_id, row, ch, CASE WHEN row = ch THEN greatest(coalesce(v, 1), 1) ELSE coalesce(v, 0) END AS v FROM grid LEFT JOIN mean USING (trace_id, ch, row))
+SELECT trace_id AS matrix_id, CAST(row AS INT) AS row, CAST(ch AS INT) AS col, round(CASE WHEN row = ch THEN v + 0.01 * greatest(avg(CASE WHEN row = ch THEN v END) OVER (PARTITION BY trace_id), 1) ELSE v END, 6) AS v FROM whole"""
+
+
+@query("peak_matrix", _PEAK_MATRIX)
 def peak_matrix(spark, sf_dir):
     return rounded(T.estimated(T.traces(A.samples(spark, sf_dir)), "peaks"))
 
@@ -86,6 +119,19 @@ def nmf_matrix(spark, sf_dir):
     return rounded(T.estimated(T.traces(A.samples(spark, sf_dir)), "nmf"), 3)
 
 
+@query("called_letters", f"WITH {A.SQL_CALLS} SELECT trace_id, ordinal, CASE WHEN tail_rescued THEN 'N' ELSE substr('GATC', phred % 4 + 1, 1) END AS strict, substr('GATC', phred % 4 + 1, 1) AS guessed FROM calls")
+def called_letters(spark, sf_dir):
+    c = A.calls(spark, sf_dir)
+    return c.select("trace_id", "ordinal", S.called_letter(F.col("phred") % 4, F.col("tail_rescued"), False).alias("strict"), S.called_letter(F.col("phred") % 4, F.col("tail_rescued")).alias("guessed"))
+
+
+@query("normal_places", f"""WITH {A.SQL_LONG}, {_PEAKS}, {_BLOB} SELECT trace_id, ch, pos, amp, round((pos - blob_end) / greatest(n - blob_end, 1), 6) AS place
+FROM peaks JOIN blob USING (trace_id) JOIN (SELECT trace_id, count(*) AS n FROM samples GROUP BY trace_id) USING (trace_id) WHERE pos >= blob_end""")
+def normal_places(spark, sf_dir):
+    samples = A.samples(spark, sf_dir)
+    return rounded(P.normal_places(P.local_maxima(P.long(samples)), samples, P.blob_end(samples)))
+
+
 @query("matrix_of_robust_plausibility", "SELECT DISTINCT l_suppkey AS matrix_id, CAST(24 AS DOUBLE) AS plausibility FROM lineitem")
 def matrix_of_robust_plausibility(spark, sf_dir):
     """Every constrained matrix scores 24, as does the identity."""

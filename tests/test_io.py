@@ -188,20 +188,55 @@ def test_json_reports(spark):
 
 
 def test_client():
-    replies = iter(["RID = ABC1", "Status=WAITING", "?", "ThereAreHits=yes", "report"])
+    replies = iter(["RID = ABC1", "Status=WAITING", "?", "ThereAreHits=yes", "Query= 1\nreport"])
     asked = []
     client = Client("a@b.c", lambda method, fields: asked.append(fields) or next(replies), key="k", sleep=lambda s: None)
-    assert client.search("ACGT") == "report" and asked[0]["WORD_SIZE"] == "28" and asked[0]["QUERY"] == ">query\nACGT" and asked[-1]["FORMAT_TYPE"] == "Text"
+    assert client.search("ACGT") == "Query= 1\nreport" and asked[0]["WORD_SIZE"] == "28" and asked[0]["QUERY"] == ">query\nACGT" and asked[-1]["FORMAT_TYPE"] == "Text"
     with pytest.raises(TimeoutError):
         Client("a@b.c", lambda m, f: "RID = X" if m == "POST" else "?", sleep=lambda s: None).search("A")
     with pytest.raises(RuntimeError):
         Client("a@b.c", lambda m, f: "RID = X" if m == "POST" else "Status=FAILED", sleep=lambda s: None).search("A")
-    with pytest.raises(RuntimeError):
-        Client("a@b.c", lambda m, f: "Status=WAITING").retrieve("X")
+    for page in ("Status=WAITING", "", "<html>Error 500: try again later</html>"):
+        with pytest.raises(RuntimeError, match="no report"):
+            Client("a@b.c", lambda m, f, page=page: page).retrieve("X")
+    for page in ("No significant similarity found", "<BlastOutput>", '{"BlastOutput2":[]}', "Sequences producing"):
+        assert Client("a@b.c", lambda m, f, page=page: page).retrieve("X") == page
     with pytest.raises(ValueError):
         Client("nobody", lambda m, f: "")
 
 
+@pytest.mark.parametrize("format", ["Text", "JSON2", "XML"])
+def test_from_sequence_to_hits(spark, format):
+    xml = "<BlastOutput><BlastOutput_query-len>80</BlastOutput_query-len><BlastOutput_iterations><Iteration><Iteration_hits><Hit><Hit_id>i</Hit_id><Hit_def>d</Hit_def><Hit_accession>A1</Hit_accession><Hit_hsps><Hsp><Hsp_score>5</Hsp_score><Hsp_evalue>0.1</Hsp_evalue><Hsp_query-from>1</Hsp_query-from><Hsp_query-to>41</Hsp_query-to><Hsp_identity>9</Hsp_identity><Hsp_gaps>0</Hsp_gaps><Hsp_align-len>10</Hsp_align-len></Hsp></Hit_hsps></Hit></Iteration_hits></Iteration></BlastOutput_iterations></BlastOutput>"
+    json = '{"BlastOutput2":[{"report":{"results":{"search":{"hits":[{"description":[{"accession":"A1","title":"t"}],"hsps":[{"bit_score":5.5,"evalue":0.1,"identity":9,"align_len":10}]}]}}}}]}'
+    text = f"Query= 1\n{B.MARK}:\n\nA1 some words 5.5 1e-9\n\n Identities = 9/10 (90%)\n"
+    page = {"Text": text, "JSON2": json, "XML": xml}[format]
+    client = Client("a@b.c", lambda m, f: "RID = R1" if m == "POST" else "Status=READY" if "FORMAT_OBJECT" in f else page, sleep=lambda s: None)
+    got = client.hits(spark, {"one": "ACGT", "two": "AC"}, format).select("query_id", "rank", "accession", "identity_pct").collect()
+    assert sorted(map(tuple, got)) == [("one", 1, "A1", 90), ("two", 1, "A1", 90)]
+    assert B.report_kinds(spark.createDataFrame([(1, page), (2, "<html>"), (3, "No significant similarity found")], "query_id int, page string")).orderBy("query_id").collect() == [(1, {"Text": "text", "JSON2": "json", "XML": "xml"}[format]), (2, "page"), (3, "none")]
+
+
+def test_an_xml_report_is_parsed_once(spark):
+    plan = B.xml_hits(spark.createDataFrame([(1, "x")], "query_id int, report string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1
+
+
+def test_line_ends_of_either_kind(spark):
+    from lanewise.blast.table_function import register
+
+    register(spark)
+    df = spark.createDataFrame([(1, REPORT), (2, REPORT.replace("\n", "\r\n"))], "query_id int, report string")
+    df.createOrReplaceTempView("reports_x")
+    one, two = (spark.sql(f"SELECT h.* FROM reports_x, LATERAL parse_blast_text(report) h WHERE query_id = {k} ORDER BY rank").collect() for k in (1, 2))
+    assert one and one == two == [r[1:] for r in B.text_hits(df.filter("query_id = 2")).orderBy("rank").collect()]
+
+
+def test_catalogue(spark):
+    rows = B.catalogue(spark).collect()
+    assert [r["name"] for r in rows if r["kind"] == "program"] == list(B.PROGRAMS) and len(rows) == len(B.DATABASES) + 2
+
+
 def test_replies_and_policy(spark):
     df = spark.createDataFrame([(1, "Status=WAITING"), (2, "ThereAreHits=yes"), (3, "x"), (4, "Status=FAILED RID = Q7")], "query_id int, reply string")
     assert [r[1] for r in B.statuses(df).orderBy("query_id").collect()] == ["WAITING", "READY", "UNKNOWN", "FAILED"]

@@ -161,3 +161,26 @@ def test_matrix_problems_and_score(spark):
     assert any("not positive in row 0" in x for x in M.problems(bad)) and any("condition" in x for x in M.problems(bad)) and any("not leading in row 1" in x for x in M.problems(bad))
     rows = [("m", r, c, float(good[r][c])) for r in range(4) for c in range(4)]
     assert M.describe(good)["plausibility"] == pytest.approx(M.plausibility(spark.createDataFrame(rows, "matrix_id string, row int, col int, v double")).first()["plausibility"])
+
+
+def test_sql_functions_equal_the_columns(spark):
+    S.register(spark)
+    rng = np.random.default_rng(31)
+    rows = [(*map(float, rng.integers(0, 6, 4)), float(rng.random()), "".join(rng.choice(list("ACGTN"), rng.integers(0, 30))), bool(rng.random() < 0.5), int(rng.integers(0, 4))) for _ in range(200)]
+    df = spark.createDataFrame(rows, "g double, a double, t double, c double, place double, seq string, rescued boolean, ch int")
+    ours = ("heterozygote(g, a, t, c, 0.45D)", "trim_primer(seq, 'GACTN')", "trim_primer(seq, '')", "late_min_snr(place, 1.5D)", "late_min_isolation(place, 1.2D)", "called_letter(ch, rescued, false)", "called_letter(ch, rescued, true)")
+    late = S.late_thresholds(F.col("place"), 1.5, 1.2)
+    theirs = (S.heterozygote(*map(F.col, "gatc")), S.trim_primer(F.col("seq"), "GACTN"), S.trim_primer(F.col("seq"), ""), *late, S.called_letter(F.col("ch"), F.col("rescued"), False), S.called_letter(F.col("ch"), F.col("rescued")))
+    got, want = df.selectExpr(*ours).collect(), df.select(*theirs).collect()
+    assert [tuple(map(repr, r)) for r in got] == [tuple(map(repr, r)) for r in want]
+
+
+def test_residuals_show_what_is_wrong(spark):
+    rows = [(0, 0, i, float(y), float(z), 1.0) for i, (y, z) in enumerate(zip([1, 2, 3, 4, 5], [1, 2, 3, 4, 5]))] + [(0, 1, i, 0.0, float(z), 1.0) for i, z in enumerate([0, 1, 0, 0])]
+    got = {r["ch"]: (r["n"], r["worst"]) for r in P.smoother_residual(spark.createDataFrame(rows, "trace_id int, ch int, i long, y double, z double, w double"), 10.0).collect()}
+    assert got == {0: (5, 0.0), 1: (4, 51.0)}
+    s = [[1.0, 0.0], [0.0, 2.0], [0.0, 0.0], [0.0, 0.0]]
+    eye = [[float(a == b) for b in range(4)] for a in range(4)]
+    good, bad = (spark.createDataFrame([(0, s, w, eye)], "trace_id int, s array<array<double>>, w array<array<double>>, h array<array<double>>") for w in (s, [[-1.0, 0.0], *s[1:]]))
+    assert P.factor_residual(good).first()[1:] == (2, 0.0, 0.0)
+    assert P.factor_residual(bad).first()[1:] == (2, 0.8, -1.0)
