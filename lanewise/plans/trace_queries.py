@@ -16,7 +16,7 @@ from ..operators import samples as P
 from ..operators import traces as T
 from ..params import PipelineParams
 from ..sinks.abif import abif_bytes
-from ..sinks.fasta import batch_headers, fasta_record, search_pair, single_header
+from ..sinks.fasta import batch_headers, exportable, fasta_record, search_pair, single_header, single_records
 from ..sinks.files import shared_folder, write_files
 from ..sinks.record_sink import write_ordered
 from ..sinks.tables import peak_table, summary_table
@@ -24,7 +24,7 @@ from ..sources import readers as R
 from ..sources import trace_source
 from . import pipeline as PL
 from .peak_queries import peaks_sql, polynomial_weight
-from .queries import _BLOB, _MEDIAN, _PEAKS, CROSSTALK, ORACLES, _candidates, _segments, query, rounded
+from .queries import _ASSEMBLED, _BLOB, _LADDER, _MEDIAN, _PEAKS, _STATS, _TRIM, CROSSTALK, ORACLES, _candidates, _segments, query, rounded
 
 
 def _morph_sql() -> str:
@@ -106,12 +106,12 @@ pick AS (SELECT trace_id, ch, max(k) AS k FROM (SELECT trace_id, ch, k FROM lead
 mean AS (SELECT trace_id, ch, row, avg(v[row + 1] / v[ch + 1]) AS v FROM lead JOIN pick USING (trace_id, ch, k), range(4) AS t(row) WHERE ok GROUP BY ALL),
 grid AS (SELECT trace_id, ch, row FROM (SELECT DISTINCT trace_id, ch FROM cor), range(4) AS t(row)),
 whole AS (SELECT trace_id, row, ch, CASE WHEN row = ch THEN greatest(coalesce(v, 1), 1) ELSE coalesce(v, 0) END AS v FROM grid LEFT JOIN mean USING (trace_id, ch, row))
-SELECT trace_id AS matrix_id, CAST(row AS INT) AS row, CAST(ch AS INT) AS col, round(CASE WHEN row = ch THEN v + 0.01 * greatest(avg(CASE WHEN row = ch THEN v END) OVER (PARTITION BY trace_id), 1) ELSE v END, 6) AS v FROM whole"""
+SELECT trace_id AS matrix_id, CAST(row AS INT) AS row, CAST(ch AS INT) AS col, round(CASE WHEN row = ch THEN v + 0.01 * greatest(avg(CASE WHEN row = ch THEN v END) OVER (PARTITION BY trace_id), 1) ELSE v END, 9) AS v FROM whole"""
 
 
 @query("peak_matrix", _PEAK_MATRIX)
 def peak_matrix(spark, sf_dir):
-    return rounded(T.estimated(T.traces(A.samples(spark, sf_dir)), "peaks"))
+    return rounded(T.estimated(T.traces(A.samples(spark, sf_dir)), "peaks"), 9)
 
 
 @query("nmf_matrix")
@@ -401,3 +401,43 @@ def multi_fasta(spark, sf_dir):
 def single_headers(spark, sf_dir):
     s = (0, 1, -1, 2)
     return _export_rows(spark, sf_dir).select("name", single_header("sequence", s).alias("plain"), single_header("sequence_window_trimmed", s, (20, 20.0)).alias("trimmed"), single_header("reverse_complement", s).alias("rc"))
+
+
+# The same exports from calls, through the pipeline's summary; five sample names repeat.
+
+
+def _summary(spark, sf_dir):
+    calls = A.calls(spark, sf_dir)
+    fields = {"time": F.col("pos").cast("double"), "channel": F.lit(0), "amplitude": F.lit(0.0), "score": F.lit(0.0), "noise": F.lit(0.0), "het_channel": F.lit(-1), "het_ratio": F.lit(0.0)}
+    call = F.struct("ordinal", "pos", "letter", "phred", "snr", "isolation", "shape_score", "spacing_score", "tail_rescued", "imputed", "heterozygote", *[v.alias(k) for k, v in fields.items()])
+    results = calls.groupBy("trace_id").agg(F.sort_array(F.collect_list(call)).alias("calls"))
+    named = results.withColumns({"path": F.concat(F.lit("/traces/t"), "trace_id", F.lit(".ab1")), "sample_name": F.when(F.col("trace_id") % 6 == 0, "").otherwise(F.concat(F.lit("s"), F.col("trace_id") % 5)), "mobility_applied": F.lit(False), "blob_end": F.lit(0), "error": F.lit(None).cast("string")})
+    return PL.summarise(named)
+
+
+_SUMMED = f"""{A.SQL_CALLS}, {_LADDER}, {_TRIM}, {_STATS}, {_ASSEMBLED},
+x AS (SELECT trace_id, CASE WHEN trace_id % 6 = 0 THEN 't' || trace_id ELSE 's' || trace_id % 5 END AS name, sequence AS whole, substr(sequence, CAST(blast_start AS INT) + 1, CAST(blast_end - blast_start AS INT)) AS seq, substr(sequence, CAST(a AS INT) + 1, CAST(b - a AS INT)) AS cut,
+ blast_start, blast_end, printf('%.1f', mean_phred) AS q, printf('%.1f', CASE WHEN confirmed_bases > 0 THEN 100.0 * q20_count / confirmed_bases ELSE 0 END) AS share, printf('%.1f', blast_est_identity) AS est, heterozygote_bases AS het, imputed_bases AS imp
+ FROM joined JOIN blast USING (trace_id) JOIN stats USING (trace_id) JOIN est USING (trace_id) JOIN seg20 USING (trace_id))"""
+_PAIR = "length=' || length(seq) || ' blast_window=' || blast_start || '-' || blast_end || ' mean_Q=' || q || ' pct_Q20=' || share || ' est_identity=' || est || '%' || chr(10)"
+
+
+@query("export_pairs", f"""WITH {_SUMMED} SELECT name, '>' || name || '_forward {_PAIR} || {_WRAP.format("seq")} AS forward, '>' || name || '_reverse_complement {_PAIR} || {_WRAP.format(_RC)} AS reverse FROM x WHERE length(seq) > 0""")
+def export_pairs(spark, sf_dir):
+    return search_pair(exportable(_summary(spark, sf_dir)))
+
+
+_SINGLE = "mean_Q=' || q || ' pct_Q20=' || share || '"
+_PLAIN, _TURNED = "trim(seq, 'N')", f"trim({_RC}, 'N')"
+
+
+@query("export_singles", f"""WITH {_SUMMED} SELECT name, CASE WHEN length({_PLAIN}) > 0 THEN '>sanger_sequence length=' || length({_PLAIN}) || ' {_SINGLE} shifts=G0_A1_T-1_C2' || CASE WHEN het > 0 THEN ' het=' || het ELSE '' END || CASE WHEN imp > 0 THEN ' imputed=' || imp ELSE '' END || chr(10) || {_WRAP.format(_PLAIN)} ELSE '' END AS plain,
+ CASE WHEN length(cut) > 0 THEN '>sanger_sequence_window_trimmed length=' || length(cut) || ' {_SINGLE} window_size=20 window_min_q=20 shifts=G0_A1_T-1_C2' || chr(10) || {_WRAP.format("cut")} ELSE '' END AS trimmed,
+ CASE WHEN length({_TURNED}) > 0 THEN '>sanger_reverse_complement length=' || length({_TURNED}) || ' {_SINGLE} shifts=G0_A1_T-1_C2' || chr(10) || {_WRAP.format(_TURNED)} ELSE '' END AS rc FROM x WHERE length(seq) > 0""")
+def export_singles(spark, sf_dir):
+    return single_records(exportable(_summary(spark, sf_dir)), (0, 1, -1, 2), (20, 20.0))
+
+
+@query("search_input", f"WITH {_SUMMED} SELECT trace_id, CASE WHEN seq <> '' THEN seq ELSE trim(whole, 'N') END AS query, CASE WHEN seq <> '' THEN length(seq) ELSE length(trim(whole, 'N')) END < 100 AS offer_reverse FROM x")
+def search_input(spark, sf_dir):
+    return B.search_policy(_summary(spark, sf_dir))
