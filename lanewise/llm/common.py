@@ -40,6 +40,28 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+class Staged:
+    """Tables staged inside `with Staged() as own:` are deleted at its end, but for those that own.keep() has given on to
+    what stands around it. What is still to be computed from a table keeps it."""
+
+    open: list["Staged"] = []
+
+    def __enter__(self) -> "Staged":
+        self.tables: list[DataFrame] = []
+        Staged.open.append(self)
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.tables = [t for t in self.tables if t is not table]
+        if len(Staged.open) > 1:
+            Staged.open[-2].tables.append(table)
+        return table
+
+    def __exit__(self, *failure: object) -> None:
+        Staged.open.pop()
+        unstage(*self.tables)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage ends there, nothing is computed twice, and a
     lost executor costs only its running tasks."""
@@ -47,7 +69,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     lean(spark)
     path = f"{shared_root(spark)}/lanewise/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if Staged.open:
+        Staged.open[-1].tables.append(table)
+    return table
 
 
 def release(spark: SparkSession) -> None:

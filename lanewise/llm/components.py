@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, stage, unstage
+from .common import Staged, hot_join, stage, unstage
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -30,8 +30,10 @@ def components(links: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        wide = stage(_star(now, True), "links")
-        near = stage(_star(wide, False), "links")
+        with Staged() as own:
+            wide = own.keep(stage(_star(now, True), "links"))
+        with Staged() as own:
+            near = own.keep(stage(_star(wide, False), "links"))
         unstage(now, wide)
         now = near
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, LAST_ID, Rolling, batch, chunks, heads, hot_join, keyed, mix, release, stage, text_bytes, unstage, word_table
+from .common import BASES, LAST_ID, Rolling, Staged, batch, chunks, heads, hot_join, keyed, mix, release, stage, text_bytes, unstage, word_table
 from .components import components as components_of
 
 #: Words in a shingle; similarity, in hundredths.
@@ -418,7 +418,8 @@ class JaccardJoin:
         near = self._survivors(both.filter("bucket is not null"))
         unstage(both)
         release(docs.sparkSession)
-        self.links = stage(self._candidates(near), "jaccard-links")
+        with Staged() as own:
+            self.links = own.keep(stage(self._candidates(near), "jaccard-links"))
         unstage(near)
         release(docs.sparkSession)
 
@@ -449,16 +450,20 @@ class JaccardJoin:
         stars = hot_join(met, centres, "met", "n", total).filter("node != centre")
         tried = stage(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "jaccard-stars")
         sketches = stage(nodes.select("node", "text").mapInArrow(_sketched(self.size), "node bigint, size bigint, sketch binary"), "jaccard-sketches")
-        links = self._verified(self._alike(tried, sketches), nodes)
+        with Staged() as own:
+            links = own.keep(self._verified(self._alike(tried, sketches), nodes))
         del weighed, stars
         release(spark)
         rooted = met.join(components_of(links), "node", "left").select("met", "node", F.coalesce("root", "node").alias("root"))
         mixed = rooted.groupBy("met").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-        mixed = stage(mixed.select("met", "n").join(centres.select("met", F.col("centre").alias("lead")).hint("merge"), "met"), "jaccard-mixed")
-        members = stage(gathered(rooted, mixed, total), "jaccard-members")
+        with Staged() as own:
+            mixed = stage(mixed.select("met", "n").join(centres.select("met", F.col("centre").alias("lead")).hint("merge"), "met"), "jaccard-mixed")
+            members = own.keep(stage(gathered(rooted, mixed, total), "jaccard-members"))
         unstage(met, centres)
         drawn = stage(members.join(sketches.hint("merge"), "node"), "jaccard-drawn")
+        unstage(members, sketches)
         rest = stage(cells(drawn).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
+        unstage(drawn, tried)
         release(spark)
         return links.unionByName(self._verified(rest, nodes)).distinct()
 
