@@ -29,7 +29,7 @@ class WuManber:
         self.m, self.b = length, min(BLOCK, length)
         self.far = self.m - self.b + 1
         self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, dict[tuple, list]] = {}
+        self.bucket: dict[tuple, dict[tuple, set]] = {}
 
     def add(self, pattern: list[bytes], item: int) -> None:
         m, b = self.m, self.b
@@ -37,12 +37,8 @@ class WuManber:
             block = tuple(pattern[j - b : j])
             if self.shift.get(block, self.far) > m - j:
                 self.shift[block] = m - j
-        tested = self.bucket.setdefault(tuple(pattern[m - b :]), {}).setdefault(tuple(pattern[:b]), [])
-        for known, items in tested:
-            if known == pattern:
-                items.add(item)
-                return
-        tested.append((pattern, {item}))
+        # a bucket is keyed by whole patterns, so templates that share their ends cost no more than others
+        self.bucket.setdefault(tuple(pattern[m - b :]), {}).setdefault(tuple(pattern), set()).add(item)
 
     def search(self, words: list[bytes], spans: list, items: set) -> None:
         m, b, far, shift, i, n = self.m, self.b, self.far, self.shift, self.m, len(words)
@@ -52,10 +48,10 @@ class WuManber:
             if skip:
                 i += skip
                 continue
-            for pattern, found in self.bucket[block].get(tuple(words[i - m : i - m + b]), ()):
-                if words[i - m : i] == pattern:
-                    spans.append((i - m, i))
-                    items |= found
+            found = self.bucket[block].get(tuple(words[i - m : i]))
+            if found:
+                spans.append((i - m, i))
+                items |= found
             i += 1
 
 
