@@ -39,6 +39,8 @@ class PiiParams:
     #: A pattern needs so many known instances of its kind, and they so large a share of all its instances.
     support: int = 3
     trust: float = 0.75
+    #: Code points before a mention in which its two words of context are taken: of longer words their ends count.
+    reach: int = 80
 
 
 def _let(value: Column, body) -> Column:
@@ -70,8 +72,8 @@ def _add(a: Column, b: Column) -> Column:
     return a + b
 
 
-def _matches(text: Column, pattern: str, context: bool = False) -> Column:
-    """Leftmost matches m with their places in code points; with `context` also the end of what stands before each."""
+def _matches(text: Column, pattern: str, context: int = 0) -> Column:
+    """Leftmost matches m with their places in code points; with `context` also so many code points before each."""
     between = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
     both = F.filter(between, lambda x: x["m"].isNotNull())
 
@@ -82,7 +84,7 @@ def _matches(text: Column, pattern: str, context: bool = False) -> Column:
             if context:
                 # two earlier matches, which are words, and what lies between hold the two words before
                 near = [F.get(b, i - 2)["m"], F.get(b, i - 1)["p"], F.get(b, i - 1)["m"], x["p"]]
-                parts.append(F.substring(F.concat(*[F.coalesce(F.substring(y, -80, 80), F.lit("")) for y in near]), -80, 80).alias("before"))
+                parts.append(F.substring(F.concat(*[F.coalesce(F.substring(y, -context, context), F.lit("")) for y in near]), -context, context).alias("before"))
             return F.struct(*parts)
 
         ahead: Column
@@ -134,7 +136,7 @@ def _last_before(spans: Column, end: Column) -> Column:
     return F.when(F.size(spans) > 0, F.get(spans, found - 1))
 
 
-def _mentions(text: Column, base: Column) -> Column:
+def _mentions(text: Column, base: Column, reach: int) -> Column:
     """array<struct<start,end,core,context,kind>> of the words with a digit or an at sign; those that start inside a base
     match or overlap one otherwise than by starting with it are left out. Matches of one kind don't overlap, so the last
     one that starts before a mention's end tells whether any does."""
@@ -156,7 +158,7 @@ def _mentions(text: Column, base: Column) -> Column:
         secret = F.when(x["core"].rlike(SECRET), F.lit(len(KINDS) - 1))
         return _let(inside, lambda over: F.struct(*[x[c].alias(c) for c in ("start", "end", "core", "context")], F.when(over, seed).otherwise(secret).alias("kind"), over.alias("inside")))
 
-    found = F.transform(F.transform(_matches(text, MENTION, True), mention), judged)
+    found = F.transform(F.transform(_matches(text, MENTION, reach), mention), judged)
     return F.filter(found, lambda x: ((x["context"] != "") | x["kind"].isNotNull()) & (x["core"] != "") & (~x["inside"] | x["kind"].isNotNull()))
 
 
@@ -188,7 +190,7 @@ def pii_spans(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     ends exclusive. `base` holds the rules' matches; `spans` these and what trusted patterns found.
 
     Null and empty texts have no spans; a null doc_id is an id of its own; repeated rows are rows of their own. A
-    text's matches are as many as it has; no cap applies. Patterns and instances are counted over all documents, once for
+    text's matches are as many as it has; no cap applies but p.reach, to the context before each. Patterns and instances are counted over all documents, once for
     each distinct pair, so a frequent one costs a row for each partition; joins broadcast the few hot keys. Other columns
     are not read.
     """
@@ -196,7 +198,7 @@ def pii_spans(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("_doc"), F.xxhash64("text").alias("_text"), body.alias("_t"))
     based = rows.withColumn("parts", F.when(F.col("_t").rlike("[0-9@]"), _base(F.col("_t"))).otherwise(F.array(*[F.array().cast(SPAN)] * len(PATTERNS))))
     none = F.array().cast("array<struct<start:int,end:int,core:string,context:string,kind:int,inside:boolean>>")
-    found = F.when(F.col("_t").rlike("[0-9@]"), _mentions(F.col("_t"), F.col("parts"))).otherwise(none)
+    found = F.when(F.col("_t").rlike("[0-9@]"), _mentions(F.col("_t"), F.col("parts"), p.reach)).otherwise(none)
     known = stage(based.select("_doc", "_text", F.flatten("parts").alias("base"), found.alias("mentions")), "pii-known")
     mentions = known.filter("size(mentions) > 0").select("_doc", "_text", F.explode("mentions").alias("x")).select("_doc", "_text", "x.*")
     mentions = stage(mentions, "pii-mentions")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.llm import toxicity, variants
+from lanewise.llm import decontaminate, pii, toxicity, variants
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -179,3 +180,27 @@ def test_toxicity_without_both_labels(spark, labels, score):
     model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
     assert {r["score"] for r in toxicity.toxicity(docs, model).collect()} == {score}
     assert toxicity.toxicity(docs.limit(0), model).count() == 0
+
+
+def test_templates_share_a_bucket():
+    """All windows of a template begin and end alike; the tables are built and asked in time linear in their number."""
+    matcher = decontaminate.WuManber(13)
+    windows = [[b"a", b"b", b"c", *[b"w%d" % (k // 10**j % 10) for j in range(7)], b"x", b"y", b"z"] for k in range(100_000)]
+    began = time.time()
+    for k, window in enumerate(windows):
+        matcher.add(window, k % 7)
+    spans, items = [], set()
+    matcher.search([b"q", *windows[54_321], b"q", *windows[7][:12]], spans, items)
+    assert spans == [(1, 14)] and items == {54_321 % 7} and time.time() - began < 20
+    assert len(matcher.bucket) == 1
+
+
+def test_contexts_reach_as_far_as_asked(spark):
+    """Long words before a mention: within 80 code points the contexts are one, farther they differ."""
+    tail = "w" * 90
+    rows = [(k, f"{'ab'[k % 2]}{tail} {'seed' + str(k) + '@mail.org' if k < 6 else 'code-' + str(k) * 4}") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = lambda p: {r["_doc"] for r in pii.pii_spans(df, p).collect() if any(s["kind"] == 0 for s in r["spans"])}
+    # half of a context's instances are addresses, under a trust of 0.5 its others are too
+    assert found(pii.PiiParams(support=6, trust=0.5)) == set(range(12))
+    assert found(pii.PiiParams(support=6, trust=0.5, reach=200)) == set(range(6))
