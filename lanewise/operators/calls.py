@@ -23,35 +23,37 @@ def _so_far() -> WindowSpec:
 def best_segments(calls: DataFrame, thresholds: tuple[float, ...], window: int = 20, *extra: Column, cost: Column | None = None) -> DataFrame:
     """Per trace the segment of largest summed (phred - threshold), for each threshold: start_k and end_k (exclusive).
 
-    Prefix sums less their running minimum give each end its best start; the first end of the largest sum and, for it,
-    the latest start win. Reads shorter than `window` are kept whole if their mean reaches the threshold. One shuffle by
-    trace serves all thresholds. With `cost` also cost_k, its sum over the segment, and cost_all: prefix sums travel with
-    the starts and ends."""
-    rows = calls.withColumn("_n", F.lit(1))
-    if cost is not None:
-        rows = rows.withColumn("_c", cost).withColumn("_e", F.sum("_c").over(_so_far()))
-    place = F.col("ordinal") if cost is None else F.struct("ordinal", (F.col("_e") - F.col("_c")).alias("before"))
-    started = (lambda k: F.col(f"_a{k}")) if cost is None else (lambda k: F.col(f"_a{k}.ordinal"))
-    spent = (lambda k: []) if cost is None else (lambda k: [(F.col("_e") - F.col(f"_a{k}.before")).alias("cost")])
-    for k, q in enumerate(thresholds):
-        rows = rows.withColumn(f"_s{k}", F.sum(F.col("phred") - F.lit(q)).over(_so_far()))
-    for k in range(len(thresholds)):
-        rows = rows.withColumn(f"_b{k}", F.lag(f"_s{k}", 1, 0.0).over(_read()))
-    for k in range(len(thresholds)):
-        rows = rows.withColumn(f"_m{k}", F.min(f"_b{k}").over(_so_far()))
-    for k in range(len(thresholds)):
-        rows = rows.withColumn(f"_a{k}", F.max(F.when(F.col(f"_b{k}") == F.col(f"_m{k}"), place)).over(_so_far()))
-    best = [F.min(F.struct((F.col(f"_m{k}") - F.col(f"_s{k}")).alias("loss"), F.col("ordinal").alias("last"), started(k).alias("start"), *spent(k))).alias(f"_best{k}") for k in range(len(thresholds))]
-    extra = extra if cost is None else (*extra, F.sum("_c").alias("cost_all"))
-    out = rows.groupBy("trace_id").agg(F.count("*").alias("n"), F.avg("phred").alias("_mean"), *best, *extra)
+    One fold over a trace's calls serves all thresholds: a sum that isn't positive starts anew at the next call, so the
+    first end of the largest sum and, for it, the latest start win. Reads shorter than `window` are kept whole if their
+    mean reaches the threshold. One shuffle by trace. With `cost` also cost_k, its sum over the segment, and cost_all."""
+    call = F.struct("ordinal", F.col("phred").cast("double").alias("phred"), (F.lit(0.0) if cost is None else cost).alias("cost"))
+    rows = calls.groupBy("trace_id").agg(F.count("*").alias("n"), F.avg("phred").alias("_mean"), F.sort_array(F.collect_list(call)).alias("_calls"), *extra)
+    kind = "struct<spent:double,segments:array<struct<q:double,now:double,since:bigint,before:double,best:double,start:bigint,last:bigint,cost:double>>>"
+    none = F.struct(F.lit(0.0).alias("spent"), F.array(*[F.struct(F.lit(float(q)), F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(-1), F.lit(0.0)) for q in thresholds]).alias("segments")).cast(kind)
+
+    def step(acc: Column, x: Column) -> Column:
+        def grown(s: Column) -> Column:
+            new = s["now"] <= 0
+            now = F.when(new, F.lit(0.0)).otherwise(s["now"]) + (x["phred"] - s["q"])
+            since, before = F.when(new, x["ordinal"]).otherwise(s["since"]), F.when(new, acc["spent"]).otherwise(s["before"])
+            better = now > s["best"]
+            kept = {"best": now, "start": since, "last": x["ordinal"], "cost": acc["spent"] + x["cost"] - before}
+            return F.struct(s["q"].alias("q"), now.alias("now"), since.alias("since"), before.alias("before"), *[F.when(better, v).otherwise(s[k]).alias(k) for k, v in kept.items()])
+
+        return F.struct((acc["spent"] + x["cost"]).alias("spent"), F.transform(acc["segments"], grown).alias("segments")).cast(kind)
+
+    out = rows.withColumn("_fold", F.aggregate("_calls", none, step))
     for k, q in enumerate(thresholds):
-        short, some = F.col("n") < window, F.col(f"_best{k}.loss") < 0
+        best = F.get("_fold.segments", F.lit(k))
+        short, some = F.col("n") < window, best["best"] > 0
         whole = F.when(F.col("_mean") >= q, F.col("n")).otherwise(F.lit(0))
-        out = out.withColumn(f"start_{k}", F.when(short | ~some, F.lit(0)).otherwise(F.col(f"_best{k}.start")).cast("bigint"))
+        out = out.withColumn(f"start_{k}", F.when(short | ~some, F.lit(0)).otherwise(best["start"]).cast("bigint"))
         if cost is not None:
-            out = out.withColumn(f"cost_{k}", F.when(short, F.when(F.col("_mean") >= q, F.col("cost_all")).otherwise(0.0)).when(some, F.col(f"_best{k}.cost")).otherwise(0.0))
-        out = out.withColumn(f"end_{k}", F.when(short, whole).when(some, F.col(f"_best{k}.last") + 1).otherwise(F.lit(0)).cast("bigint"))
-    return out.drop("_mean", *[f"_best{k}" for k in range(len(thresholds))])
+            out = out.withColumn(f"cost_{k}", F.when(short, F.when(F.col("_mean") >= q, F.col("_fold.spent")).otherwise(0.0)).when(some, best["cost"]).otherwise(0.0))
+        out = out.withColumn(f"end_{k}", F.when(short, whole).when(some, best["last"] + 1).otherwise(F.lit(0)).cast("bigint"))
+    if cost is not None:
+        out = out.withColumn("cost_all", F.col("_fold.spent"))
+    return out.drop("_mean", "_calls", "_fold")
 
 
 def window_trim(calls: DataFrame, min_q: float = 20.0, window: int = 20) -> DataFrame:
