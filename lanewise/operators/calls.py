@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.arrays import scan
+from ..functions.arrays import let, percentile, scan
 from ..functions.scalars import one_decimal, quality_letters, readiness, reverse_complement
 
 #: Thresholds of the search window, in the order in which they are tried, and the length that settles it.
@@ -28,6 +28,11 @@ def best_segments(calls: DataFrame, thresholds: tuple[float, ...], window: int =
     mean reaches the threshold. One shuffle by trace. With `cost` also cost_k, its sum over the segment, and cost_all."""
     call = F.struct("ordinal", F.col("phred").cast("double").alias("phred"), (F.lit(0.0) if cost is None else cost).alias("cost"))
     rows = calls.groupBy("trace_id").agg(F.count("*").alias("n"), F.avg("phred").alias("_mean"), F.sort_array(F.collect_list(call)).alias("_calls"), *extra)
+    return _segments(rows, thresholds, window, cost is not None)
+
+
+def _segments(rows: DataFrame, thresholds: tuple[float, ...], window: int, costs: bool) -> DataFrame:
+    """rows (n, _mean, _calls in order, and others) with the segments in place of _mean and _calls."""
     kind = "struct<spent:double,segments:array<struct<q:double,now:double,since:bigint,before:double,best:double,start:bigint,last:bigint,cost:double>>>"
     none = F.struct(F.lit(0.0).alias("spent"), F.array(*[F.struct(F.lit(float(q)), F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(-1), F.lit(0.0)) for q in thresholds]).alias("segments")).cast(kind)
 
@@ -42,16 +47,17 @@ def best_segments(calls: DataFrame, thresholds: tuple[float, ...], window: int =
 
         return F.struct((acc["spent"] + x["cost"]).alias("spent"), F.transform(acc["segments"], grown).alias("segments")).cast(kind)
 
-    out = rows.withColumn("_fold", F.aggregate("_calls", none, step))
+    # a generator's output is worked out once, whatever reads it
+    out = rows.select("*", F.inline(F.array(F.struct(F.aggregate("_calls", none, step).alias("_fold")))))
     for k, q in enumerate(thresholds):
         best = F.get("_fold.segments", F.lit(k))
         short, some = F.col("n") < window, best["best"] > 0
         whole = F.when(F.col("_mean") >= q, F.col("n")).otherwise(F.lit(0))
         out = out.withColumn(f"start_{k}", F.when(short | ~some, F.lit(0)).otherwise(best["start"]).cast("bigint"))
-        if cost is not None:
+        if costs:
             out = out.withColumn(f"cost_{k}", F.when(short, F.when(F.col("_mean") >= q, F.col("_fold.spent")).otherwise(0.0)).when(some, best["cost"]).otherwise(0.0))
         out = out.withColumn(f"end_{k}", F.when(short, whole).when(some, best["last"] + 1).otherwise(F.lit(0)).cast("bigint"))
-    if cost is not None:
+    if costs:
         out = out.withColumn("cost_all", F.col("_fold.spent"))
     return out.drop("_mean", "_calls", "_fold")
 
@@ -107,14 +113,47 @@ def quality_stats(calls: DataFrame, min_q: float = 20.0, window: int = 20) -> Da
         zero(F.avg(of("shape_score"))).alias("mean_shape_score"),
     ]
     wrong = F.pow(F.lit(10.0), -F.col("phred") / 10.0)
-    counted = _search_window(best_segments(calls, (min_q, *LADDER), window, *counts, cost=wrong), 1)
+    return _statistics(_search_window(best_segments(calls, (min_q, *LADDER), window, *counts, cost=wrong), 1))
+
+
+def row_statistics(reads: DataFrame, min_q: float = 20.0, window: int = 20) -> DataFrame:
+    """quality_stats() of rows (trace_id, calls), a read's calls as an array in their order, with start and end of the trimmed
+    window and the other columns of the rows: nothing is shuffled. A read without calls has zeros and no estimate."""
+    sure = lambda c: ~c["tail_rescued"] & ~c["imputed"]
+    count = lambda test: F.size(F.filter("calls", test)).cast("bigint")
+    mean = lambda v: let(v, lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda s, y: s + y) / F.size(x)).otherwise(0.0))
+    of = lambda field: F.transform(F.col("_sure"), lambda c: c[field].cast("double"))
+    others = [F.col(c) for c in reads.columns if c not in ("trace_id", "calls")]
+    rows = reads.withColumn("_sure", F.filter("calls", sure))
+    phreds = F.transform("_sure", lambda c: c["phred"])
+    counts = {
+        "n": F.size("calls").cast("bigint"), "total_bases": F.size("calls").cast("bigint"), "confirmed_bases": F.size("_sure").cast("bigint"), "tail_rescued": count(lambda c: c["tail_rescued"] & ~c["imputed"]),
+        "imputed_bases": count(lambda c: c["imputed"]), "heterozygote_bases": count(lambda c: c["heterozygote"]), "mean_phred": mean(of("phred")), "median_phred": F.coalesce(percentile(F.sort_array(of("phred")), 0.5), F.lit(0.0)),
+        "min_phred": F.coalesce(F.array_min(phreds), F.lit(0)), "max_phred": F.coalesce(F.array_max(phreds), F.lit(0)),
+        "mean_snr": mean(of("snr")), "mean_isolation": mean(of("isolation")), "mean_shape_score": mean(of("shape_score")),
+        "_mean": mean(F.transform("calls", lambda c: c["phred"].cast("double"))),
+        "_calls": F.transform("calls", lambda c: F.struct(c["ordinal"].cast("bigint").alias("ordinal"), c["phred"].cast("double").alias("phred"), F.pow(F.lit(10.0), -c["phred"] / 10.0).alias("cost"))),
+    }
+    for q in (20, 30, 35):
+        counts[f"q{q}_count"] = _at_least(q)
+    rows = rows.withColumns(counts).drop("calls", "_sure")
+    counted = _search_window(_segments(rows, (min_q, *LADDER), window, True), 1)
+    return _statistics(counted, F.col("start_0").alias("start"), F.col("end_0").alias("end"), *others)
+
+
+def _at_least(q: int) -> Column:
+    return F.size(F.filter("_sure", lambda c: c["phred"] >= q)).cast("bigint")
+
+
+def _statistics(counted: DataFrame, *more: Column) -> DataFrame:
+    """Lengths and shares from counts, segments and the search window."""
     length = F.col("blast_end") - F.col("blast_start")
     shares = [F.when(F.col("confirmed_bases") > 0, 100.0 * F.col(f"q{q}_count") / F.col("confirmed_bases")).otherwise(0.0).alias(f"pct_q{q}") for q in (20, 30, 35)]
-    return counted.withColumn("blast_est_identity", 100.0 * (1.0 - F.col("blast_cost") / length)).select(
+    return counted.withColumn("blast_est_identity", 100.0 * (1.0 - F.col("blast_cost") / F.nullif(length, F.lit(0)))).select(
         "trace_id", "total_bases", "confirmed_bases", "tail_rescued", "imputed_bases", "heterozygote_bases",
         (F.col("end_0") - F.col("start_0")).alias("window_trimmed_len"), length.alias("blast_window_len"), "blast_start", "blast_end",
         "blast_est_identity", (length >= READY).alias("blast_ready"), "mean_phred", "median_phred", "min_phred", "max_phred",
-        "q20_count", "q30_count", "q35_count", *shares, "mean_snr", "mean_isolation", "mean_shape_score",
+        "q20_count", "q30_count", "q35_count", *shares, "mean_snr", "mean_isolation", "mean_shape_score", *more,
     )
 
 

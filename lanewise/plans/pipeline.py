@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from ..functions.arrays import let
 from ..functions.scalars import reverse_complement, trim_primer
 from ..kernels import basecall as kb
 from ..kernels import peaks as kp
@@ -102,23 +103,24 @@ def base_calls(results: DataFrame) -> DataFrame:
 
 def summarise(results: DataFrame, params: PipelineParams = PipelineParams()) -> DataFrame:
     """Per trace: sequence, its reverse complement, trimmed sequences, statistics and the counts of the batch summary.
-    Average quality is that before primer trimming. The results are read several times, so they are written once where the
-    cluster names a folder (spark.checkpoint.dir), else kept in memory."""
-    spark = results.sparkSession
-    results = results.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else results.persist()
-    average = C.average_quality(base_calls(results))
-    trimmed = trim_calls(results, params.primer_sequence)
-    calls = base_calls(trimmed)
-    stats = C.quality_stats(calls, params.window_trim_min_q, params.window_trim_size)
+    Average quality is that before primer trimming. A trace's calls are in its row, so everything is array expressions
+    there: the results are read once and nothing is shuffled or kept. A trace without calls has no statistics."""
+    sure = F.filter("calls", lambda c: ~c["tail_rescued"] & ~c["imputed"])
+    average = let(sure, lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda s, c: s + c["phred"]) / F.size(x)).otherwise(0.0))
+    trimmed = trim_calls(results.withColumn("avg_quality", average), params.primer_sequence)
     text = F.array_join(F.transform("calls", lambda c: c["letter"]), "")
     count = lambda k: F.size(F.filter("calls", lambda c: c[k]))
-    rows = trimmed.select("trace_id", "path", "sample_name", "mobility_applied", "blob_end", "primer_trim_pos", "error", text.alias("sequence"), count("heterozygote").alias("n_heterozygotes"), count("imputed").alias("n_imputed"))
-    windows = C.window_trim(calls, params.window_trim_min_q, params.window_trim_size)
-    met = rows.join(stats.select("trace_id", F.struct(*[c for c in stats.columns if c != "trace_id"]).alias("quality_stats")), "trace_id", "left").join(windows, "trace_id", "left").join(average, "trace_id", "left")
+    # calls are numbered anew after the cut
+    numbered = F.transform("calls", lambda c, k: c.withField("ordinal", k))
+    kept = ("path", "sample_name", "mobility_applied", "blob_end", "primer_trim_pos", "error", "avg_quality")
+    rows = trimmed.select("trace_id", F.struct(*kept, text.alias("sequence"), count("heterozygote").alias("n_heterozygotes"), count("imputed").alias("n_imputed")).alias("_row"), numbered.alias("calls"))
+    found = C.row_statistics(rows, params.window_trim_min_q, params.window_trim_size)
+    stats = [c for c in found.columns if c not in ("trace_id", "start", "end", "_row")]
+    met = found.select("trace_id", "_row.*", "start", "end", F.when(F.col("total_bases") > 0, F.struct(*stats)).alias("quality_stats"))
     cut = lambda a, b: F.coalesce(F.substr("sequence", F.col(a).cast("int") + 1, (F.col(b) - F.col(a)).cast("int")), F.lit(""))
-    return met.select(
+    out = F.struct(
         "trace_id", "path", "sample_name", "sequence", reverse_complement(F.col("sequence")).alias("sequence_rc"), cut("start", "end").alias("window_trimmed_seq"),
-        cut("quality_stats.blast_start", "quality_stats.blast_end").alias("blast_window"),
-        F.coalesce("avg_quality", F.lit(0.0)).alias("avg_quality"), "mobility_applied", "quality_stats", "blob_end", "primer_trim_pos", "n_heterozygotes", "n_imputed",
+        cut("quality_stats.blast_start", "quality_stats.blast_end").alias("blast_window"), "avg_quality", "mobility_applied", "quality_stats", "blob_end", "primer_trim_pos", "n_heterozygotes", "n_imputed",
         F.lit(params.baseline_method).alias("baseline_method"), "error",
     )
+    return met.select(F.inline(F.array(out)))
