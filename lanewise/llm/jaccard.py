@@ -24,6 +24,8 @@ SECOND, K2, SLACK = 3, 1, 1.15
 SMALL, SEEDS = 32, 2
 #: Features or signatures that one task of the exchange gets, about.
 BUCKET = 1_000_000
+#: Sets of a flock differ from its leader's in a third of both sizes at most (similarity 1/2), linked sets in a seventh.
+LOOSE, TIGHT = 3, 7
 #: Nodes on either side of a cell of pairs at most, and bytes of their sketches; words of sketches compared at once.
 CELL, CELL_BYTES, BLOCK = 2048, 8 << 20, 1 << 20
 
@@ -304,6 +306,19 @@ def _sketched(size: int):
     return run
 
 
+def _minima(size: int):
+    """The least feature in each sixteenth of the domain, for each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling(BASES[0])
+        for table in chunks(batches, "text"):
+            found = Shingles(table["text"], rolling, size)
+            at = np.flatnonzero(heads(found.text, found.hash >> np.uint64(60)))
+            yield batch(["node", "key"], table["node"].to_numpy()[found.text[at]], found.hash[at].view(np.int64))
+
+    return run
+
+
 def _cell(table: pa.Table) -> pa.Table:
     """Pairs of other roots in one cell, but for those whose sketches differ in more bits than a seventh of both sizes,
     which is the most that linked sets differ in. A cell has a left and a right side of bounded size; with one side alone
@@ -323,35 +338,43 @@ def _cell(table: pa.Table) -> pa.Table:
         if not open_.any():
             continue
         differ = np.bitwise_count(bits[rows][:, None, :] ^ bits[right][None, :, :]).sum(2, dtype=np.int64)
-        x, y = np.nonzero(open_ & (differ <= (size[rows][:, None] + size[right][None, :]) // 7))
+        x, y = np.nonzero(open_ & (differ <= (size[rows][:, None] + size[right][None, :]) // TIGHT))
         found.append(np.sort(np.stack([node[rows[x]], node[right[y]]], 1), 1))
     pairs = np.unique(np.concatenate(found), axis=0)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sketches differ in no more bits than a seventh of both sizes."""
-    for one in batches:
-        differ = np.zeros(one.num_rows, np.int64)
-        for i, (x, y) in enumerate(zip(one.column(4), one.column(5), strict=True)):
-            two = folded([np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y)])
-            differ[i] = np.bitwise_count(two[0] ^ two[1]).sum(dtype=np.int64)
-        keep = np.flatnonzero(differ <= (one.column(2).to_numpy() + one.column(3).to_numpy()) // 7)
-        yield batch(["a", "b"], one.column(0).take(pa.array(keep)), one.column(1).take(pa.array(keep)))
+def _near(part: int):
+    """Pairs whose sketches differ in no more bits than one in `part` of both sizes, and whether it is one in TIGHT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in batches:
+            differ = np.zeros(one.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(one.column(4), one.column(5), strict=True)):
+                two = folded([np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y)])
+                differ[i] = np.bitwise_count(two[0] ^ two[1]).sum(dtype=np.int64)
+            both = one.column(2).to_numpy() + one.column(3).to_numpy()
+            keep = np.flatnonzero(differ <= both // part)
+            yield batch(["a", "b", "close"], one.column(0).take(pa.array(keep)), one.column(1).take(pa.array(keep)), (differ <= both // TIGHT)[keep])
+
+    return run
 
 
 def gathered(rooted: DataFrame, mixed: DataFrame, total: int) -> DataFrame:
     """Members (met, node, root) to pair: rooted has these of all groups, `total` in all, and mixed the groups (met, n, lead)
-    that have several roots, with their size and centre.
+    that have several roots, with their size and centre. Where a member stands for several nodes, rooted has their number
+    w, and mixed has the nodes of a group, m.
 
     Near copies make many groups of nearly the same nodes. Groups with one centre are joined to one of all their nodes
     where that has no more pairs than they have together; where it has more, they stay apart. Either way each pair of a
     group is in some group of the result."""
+    w, m = (c if c in table.columns else None for c, table in (("w", rooted), ("m", mixed)))
     rows = hot_join(rooted, mixed.withColumn("_n", F.col("n")), "met", "_n", total)
-    distinct = rows.select("lead", "node", "root").distinct()
-    groups = mixed.groupBy("lead").agg(F.count("*").alias("groups"), F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
-    leads = distinct.groupBy("lead").agg(F.count("*").alias("nodes")).join(groups, "lead")
-    leads = stage(leads.select("lead", "nodes", "groups", (F.col("nodes").cast("double") * F.col("nodes") > F.col("pairs")).alias("apart")), "jaccard-leads")
+    distinct = rows.select("lead", *rooted.drop("met").columns).distinct()
+    of_group = F.col(m or "n").cast("double")
+    groups = mixed.groupBy("lead").agg(F.count("*").alias("groups"), F.sum(of_group * of_group).alias("pairs"))
+    leads = distinct.groupBy("lead").agg(F.count("*").alias("nodes"), F.sum(F.col(w) if w else F.lit(1)).cast("double").alias("all")).join(groups, "lead")
+    leads = stage(leads.select("lead", "nodes", "groups", (F.col("all") * F.col("all") > F.col("pairs")).alias("apart")), "jaccard-leads")
     nodes, n_groups = leads.agg(F.coalesce(F.sum("nodes"), F.lit(0)), F.coalesce(F.sum("groups"), F.lit(0))).first()
     joined = hot_join(distinct, leads.filter("not apart").select("lead", "nodes", "apart"), "lead", "nodes", nodes).select(F.xxhash64("lead").alias("met"), "node", "root")
     apart = stage(hot_join(mixed, leads.filter("apart").select("lead", "groups", "apart"), "lead", "groups", n_groups).select("met", "n", "lead"), "jaccard-apart")
@@ -432,47 +455,80 @@ class JaccardJoin:
         # rows equal in id and text give the same set; the join has dealt them by both already
         return stage(self.rows.join(near.hint("merge"), ["_doc", "_text"]).dropDuplicates(["_doc", "_text"]).select("node", "n", "text"), "jaccard-survivors")
 
+    def _flocks(self, nodes: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """node and flock (its leader's node) of each node, and the pairs of a node and its leader (a, b, close).
+
+        A node weighs as much as the groups of nodes that share one of its least features. It follows the heaviest node of
+        these groups, which what copies were made from is, unless its sketch is far from that one's: then it is a flock by
+        itself. Flocks only name sets of nodes that are sent as one; no pair is given up by them."""
+        keys = stage(nodes.select("node", "text").mapInArrow(_minima(self.size), "node bigint, key bigint"), "jaccard-minima")
+        total = keys.count()
+        groups = stage(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("_n", F.col("n")), "jaccard-shared")
+        met = stage(hot_join(keys, groups, "key", "_n", total), "jaccard-sharing")
+        weighed = met.join(met.groupBy("node").agg(F.sum("n").alias("weight")), "node")
+        leaders = stage(weighed.groupBy("key").agg(F.count("*").alias("_n"), F.max(F.struct("weight", "node")).alias("leader")), "jaccard-leaders")
+        top = hot_join(met.select("node", "key"), leaders, "key", "_n", total).groupBy("node").agg(F.max("leader").alias("leader"))
+        led = stage(top.select(F.col("node").alias("a"), F.col("leader.node").alias("b")).filter("a != b"), "jaccard-led")
+        unstage(keys, groups, met, leaders)
+        near = self._alike(led, sketches, LOOSE)
+        unstage(led)
+        flocks = nodes.select("node").join(near.select(F.col("a").alias("node"), "b"), "node", "left")
+        return stage(flocks.select("node", F.coalesce("b", "node").alias("flock")), "jaccard-flocks"), near
+
     def _candidates(self, nodes: DataFrame) -> DataFrame:
-        """Verified links: stars of each signature's group around the node that is in most groups (what copies were made
-        from is), then all pairs of a group whose nodes aren't connected yet."""
+        """Verified links: of each node with its flock's leader, then stars of each signature's group of flocks around the
+        one that is in most groups (what copies were made from leads it), then all pairs of a group whose nodes aren't
+        connected yet. Signatures travel once for each flock, so near copies don't send them once each."""
         spark = nodes.sparkSession
-        features = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        features, count = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         buckets = int(max(64, -(-4 * features // BUCKET)))
-        parcels = nodes.select("node", "text").mapInArrow(_signed(self.size, buckets, self.most), PARCELS)
+        sketches = stage(nodes.select("node", "text").mapInArrow(_sketched(self.size), "node bigint, size bigint, sketch binary"), "jaccard-sketches")
+        flocks, near = self._flocks(nodes, sketches)
+        release(spark)
+        tagged = nodes.select("node", "text").join(flocks.hint("merge"), "node").select(F.col("flock").alias("node"), "text")
+        parcels = tagged.mapInArrow(_signed(self.size, buckets, self.most), PARCELS)
         met = stage(parcels.groupBy("bucket").applyInArrow(_groups, "met bigint, node bigint"), "jaccard-groups")
         # shuffle files stay as long as a plan that reads them is held
-        del parcels
+        del parcels, tagged
         release(spark)
         total = met.count()
         weighed = met.join(met.groupBy("node").agg(F.count("*").alias("weight")), "node")
         centres = weighed.groupBy("met").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("n"))
         centres = stage(centres.select("met", "n", F.col("top.node").alias("centre")), "jaccard-centres")
         stars = hot_join(met, centres, "met", "n", total).filter("node != centre")
-        tried = stage(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "jaccard-stars")
-        sketches = stage(nodes.select("node", "text").mapInArrow(_sketched(self.size), "node bigint, size bigint, sketch binary"), "jaccard-sketches")
+        sorted_ = lambda pairs, x, y: pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+        stars = stage(sorted_(stars, "node", "centre").distinct(), "jaccard-stars")
+        led = sorted_(near, "a", "b")
         with Staged() as own:
-            links = own.keep(self._verified(self._alike(tried, sketches), nodes))
-        del weighed, stars
+            close = stage(self._alike(stars, sketches).select("a", "b").unionByName(sorted_(near.filter("close"), "a", "b")).distinct(), "jaccard-close")
+            links = own.keep(self._verified(close, nodes))
+        del weighed
         release(spark)
-        rooted = met.join(components_of(links), "node", "left").select("met", "node", F.coalesce("root", "node").alias("root"))
-        mixed = rooted.groupBy("met").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
         with Staged() as own:
-            mixed = stage(mixed.select("met", "n").join(centres.select("met", F.col("centre").alias("lead")).hint("merge"), "met"), "jaccard-mixed")
-            members = own.keep(stage(gathered(rooted, mixed, total), "jaccard-members"))
+            rooted = own.keep(stage(flocks.join(components_of(links), "node", "left").select("node", "flock", F.coalesce("root", "node").alias("root")), "jaccard-rooted"))
+        of_flock = stage(rooted.groupBy("flock").agg(F.count("*").alias("w"), F.min("root").alias("lo"), F.max("root").alias("hi")), "jaccard-of-flock")
+        with Staged() as own:
+            grouped = met.join(of_flock.withColumnRenamed("flock", "node"), "node")
+            mixed = grouped.groupBy("met").agg(F.count("*").alias("n"), F.sum("w").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
+            mixed = stage(mixed.select("met", "n", "m").join(centres.select("met", F.col("centre").alias("lead")).hint("merge"), "met"), "jaccard-mixed")
+            groups = own.keep(stage(gathered(grouped.select("met", "node", F.col("lo").alias("root"), "w"), mixed, total).select("met", F.col("node").alias("flock")), "jaccard-gathered"))
         unstage(met, centres)
+        # a flock's own pairs, unless a group with all of it has them
+        alone = of_flock.filter("lo < hi").join(groups.select("flock").distinct(), "flock", "left_anti").select(F.xxhash64(F.lit("flock"), "flock").alias("met"), "flock")
+        members = hot_join(rooted, stage(groups.unionByName(alone), "jaccard-pairing"), "flock", "w", count, counts=of_flock.select("flock", "w")).select("met", "node", "root")
         drawn = stage(members.join(sketches.hint("merge"), "node"), "jaccard-drawn")
-        unstage(members, sketches)
-        rest = stage(cells(drawn).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
-        unstage(drawn, tried)
+        unstage(groups, rooted, of_flock, sketches)
+        rest = stage(cells(drawn).join(stars.unionByName(led), ["a", "b"], "left_anti"), "jaccard-rest")
+        unstage(drawn, stars, near)
         release(spark)
         return links.unionByName(self._verified(rest, nodes)).distinct()
 
-    def _alike(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    def _alike(self, pairs: DataFrame, sketches: DataFrame, part: int = TIGHT) -> DataFrame:
         """The pairs that their sketches don't rule out."""
         total, out = pairs.count(), pairs
         for c in ("a", "b"):
             out = hot_join(out, sketches.select(F.col("node").alias(c), F.col("size").alias(f"_n{c}"), F.col("sketch").alias(f"_s{c}")), c, "_n", total, by=["a", "b"], counts=pairs.groupBy(c).agg(F.count("*").alias("_n")))
-        return stage(out.select("a", "b", "_na", "_nb", "_sa", "_sb").mapInArrow(_near, "a bigint, b bigint"), "jaccard-alike")
+        return stage(out.select("a", "b", "_na", "_nb", "_sa", "_sb").mapInArrow(_near(part), "a bigint, b bigint, close boolean"), "jaccard-alike")
 
     def _verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs of which 100 * intersection >= 75 * union, from their texts. A node may be in any share of them."""

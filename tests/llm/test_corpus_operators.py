@@ -204,6 +204,62 @@ def test_gathered_keeps_every_pair(spark):
     assert sorted(map(len, groups.values())) == [30] + [51] * 20 and len(out) == 30 + 51 * 20
 
 
+@pytest.mark.parametrize("share", [0.02, 0.12, 0.3])
+def test_jaccard_of_flocks(spark, share):
+    """Near copies of two bases that differ in a share of their words: flocks that hold links, none, and some; two bases that
+    share a passage; strays that share one with a flock."""
+    rng = np.random.default_rng(17)
+    words = lambda n: [f"w{int(x)}" for x in rng.integers(0, 1 << 40, n)]
+    one = words(120)
+    bases, rows = [one, one[:70] + words(50)], []
+    for i in range(60):
+        base = list(bases[i % 2])
+        for at in np.flatnonzero(rng.random(len(base)) < share * (0.2 + i % 5 / 4) / 5):
+            base[at] = f"x{i}.{at}"
+        rows.append((3 * i, " ".join(base)))
+    rows += [(3 * i + 1, " ".join(words(60) + one[10 * i : 10 * i + 40] + words(40))) for i in range(8)]
+    rows += [(1000 + i, " ".join(one[: 120 - i])) for i in range(0, 60, 3)] + [(2000, rows[4][1]), (2001, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    sets = {d: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert got == {d: find(d) for d in sets}
+
+
+def test_flocks_send_signatures_once(spark, monkeypatch):
+    """Copies of one base, too far from each other to be linked: their groups are told by flock, not by node, and the pairs of
+    the flock are still looked at."""
+    rng = np.random.default_rng(19)
+    base = [f"w{int(x)}" for x in rng.integers(0, 1 << 40, 300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 200):
+        at = rng.choice(300, 14, replace=False)
+        rows.append((i, " ".join(f"x{i}.{j}" if j in at else w for j, w in enumerate(base))))
+    sizes, drawn, plain, stage = {}, [], jaccard.cells, jaccard.stage
+
+    def staged(df, name):
+        out = stage(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", staged)
+    monkeypatch.setattr(jaccard, "cells", lambda m: drawn.append(m.select("node").distinct().count()) or plain(m))
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert out.count() == 200
+    assert sizes["jaccard-groups"] < 20 * len(rows) and sizes["jaccard-drawn"] <= 2 * len(rows) and drawn[0] >= 199
+
+
 def test_exchange_tells_what_chunks_decided():
     """A key that several nodes of a chunk have is told once; those nodes travel on, dealt over the buckets."""
     n = 5000
