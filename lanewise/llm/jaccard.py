@@ -4,7 +4,7 @@ enumerated, and sets of one band of sizes that are similar enough share a signat
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -324,22 +324,28 @@ def _cell(table: pa.Table) -> pa.Table:
     which is the most that linked sets differ in. A cell has a left and a right side of bounded size; with one side alone
     it stands for that side's own pairs."""
     node, root, size, side = (table[c].to_numpy() for c in ("node", "root", "size", "side"))
-    bits = folded([np.frombuffer(x.as_buffer(), np.uint64) for x in table["sketch"]])
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    alone = not len(right)
-    right = left if alone else right
+    sketch = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["sketch"]]
+    long = np.array([len(x) for x in sketch])
+    alone = not (side == 1).any()
     found = [np.zeros((0, 2), np.int64)]
-    step = max(1, BLOCK // (len(right) * bits.shape[1]) if len(right) else 1)
-    for lo in range(0, len(left), step):
-        rows = left[lo : lo + step]
-        open_ = root[rows][:, None] != root[right][None, :]
-        if alone:
-            open_ &= np.arange(lo, lo + len(rows))[:, None] < np.arange(len(right))[None, :]
-        if not open_.any():
+    # sketches are folded to the shorter length of two, not to the shortest one's of the cell
+    for m, n in product(np.unique(long[side == 0]), np.unique(long[side == (0 if alone else 1)])):
+        left, right = np.flatnonzero((side == 0) & (long == m)), np.flatnonzero((side == (0 if alone else 1)) & (long == n))
+        if alone and m > n:
             continue
-        differ = np.bitwise_count(bits[rows][:, None, :] ^ bits[right][None, :, :]).sum(2, dtype=np.int64)
-        x, y = np.nonzero(open_ & (differ <= (size[rows][:, None] + size[right][None, :]) // TIGHT))
-        found.append(np.sort(np.stack([node[rows[x]], node[right[y]]], 1), 1))
+        short = sketch[left[0]] if m < n else sketch[right[0]]
+        bits = folded([short, *(sketch[i] for i in left)])[1:], folded([short, *(sketch[i] for i in right)])[1:]
+        step = max(1, BLOCK // (len(right) * len(short)))
+        for lo in range(0, len(left), step):
+            rows = left[lo : lo + step]
+            open_ = root[rows][:, None] != root[right][None, :]
+            if alone and m == n:
+                open_ &= rows[:, None] < right[None, :]
+            if not open_.any():
+                continue
+            differ = np.bitwise_count(bits[0][lo : lo + step][:, None, :] ^ bits[1][None, :, :]).sum(2, dtype=np.int64)
+            x, y = np.nonzero(open_ & (differ <= (size[rows][:, None] + size[right][None, :]) // TIGHT))
+            found.append(np.sort(np.stack([node[rows[x]], node[right[y]]], 1), 1))
     pairs = np.unique(np.concatenate(found), axis=0)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -456,24 +462,25 @@ class JaccardJoin:
         return stage(self.rows.join(near.hint("merge"), ["_doc", "_text"]).dropDuplicates(["_doc", "_text"]).select("node", "n", "text"), "jaccard-survivors")
 
     def _flocks(self, nodes: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """node and flock (its leader's node) of each node, and the pairs of a node and its leader (a, b, close).
+        """node and flock (its leader's node) of each node, and the pairs of a node and a leader (a, b, close).
 
-        A node weighs as much as the groups of nodes that share one of its least features. It follows the heaviest node of
-        these groups, which what copies were made from is, unless its sketch is far from that one's: then it is a flock by
-        itself. Flocks only name sets of nodes that are sent as one; no pair is given up by them."""
+        A node weighs as much as the groups of nodes that share one of its least features. The heaviest node
+        of such a group leads it, which what copies were made from does; a node is tried with all its leaders and follows
+        the heaviest of those whose sketch isn't far from its own. With none it is a flock by itself. Flocks only name sets of nodes that are sent as one; no pair is given up by them."""
         keys = stage(nodes.select("node", "text").mapInArrow(_minima(self.size), "node bigint, key bigint"), "jaccard-minima")
         total = keys.count()
         groups = stage(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("_n", F.col("n")), "jaccard-shared")
         met = stage(hot_join(keys, groups, "key", "_n", total), "jaccard-sharing")
         weighed = met.join(met.groupBy("node").agg(F.sum("n").alias("weight")), "node")
         leaders = stage(weighed.groupBy("key").agg(F.count("*").alias("_n"), F.max(F.struct("weight", "node")).alias("leader")), "jaccard-leaders")
-        top = hot_join(met.select("node", "key"), leaders, "key", "_n", total).groupBy("node").agg(F.max("leader").alias("leader"))
-        led = stage(top.select(F.col("node").alias("a"), F.col("leader.node").alias("b")).filter("a != b"), "jaccard-led")
+        led = hot_join(met.select("node", "key"), leaders, "key", "_n", total).select(F.col("node").alias("a"), F.col("leader.node").alias("b"), "leader.weight")
+        led = stage(led.filter("a != b").distinct(), "jaccard-led")
         unstage(keys, groups, met, leaders)
-        near = self._alike(led, sketches, LOOSE)
+        near = self._alike(led.select("a", "b"), sketches, LOOSE)
+        top = near.join(led.hint("merge"), ["a", "b"]).groupBy(F.col("a").alias("node")).agg(F.max(F.struct("weight", "b")).alias("top"))
+        flocks = stage(nodes.select("node").join(top, "node", "left").select("node", F.coalesce("top.b", "node").alias("flock")), "jaccard-flocks")
         unstage(led)
-        flocks = nodes.select("node").join(near.select(F.col("a").alias("node"), "b"), "node", "left")
-        return stage(flocks.select("node", F.coalesce("b", "node").alias("flock")), "jaccard-flocks"), near
+        return flocks, near
 
     def _candidates(self, nodes: DataFrame) -> DataFrame:
         """Verified links: of each node with its flock's leader, then stars of each signature's group of flocks around the
@@ -498,7 +505,7 @@ class JaccardJoin:
         stars = hot_join(met, centres, "met", "n", total).filter("node != centre")
         sorted_ = lambda pairs, x, y: pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
         stars = stage(sorted_(stars, "node", "centre").distinct(), "jaccard-stars")
-        led = sorted_(near, "a", "b")
+        led = sorted_(near, "a", "b").distinct()
         with Staged() as own:
             close = stage(self._alike(stars, sketches).select("a", "b").unionByName(sorted_(near.filter("close"), "a", "b")).distinct(), "jaccard-close")
             links = own.keep(self._verified(close, nodes))
