@@ -205,9 +205,9 @@ def test_gathered_keeps_every_pair(spark):
 
 
 @pytest.mark.parametrize("share", [0.02, 0.12, 0.3])
-def test_jaccard_of_flocks(spark, share):
-    """Near copies of two bases that differ in a share of their words: flocks that hold links, none, and some; two bases that
-    share a passage; strays that share one with a flock."""
+def test_jaccard_of_near_copies(spark, share):
+    """Near copies of two bases that differ in a share of their words: most, some or few are linked; two bases that share a
+    passage; strays that share one with the copies."""
     rng = np.random.default_rng(17)
     words = lambda n: [f"w{int(x)}" for x in rng.integers(0, 1 << 40, n)]
     one = words(120)
@@ -237,29 +237,6 @@ def test_jaccard_of_flocks(spark, share):
     assert got == {d: find(d) for d in sets}
 
 
-def test_flocks_send_signatures_once(spark, monkeypatch):
-    """Copies of one base, too far from each other to be linked: their groups are told by flock, not by node, and the pairs of
-    the flock are still looked at."""
-    rng = np.random.default_rng(19)
-    base = [f"w{int(x)}" for x in rng.integers(0, 1 << 40, 300)]
-    rows = [(0, " ".join(base))]
-    for i in range(1, 200):
-        at = rng.choice(300, 14, replace=False)
-        rows.append((i, " ".join(f"x{i}.{j}" if j in at else w for j, w in enumerate(base))))
-    sizes, drawn, plain, stage = {}, [], jaccard.cells, jaccard.stage
-
-    def staged(df, name):
-        out = stage(df, name)
-        sizes[name] = out.count()
-        return out
-
-    monkeypatch.setattr(jaccard, "stage", staged)
-    monkeypatch.setattr(jaccard, "cells", lambda m: drawn.append(m.select("node").distinct().count()) or plain(m))
-    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert out.count() == 200
-    assert sizes["jaccard-groups"] < 20 * len(rows) and sizes["jaccard-drawn"] <= 2 * len(rows) and drawn[0] >= 199
-
-
 def test_exchange_tells_what_chunks_decided():
     """A key that several nodes of a chunk have is told once; those nodes travel on, dealt over the buckets."""
     n = 5000
