@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BASES, LAST_ID, Rolling, Staged, batch, chunks, heads, hot_join, keyed, mix, release, stage, text_bytes, unstage, word_table
@@ -26,6 +26,8 @@ SMALL, SEEDS = 32, 2
 BUCKET = 1_000_000
 #: Nodes on either side of a cell of pairs at most, and bytes of their sketches; words of sketches compared at once.
 CELL, CELL_BYTES, BLOCK = 2048, 8 << 20, 1 << 20
+#: Groups of one lead become one where that has no more than so many times their pairs.
+LOOSE = 4
 
 
 class Shingles:
@@ -112,9 +114,9 @@ def _unpacked(column: pa.ChunkedArray, kind: type = np.int64) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *([np.cumsum(x) for x in cut] if kind is np.int64 else cut)])
 
 
-def _parcels(key: np.ndarray, node: np.ndarray, buckets: int, local: bool = True) -> tuple[pa.RecordBatch, np.ndarray]:
-    """Rows for the exchange, and which of the (key, node) several nodes of the chunk share. Those are decided here: the
-    key's bucket is told once. With `local` they travel on as decided, dealt by node, so a key of any share of all nodes
+def _parcels(key: np.ndarray, node: np.ndarray, buckets: int, local: bool = True, most: int = 1) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Rows for the exchange, and which of the (key, node) more than `most` nodes of the chunk share. Those are decided
+    here: the key's bucket is told once. With `local` they travel on as decided, dealt by node, so a key of any share of all nodes
     costs its bucket one number for each chunk. Keys go by 32 bits and their bucket; those that agree by chance only make
     more candidates."""
     bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
@@ -125,7 +127,7 @@ def _parcels(key: np.ndarray, node: np.ndarray, buckets: int, local: bool = True
     head = heads(name[one])
     count = np.diff(np.append(np.flatnonzero(head), len(one)))
     several = np.zeros(len(key), bool)
-    several[one] = np.repeat(count > 1, count)
+    several[one] = np.repeat(count > most, count)
     asks, tells = one[~several[one]], one[head & several[one]]
     asks.sort()
     done = np.sort(one[several[one]]) if local else one[:0]
@@ -264,13 +266,16 @@ def signatures(found: Shingles, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(texts)
 
 
-def _signed(size: int, buckets: int, most: int):
+def _signed(size: int, buckets: int, most: int, nodes: int):
+    """Parcels of the signatures. A signature goes to its bucket with all its nodes, unless its share of the chunk's nodes
+    makes more than BUCKET in all: such are decided in their chunks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(BASES[0])
         for table in chunks(batches, "text"):
             found = Shingles(table["text"], rolling, size)
             key, text = signatures(found, most)
-            yield _parcels(key, table["node"].to_numpy()[text], buckets)[0]
+            yield _parcels(key, table["node"].to_numpy()[text], buckets, most=max(1, BUCKET * table.num_rows // nodes))[0]
 
     return run
 
@@ -293,6 +298,47 @@ def _groups(table: pa.Table) -> pa.Table:
     return pa.table({"met": np.concatenate([(bucket << 32) | value.astype(np.int64), done]), "node": np.concatenate([node, _unpacked(table["owners"])])})
 
 
+#: Members of groups: `pairs` is the square of the group's size, on one row of it.
+LED = "lead bigint, met bigint, node bigint, pairs double"
+
+
+def _led(table: pa.Table) -> pa.Table:
+    """_groups with each group's least node, its lead. Of what chunks decided no task has a whole group, so such a group
+    has a lead of its own, below zero."""
+    groups = _groups(table)
+    met, node = groups["met"].to_numpy(), groups["node"].to_numpy()
+    order = np.lexsort((node, met))
+    met, node = met[order], node[order]
+    first = np.flatnonzero(heads(met))
+    size = np.diff(np.append(first, len(met)))
+    bucket = int(table["bucket"][0].as_py())
+    told = (bucket << 32) | np.unique(_unpacked(table["tells"], np.uint32)).astype(np.int64)
+    done = [np.frombuffer(x.as_buffer(), np.int64) for x in table["done"]]
+    part = np.isin(met[first], np.concatenate([told, *done]))
+    pairs = np.zeros(len(met))
+    pairs[first] = np.where(part, 0.0, size.astype(float) ** 2)
+    return pa.table({"lead": np.repeat(np.where(part, -1 - met[first], node[first]), size), "met": met, "node": node, "pairs": pairs})
+
+
+def united(led: DataFrame) -> DataFrame:
+    """Groups (met, node) in which each pair of a group of `led` (lead, node, mets, pairs) is in some group.
+
+    Near copies make a group for each of their signatures, of much the same nodes. Groups of one lead become one of all
+    their nodes where that has no more than LOOSE times the pairs that they have together. Then a lead of which all nodes have the same group
+    as the largest that they are in is left out with its groups: they are inside that one."""
+    leads = led.groupBy("lead").agg(F.count("*").alias("nodes"), F.sum("pairs").alias("pairs"))
+    leads = stage(leads.select("lead", "nodes", F.col("nodes").alias("size"), (F.col("nodes").cast("double") * F.col("nodes") > LOOSE * F.col("pairs")).alias("apart")), "jaccard-leads")
+    total = leads.agg(F.coalesce(F.sum("nodes"), F.lit(0))).first()[0]
+    rows = hot_join(led.select("lead", "node", "mets"), leads, "lead", "nodes", total)
+    top = F.max(F.when(~F.col("apart"), F.struct("size", "lead"))).over(Window.partitionBy("node"))
+    rows = stage(rows.withColumn("top", top["lead"]), "jaccard-tops")
+    lo, hi = F.min("top"), F.max("top")
+    inside = (F.count("top") == F.count("*")) & (lo == hi) & (lo != F.col("lead"))
+    kept = rows.groupBy("lead").agg(F.count("*").alias("nodes"), F.coalesce(inside, F.lit(False)).alias("inside")).filter("not inside")
+    own = F.transform("mets", lambda m: F.xxhash64("lead", m))
+    return hot_join(rows, stage(kept, "jaccard-outer"), "lead", "nodes", total).select(F.explode(F.when(F.col("apart"), own).otherwise(F.array(F.xxhash64("lead")))).alias("met"), "node")
+
+
 def _sketched(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(BASES[0])
@@ -436,19 +482,25 @@ class JaccardJoin:
         """Verified links: stars of each signature's group around the node that is in most groups (what copies were made
         from is), then all pairs of a group whose nodes aren't connected yet."""
         spark = nodes.sparkSession
-        features = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        features, count = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         buckets = int(max(64, -(-4 * features // BUCKET)))
-        parcels = nodes.select("node", "text").mapInArrow(_signed(self.size, buckets, self.most), PARCELS)
-        met = stage(parcels.groupBy("bucket").applyInArrow(_groups, "met bigint, node bigint"), "jaccard-groups")
+        parcels = nodes.select("node", "text").mapInArrow(_signed(self.size, buckets, self.most, max(1, count)), PARCELS)
+        with Staged() as own:
+            led = parcels.groupBy("bucket").applyInArrow(_led, LED).groupBy("lead", "node")
+            led = own.keep(stage(led.agg(F.collect_list("met").alias("mets"), F.sum("pairs").alias("pairs")), "jaccard-led"))
+            weights = own.keep(stage(led.groupBy("node").agg(F.sum(F.size("mets")).alias("weight")), "jaccard-weights"))
+            met = own.keep(stage(united(led), "jaccard-groups"))
         # shuffle files stay as long as a plan that reads them is held
         del parcels
         release(spark)
         total = met.count()
-        weighed = met.join(met.groupBy("node").agg(F.count("*").alias("weight")), "node")
+        weighed = met.join(weights, "node")
         centres = weighed.groupBy("met").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("n"))
         centres = stage(centres.select("met", "n", F.col("top.node").alias("centre")), "jaccard-centres")
-        stars = hot_join(met, centres, "met", "n", total).filter("node != centre")
-        tried = stage(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "jaccard-stars")
+        # and around each signature's least node: what is linked already makes no pairs later
+        stars = hot_join(met, centres, "met", "n", total).select("node", "centre").unionByName(led.filter("lead >= 0").select("node", F.col("lead").alias("centre")))
+        tried = stage(stars.filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "jaccard-stars")
+        unstage(led, weights)
         sketches = stage(nodes.select("node", "text").mapInArrow(_sketched(self.size), "node bigint, size bigint, sketch binary"), "jaccard-sketches")
         with Staged() as own:
             links = own.keep(self._verified(self._alike(tried, sketches), nodes))

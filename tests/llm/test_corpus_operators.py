@@ -256,6 +256,26 @@ def test_exchange_tells_what_chunks_decided():
     assert sorted(map(len, found.values())) == [2, n + 1] and {n, 90002} in found.values()
 
 
+def test_near_copies_are_few_members(spark):
+    """Groups by the signatures of 200 near copies, besides a hub's and some pairs: every pair of a group is in a group of
+    the result, which has a few rows for each node and not one for each signature."""
+    rng = np.random.default_rng(11)
+    groups = [np.flatnonzero(rng.random(200) < 0.6) for _ in range(150)] + [np.sort(rng.choice(200, 2, False)) for _ in range(300)]
+    groups += [np.array([1000, *range(2000 + 50 * m, 2050 + 50 * m)]) for m in range(20)] + [np.array([5000 + m, 7000 + m]) for m in range(9)]
+    key, node = np.repeat(np.arange(len(groups)), [len(g) for g in groups]), np.concatenate(groups)
+    parcels, _ = jaccard._parcels(jaccard.mix(key.astype(np.uint64)), node, 8, most=1 << 20)
+    part, _ = jaccard._parcels(jaccard.mix(np.full(3, 9999, np.uint64)), np.array([8000, 8001, 8002]), 8)
+    rows = spark.createDataFrame([tuple(r.values()) for r in [*parcels.to_pylist(), *part.to_pylist()]], jaccard.PARCELS)
+    led = rows.groupBy("bucket").applyInArrow(jaccard._led, jaccard.LED).groupBy("lead", "node").agg(F.collect_list("met").alias("mets"), F.sum("pairs").alias("pairs"))
+    found = {}
+    for r in jaccard.united(led).collect():
+        found.setdefault(r["met"], []).append(r["node"])
+    pairs = {(a, b) for g in found.values() for a in g for b in g}
+    assert all(len(set(g)) == len(g) for g in found.values()) and {8000, 8001, 8002} in map(set, found.values())
+    assert all((a, b) in pairs for g in groups for a in g for b in g)
+    assert sum(map(len, found.values())) < 2 * len(np.unique(node)) < len(node) / 8
+
+
 def test_hot_join_deals_out_hot_keys(spark):
     n, keep = 100_000, {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
     try:
