@@ -109,15 +109,15 @@ def pack(docs: DataFrame, window: int = 1024, path: str | None = None, rows_per_
     """Pieces of all documents with the sequence and offset of each.
 
     Only the histogram of lengths (window numbers at most) comes to the driver; the plan over it gives each length its
-    slots, and a piece finds its slot by its rank among the pieces of its length. Ranks follow the pieces' arrival, a number
-    in the written table, and are counted in buckets of its hash, so neither a length that many documents share nor a row
-    that is repeated is one task's work. Null and empty texts have the end id alone; repeated rows are documents of their
+    slots, and a piece finds its slot by its rank among the pieces of its length. Ranks follow a hash of the piece's row,
+    whatever the order of rows, and are counted in buckets of it; a row that is repeated more than `rows_per_bucket` times
+    has buckets of its own. So neither a length that many documents share nor such a row is one task's work. Null and empty texts have the end id alone; repeated rows are documents of their
     own; an empty table gives no rows; other columns are not read. Texts with very long white space are encoded by the
     slower library.
     """
     spark = docs.sparkSession
     release(spark)
-    cut = stage(pieces(docs, window, path).withColumn("_at", F.monotonically_increasing_id()), "pieces")
+    cut = stage(pieces(docs, window, path).withColumns({"_at": F.monotonically_increasing_id(), "_row": F.xxhash64("length", "doc_id", "start", "ids_crc32", "doc_tokens")}), "pieces")
     histogram = dict(cut.groupBy("length").count().collect())
     slots, rank, sequence = [], Counter(), 0
     for pattern, times in plan(histogram, window):
@@ -128,11 +128,15 @@ def pack(docs: DataFrame, window: int = 1024, path: str | None = None, rows_per_
             offset += n * length
         sequence += times
     buckets = max(16, -(-sum(histogram.values()) // rows_per_bucket))
-    place = F.pmod(F.xxhash64("_at"), F.lit(buckets))
-    keyed = cut.withColumn("_bucket", place)
+    # one in rows_per_bucket rows at most
+    often = cut.groupBy("_row").count().filter(F.col("count") > rows_per_bucket).select("_row", F.ceil(F.col("count") / rows_per_bucket).alias("_salts"))
+    hot = F.col("_salts").isNotNull()
+    place = F.when(hot, F.col("_row")).otherwise(F.pmod("_row", F.lit(buckets)))
+    salt = F.when(hot, F.pmod(F.xxhash64("_at"), F.col("_salts"))).otherwise(0)
+    keyed = cut.join(F.broadcast(often), "_row", "left").withColumn("_bucket", F.struct(hot.alias("hot"), place.alias("place"), salt.alias("salt"))).drop("_salts")
     before = keyed.groupBy("length", "_bucket").count().withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("length", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_at")) - 1
+    inside = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_row", "_at")) - 1
     ranked = keyed.withColumn("_in", inside).join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_in") + F.col("_before"))
     # bounded: a row for each length of each pattern, and the plan's patterns depend on the window alone
     found = spark.createDataFrame(slots or [(0, 0, 0, 0, 0, 1)], "length bigint, lo bigint, hi bigint, first bigint, at bigint, n bigint")

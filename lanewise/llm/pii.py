@@ -226,7 +226,10 @@ def redact(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     found = stage(pii_spans(docs, p).filter("size(spans) > 0").select("_doc", "_text", "spans").dropDuplicates(["_doc", "_text"]), "pii-found")
     # the row travels whole, so none of its columns can clash with those used here
     keys = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("_doc"), F.xxhash64("text").alias("_text"), F.col("text").alias("_t"), F.struct(*docs.columns).alias("_row"))
-    joined = keys.join(found, ["_doc", "_text"], "left")
+    # spans hold a digit or an at sign; only such texts are shuffled, at every size
+    maybe = F.coalesce(F.col("_t").rlike("[0-9@]"), F.lit(False))
+    rest = keys.filter(~maybe).withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType))
+    joined = keys.filter(maybe).join(found.hint("merge"), ["_doc", "_text"], "left").unionByName(rest)
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     spans = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 

@@ -12,7 +12,7 @@ import brute
 from test_corpus_operators import SCHEMA, corpus
 
 import corpus_pipeline
-from lanewise.llm import quality, tokens
+from lanewise.llm import packing, pii, quality, tokens
 
 PARTS = "Contact pat.lee@mail.example.org or +49 30 1234567 about 4111 1111 1111 1111 from 10.0.0.7 now"
 
@@ -90,3 +90,17 @@ def test_one_of_each_component_whatever_the_ids(spark):
     worded = [(d, t.split()[0]) for d, t in got if t and t.strip()]
     assert sorted(map(repr, worded)) == sorted(map(repr, [(None, "w0"), (5, "v0")]))
     assert sorted(repr(x) for x in got if not (x[1] or "").strip()) == sorted(repr(x) for x in rows if not (x[1] or "").strip())
+
+
+def test_layout_ignores_the_order_of_rows(spark):
+    """Pieces get the same places whatever partitions their rows come from, and rows repeated beyond a bucket get places too."""
+    rows = [(d, f"words of text {d % 7} " * (1 + d % 5), "en", "s", 1) for d in range(60)] + [(900, "the same", "en", "s", 1)] * 25
+    docs = spark.createDataFrame(rows, SCHEMA)
+    one, two = (sorted(map(tuple, packing.pack(x, 64, rows_per_bucket=10).collect())) for x in (docs.repartition(1), docs.orderBy(F.desc("doc_id")).repartition(5)))
+    assert one == two and len(one) >= len(rows) and len({r[-2:] for r in one}) == len(one)
+
+
+def test_only_texts_that_may_have_spans_are_joined(spark):
+    docs = spark.createDataFrame([(d, f"call +49 30 123456{d % 10} now" if d % 3 else "nothing here", "en", "s", 1) for d in range(30)], SCHEMA)
+    out = pii.redact(docs)
+    assert "SortMergeJoin" in out._jdf.queryExecution().sparkPlan().toString() and {r["text"] for r in out.collect()} == {"call <PHONE> now", "nothing here"}
