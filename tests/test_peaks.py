@@ -158,3 +158,12 @@ def test_models_end_after_whole_spacings(spark):
     sure = spark.createDataFrame([(0, p) for p in places], "trace_id long, pos long")
     last = K.spacing_model(K.spacing_knots(sure)).agg(F.max(F.struct("i", "due"))).first()[0]
     assert (last["i"], last["due"]) == (places[-1] + 35, 7.0)
+
+
+def test_bands_begin_at_whole_spacings(spark):
+    """12 samples are due after 19, so the band is 28 to 34 and the peak at 33 is inside it, not its end."""
+    y = np.zeros((4, 80))
+    y[3, 33] = 40
+    sure = spark.createDataFrame([(0, p) for p in (10, 15, 19, 46, 53, 60, 65)], "trace_id long, pos long")
+    got = K.imputed_calls(sure, K.spacing_model(K.spacing_knots(sure)), wide(spark, y)).collect()
+    assert [(r["after"], r["k"], r["pos"], r["channel"]) for r in got] == [(19, 1, 33, 3)]
