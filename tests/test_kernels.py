@@ -58,6 +58,17 @@ def test_als_thins_long_traces():
     assert fixed.shape == base.shape == (4, 5000) and (fixed >= 0).all()
 
 
+def test_als_of_several_traces_shares_sweeps(monkeypatch):
+    """Traces of any lengths get the curves they get alone; similar ones are solved together."""
+    rng, sweeps, solve = np.random.default_rng(8), [], ks._pentadiagonal
+    ys = [rng.random((4, n)) * 50 for n in (90, 1, 2, 3, 100, 95, 4100, 0)]
+    alone = [ks.als_baseline(y) for y in ys]
+    monkeypatch.setattr(ks, "_pentadiagonal", lambda *bands: sweeps.append(1) or solve(*bands))
+    for one, two in zip(alone, ks.als_baselines(ys), strict=True):
+        assert all(np.array_equal(a, b) for a, b in zip(one, two))
+    assert len(sweeps) == 60  # lengths 0, 1, 2, 3, 90 to 100 and 2050: ten rounds each
+
+
 def test_savgol_keeps_cubics():
     x = np.arange(40.0)
     y = 0.01 * x**3 - 0.2 * x**2 + x + 30
