@@ -184,3 +184,20 @@ def test_residuals_show_what_is_wrong(spark):
     good, bad = (spark.createDataFrame([(0, s, w, eye)], "trace_id int, s array<array<double>>, w array<array<double>>, h array<array<double>>") for w in (s, [[-1.0, 0.0], *s[1:]]))
     assert P.factor_residual(good).first()[1:] == (2, 0.0, 0.0)
     assert P.factor_residual(bad).first()[1:] == (2, 0.8, -1.0)
+
+
+def test_residuals_of_whole_curves_need_no_shuffle(spark):
+    rng = np.random.default_rng(6)
+    curves = [(t, *([rng.random(n).tolist() for _ in range(4)] for _ in range(3))) for t, n in enumerate((1, 2, 3, 4, 40))] + [(9, [[]] * 4, [[]] * 4, [[]] * 4)]
+    df = spark.createDataFrame(curves, "trace_id int, y array<array<double>>, z array<array<double>>, w array<array<double>>")
+    got = P.curve_residual(df, 10.0)
+    want = P.smoother_residual(T.lanes(df, "y", "z", "w"), 10.0)
+    assert {tuple(r)[:3]: pytest.approx(r[3]) for r in want.collect()} == {tuple(r)[:3]: r[3] for r in got.collect()} and got.count() == 20
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_als_residual_sorts_no_samples(spark):
+    from lanewise.plans.queries import QUERIES
+
+    plan = QUERIES["als_residual"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window") == 1  # the one that numbers the samples
