@@ -81,28 +81,39 @@ def local_noise(y: np.ndarray, at: int, floor: float, half: int = 20) -> float:
     return max(float(high - low) / 1.35, floor)
 
 
-def shapes(y: np.ndarray, peaks: np.ndarray, channels: np.ndarray | None = None, half: int = 8) -> np.ndarray:
-    """Shape score of each peak (of a channel, or of a 4 x N array's named channels): 0.4 of its symmetry and 0.6 of the R
-    squared of a bounded Gaussian fit. All peaks are fitted together, by damped least squares with the parameters kept in
-    bounds."""
+#: Samples on either side of a peak that its shape is told by, and peaks that are fitted together.
+HALF, PEAKS = 8, 4096
+
+
+def around(y: np.ndarray, peaks: np.ndarray, channels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The samples around each peak (of a 4 x N array's named channels), zeros beyond the trace, and which are inside it."""
+    n = y.shape[1]
+    at = peaks[:, None] + np.arange(-HALF, HALF + 1)
+    inside = (at >= 0) & (at < n)
+    return np.where(inside, y[channels[:, None], np.clip(at, 0, n - 1)], 0.0), inside
+
+
+def shapes(y: np.ndarray, peaks: np.ndarray, channels: np.ndarray | None = None) -> np.ndarray:
+    """Shape score of each peak (of a channel, or of a 4 x N array's named channels)."""
     y = y[None] if y.ndim == 1 else y
-    n, out = y.shape[1], np.full(len(peaks), 0.5)
     if not len(peaks):
-        return out
-    channels = np.zeros(len(peaks), int) if channels is None else channels
-    x = np.arange(-half, half + 1)
-    at = peaks[:, None] + x
-    inside = (at >= 0) & (at < n)
-    values = np.where(inside, y[channels[:, None], np.clip(at, 0, n - 1)], 0.0)
+        return np.zeros(0)
+    return shapes_of(*around(y, peaks, np.zeros(len(peaks), int) if channels is None else channels))
+
+
+def shapes_of(values: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Shape scores of peaks by the samples around them: 0.4 of the symmetry and 0.6 of the R squared of a bounded Gaussian
+    fit. All peaks, of any traces, are fitted together, by damped least squares with the parameters kept in bounds."""
+    out = np.full(len(values), 0.5)
     top = np.where(inside, values, -np.inf).max(1)
     use = (inside.sum(1) >= 5) & (top > 0)
     if not use.any():
         return out
     values, inside, top = values[use], inside[use], top[use]
-    left, right = values[:, :half].sum(1), values[:, half + 1 :].sum(1)
+    left, right = values[:, :HALF].sum(1), values[:, HALF + 1 :].sum(1)
     symmetry = 1.0 - np.abs(left - right) / (left + right + 1e-9)
     scaled = values / (top[:, None] + 1e-9)
-    fitted = _gaussians(x.astype(float), scaled, inside)
+    fitted = _gaussians(np.arange(-HALF, HALF + 1.0), scaled, inside)
     count = inside.sum(1)
     mean = (scaled * inside).sum(1) / count
     rest = (((scaled - fitted) ** 2) * inside).sum(1)
@@ -112,39 +123,65 @@ def shapes(y: np.ndarray, peaks: np.ndarray, channels: np.ndarray | None = None,
 
 
 def _gaussians(x: np.ndarray, y: np.ndarray, inside: np.ndarray, rounds: int = 80) -> np.ndarray:
-    """Fitted values; a peak whose fit no longer gains or moves leaves the rounds."""
-    low, high = np.array([0.0, x[0], 0.3]), np.array([1.5, x[-1], x[-1]])
-    p = np.tile([1.0, 0.0, 2.0], (len(y), 1))
-    damp = np.full(len(y), 1e-2)
-
-    def model(q: np.ndarray) -> np.ndarray:
-        return q[:, :1] * np.exp(-0.5 * ((x - q[:, 1:2]) / q[:, 2:3]) ** 2)
-
-    now = model(p)
-    loss = (((y - now) ** 2) * inside).sum(1)
-    live = np.arange(len(y))
+    """Fitted values, PEAKS rows at a time."""
+    parts = [_fitted(x[:, None], np.ascontiguousarray(y[k : k + PEAKS].T), np.ascontiguousarray(inside[k : k + PEAKS].T, float), rounds).T for k in range(0, len(y), PEAKS)]
+    return np.concatenate(parts) if parts else y
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int) -> np.ndarray:
+    """Fitted values, a column a peak. The normal equations are sums of u ** k under the squared bell; a peak whose fit no
+    longer gains or moves leaves the rounds, and the columns are closed up when a quarter has left."""
+    low, high = np.array([[0.0], [x[0, 0]], [0.3]]), np.array([[1.5], [x[-1, 0]], [x[-1, 0]]])
+    out, at = np.empty_like(y), np.arange(y.shape[1])
+    p, damp = np.repeat([[1.0], [0.0], [2.0]], len(at), 1), np.full(len(at), 1e-2)
+    total = lambda one, two: np.einsum("ij,ij->j", one, two)
+
+    def model(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u = (x - q[1]) / q[2]
+        bell = np.exp(-0.5 * u * u)
+        return u, bell, (y - q[0] * bell) * held
+
+    u, bell, rest = model(p)
+    loss, live = total(rest, rest), np.ones(len(at), bool)
     for _ in range(rounds):
-        q, held, had = p[live], inside[live], now[live]
-        u = (x - q[:, 1:2]) / q[:, 2:3]
-        bell = np.exp(-0.5 * u**2)
-        slope = np.stack([bell, q[:, :1] * bell * u / q[:, 2:3], q[:, :1] * bell * u**2 / q[:, 2:3]], 2) * held[:, :, None]
-        turned = slope.transpose(0, 2, 1)
-        normal = turned @ slope
-        side = turned @ ((y[live] - had) * held)[:, :, None]
-        scale = np.einsum("kjj->kj", normal) * damp[live][:, None] + 1e-12
-        trial = np.clip(q + np.linalg.solve(normal + scale[:, :, None] * np.eye(3), side)[:, :, 0], low, high)
-        there = model(trial)
-        new = (((y[live] - there) ** 2) * held).sum(1)
-        better = new < loss[live]
-        gain = np.where(better, loss[live] - new, np.inf)
-        moved = np.abs(trial - q).max(1)
-        at = live[better]
-        p[at], now[at], loss[at] = trial[better], there[better], new[better]
-        damp[live] = np.where(better, np.maximum(damp[live] / 5, 1e-9), np.minimum(damp[live] * 4, 1e9))
-        live = live[np.where(better, gain > 1e-12, moved > 1e-6) & (damp[live] < 1e6)]
-        if not len(live):
+        h = bell * held
+        b, r, k = h * bell, rest * bell, p[0] / p[2]
+        bu, uu = b * u, u * u
+        s1, s2, s3, s4 = bu.sum(0), total(bu, u), total(bu, uu), total(bu * u, uu)
+        more = 1.0 + damp
+        n00, n11, n22 = b.sum(0) * more + 1e-12, k * k * s2 * more + 1e-12, k * k * s4 * more + 1e-12
+        n01, n02, n12 = k * s1, k * s2, k * k * s3
+        t = np.stack([r.sum(0), k * total(r, u), k * total(r, uu)])
+        # a parameter that is pushed against its bound stays there, and the others are solved without it
+        free = ~(((p <= low) & (t < 0)) | ((p >= high) & (t > 0)))
+        t0, t1, t2 = t * free
+        n01, n02, n12 = n01 * (free[0] & free[1]), n02 * (free[0] & free[2]), n12 * (free[1] & free[2])
+        l1, l2 = n01 / n00, n02 / n00
+        d1, e = np.maximum(n11 - l1 * n01, 1e-15), n12 - l1 * n02
+        l3 = e / d1
+        d2 = np.maximum(n22 - l2 * n02 - l3 * e, 1e-15)
+        z1 = t1 - l1 * t0
+        q2 = (t2 - l2 * t0 - l3 * z1) / d2
+        q1 = z1 / d1 - l3 * q2
+        trial = np.clip(p + np.stack([t0 / n00 - l1 * q1 - l2 * q2, q1, q2]), low, high)
+        tu, tbell, trest = model(trial)
+        new = total(trest, trest)
+        better = (new < loss) & live
+        stays = np.where(better, loss - new > 1e-12, np.abs(trial - p).max(0) > 1e-6)
+        for old, now in ((p, trial), (u, tu), (bell, tbell), (rest, trest), (loss, new)):
+            np.copyto(old, now, where=better)
+        damp = np.where(better, np.maximum(damp / 5, 1e-9), np.minimum(damp * 4, 1e9))
+        live &= stays & (damp < 1e6)
+        left = int(live.sum())
+        if not left:
             break
-    return now
+        if left < 0.75 * len(at):
+            out[:, at[~live]] = p[0, ~live] * bell[:, ~live]
+            at, damp, loss = at[live], damp[live], loss[live]
+            p, u, bell, rest, y, held = (np.ascontiguousarray(v[:, live]) for v in (p, u, bell, rest, y, held))
+            live = np.ones(left, bool)
+    out[:, at] = p[0] * bell
+    return out
 
 
 def mobility(y: np.ndarray, prominence: float, degree: int = 3) -> tuple[np.ndarray, bool]:

@@ -109,6 +109,23 @@ def test_shape_prefers_gaussians():
     assert kp.shapes(np.zeros(60), np.array([30]))[0] == 0.5
 
 
+def test_fits_at_their_bounds_converge():
+    """A ramp's best bell is as wide and as far to the side as it may be: 16 times the rounds gain nothing on the fit."""
+    x = np.arange(-8, 9.0)
+    ramps = np.stack([np.clip(0.5 + a * x, 0, 1) * (1 + b * (x % 2)) / (1 + b) for a in (-0.06, -0.02, 0.03, 0.06) for b in (0.0, 0.3, 1.0)])
+    inside = np.ones(ramps.shape, bool)
+    short, long = (((ramps - kp._gaussians(x, ramps, inside, rounds)) ** 2).sum(1) for rounds in (80, 1280))
+    assert (short - long < 1e-9).all()
+
+
+def test_shapes_of_several_traces_equal_those_of_each():
+    rng = np.random.default_rng(12)
+    ys = [np.maximum(rng.normal(size=(4, n)) * 20, 0) for n in (3, 9, 40, 700)]
+    each = [(y, c, kp.find(y[c])) for y in ys for c in range(4)]
+    together = kp.shapes_of(*map(np.concatenate, zip(*[kp.around(y, at, np.full(len(at), c)) for y, c, at in each])))
+    assert np.allclose(together, np.concatenate([kp.shapes(y[c], at) for y, c, at in each]), atol=1e-9)
+
+
 def test_local_noise_branches():
     y = RNG.random(100)
     near = np.r_[y[30:45], y[56:70]]
