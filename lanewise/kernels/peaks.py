@@ -215,19 +215,24 @@ def mobility(y: np.ndarray, prominence: float, degree: int = 3) -> tuple[np.ndar
     return out, True
 
 
+def paired(marks: np.ndarray, peaks: np.ndarray, reach: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Each mark in turn takes the nearest peak that is still free (the earlier of two), if it is within reach: marks that
+    took one, and how far on it is. Both arrays ascend, so a mark only looks at the peaks within its reach."""
+    first = np.searchsorted(peaks, marks - reach, "right").tolist()
+    last = np.searchsorted(peaks, marks + reach).tolist()
+    places, free, at, by = peaks.tolist(), [True] * len(peaks), [], []
+    for mark, a, b in zip(marks.tolist(), first, last):
+        best = min(((abs(places[k] - mark), k) for k in range(a, b) if free[k]), default=None)
+        if best:
+            free[best[1]] = False
+            at.append(mark)
+            by.append(places[best[1]] - mark)
+    return np.array(at, int), np.array(by, int)
+
+
 def matched_drift(marks: np.ndarray, peaks: np.ndarray, reach: int = 20) -> tuple[np.ndarray, np.ndarray] | None:
-    """Each mark in turn takes the nearest peak that is still free (the earlier of two), if it is within reach. None under
-    four pairs."""
+    """Pairs of marks and peaks; none under four peaks or pairs."""
     if len(peaks) < 4:
         return None
-    free, at, by = np.ones(len(peaks), bool), [], []
-    for mark in marks:
-        left = np.flatnonzero(free)
-        if not len(left):
-            break
-        k = left[int(np.argmin(np.abs(peaks[left] - mark)))]
-        if abs(int(peaks[k]) - int(mark)) < reach:
-            at.append(int(mark))
-            by.append(int(peaks[k]) - int(mark))
-            free[k] = False
-    return (np.array(at), np.array(by)) if len(at) >= 4 else None
+    at, by = paired(marks, peaks, reach)
+    return (at, by) if len(at) >= 4 else None

@@ -191,3 +191,11 @@ def test_mobility_peaks_equal_those_by_rows(spark):
     assert sorted(map(tuple, marks.collect())) == sorted(map(tuple, K.find_peaks(total, 1, least, ("trace_id",)).select("trace_id", "pos").collect()))
     assert sorted(map(tuple, peaks.collect())) == sorted(map(tuple, K.find_peaks(K.moved(K.long(samples), lags), 1, least).select("trace_id", "ch", "pos").collect()))
     assert "Generate" not in peaks._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_pairs_are_told_without_rows_of_candidates(spark):
+    marks = spark.createDataFrame([(0, p) for p in (18, 21, 60, 100)], "trace_id long, pos long")
+    peaks = spark.createDataFrame([(0, 0, p) for p in (2, 20, 33, 101)], "trace_id long, ch int, pos long")
+    pairs = K.mobility_pairs(marks, peaks)
+    assert sorted(map(tuple, pairs.collect())) == [(0, 0, 18, 2), (0, 0, 21, 12), (0, 0, 100, 1)]
+    assert "Generate" not in pairs._jdf.queryExecution().sparkPlan().toString()
