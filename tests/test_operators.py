@@ -201,3 +201,15 @@ def test_als_residual_sorts_no_samples(spark):
 
     plan = QUERIES["als_residual"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Window") == 1  # the one that numbers the samples
+
+
+def test_kernels_get_portions_of_a_batch():
+    """Whatever an Arrow batch holds, a kernel's results leave after about BATCH numbers."""
+    import pyarrow as pa
+
+    sizes = [600] * 500 + [0, 3, 200_000, 1]
+    keys, values = pa.array(range(len(sizes))), T.nested([np.full((4, n), k, float) for k, n in enumerate(sizes)])
+    parts = [(k.to_pylist(), some) for k, some in T.portions(keys, values)]
+    assert [k for ks_, _ in parts for k in ks_] == keys.to_pylist() and len(parts) > 3
+    assert all(len(k) == len(some) and sum(y.size for y in some[:-1]) < T.BATCH for k, some in parts)
+    assert [y.shape for _, some in parts for y in some] == [(4, n) for n in sizes]
