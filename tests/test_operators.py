@@ -213,3 +213,15 @@ def test_kernels_get_portions_of_a_batch():
     assert [k for ks_, _ in parts for k in ks_] == keys.to_pylist() and len(parts) > 3
     assert all(len(k) == len(some) and sum(y.size for y in some[:-1]) < T.BATCH for k, some in parts)
     assert [y.shape for _, some in parts for y in some] == [(4, n) for n in sizes]
+
+
+def test_matrices_from_many_traces_hold_no_windows():
+    """What dominant() keeps of a batch's baselines: a few times the traces, not 101 times."""
+    import tracemalloc
+
+    ys = [np.random.default_rng(k).integers(0, 50, (4, 600)).astype(float) for k in range(60)]
+    tracemalloc.start()
+    kept = [ks.baseline(y, "rolling", 101) for y in ys]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(kept) == 60 and held < 4 * sum(y.nbytes for y in ys)
